@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import mixing, repetition, secrets
+from bazaarlens.llm import grammar, mixing, packing, repetition, secrets
+from bazaarlens.llm.scratch import Scratch
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +32,19 @@ def op3_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op5_grammar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = grammar.write_shards(table(spark, sf_dir, "documents"), TOKENIZER, Scratch(spark, "shards"))
+    return grammar.digest(grammar.read_shards(shards))
+
+
+def op6_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), TOKENIZER))
+
+
 def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.digest(repetition.score(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op3_source_schedule, op9_repetition_coverage)
+    f.__name__: f for f in (op1_secret_ownership, op3_source_schedule, op5_grammar_shards, op6_minimum_bin_slack, op9_repetition_coverage)
 }
