@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import grammar, mixing, packing, repetition, secrets
+from bazaarlens.llm import grammar, mixing, packing, repetition, secrets, toxicity
 from bazaarlens.llm.scratch import Scratch
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,11 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), repository=F.concat_ws("/", "source", "lang")))
 
 
+def op2_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.digest(toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))))
+
+
 def op3_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
@@ -46,5 +51,5 @@ def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op3_source_schedule, op5_grammar_shards, op6_minimum_bin_slack, op9_repetition_coverage)
+    f.__name__: f for f in (op1_secret_ownership, op2_noisy_or_toxicity, op3_source_schedule, op5_grammar_shards, op6_minimum_bin_slack, op9_repetition_coverage)
 }
