@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import grammar, mixing, packing, repetition, secrets, toxicity
+from bazaarlens.llm import grammar, mixing, near_dedup, packing, repetition, secrets, toxicity
 from bazaarlens.llm.scratch import Scratch
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -46,10 +46,14 @@ def op6_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op7_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest(near_dedup.groups(table(spark, sf_dir, "documents")))
+
+
 def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.digest(repetition.score(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op2_noisy_or_toxicity, op3_source_schedule, op5_grammar_shards, op6_minimum_bin_slack, op9_repetition_coverage)
+    f.__name__: f for f in (op1_secret_ownership, op2_noisy_or_toxicity, op3_source_schedule, op5_grammar_shards, op6_minimum_bin_slack, op7_minhash_groups, op9_repetition_coverage)
 }
