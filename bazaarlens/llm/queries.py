@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import grammar, mixing, near_dedup, packing, repetition, secrets, toxicity
+from bazaarlens.llm import grammar, mixing, near_dedup, packing, repetition, secrets, suffix_dedup, toxicity
 from bazaarlens.llm.scratch import Scratch
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +54,10 @@ def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.digest(repetition.score(table(spark, sf_dir, "documents")))
 
 
+def op10_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.removed(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op2_noisy_or_toxicity, op3_source_schedule, op5_grammar_shards, op6_minimum_bin_slack, op7_minhash_groups, op9_repetition_coverage)
+    f.__name__: f for f in (op1_secret_ownership, op2_noisy_or_toxicity, op3_source_schedule, op5_grammar_shards, op6_minimum_bin_slack, op7_minhash_groups, op9_repetition_coverage, op10_radix_suffix_dedup)
 }

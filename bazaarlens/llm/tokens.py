@@ -53,18 +53,34 @@ class WordTokenizer:
         self.marks = {m: np.array(self.library.encode(m, add_special_tokens=False).ids, dtype=np.uint32).tobytes() for m in ".,"}
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words, all in one call; those that may hold special tokens alone."""
-        plain = [w for w in words if "<|" not in w]
-        found = self.library.encode(plain, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, dtype=np.uint32)
-        bounds = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(plain) + 1))
-        data = ids.tobytes()
-        for word, a, b in zip(plain, (bounds[:-1] * 4).tolist(), (bounds[1:] * 4).tolist()):
-            self.young[word] = data[a:b]
+        """Encode new words: those of letters only as one text with spaces between, where each
+        must come back as one pre-token; the others as words, or alone if they may hold special
+        tokens."""
+        letters = [w for w in words if w.isalpha()]
+        for k in range(0, len(letters), 1024):
+            part = letters[k : k + 1024]
+            found = self.library.encode(" ".join(part), add_special_tokens=False)
+            if not self._store(part, found, all_letters=True):
+                self._store(part, self.library.encode(part, is_pretokenized=True, add_special_tokens=False))
+        others = [w for w in words if not w.isalpha() and "<|" not in w]
+        self._store(others, self.library.encode(others, is_pretokenized=True, add_special_tokens=False))
         for word in words:
             if "<|" in word:
                 self.young[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
 
+    def _store(self, words: list[str], found: object, all_letters: bool = False) -> bool:
+        """Keep the ids of each word; false if the library did not find these words."""
+        owner = np.array(found.word_ids, dtype=np.int64)
+        if len(owner) and owner[-1] >= len(words):
+            return False
+        bounds = np.searchsorted(owner, np.arange(len(words) + 1)) * 4
+        if all_letters and (bounds[1:] == bounds[:-1]).any():
+            return False
+        data = np.array(found.ids, dtype=np.uint32).tobytes()
+        for word, a, b in zip(words, bounds[:-1].tolist(), bounds[1:].tolist()):
+            self.young[word] = data[a:b]
+        return True
+
     def _lookup(self, words: list[str]) -> list[bytes]:
         """Ids of each word, from the memo or the library."""
         out = list(map(self.young.get, words))
@@ -91,7 +107,7 @@ class WordTokenizer:
         texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = self._lookup(words)
         ids.append(self.end)
         counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
