@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import grammar, mixing, near_dedup, packing, repetition, secrets, suffix_dedup, toxicity
+from bazaarlens.llm import grammar, mixing, near_dedup, packing, repetition, secrets, shards, suffix_dedup, toxicity, va_search
 from bazaarlens.llm.scratch import Scratch
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,15 @@ def op3_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op4_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = shards.ShardStore(spark, Scratch(spark, "store").path, docs.schema)
+    store.append(docs)
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_grammar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = grammar.write_shards(table(spark, sf_dir, "documents"), TOKENIZER, Scratch(spark, "shards"))
     return grammar.digest(grammar.read_shards(shards))
@@ -50,6 +59,10 @@ def op7_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.digest(near_dedup.groups(table(spark, sf_dir, "documents")))
 
 
+def op8_approximation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.digest(repetition.score(table(spark, sf_dir, "documents")))
 
@@ -59,5 +72,5 @@ def op10_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op2_noisy_or_toxicity, op3_source_schedule, op5_grammar_shards, op6_minimum_bin_slack, op7_minhash_groups, op9_repetition_coverage, op10_radix_suffix_dedup)
+    f.__name__: f for f in (op1_secret_ownership, op2_noisy_or_toxicity, op3_source_schedule, op4_tiered_compaction, op5_grammar_shards, op6_minimum_bin_slack, op7_minhash_groups, op8_approximation_search, op9_repetition_coverage, op10_radix_suffix_dedup)
 }
