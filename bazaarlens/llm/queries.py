@@ -16,7 +16,9 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder; Python workers get this repository on their path."""
+    """A table of the input folder; Python workers get this repository on their path, and
+    Arrow batches small enough that a few of them fit beside an executor's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", "").split(":"):
