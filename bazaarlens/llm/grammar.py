@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from bazaarlens.llm.scratch import Scratch
-from bazaarlens.llm.tokens import gather, slices, tokenizer
+from bazaarlens.llm.tokens import gather, gathered, tokenizer
 
 #: Tokens after which a shard is closed; how often a pair must occur; rules a round may make; rounds.
 SHARD_TOKENS, LEAST, PER_ROUND, ROUNDS = 1 << 18, 8, 2048, 6
@@ -162,18 +162,17 @@ def write_shards(docs: DataFrame, tokenizer_path: str, scratch: Scratch, id_col:
             names, ids, waiting = [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], names=list(row))
 
-        for batch in batches:
+        for piece in gathered(batches, 1):
             words = tokenizer(tokenizer_path, end_id)
             base = words.library.get_vocab_size()
-            kinds = [pa.int32(), pa.int64(), pa.list_(batch.schema.field(0).type), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * 3]
-            for piece in slices(batch, 1):
-                flat, offsets = words.encode(piece.column(1))
-                for name, a, b in zip(piece.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                    names.append(name)
-                    ids.append(flat[a:b])
-                    waiting += b - a
-                    if waiting >= shard_tokens:
-                        yield close()
+            kinds = [pa.int32(), pa.int64(), pa.list_(piece.schema.field(0).type), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * 3]
+            flat, offsets = words.encode(piece.column(1))
+            for name, a, b in zip(piece.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                names.append(name)
+                ids.append(flat[a:b])
+                waiting += b - a
+                if waiting >= shard_tokens:
+                    yield close()
         if ids:
             yield close()
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.tokens import slices, tokenizer
+from bazaarlens.llm.tokens import gathered, tokenizer
 
 #: Remainders that wait at most, those left after packing, and the slack that is padded.
 POOL, LEFT, SLACK = 4096, 1024, 32
@@ -132,14 +132,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             columns = list(zip(*packer.take_rows()))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-        for batch in batches:
-            kinds = [batch.schema.field(0).type, *[pa.int64()] * 5, pa.binary()]
-            for part in slices(batch, 1):
-                ids, offsets = tokenizer(tokenizer_path, end_id).encode(part.column(1))
-                for doc, a, b in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                    packer.add(doc, ids[a:b])
-                if packer.rows:
-                    yield out()
+        for part in gathered(batches, 1):
+            kinds = [part.schema.field(0).type, *[pa.int64()] * 5, pa.binary()]
+            ids, offsets = tokenizer(tokenizer_path, end_id).encode(part.column(1))
+            for doc, a, b in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                packer.add(doc, ids[a:b])
+            if packer.rows:
+                yield out()
         packer.pack(0)
         if packer.rows:
             yield out()

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded at once, and words in each of the memo's two generations.
-SLICE_BYTES, MEMO_WORDS = 4 << 20, 400_000
+SLICE_BYTES, MEMO_WORDS = 4 << 20, 600_000
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -29,6 +29,21 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows again, in pieces of about ``limit`` bytes of text."""
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in slices(batch, column, limit):
+            waiting.append(part)
+            size += part.column(column).nbytes
+            if size >= limit * 0.75:
+                yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                waiting, size = [], 0
+    if waiting and (rows := pa.Table.from_batches(waiting).combine_chunks().to_batches()):
+        yield rows[0]
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``flat[starts[i]:starts[i] + counts[i]]`` for each i of ``picks``, laid end to end, and
     the n + 1 offsets of these runs."""
