@@ -34,7 +34,7 @@ SHARD_TOKENS, LEAST, PER_ROUND, ROUNDS = 1 << 18, 8, 2048, 6
 
 def compress(ids: np.ndarray, base: int, end_id: int, least: int = LEAST, per_round: int = PER_ROUND, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (n x 2) of a shard; symbol base + i stands for rule i."""
-    symbols, rules = ids.astype(np.uint32), np.zeros((0, 2), dtype=np.uint32)
+    symbols, rules = ids.astype(np.uint32, copy=True), np.zeros((0, 2), dtype=np.uint32)
     narrow = base < 1 << 16  # while all symbols have 16 bits, a pair has 32
     for _ in range(rounds):
         limit = min(per_round, (1 << 16) - base - len(rules)) if narrow else per_round
@@ -52,19 +52,23 @@ def compress(ids: np.ndarray, base: int, end_id: int, least: int = LEAST, per_ro
         often = often[np.argsort(-counts[often], kind="stable")[:limit]]
         chosen = ordered[heads[often]]
         # A table from 18 bits of a pair's hash to its rule; of pairs that meet there the most frequent stays.
-        table = np.zeros(1 << 18, dtype=np.int32)
+        table = np.full(1 << 18, -1, dtype=np.int32)
         table[_bits(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
         left = table[_bits(chosen)] == np.arange(len(chosen))
-        chosen, table = chosen[left], (np.cumsum(left, dtype=np.int32) - 1)[table]
+        renamed = np.append(np.cumsum(left, dtype=np.int32) - 1, np.int32(-1))
+        chosen, table = chosen[left], renamed[table]
         slot = table[_bits(keys)]
-        hit = np.flatnonzero((chosen[slot] == keys) & free)
+        hit = np.flatnonzero(slot >= 0)
+        slot = slot[hit]
+        same = (chosen[slot] == keys[hit]) & free[hit]
+        hit, slot = hit[same], slot[same]
         # Of hits one after the other, every second one: their pairs do not overlap.
         run = np.flatnonzero(np.concatenate(([True], hit[1:] != hit[:-1] + 1)))
         first = np.repeat(hit[run], np.diff(np.append(run, len(hit))))
-        hit = hit[(hit - first) % 2 == 0]
+        even = (hit - first) % 2 == 0
+        hit, slot = hit[even], slot[even]
         pair = np.stack([chosen >> np.array(16 if narrow else 32, chosen.dtype), chosen & np.array(0xFFFF if narrow else 0xFFFFFFFF, chosen.dtype)], axis=1).astype(np.uint32)
-        symbols = symbols.copy()
-        symbols[hit] = (base + len(rules) + slot[hit]).astype(np.uint32)
+        symbols[hit] = (base + len(rules) + slot).astype(np.uint32)
         keep = np.ones(len(symbols), dtype=bool)
         keep[hit + 1] = False
         symbols, rules = symbols[keep], np.concatenate([rules, pair])

@@ -1,5 +1,82 @@
-"""DuckDB SQL for the corpus queries that SQL can express."""
+"""DuckDB SQL for the corpus queries that SQL can express.
+
+The others hold a fitted model, a tokenizer library, confirmed similarity links or byte windows;
+their tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from bazaarlens.llm.mixing import WORD
+from bazaarlens.llm.secrets import KINDS, LOOSE, PLACEHOLDER
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _spans(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Matches with code-point bounds, from the pieces between matches and the matches."""
+    p = _quoted(pattern)
+    return f"""
+    parts{rank} AS (
+        SELECT "row", owner, repo, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS hits, regexp_extract_all(t, {p}, {group}) AS vals FROM d WHERE regexp_matches(t, {p})),
+    found{rank} AS (SELECT "row", owner, repo, gaps, hits, vals[i] AS value, i FROM parts{rank}, unnest(range(1, len(hits) + 1)) AS u(i) WHERE length(vals[i]) >= {least}),
+    span{rank} AS (
+        SELECT "row", owner, repo, {rank} AS rank, '{kind}' AS kind, value, CAST(list_sum([length(x) FOR x IN gaps[1:i]]) + coalesce(list_sum([length(x) FOR x IN hits[1:i - 1]]), 0) AS BIGINT) AS s,
+               CAST(list_sum([length(x) FOR x IN gaps[1:i]]) + list_sum([length(x) FOR x IN hits[1:i]]) AS BIGINT) AS e
+        FROM found{rank})"""
+
+
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS "row", doc_id, coalesce(text, '') AS t, source AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+    {','.join(_spans(i, *k) for i, k in enumerate([*KINDS, LOOSE]))},
+    base AS ({' UNION ALL '.join(f'SELECT * FROM span{i}' for i in range(len(KINDS)))}),
+    loose AS (
+        SELECT * FROM span{len(KINDS)} l WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')
+          AND NOT EXISTS (SELECT 1 FROM base b WHERE b."row" = l."row" AND b.s < l.e AND l.s < b.e)),
+    candidates AS (SELECT * FROM base UNION ALL SELECT * FROM loose),
+    ownership AS (SELECT value, count(DISTINCT coalesce(owner, '')) AS owners FROM candidates GROUP BY value),
+    judged AS (
+        SELECT c.*, CASE WHEN o.owners >= 3 THEN 'example' WHEN regexp_matches(c.value, '[0-9]') AND regexp_matches(c.value, '[A-Za-z]') AND NOT regexp_matches(c.value, {_quoted(PLACEHOLDER)})
+            AND len(list_distinct(string_split(c.value, ''))) >= 8 THEN 'live' ELSE 'plain' END AS verdict
+        FROM candidates c JOIN ownership o ON o.value = c.value),
+    shown AS (SELECT * FROM judged WHERE rank < {len(KINDS)} OR verdict = 'live'),
+    per AS (
+        SELECT "row", {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k, *_ in KINDS)},
+               string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, rank) FILTER (WHERE rank < {len(KINDS)}) AS base_spans, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, rank) AS spans,
+               count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example
+        FROM shown GROUP BY "row")
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k, *_ in KINDS)}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN per ON per."row" = d."row"
+"""
+
+MIXING = f"""
+WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, {_quoted(WORD)})), 0) AS BIGINT) AS size, md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS digest FROM documents),
+    sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+    weighed AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS nr FROM sizes),
+    caps AS (SELECT *, nr % 3 + 1 AS weight, 3 * source_size AS cap, CAST(3 * source_size AS DOUBLE) / (nr % 3 + 1) AS ratio FROM weighed),
+    levels AS (
+        SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS DOUBLE) AS level
+        FROM caps WINDOW before AS (ORDER BY ratio, nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    goals AS (SELECT *, CASE WHEN ratio <= level THEN CAST(cap AS DOUBLE) ELSE weight * max(level) FILTER (WHERE ratio > level) OVER () END AS target FROM levels),
+    placed AS (
+        SELECT s.doc_id, s.size, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS goal,
+               CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.digest, s.size, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - s.size AS start
+        FROM sized s JOIN goals g ON g.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0 ELSE goal // source_size * size + greatest(least(start + size, goal % source_size) - start, 0) END AS taken
+FROM placed
+"""
+
+COMPACTION = "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents"
+
+SEARCH = """
+WITH v AS (SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([a[1] * a[2] FOR a IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+        FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+ORACLE: dict[str, str] = {"op1_secret_ownership": SECRETS, "op3_source_schedule": MIXING, "op4_tiered_compaction": COMPACTION, "op8_approximation_search": SEARCH}
