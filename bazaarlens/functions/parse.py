@@ -153,7 +153,9 @@ def with_parsed(df: DataFrame, title: str, out: str = "parsed", category: Column
         value = [x for a in c.attributes for x in (F.lit(a.name), F.coalesce(found[a.name], F.lit(a.default)) if defaults and a.default else found[a.name])]
         maps.append(F.when(proof, F.struct(F.lit(c.name).alias("category"), F.map_filter(F.create_map(*value), lambda _, v: v.isNotNull()).alias("attributes"))))
     nothing = F.struct(F.lit(None).cast("string").alias("category"), F.create_map().cast("map<string,string>").alias("attributes"))
-    df = df.withColumn(out, F.coalesce(*maps, nothing))
+    # An array of one, exploded: a filter on the result must not be pushed below, where it would
+    # repeat the whole parse inside its condition.
+    df = df.withColumn(out, F.explode(F.array(F.coalesce(*maps, nothing))))
     df = df.withColumn(normalized, F.col(text)) if normalized else df
     return df.drop(text, kind, f"__{out}_head", *[f"{raw}_{c.name}" for c in CATEGORIES])
 

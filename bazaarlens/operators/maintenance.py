@@ -23,8 +23,9 @@ def duplicate_groups(products: DataFrame) -> DataFrame:
 
 def survivors(products: DataFrame) -> DataFrame:
     """id and survivor of every product that has duplicates."""
-    by = W.partitionBy("match_category", canonical(F.col("attributes")))
-    out = products.filter("match_category is not null").withColumn("survivor", F.min("id").over(by)).withColumn("n", F.count("*").over(by))
+    by = W.partitionBy("match_category", "key")
+    keyed = products.filter("match_category is not null").select("id", "match_category", canonical(F.col("attributes")).alias("key"))
+    out = keyed.withColumn("survivor", F.min("id").over(by)).withColumn("n", F.count("*").over(by))
     return out.filter("n > 1").select("id", "survivor")
 
 

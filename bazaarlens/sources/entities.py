@@ -102,4 +102,6 @@ def with_views(names: tuple[str, ...], sql: str) -> str:
         order += [n] if n not in order else []
     views = ",\n".join(f"{n} AS ({VIEWS[n].replace('{json}', JSON_VALUE['duckdb'])})" for n in order)
     sql = sql.strip()
+    if not order:
+        return sql
     return f"WITH {views}{', ' + sql[5:] if sql.upper().startswith('WITH ') else chr(10) + sql}"
