@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ from bazaarlens.llm.text import mix, prefix_hash, utf8
 from bazaarlens.llm.tokens import slices
 
 WINDOW, GRAM, DIGIT = 100, 16, 25
-#: Contexts of one gram that a task holds; anchors sorted at once; bytes of spans that may be broadcast.
-GROUP, AT_ONCE, BROADCAST = 20_000, 4096, 32 << 20
+#: Contexts of one gram that a task holds; anchors and windows sorted at once; bytes of spans that may be broadcast.
+GROUP, AT_ONCE, WINDOWS, BROADCAST = 100_000, 4096, 400_000, 32 << 20
 _NONE = np.iinfo(np.int64).max
 
 
@@ -119,6 +120,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = mix((sums[end] - sums[start]) * inverse[start] + (at & 0xFFFF).astype(np.uint64))
             raw = data.tobytes()
             bytes_ = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
+            # A context that its own text holds earlier is settled here; it travels without bytes, to any task.
+            order = np.lexsort((at >> 16, full, doc))
+            again = order[1:][(full[order][1:] == full[order][:-1]) & (doc[order][1:] == doc[order][:-1])]
+            gram = gram.copy()
+            gram[again] = mix(full[again] + at[again].astype(np.uint64)).view(np.int64)
+            for k in again.tolist():
+                bytes_[k] = None
             index = pa.array(doc)
             yield pa.RecordBatch.from_arrays([pa.array(gram), part.column(1).take(index), part.column(0).take(index), pa.array(at), pa.array(full.view(np.int64)), pa.array(bytes_, pa.binary())],
                                              names=["gram", "id", "row", "at", "full", "bytes"])
@@ -154,18 +162,26 @@ class _Block:
         k = np.flatnonzero(~self.head)
         return _found(self.row[k], self.place[k] - self.back[k], self.place[k] - self.fore[k] + WINDOW)
 
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Anchor, place of the gram in the window, and first byte of each window of the chosen."""
-        n = self.back[chosen] - self.fore[chosen] + 1
-        owner = np.repeat(chosen, n)
+    def windows(self, chosen: np.ndarray, low: int = 0, high: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor, place of the gram in the window (low <= place < high), and first byte of each
+        window of the chosen."""
+        back = np.minimum(self.back[chosen], high - 1)
+        n = np.maximum(back - np.maximum(self.fore[chosen], low) + 1, 0)
+        owner, back = np.repeat(chosen, n), np.repeat(back, n)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        return owner, self.back[owner] - step, self.begin[owner] + step
+        return owner, back - step, self.begin[owner] + self.back[owner] - back + step
 
-    def repeats(self) -> pa.RecordBatch:
-        """Most-significant-digit passes over the windows of the heads."""
+    def repeats(self) -> Iterator[pa.RecordBatch]:
+        """Most-significant-digit passes over the windows of the heads.  Windows that hold the
+        gram at different places never meet, so many windows are taken a few places at a time."""
         counts = np.bincount(self.group[self.head], minlength=int(self.group.max()) + 1 if len(self.group) else 0)
-        owner, offset, first = self.windows(np.flatnonzero(self.head & (counts[self.group] > 1)))
-        sums, inverse = prefix_hash(self.data)
+        chosen = np.flatnonzero(self.head & (counts[self.group] > 1))
+        hashes = prefix_hash(self.data)
+        places = max(1, WINDOWS // max(1, len(chosen)))
+        for low in range(0, WINDOW, places):
+            yield self._equal(*self.windows(chosen, low, low + places), *hashes)
+
+    def _equal(self, owner: np.ndarray, offset: np.ndarray, first: np.ndarray, sums: np.ndarray, inverse: np.ndarray) -> pa.RecordBatch:
         bucket = self.group[owner] * (WINDOW + 1) + offset
         alive = np.arange(len(owner))
         for depth in range(-1, WINDOW // DIGIT):
@@ -213,7 +229,7 @@ def _sort(group_limit: int):
             if rows.num_rows:
                 block = _Block(rows.combine_chunks())
                 yield block.settled()
-                yield block.repeats()
+                yield from block.repeats()
 
         def as_rows(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             block = _Block(rows)
@@ -221,6 +237,11 @@ def _sort(group_limit: int):
             yield block.rows()
 
         for batch in batches:
+            bare = batch.filter(pa.compute.is_null(batch.column("bytes")))
+            if bare.num_rows:
+                at = bare.column("at").to_numpy()
+                yield _found(bare.column("row").to_numpy(), (at >> 16) - (at >> 8 & 255), (at >> 16) - (at & 255) + WINDOW)
+                batch = batch.filter(pa.compute.is_valid(batch.column("bytes")))
             for k in range(0, batch.num_rows, at_once):
                 piece = batch.slice(k, at_once)
                 gram = piece.column(0).to_numpy()
