@@ -5,12 +5,14 @@ A-Z lowered.  Texts of the same set are one class from the start.  Classes that
 minima of a band meet in that band's bucket.
 
 Links are confirmed on full shingle sets, in two rounds, so that no bucket's pairs are written
-out.  The first pairs each class with one small class it meets most often; the components of
-the confirmed links label all buckets.  Only buckets that still hold several components go on:
-there all pairs across components are compared by signature, inside the tasks, in blocks of
-bounded size (a bucket of any size is cut into blocks, and every two blocks meet), and the pairs
-that the signatures leave possible are confirmed on full sets.  Components of all confirmed
-links, by alternating large-star and small-star, are the groups.
+out.  The first pairs each class with a few of the smallest classes of its buckets, those whose
+signatures agree most; the components of the confirmed links label all buckets.  Only buckets
+that still hold several components go on: there all pairs across components are compared by
+signature, inside the tasks, in blocks of bounded size (a bucket of any size is cut into blocks,
+and every two blocks meet).  Each pair is taken in the first band that both share.  What the
+signatures leave possible is confirmed on full sets: in large buckets on the spot, in small
+ones, whose pairs are few, after a join.  Components of all confirmed links, by alternating
+large-star and small-star, are the groups.
 
 A pair of similarity 0.75 shares no bucket with probability (1 - 0.75**6)**64 = 3.6e-6; a
 confirmed link is exact up to the collision of 64-bit shingle hashes.
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from bazaarlens.llm.components import connected_components
 from bazaarlens.llm.scratch import Scratch
@@ -36,9 +39,12 @@ from bazaarlens.llm.text import mix, shingle_sets
 from bazaarlens.llm.tokens import slices
 
 BANDS, ROWS, WORDS = 64, 6, 5
-#: Bucket members of a block; signature agreement from which a pair is confirmed on full sets
-#: (0.75 less seven standard deviations of 384 minima); ids that may be broadcast (bytes).
-BLOCK, POSSIBLE, BROADCAST = 512, 0.60, 32 << 20
+#: Bucket members of a block; members from which a bucket's pairs are confirmed where they meet;
+#: signature agreement from which a pair is confirmed on full sets (0.75 less five standard
+#: deviations of 384 minima); ids that may be broadcast (bytes).
+BLOCK, LARGE, POSSIBLE, BROADCAST = 512, 48, 0.64, 32 << 20
+#: Smallest classes of its buckets that a class is held against in the first round.
+CENTRES = 4
 _RNG = np.random.default_rng(977)
 _A = (_RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -64,7 +70,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(int(mix(own.sum(keepdims=True, dtype=np.uint64) + np.uint64(len(own))).view(np.int64)[0]) if len(own) else 0)
                 again.append(int(np.bitwise_xor.reduce(mix(own)).view(np.int64)) if len(own) else 0)
                 low = minima(own)
-                meet = mix((low.reshape(BANDS, ROWS).astype(np.uint64) * _C).sum(axis=1, dtype=np.uint64) + (band << np.uint64(40))).view(np.int64)
+                meet = mix((low.reshape(BANDS, ROWS).astype(np.uint64) * _C).sum(axis=1, dtype=np.uint64))
+                meet = ((meet & ~np.uint64(BANDS - 1)) | band).view(np.int64)  # a bucket's name ends in its band
                 bands.append(meet.tolist() if len(own) else [])
                 bytes_.append((low >> np.uint32(7)).astype(np.uint8).tobytes() if len(own) else b"")
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(again, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())],
@@ -74,27 +81,47 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SIGNED = "row long, n_shingles long, key1 long, key2 long, bands array<long>, signature binary"
 
 
+def _linked(one: np.ndarray, two: np.ndarray) -> bool:
+    """100 * intersection >= 75 * union, of sorted distinct hashes."""
+    both = np.sort(np.concatenate([one, two]))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= 75 * (len(both) - common)
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, i, j): pairs of different components that may be links.  In a
-    block pair i < j the members of block i meet those of block j; for i = j, one another."""
-    def pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows sorted by (bucket, i, j): pairs of different components that may be links, each in
+    the first band that both share.  In a block pair i < j the members of block i meet those of
+    block j; for i = j, one another.  Where the rows bring full sets, the pairs are confirmed
+    here (``sure``), and those that a link found here has connected are left out."""
+    def pairs(rows: pa.Table) -> tuple[list, list, bool]:
         sign = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-        node, comp, size, block = (rows[c].to_numpy() for c in ("node", "component", "n_shingles", "block"))
-        same = rows["i"][0].as_py() == rows["j"][0].as_py()
+        node, comp, size, block = (rows[c].to_numpy().copy() for c in ("node", "component", "n_shingles", "block"))
+        band, same = rows["band"][0].as_py(), rows["i"][0].as_py() == rows["j"][0].as_py()
+        sets = [np.frombuffer(x, np.int64) for x in rows["set"].to_pylist()] if rows["set"].null_count == 0 else None
+        one, two = [], []
         for k in range(len(node) - 1):
             rest = slice(k + 1, None)
             ok = (comp[rest] != comp[k]) & (4 * np.minimum(size[rest], size[k]) >= 3 * np.maximum(size[rest], size[k]))
             if not same:
                 ok &= block[rest] != block[k]
             at = np.flatnonzero(ok) + k + 1
-            if len(at):
-                at = at[(sign[at] == sign[k]).mean(axis=1) >= POSSIBLE]
-                if len(at):
-                    yield np.full(len(at), node[k]), node[at]
+            if not len(at):
+                continue
+            equal = sign[at] == sign[k]
+            at = at[(equal.mean(axis=1) >= POSSIBLE) & (equal.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band)]
+            for j in at.tolist():
+                if sets is not None:
+                    if comp[j] == comp[k] or not _linked(sets[k], sets[j]):
+                        continue
+                    comp[comp == comp[j]] = comp[k]
+                one.append(min(node[k], node[j]))
+                two.append(max(node[k], node[j]))
+        return one, two, sets is not None
 
     def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        for a, b in pairs(rows.combine_chunks()):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        one, two, sure = pairs(rows.combine_chunks())
+        if one:
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([sure] * len(one))], names=["a", "b", "sure"])
 
     waiting: list[pa.RecordBatch] = []
     key = None
@@ -113,15 +140,46 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(pa.Table.from_batches(waiting))
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, node) sorted so: those of buckets with several nodes, and the bucket's
+    first node.  A bucket may go on over batches; only its first row is kept in mind."""
+    bucket = least = None
+    told = True  # the bucket's first row has been given out
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        heads = np.flatnonzero(np.concatenate(([keys[0] != bucket], keys[1:] != keys[:-1])))
+        if len(heads) == 0 or heads[0] != 0:  # the first rows belong to the bucket before
+            first, start = np.concatenate(([least], nodes[heads])), np.concatenate(([0], heads))
+            goes_on = True
+        else:
+            first, start = nodes[heads], heads
+            goes_on = False
+        size = np.diff(np.append(start, len(keys)))
+        own = np.repeat(first, size)
+        several = np.repeat(size > 1, size)
+        if goes_on:
+            several[: size[0]] = True
+            if not told:
+                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([least]), pa.array([least])], names=["bucket", "node", "least"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[several]), pa.array(nodes[several]), pa.array(own[several])], names=["bucket", "node", "least"])
+        told = bool(several[-1])
+        bucket, least = int(keys[-1]), int(own[-1])
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, sign_a, sign_b): how far the signatures agree."""
+    for batch in batches:
+        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sign_a", "sign_b"))
+        agree = (one == two).mean(axis=1) if batch.num_rows else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agree)], names=["a", "b", "agree"])
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, set_a, set_b), the pairs with 100 * intersection >= 75 * union."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-            one, two = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-            both = np.sort(np.concatenate([one, two]))
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= 75 * (len(both) - common))
+        keep = [_linked(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)) for x, y in zip(batch.column("set_a"), batch.column("set_b"))]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -137,16 +195,21 @@ class _Texts:
     def __init__(self, texts: DataFrame, scratch: Scratch) -> None:
         self.texts, self.scratch = texts, scratch
 
-    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that are links.  Each set is made once, from its text."""
-        nodes = self.scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
+    def sets(self, nodes: DataFrame, name: str) -> DataFrame:
+        """node, set of the given nodes (column node), each made once, from its text."""
+        nodes = self.scratch.table(nodes.distinct(), f"{name}-nodes")
         few = nodes.count() * 16 <= BROADCAST
         chosen = self.texts.join(F.broadcast(nodes) if few else nodes, self.texts["row"] == nodes["node"]).select("node", "text")
         sets = self.scratch.table(chosen.mapInArrow(_sets, "node long, set binary"), f"{name}-sets")
+        self.scratch.drop(f"{name}-nodes")
+        return sets
+
+    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that are links."""
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), name)
         one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         two = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         links = self.scratch.table(two.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long"), f"{name}-links")
-        self.scratch.drop(f"{name}-nodes")
         self.scratch.drop(f"{name}-sets")
         return links
 
@@ -161,37 +224,53 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     signed = scratch.table(texts.mapInArrow(_sign, SIGNED), "signed")
     # One class per distinct set, named by its smallest row; a set is told by two 64-bit hashes and its size.
     key = ["key1", "key2", "n_shingles"]
-    shown = signed.filter("n_shingles > 0")
-    classes = scratch.table(shown.groupBy(*key).agg(F.min("row").alias("node")), "classes")
-    heads = shown.join(classes.select("node"), shown["row"] == F.col("node"), "left_semi").select(F.col("row").alias("node"), "n_shingles", "bands", "signature")
-    heads = scratch.table(heads, "heads")
-
-    entries = heads.select("node", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("members")).filter("members > 1")
-    members = scratch.table(entries.join(shared, "bucket"), "members")
-    often = members.filter("node > least").groupBy("node", "least").count()
-    chosen = often.groupBy("node").agg(F.max_by("least", F.struct("count", -F.col("least"))).alias("least"))
+    keys = scratch.table(signed.select("row", *key), "keys")
+    classes = scratch.table(keys.filter("n_shingles > 0").groupBy(*key).agg(F.min("row").alias("node")), "classes")
+    heads = signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
+    entries = heads.select(F.explode("bands").alias("bucket"), F.col("row").alias("node")).repartition("bucket").sortWithinPartitions("bucket", "node")
+    members = scratch.table(entries.mapInArrow(_met, "bucket long, node long, least long"), "members")
+    signs = signed.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "signature")
+    signs = scratch.table(signs, "signs")
+    scratch.drop("signed")
+    scratch.release()
+
+    named = lambda c: signs.select(F.col("node").alias(c), F.col("signature").alias(f"sign_{c}"))
+    centred = members.filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    agreeing = centred.join(named("a"), "a").join(named("b"), "b").mapInArrow(_agreeing, "a long, b long, agree double").filter(F.col("agree") >= POSSIBLE)
+    best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("agree"), "a"))
+    chosen = scratch.table(agreeing.withColumn("n", best).filter(F.col("n") <= CENTRES).select("a", "b"), "chosen")
     source = _Texts(texts, scratch)
-    first = source.confirmed(scratch.table(chosen.select(F.col("least").alias("a"), F.col("node").alias("b")), "chosen"), "first")
+    first = source.confirmed(chosen, "first")
     found = connected_components(first, scratch, "first-groups")
+    scratch.release()
 
-    labelled = members.join(found, "node", "left").select("bucket", "node", "members", F.coalesce("component", "node").alias("component"))
+    labelled = members.join(found, "node", "left").select("bucket", F.col("bucket").bitwiseAND(F.lit(BANDS - 1)).cast("int").alias("band"), "node", F.coalesce("component", "node").alias("component"))
     labelled = scratch.table(labelled, "labelled")
-    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low < high").select("bucket", "members")
     open_ = labelled.join(open_, "bucket")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     open_ = open_.withColumn("block", F.when(blocks > 1, F.pmod(F.xxhash64("node"), blocks)).otherwise(0).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    signs = heads.select("node", "n_shingles", "signature")
-    meeting = open_.join(signs, "node").select("bucket", "i", "j", "block", "node", "component", "n_shingles", "signature")
+    # Members of large buckets bring their sets along; pairs of the others go on as rows.
+    large = source.sets(open_.filter(F.col("members") > LARGE).select("node"), "large")
+    meeting = open_.join(signs, "node")
+    small = meeting.filter(F.col("members") <= LARGE).withColumn("set", F.lit(None).cast("binary"))
+    meeting = small.unionByName(meeting.filter(F.col("members") > LARGE).join(large, "node"))
+    meeting = meeting.select("bucket", "band", "i", "j", "block", "node", "component", "n_shingles", "signature", "set")
     meeting = meeting.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    rest = scratch.table(meeting.mapInArrow(_across, "a long, b long").distinct(), "rest")
-    second = source.confirmed(rest, "second")
+    rest = meeting.mapInArrow(_across, "a long, b long, sure boolean").distinct().join(chosen, ["a", "b"], "left_anti")
+    rest = scratch.table(rest, "rest")
+    scratch.drop("large-sets")
+    scratch.release()
+    second = source.confirmed(rest.filter("not sure").select("a", "b"), "second").unionByName(rest.filter("sure").select("a", "b"))
     found = scratch.table(connected_components(first.unionByName(second), scratch, "groups"), "found")
+    for name in ("members", "signs", "labelled", "chosen", "rest"):
+        scratch.drop(name)
+    scratch.release()
 
     # Back to rows: class of the set, component of the class, smallest id of the component.
     by_class = classes.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
-    placed = signed.select("row", *key).join(by_class, key, "left").join(ids, "row")
+    placed = keys.join(by_class, key, "left").join(ids, "row")
     alone = F.col("component").isNull()
     placed = scratch.table(placed.select("row", "id", "n_shingles", F.when(alone, -1 - F.col("row")).otherwise(F.col("component")).alias("group")), "placed")
     least = placed.groupBy("group").agg(F.min_by("id", F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("component"), F.min_by("row", F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("head"))
@@ -204,6 +283,8 @@ def digest(grouped: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, one of each group; those without words all stay."""
-    first = groups(docs, id_col, text_col).filter("first").select(F.col("row").alias("kept_row"))
-    marked = docs.select(F.monotonically_increasing_id().alias("kept_row"), *docs.columns)
-    return marked.join(first, "kept_row", "left_semi").select(*docs.columns)
+    gone = groups(docs, id_col, text_col).filter("not first").select(F.col("row").alias("__row"))
+    gone = Scratch(docs.sparkSession, "deduplicated").table(gone, "gone")
+    small = gone.count() * 16 <= BROADCAST
+    marked = docs.withColumn("__row", F.monotonically_increasing_id())
+    return marked.join(F.broadcast(gone) if small else gone, "__row", "left_anti").select(*docs.columns)

@@ -7,6 +7,7 @@ unset (tests on one machine) a local folder is made.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,3 +42,9 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished steps: it does so when the driver's
+        garbage collection finds that no plan needs them any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()

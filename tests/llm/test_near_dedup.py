@@ -54,9 +54,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 2])
-def test_groups_equal_brute_force(spark, tmp_path, corpus, monkeypatch, block):
+@pytest.mark.parametrize(("block", "large"), [(512, 48), (4, 100), (4, 1), (512, 2)])
+def test_groups_equal_brute_force(spark, tmp_path, corpus, monkeypatch, block, large):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "LARGE", large)
     spark.createDataFrame(corpus, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
     got = near_dedup.digest(near_dedup.groups(docs)).collect()
