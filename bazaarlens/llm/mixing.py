@@ -25,6 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 PHI = 0.6180339887498949  # fractional part of the golden ratio
 #: Slots that one window task ranks, and hash ranges into which a source's documents are dealt.
 RUN, RANGES = 1 << 16, 4096
+#: Bytes of what is taken that may be broadcast.
+BROADCAST = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -126,14 +128,17 @@ def digest(mixed: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = None, **options: object) -> DataFrame:
     """The mix as documents: each as often as it is taken whole, and once more with its first
     words where a round ends inside it.  A document of no words is not part of a mix."""
-    columns = docs.columns
-    mixed = mix(docs, text_col=text_col, keep=tuple(columns), **options).filter("taken > 0")
+    scratch = Scratch(docs.sparkSession, "mixed")
+    mixed = mix(docs, text_col=text_col, **options).filter("taken > 0")
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(None).cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    out = mixed.withColumn("first", F.explode(copies))
-    text = F.col(f"k_{text_col}")
-    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("first")), "")
-    value = {c: F.col(f"k_{c}") for c in columns} | {text_col: F.when(F.col("first").isNull(), text).otherwise(part)}
+    takes = scratch.table(mixed.select(F.col("row").alias("__row"), copies.alias("__takes")), "takes")
+    small = takes.agg(F.coalesce(F.sum(F.size("__takes") * 8 + 24), F.lit(0))).first()[0] <= BROADCAST
+    # Row numbers of the same files are the same again, so texts are joined where they are read.
+    out = docs.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(takes) if small else takes, "__row").withColumn("__first", F.explode("__takes"))
+    text, cut = F.col(text_col), F.col("__first").isNotNull()
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("__first")), "")
+    value = {c: F.col(c) for c in docs.columns} | {text_col: F.when(cut, part).otherwise(text)}
     if length_col:
-        value[length_col] = F.when(F.col("first").isNull(), F.col(f"k_{length_col}")).otherwise(F.length(part).cast(docs.schema[length_col].dataType))
-    return out.select(*[value[c].alias(c) for c in columns])
+        value[length_col] = F.when(cut, F.length(part).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+    return out.select(*[value[c].alias(c) for c in docs.columns])

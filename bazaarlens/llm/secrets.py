@@ -27,6 +27,8 @@ KINDS = (
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 LOOSE = ("owned", r"[A-Za-z0-9+/_-]{24,}", 0, 24)
+#: Bytes of spans that may be broadcast.
+BROADCAST = 32 << 20
 #: A value with one of these is a placeholder, whoever carries it.
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|your|placeholder|xxxx|0000|1234567|abcdef"
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
@@ -119,12 +121,13 @@ def masked(text: Column, spans: Column, label: str = "[secret]") -> Column:
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None, **options: object) -> DataFrame:
     """All documents, live-looking credentials masked in the text; ``length_col``, if given, is
     set to the new length of the texts that changed."""
-    columns = docs.columns
-    scanned = scan(docs, text_col=text_col, keep=tuple(columns), **options)
-    live = F.filter(F.col("spans"), lambda s: s["verdict"] == "live")
-    scanned = scanned.withColumn("live", live).withColumn("changed", F.coalesce(F.size("live") > 0, F.lit(False)))
-    text = F.when(F.col("changed"), masked(F.col(f"k_{text_col}"), F.col("live"))).otherwise(F.col(f"k_{text_col}"))
-    value = {c: F.col(f"k_{c}") for c in columns} | {text_col: text}
+    spans = scan(docs, text_col=text_col, **options).select(F.col("row").alias("__row"), F.filter("spans", lambda s: s["verdict"] == "live").alias("__live")).filter(F.size("__live") > 0)
+    spans = Scratch(docs.sparkSession, "redact").table(spans, "spans")
+    size = spans.agg(F.coalesce(F.sum(F.size("__live") * 200 + 24), F.lit(0))).first()[0]
+    # Row numbers of the same files are the same again; few texts have spans, and the others need not move.
+    marked = docs.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(spans) if size <= BROADCAST else spans, "__row", "left")
+    text = F.when(F.col("__live").isNotNull(), masked(F.col(text_col), F.col("__live"))).otherwise(F.col(text_col))
+    value = {c: F.col(c) for c in docs.columns} | {text_col: text}
     if length_col:
-        value[length_col] = F.when(F.col("changed"), F.length(text).cast(docs.schema[length_col].dataType)).otherwise(F.col(f"k_{length_col}"))
-    return scanned.select(*[value[c].alias(c) for c in columns])
+        value[length_col] = F.when(F.col("__live").isNotNull(), F.length(text).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+    return marked.select(*[value[c].alias(c) for c in docs.columns])
