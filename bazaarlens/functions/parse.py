@@ -27,8 +27,12 @@ def _holds(text: Column, words: Column) -> Column:
 def keyword(words: tuple[str, ...], names: dict[str, str] | None = None) -> Extractor:
     """The longest listed word that stands anywhere in the text, or what it is a name for."""
     names = names or {}
-    ordered = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(names.get(w, w)).alias("value")) for w in sorted([*words, *names], key=len, reverse=True)])
-    return lambda text: F.get(F.filter(ordered, lambda x: _holds(text, x["word"])), F.lit(0))["value"]
+
+    def extract(text: Column) -> Column:
+        ordered = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(names.get(w, w)).alias("value")) for w in sorted([*words, *names], key=len, reverse=True)])
+        return F.get(F.filter(ordered, lambda x: _holds(text, x["word"])), F.lit(0))["value"]
+
+    return extract
 
 
 def pattern(patterns: tuple[str, ...]) -> Extractor:

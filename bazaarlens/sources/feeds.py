@@ -9,6 +9,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window as W
 
 from bazaarlens import schema
@@ -63,7 +64,7 @@ def shopify(pages: DataFrame) -> DataFrame:
     return once(out.filter("store_product_id is not null and price > 0"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else html.unescape(x))
 
