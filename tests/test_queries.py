@@ -36,6 +36,10 @@ def plain(value):
     return value
 
 
+#: The smallest tables have no such rows; larger ones do.
+NONE_THIS_SMALL = {"pending_stores", "orphan_products", "rate_window"}
+
+
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
 def test_equals_sql(spark, duck, sf, name):
     df = runner(QUERIES[name])(spark, sf)
@@ -44,7 +48,7 @@ def test_equals_sql(spark, duck, sf, name):
     assert sorted(rel.columns) == columns
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     want = sorted((tuple(plain(dict(zip(rel.columns, r))[c]) for c in columns) for r in rel.fetchall()), key=repr)
-    assert got == want and got
+    assert got == want and (got or name in NONE_THIS_SMALL)
 
 
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if not q.sql])
