@@ -75,7 +75,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tupl
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (gram, row, at) of each text's anchors; ``at`` packs place, reach back and forward."""
     for batch in batches:
-        for part in slices(batch, 1, 2 << 20):
+        for part in slices(batch, 1):
             data, offsets = utf8(part.column(1))
             gram, place, first, last = anchors(data, offsets)
             doc = np.searchsorted(offsets, place, side="right") - 1
@@ -108,7 +108,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (row, id, text, anchors): the bytes around each anchor, and their fingerprint."""
     for batch in batches:
-        for part in slices(batch, 2, 2 << 20):
+        for part in slices(batch, 2):
             data, offsets = utf8(part.column(2))
             lists = part.column(3).combine_chunks() if isinstance(part.column(3), pa.ChunkedArray) else part.column(3)
             flat = lists.flatten()

@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are encoded at once, and words in each of the memo's two generations.
-SLICE_BYTES, MEMO_WORDS = 4 << 20, 600_000
+#: Bytes of text that are hashed at once (arrays of eight bytes a byte hang on each), that are
+#: encoded at once, and words in each of the memo's two generations.
+HASH_BYTES, SLICE_BYTES, MEMO_WORDS = 1 << 20, 4 << 20, 400_000
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, limit: int = HASH_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most ``limit`` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, start = np.cumsum(sizes), 0
@@ -42,6 +43,7 @@ def gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_
                 waiting, size = [], 0
     if waiting and (rows := pa.Table.from_batches(waiting).combine_chunks().to_batches()):
         yield rows[0]
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
