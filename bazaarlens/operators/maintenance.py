@@ -38,6 +38,26 @@ def repointed(rows: DataFrame, moved: DataFrame, unique_by: list[str] | None = N
     return out
 
 
+def backfilled(reparsed: DataFrame, alias_names: DataFrame) -> DataFrame:
+    """Products that parse (``parsed``), with category and attributes from it; a name all in
+    small letters gives way to the longest mixed-case name of the product's listings."""
+    mixed = alias_names.filter(F.col("name") != F.lower("name")).groupBy(F.col("product_id").alias("id")).agg(F.max_by("name", F.struct(F.length("name"), -F.col("alias_id"))).alias("better"))
+    out = reparsed.filter("parsed.category is not null").join(mixed, "id", "left")
+    plain = F.col("canonical_name") == F.lower("canonical_name")
+    return out.select("id", F.when(plain, F.coalesce("better", "canonical_name")).otherwise(F.col("canonical_name")).alias("canonical_name"), F.col("parsed.category").alias("match_category"), F.col("parsed.attributes").alias("match_attributes"))
+
+
+def cleanup(users: DataFrame, stores: DataFrame, listings: DataFrame, wishes: DataFrame, alerts: DataFrame, doomed_users: DataFrame) -> dict[str, DataFrame]:
+    """What goes with some users (column id): their shops, products that only these carry, how
+    many rows of others refer to them; and whether to refuse, as no administrator would stay."""
+    gone_stores = stores.join(doomed_users.select(F.col("id").alias("owner_user_id")), "owner_user_id", "left_semi").select("id")
+    theirs = listings.join(gone_stores.select(F.col("id").alias("store_id")), "store_id", "left_semi")
+    stranded = theirs.select("product_id").distinct().join(listings.join(gone_stores.select(F.col("id").alias("store_id")), "store_id", "left_anti").select("product_id"), "product_id", "left_anti")
+    referring = wishes.select("user_id", "product_id").unionByName(alerts.select("user_id", "product_id")).join(doomed_users.select(F.col("id").alias("user_id")), "user_id", "left_anti")
+    left = users.join(doomed_users.select("id"), "id", "left_anti").filter("role = 'admin'")
+    return {"stores": gone_stores, "products": stranded, "referring": referring.join(stranded, "product_id", "left_semi").agg(F.count("*").alias("n")), "refuse": left.agg((F.count("*") == 0).alias("refuse"))}
+
+
 def orphans(products: DataFrame, listings: DataFrame) -> DataFrame:
     return products.join(listings.select(F.col("product_id").alias("id")), "id", "left_anti")
 
