@@ -253,10 +253,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     # Members of large buckets bring their sets along; pairs of the others go on as rows.
     large = source.sets(open_.filter(F.col("members") > LARGE).select("node"), "large")
-    meeting = open_.join(signs, "node")
-    small = meeting.filter(F.col("members") <= LARGE).withColumn("set", F.lit(None).cast("binary"))
-    meeting = small.unionByName(meeting.filter(F.col("members") > LARGE).join(large, "node"))
-    meeting = meeting.select("bucket", "band", "i", "j", "block", "node", "component", "n_shingles", "signature", "set")
+    brought = F.when(F.col("members") > LARGE, F.col("set")).alias("set")
+    meeting = open_.join(signs.join(large, "node", "left"), "node").select("bucket", "band", "i", "j", "block", "node", "component", "n_shingles", "signature", brought)
     meeting = meeting.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     rest = meeting.mapInArrow(_across, "a long, b long, sure boolean").distinct().join(chosen, ["a", "b"], "left_anti")
     rest = scratch.table(rest, "rest")
