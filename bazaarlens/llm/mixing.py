@@ -3,7 +3,9 @@
 The mix is a sequence of slots of equal token counts.  Slot j looks up the golden-ratio point
 frac((j + 1/2) * phi) in the cumulative weights and so names its source; a source's slots are
 ranked, and the slot of rank r reads block r of the source's documents, shuffled by hash, laid
-end to end and cut into equal-token blocks; after the last block the source starts again.
+end to end and cut into equal-token blocks; after the last block the source starts again.  The
+sequence has slots for the total and a little more; a source whose share the points missed there
+(its target may be far under a block) gets the ranks up to its target all the same.
 
 Targets: sources in code-point order, nulls last, share all words by weights 1, 2, 3 repeating,
 none above ``most`` times its own words; what is cut off is shared again by weight.
@@ -91,8 +93,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     named = slot.withColumn("cell", F.floor(F.col("point") * cells)).join(grid, "cell").filter((F.col("point") >= F.col("from")) & (F.col("point") < F.col("upto")))
     named = named.select("nr", "slot", F.floor(F.col("slot") / RUN).alias("run"))
     runs = named.groupBy("nr", "run").agg(F.count("*").alias("n"))
-    runs = runs.select("nr", "run", (F.sum("n").over(W.partitionBy("nr").orderBy("run")) - F.col("n")).alias("ranked"))
-    ranked = named.join(runs, ["nr", "run"]).withColumn("rank", F.col("ranked") + F.row_number().over(W.partitionBy("nr", "run").orderBy("slot")) - 1)
+    runs = scratch.table(runs.select("nr", "run", "n", (F.sum("n").over(W.partitionBy("nr").orderBy("run")) - F.col("n")).alias("ranked")), "runs")
+    ranked = named.join(runs.drop("n"), ["nr", "run"]).select("nr", (F.col("ranked") + F.row_number().over(W.partitionBy("nr", "run").orderBy("slot")) - 1).alias("rank"))
+    # Points are even up to a few slots a source: the few ranks that a source still misses follow as later slots would bring them.
+    got = runs.groupBy("nr").agg(F.sum("n").alias("got"))
+    due = share.select("nr", F.ceil(F.col("goal") / block).alias("due")).join(got, "nr", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    ranked = ranked.unionByName(due.filter("got < due").select("nr", F.explode(F.sequence(F.col("got"), F.col("due") - 1)).alias("rank")))
     # A slot's words on the stream, folded into the source's one round of documents: one or more blocks' parts.
     reads = ranked.join(share.select("nr", "source", "source_size", "goal"), "nr").filter((F.col("rank") * block < F.col("goal")) & (F.col("source_size") > 0))
     reads = reads.select("source", "source_size", (F.col("rank") * block).alias("a"), F.least((F.col("rank") + 1) * block, F.col("goal")).alias("b"))

@@ -46,6 +46,16 @@ def test_targets_and_takes(spark, tmp_path, sizes):
     assert out == {k: v for k, v in taken.items() if v}
 
 
+@pytest.mark.parametrize("place", [0, 10, 20])
+def test_a_source_far_under_one_block_gets_its_target(spark, tmp_path, place):
+    names = [f"s{k:02}" for k in range(21)]
+    rows = [(k, " ".join(["w"] * (2 if k == place else 50_000)), s) for k, s in enumerate(names)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).write.parquet(str(tmp_path / "d"))
+    got = {r["id"]: r for r in mixing.mix(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert got[place]["target"] == 6.0
+    assert all(r["taken"] == int(r["target"]) for r in got.values())
+
+
 def test_edges(edge, empty):
     got = mixing.digest(mixing.mix(edge)).collect()
     assert len(got) == edge.count()
