@@ -9,7 +9,8 @@ out.  The first pairs each class with a few of the smallest classes of its bucke
 signatures agree most; the components of the confirmed links label all buckets.  Only buckets
 that still hold several components go on: there all pairs across components are compared by
 signature, inside the tasks, in blocks of bounded size (a bucket of any size is cut into blocks,
-and every two blocks meet).  Each pair is taken in the first band that both share.  What the
+and every two blocks meet).  Each pair is taken in the first band that both share, told by 32
+bits of each band's hash, as the signatures' bytes may agree where the minima do not.  What the
 signatures leave possible is confirmed on full sets: in large buckets on the spot, in small
 ones, whose pairs are few, after a join.  Components of all confirmed links, by alternating
 large-star and small-star, are the groups.
@@ -60,11 +61,11 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, n_shingles, two hashes of the whole set, band hashes, one byte of each minimum."""
+    """row, n_shingles, two hashes of the whole set, band hashes, 32 bits of each of them, one byte of each minimum."""
     band = np.arange(BANDS, dtype=np.uint64)
     for batch in batches:
         for part in slices(batch, 1):
-            sizes, keys, again, bands, bytes_ = [], [], [], [], []
+            sizes, keys, again, bands, meets, bytes_ = [], [], [], [], [], []
             for own in shingle_sets(part.column(1), WORDS):
                 sizes.append(len(own))
                 keys.append(int(mix(own.sum(keepdims=True, dtype=np.uint64) + np.uint64(len(own))).view(np.int64)[0]) if len(own) else 0)
@@ -73,12 +74,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 meet = mix((low.reshape(BANDS, ROWS).astype(np.uint64) * _C).sum(axis=1, dtype=np.uint64))
                 meet = ((meet & ~np.uint64(BANDS - 1)) | band).view(np.int64)  # a bucket's name ends in its band
                 bands.append(meet.tolist() if len(own) else [])
+                meets.append((meet >> np.int64(32)).astype(np.uint32).tobytes() if len(own) else b"")
                 bytes_.append((low >> np.uint32(7)).astype(np.uint8).tobytes() if len(own) else b"")
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(again, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())],
-                                             names=["row", "n_shingles", "key1", "key2", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(again, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(meets, pa.binary()), pa.array(bytes_, pa.binary())],
+                                             names=["row", "n_shingles", "key1", "key2", "bands", "meets", "signature"])
 
 
-SIGNED = "row long, n_shingles long, key1 long, key2 long, bands array<long>, signature binary"
+SIGNED = "row long, n_shingles long, key1 long, key2 long, bands array<long>, meets binary, signature binary"
 
 
 def _linked(one: np.ndarray, two: np.ndarray) -> bool:
@@ -95,6 +97,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     here (``sure``), and those that a link found here has connected are left out."""
     def pairs(rows: pa.Table) -> tuple[list, list, bool]:
         sign = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        meets = np.frombuffer(b"".join(rows["meets"].to_pylist()), np.uint32).reshape(rows.num_rows, BANDS)
         node, comp, size, block = (rows[c].to_numpy().copy() for c in ("node", "component", "n_shingles", "block"))
         band, same = rows["band"][0].as_py(), rows["i"][0].as_py() == rows["j"][0].as_py()
         sets = [np.frombuffer(x, np.int64) for x in rows["set"].to_pylist()] if rows["set"].null_count == 0 else None
@@ -107,8 +110,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(ok) + k + 1
             if not len(at):
                 continue
-            equal = sign[at] == sign[k]
-            at = at[(equal.mean(axis=1) >= POSSIBLE) & (equal.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band)]
+            at = at[((sign[at] == sign[k]).mean(axis=1) >= POSSIBLE) & ((meets[at] == meets[k]).argmax(axis=1) == band)]
             for j in at.tolist():
                 if sets is not None:
                     if comp[j] == comp[k] or not _linked(sets[k], sets[j]):
@@ -229,7 +231,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     heads = signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
     entries = heads.select(F.explode("bands").alias("bucket"), F.col("row").alias("node")).repartition("bucket").sortWithinPartitions("bucket", "node")
     members = scratch.table(entries.mapInArrow(_met, "bucket long, node long, least long"), "members")
-    signs = signed.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "signature")
+    signs = signed.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "meets", "signature")
     signs = scratch.table(signs, "signs")
     scratch.drop("signed")
     scratch.release()
@@ -254,7 +256,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     # Members of large buckets bring their sets along; pairs of the others go on as rows.
     large = source.sets(open_.filter(F.col("members") > LARGE).select("node"), "large")
     brought = F.when(F.col("members") > LARGE, F.col("set")).alias("set")
-    meeting = open_.join(signs.join(large, "node", "left"), "node").select("bucket", "band", "i", "j", "block", "node", "component", "n_shingles", "signature", brought)
+    meeting = open_.join(signs.join(large, "node", "left"), "node").select("bucket", "band", "i", "j", "block", "node", "component", "n_shingles", "meets", "signature", brought)
     meeting = meeting.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     rest = meeting.mapInArrow(_across, "a long, b long, sure boolean").distinct().join(chosen, ["a", "b"], "left_anti")
     rest = scratch.table(rest, "rest")

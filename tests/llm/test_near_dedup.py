@@ -66,6 +66,22 @@ def test_groups_equal_brute_force(spark, tmp_path, corpus, monkeypatch, block, l
     assert {r["doc_id"] for r in near_dedup.deduplicated(docs).collect()} == kept
 
 
+@pytest.mark.parametrize("large", [48, 1])
+def test_pairs_that_no_centre_links(spark, tmp_path, monkeypatch, large):
+    monkeypatch.setattr(near_dedup, "CENTRES", 0)  # all pairs are left to the second round
+    monkeypatch.setattr(near_dedup, "LARGE", large)
+    rng, rows = random.Random(5), []
+    for k in range(1500):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+        rows.append((2 * k, " ".join(base)))
+        for at in (20, 60, 100):
+            base[at] = "other"  # 101 of 131 shingles stay
+        rows.append((2 * k + 1, " ".join(base)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.digest(near_dedup.groups(spark.read.parquet(str(tmp_path / "d")))).collect()}
+    assert [k for k in range(3000) if got[k] != k - k % 2] == []
+
+
 def test_edges(edge, empty):
     got = near_dedup.digest(near_dedup.groups(edge)).collect()
     want = brute([(r["doc_id"], r["text"]) for r in edge.collect()])
