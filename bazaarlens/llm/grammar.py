@@ -141,10 +141,13 @@ def encode_shard(ids: list[np.ndarray], base: int, end_id: int) -> dict:
     """The stored columns of a shard but for document ids and place."""
     symbols, rules = compress(np.concatenate(ids), base, end_id)
     width = 2 if base + len(rules) <= 1 << 16 else 4
-    ends = np.flatnonzero(symbols == end_id) + 1
+    # The end id may stand inside a document too: a document ends where its tokens do.
+    lengths = np.append(rule_lengths(rules, base), 1)
+    reach = np.cumsum(lengths[np.where(symbols < base, -1, symbols.astype(np.int64) - base)])
+    ends = np.searchsorted(reach, np.cumsum([len(i) for i in ids])) + 1
     return {
         "base": base, "width": width, "n_tokens": int(sum(map(len, ids))), "doc_tokens": [len(i) for i in ids], "doc_symbols": np.diff(ends, prepend=0).tolist(),
-        "rules": rules.tobytes(), "rule_lengths": rule_lengths(rules, base).astype(np.uint32).tobytes(), "symbols": symbols.astype(np.uint16 if width == 2 else np.uint32).tobytes(),
+        "rules": rules.tobytes(), "rule_lengths": lengths[:-1].astype(np.uint32).tobytes(), "symbols": symbols.astype(np.uint16 if width == 2 else np.uint32).tobytes(),
     }
 
 

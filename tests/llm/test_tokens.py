@@ -48,6 +48,16 @@ def test_grammar_round_trip_and_random_access(docs, base):
     assert np.array_equal(grammar.read_tokens(shard, a, b), flat[a:b])
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 5), max_size=60), min_size=1, max_size=8), st.sampled_from([10, 70_000]))
+def test_grammar_reads_documents_that_hold_the_end_id(docs, base):
+    ids = [np.array([*d, 1], dtype=np.uint32) for d in docs]
+    shard = grammar.encode_shard(ids, base, 1)
+    assert len(shard["doc_symbols"]) == len(ids)
+    for k, own in enumerate(ids):
+        assert np.array_equal(grammar.read_document(shard, k), own)
+
+
 def test_grammar_finds_repeats():
     ids = np.array(([5, 6, 7, 8] * 500 + [1]) * 4, dtype=np.uint32)
     symbols, rules = grammar.compress(ids, 49408, 1)
