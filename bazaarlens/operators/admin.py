@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from bazaarlens.operators.activity import taps_by_store
 
@@ -75,7 +74,8 @@ def catalogue_health(listings: DataFrame, stores: DataFrame, now: Column, stale_
 def one_pending(jobs: DataFrame) -> DataFrame:
     """Of pending full runs one stays, a running one first, else the newest; the rest fail."""
     pending = jobs.filter("store_codes = '' and status in ('queued', 'running')")
-    return pending.withColumn("rn", F.row_number().over(W.orderBy((F.col("status") != "running"), F.desc("id")))).select("id", F.when(F.col("rn") == 1, F.col("status")).otherwise("failed").alias("status"))
+    stays = pending.agg(F.max_by("id", F.struct(F.col("status") == "running", F.col("id"))).alias("stays"))
+    return pending.join(F.broadcast(stays)).select("id", F.when(F.col("id") == F.col("stays"), F.col("status")).otherwise("failed").alias("status"))
 
 
 def due(jobs: DataFrame, now: Column, hours: int) -> DataFrame:

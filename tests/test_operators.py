@@ -200,3 +200,10 @@ def test_maintenance(spark, tmp_path):
     jobs = spark.createDataFrame([(1, "queued", "", NOW, None, None), (2, "running", "", NOW, ago(hours=2), None), (3, "queued", "a", ago(days=1), None, None)], "id long, status string, store_codes string, created_at timestamp, started_at timestamp, finished_at timestamp")
     assert {r["id"]: r["status"] for r in admin.one_pending(jobs).collect()} == {1: "failed", 2: "running"}
     assert admin.claimable(jobs, F.lit(NOW)).first()["id"] == 3 and admin.due(jobs, F.lit(NOW), 12).first()["due"] is False
+
+
+def test_one_pending_run_is_found_without_ordering_all(spark):
+    jobs = spark.createDataFrame([(1, "queued", ""), (3, "queued", ""), (2, "done", "")], "id long, status string, store_codes string")
+    left = admin.one_pending(jobs)
+    assert "Window" not in left._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["status"] for r in left.collect()} == {1: "failed", 3: "queued"}
