@@ -7,7 +7,8 @@ bitsets back gives how many remainders of each length go in.  The search ends as
 window can be filled to the last token, so a full pool costs a few shifts a window.
 
 Each input partition packs its own documents, in one pass and without a shuffle; the pool is
-bounded.  At a partition's end the last windows may be short: one with little slack is padded,
+bounded.  A window that the pool fills badly takes a part of a waiting remainder, whose rest goes
+on waiting.  At a partition's end the last windows may be short: one with little slack is padded,
 another is cut into sequences of power-of-two lengths, which need no padding.
 
 Defined results: a null or empty text has the end id only; repeated rows are packed each;
@@ -69,8 +70,7 @@ class Packer:
         for a in range(0, n - n % w, w):
             self._emit([(doc, a, ids[a : a + w], n)])
         if n % w:
-            self.pool[n % w].append((doc, n - n % w, ids[n - n % w :].copy(), n))
-            self.waiting += 1
+            self._put((doc, n - n % w, ids[n - n % w :].copy(), n))
             if self.waiting > POOL:
                 self.pack(LEFT)
 
@@ -81,11 +81,26 @@ class Packer:
             for length, n in fill({k: len(v) for k, v in self.pool.items()}, self.window - longest).items():
                 pieces += [self._take(length) for _ in range(n)]
             total = sum(len(p[2]) for p in pieces)
+            if left and self.window - total > SLACK:
+                if not self.pool:  # all that waits does not fill a window: it waits for more
+                    for piece in pieces:
+                        self._put(piece)
+                    return
+                # Any remainder that still waits is longer than the slack: the longest is cut to fill it.
+                doc, start, ids, n = self._take(max(self.pool))
+                room = self.window - total
+                pieces.append((doc, start, ids[:room], n))
+                self._put((doc, start + room, ids[room:], n))
+                total = self.window
             if left or self.window - total <= SLACK:
                 self._emit(pieces)
             else:
                 self._cut(pieces, total)
 
+    def _put(self, piece: tuple) -> None:
+        self.pool[len(piece[2])].append(piece)
+        self.waiting += 1
+
     def _take(self, length: int) -> tuple:
         piece = self.pool[length].pop()
         if not self.pool[length]:

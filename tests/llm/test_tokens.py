@@ -89,6 +89,20 @@ def test_fill_is_closest():
         assert sum(k * n for k, n in picked.items()) == best and all(n <= counts[k] for k, n in picked.items())
 
 
+@pytest.mark.parametrize("length", [1100, 700, 1])
+def test_equal_remainders_are_packed_with_little_padding(length):
+    packer = packing.Packer(2048, 0)
+    for doc in range(6000):
+        packer.add(doc, np.arange(length, dtype=np.uint32) + np.uint32(doc))
+    packer.pack(0)
+    sizes, found = {}, {}
+    for doc, start, n, _, sequence, _, ids in packer.take_rows():
+        sizes[sequence] = sizes.get(sequence, 0) + n
+        found.setdefault(doc, []).append((start, ids))
+    assert sum(0 if n & (n - 1) == 0 else 2048 - n for n in sizes.values()) <= 0.02 * 6000 * length and max(sizes.values()) <= 2048
+    assert all(b"".join(ids for _, ids in sorted(found[d])) == (np.arange(length, dtype=np.uint32) + np.uint32(d)).tobytes() for d in range(6000))
+
+
 def test_packing_holds_every_id_once(edge, empty, whole):
     got = packing.pack(edge, PATH, window=256).collect()
     sizes, place = {}, {}
