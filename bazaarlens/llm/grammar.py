@@ -28,18 +28,20 @@ from pyspark.sql.window import Window as W
 from bazaarlens.llm.scratch import Scratch
 from bazaarlens.llm.tokens import gather, gathered, tokenizer
 
-#: Tokens after which a shard is closed; how often a pair must occur; rules a round may make; rounds.
-SHARD_TOKENS, LEAST, PER_ROUND, ROUNDS = 1 << 18, 8, 2048, 6
+#: Tokens after which a shard is closed; how often a pair must occur; rules a round may make.
+SHARD_TOKENS, LEAST, PER_ROUND = 1 << 18, 8, 2048
 
 
-def compress(ids: np.ndarray, base: int, end_id: int, least: int = LEAST, per_round: int = PER_ROUND, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules (n x 2) of a shard; symbol base + i stands for rule i."""
+def compress(ids: np.ndarray, base: int, end_id: int, least: int = LEAST, per_round: int = PER_ROUND) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and rules (n x 2) of a shard; symbol base + i stands for rule i.  Rules beyond 16
+    bits are made too, and kept if the shard is smaller with them although its symbols are wider."""
     symbols, rules = ids.astype(np.uint32, copy=True), np.zeros((0, 2), dtype=np.uint32)
     narrow = base < 1 << 16  # while all symbols have 16 bits, a pair has 32
-    for _ in range(rounds):
+    short = None
+    while len(symbols) > 1:
+        if narrow and base + len(rules) == 1 << 16:
+            short, narrow = (symbols.copy(), rules), False
         limit = min(per_round, (1 << 16) - base - len(rules)) if narrow else per_round
-        if len(symbols) < 2 or limit <= 0:
-            break
         a, b = symbols[:-1], symbols[1:]
         keys = (a << np.uint32(16) | b) if narrow else (a.astype(np.uint64) << np.uint64(32) | b)
         free = (a != end_id) & (b != end_id)
@@ -72,6 +74,8 @@ def compress(ids: np.ndarray, base: int, end_id: int, least: int = LEAST, per_ro
         keep = np.ones(len(symbols), dtype=bool)
         keep[hit + 1] = False
         symbols, rules = symbols[keep], np.concatenate([rules, pair])
+    if short and 2 * len(short[0]) + 12 * len(short[1]) <= 4 * len(symbols) + 12 * len(rules):
+        return short
     return symbols, rules
 
 

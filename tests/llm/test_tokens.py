@@ -65,6 +65,17 @@ def test_grammar_finds_repeats():
     assert grammar.rule_lengths(rules, 49408).max() >= 8
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    ids = np.concatenate([np.append(np.arange(2, 402), 1)] * 300).astype(np.uint32)
+    for base in (49408, (1 << 16) - 50):  # the second needs rules beyond 16 bits
+        symbols, rules = grammar.compress(ids, base, 1)
+        assert len(symbols) == 2 * 300 and grammar.rule_lengths(rules, base).max() == 400  # one rule and the end id a copy
+        assert np.array_equal(grammar.expand(symbols, rules, base), ids)
+    noise = np.random.default_rng(2).integers(2, 200, 1 << 17).astype(np.uint32)
+    symbols, rules = grammar.compress(noise, (1 << 16) - 50, 1)  # wider symbols would cost more than rules save
+    assert len(rules) == 50 and np.array_equal(grammar.expand(symbols, rules, (1 << 16) - 50), noise)
+
+
 def test_shards_of_edge_texts(spark, edge, empty, whole):
     got = grammar.digest(grammar.read_shards(grammar.write_shards(edge, PATH, Scratch(spark, "t"), shard_tokens=500))).collect()
     rows = sorted(edge.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
