@@ -60,4 +60,10 @@ def seeded_shuffle(rows: DataFrame, seed: int, id_col: str = "product_id") -> Da
     """``place`` within each category: with a picture first, otherwise by a hash of seed,
     category and id; the same seed gives the same order."""
     key = F.xxhash64(F.lit(seed), F.col("match_category"), F.col(id_col))
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("match_category").orderBy(F.col("image_url").isNull(), key, id_col)))
+    # Two-level ranks over ranges of the hash, so no task orders a whole category.
+    rows = rows.withColumn("__key", key).withColumn("__part", F.shiftright("__key", 56) + F.when(F.col("image_url").isNull(), 256).otherwise(0))
+    sizes = rows.groupBy(F.col("match_category").alias("__category"), F.col("__part").alias("__range")).agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(W.partitionBy("__category").orderBy("__range")) - F.col("__n")).drop("__n")
+    placed = rows.join(before, F.col("match_category").eqNullSafe(F.col("__category")) & (F.col("__part") == F.col("__range")))
+    rank = F.row_number().over(W.partitionBy("match_category", "__part").orderBy("__key", id_col))
+    return placed.withColumn("place", (F.col("__before") + rank).cast("int")).drop("__key", "__part", "__category", "__range", "__before")

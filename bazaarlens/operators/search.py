@@ -26,8 +26,8 @@ def scored(pairs: DataFrame) -> DataFrame:
     """Candidates with their match, the excluded left out.  A query that no candidate answers
     keeps all of its candidates, unscored, as similar."""
     out = pairs.withColumn("match", score_match(F.col("q"), F.col("c")))
-    usable = F.max((F.col("match.tier") != "excluded").cast("int")).over(W.partitionBy("query_id"))
-    out = out.withColumn("usable", usable)
+    usable = out.groupBy(F.col("query_id").alias("of_query")).agg(F.max((F.col("match.tier") != "excluded").cast("int")).alias("usable"))
+    out = out.join(F.broadcast(usable), F.col("query_id").eqNullSafe(F.col("of_query"))).drop("of_query")
     kept = out.filter((F.col("match.tier") != "excluded") | (F.col("usable") == 0))
     return kept.withColumn("tier", F.when(F.col("usable") == 0, "similar").otherwise(F.col("match.tier"))).withColumn("score", F.col("match.score")).drop("usable")
 

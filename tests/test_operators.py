@@ -8,6 +8,7 @@ from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from bazaarlens.functions.parse import with_parsed
 from bazaarlens.operators import activity, admin, alerts, catalogue, maintenance, offers, resolve, search
@@ -207,3 +208,16 @@ def test_one_pending_run_is_found_without_ordering_all(spark):
     left = admin.one_pending(jobs)
     assert "Window" not in left._jdf.queryExecution().executedPlan().toString()
     assert {r["id"]: r["status"] for r in left.collect()} == {1: "failed", 3: "queued"}
+
+
+def test_no_window_over_a_whole_query_or_category(spark):
+    rows = spark.range(3000).select(F.col("id").alias("product_id"), F.when(F.col("id") % 7 > 0, "phones").alias("match_category"), F.when(F.col("id") % 3 > 0, "u").alias("image_url"))
+    shuffled = catalogue.seeded_shuffle(rows, 3)
+    key = F.xxhash64(F.lit(3), "match_category", "product_id")
+    want = rows.withColumn("place", F.row_number().over(W.partitionBy("match_category").orderBy(F.col("image_url").isNull(), key, "product_id")))
+    assert shuffled.columns == want.columns and sorted(map(str, shuffled.collect())) == sorted(map(str, want.collect()))
+    ranks = [x for x in shuffled._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in x]
+    assert ranks and all("__part" in x.split("row_number()")[1] for x in ranks)
+    shop = with_parsed(spark.createDataFrame([(1, "Apple iPhone 11 Pro 128GB Black")], "product_id long, canonical_name string"), "canonical_name", "c")
+    asked = with_parsed(spark.createDataFrame([(1, "iPhone 11 Pro")], "query_id long, t string"), "t", "q", evidence=False, defaults=False)
+    assert "Window" not in search.scored(search.candidates(asked, shop))._jdf.queryExecution().optimizedPlan().toString()
