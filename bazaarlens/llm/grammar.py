@@ -11,7 +11,8 @@ Shards are rows of a Parquet table in the shared folder (one row a shard, writte
 own committer, so a lost executor's attempt leaves nothing behind), in ascending id order.
 
 Defined results: a null or empty text is its end id alone; null ids come first; rows that share
-an id are ordered by text; an empty table gives no rows; only the named columns are read.
+an id are ordered by a hash of their texts; an empty table gives no rows; only the named columns
+are read.
 """
 
 from __future__ import annotations
@@ -34,51 +35,76 @@ SHARD_TOKENS, LEAST, PER_ROUND = 1 << 18, 8, 2048
 
 def compress(ids: np.ndarray, base: int, end_id: int, least: int = LEAST, per_round: int = PER_ROUND) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (n x 2) of a shard; symbol base + i stands for rule i.  Rules beyond 16
-    bits are made too, and kept if the shard is smaller with them although its symbols are wider."""
+    bits are made too, and kept if the shard is smaller with them although its symbols are wider.
+
+    Replacing pairs only takes occurrences from other pairs, and the pairs it makes hold a new
+    symbol.  So after the first round only places count whose pair was frequent before or whose
+    neighbour is new: a pair is frequent exactly if it is frequent among these."""
     symbols, rules = ids.astype(np.uint32, copy=True), np.zeros((0, 2), dtype=np.uint32)
     narrow = base < 1 << 16  # while all symbols have 16 bits, a pair has 32
     short = None
-    while len(symbols) > 1:
+    live = np.flatnonzero((symbols[:-1] != end_id) & (symbols[1:] != end_id))  # places of the pairs that count
+    while len(live):
         if narrow and base + len(rules) == 1 << 16:
             short, narrow = (symbols.copy(), rules), False
         limit = min(per_round, (1 << 16) - base - len(rules)) if narrow else per_round
-        a, b = symbols[:-1], symbols[1:]
+        a, b = symbols[live], symbols[live + 1]
         keys = (a << np.uint32(16) | b) if narrow else (a.astype(np.uint64) << np.uint64(32) | b)
-        free = (a != end_id) & (b != end_id)
-        ordered = np.sort(keys[free])
-        heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+        ordered = np.sort(keys)
+        heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(heads, len(ordered)))
         often = np.flatnonzero(counts >= least)
         if len(often) == 0:
             break
-        often = often[np.argsort(-counts[often], kind="stable")[:limit]]
-        chosen = ordered[heads[often]]
-        # A table from 18 bits of a pair's hash to its rule; of pairs that meet there the most frequent stays.
-        table = np.full(1 << 18, -1, dtype=np.int32)
-        table[_bits(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
-        left = table[_bits(chosen)] == np.arange(len(chosen))
-        renamed = np.append(np.cumsum(left, dtype=np.int32) - 1, np.int32(-1))
-        chosen, table = chosen[left], renamed[table]
-        slot = table[_bits(keys)]
-        hit = np.flatnonzero(slot >= 0)
-        slot = slot[hit]
-        same = (chosen[slot] == keys[hit]) & free[hit]
-        hit, slot = hit[same], slot[same]
+        frequent = ordered[heads[often]]  # sorted
+        rank = np.full(len(often), -1, dtype=np.int32)
+        best = np.argsort(-counts[often], kind="stable")[:limit]
+        rank[best] = np.arange(len(best), dtype=np.int32)
+        slot = _places(frequent, keys)
+        stays = slot >= 0
+        live, slot = live[stays], rank[slot[stays]]
+        hit = live[slot >= 0]
+        slot = slot[slot >= 0]
         # Of hits one after the other, every second one: their pairs do not overlap.
         run = np.flatnonzero(np.concatenate(([True], hit[1:] != hit[:-1] + 1)))
         first = np.repeat(hit[run], np.diff(np.append(run, len(hit))))
         even = (hit - first) % 2 == 0
         hit, slot = hit[even], slot[even]
-        pair = np.stack([chosen >> np.array(16 if narrow else 32, chosen.dtype), chosen & np.array(0xFFFF if narrow else 0xFFFFFFFF, chosen.dtype)], axis=1).astype(np.uint32)
+        chosen = frequent[best]
+        shift, mask = np.array(16 if narrow else 32, chosen.dtype), np.array(0xFFFF if narrow else 0xFFFFFFFF, chosen.dtype)
         symbols[hit] = (base + len(rules) + slot).astype(np.uint32)
-        keep = np.ones(len(symbols), dtype=bool)
+        rules = np.concatenate([rules, np.stack([chosen >> shift, chosen & mask], axis=1).astype(np.uint32)])
+        # What is left counts on, and so do the places before and at a new symbol.
+        counts_on, keep = np.zeros(len(symbols), dtype=bool), np.ones(len(symbols), dtype=bool)
+        counts_on[live] = counts_on[hit] = True
         keep[hit + 1] = False
-        symbols, rules = symbols[keep], np.concatenate([rules, pair])
+        symbols, counts_on = symbols[keep], counts_on[keep]
+        new = np.flatnonzero(symbols >= base + len(rules) - len(chosen))
+        counts_on[new[new > 0] - 1] = True
+        counts_on &= symbols != end_id
+        live = np.flatnonzero(counts_on[:-1] & (symbols[1:] != end_id))
     if short and 2 * len(short[0]) + 12 * len(short[1]) <= 4 * len(symbols) + 12 * len(rules):
         return short
     return symbols, rules
 
 
+def _places(frequent: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Index of each key among the sorted ``frequent``, -1 if it is not there.  A table of 18
+    bits of the keys' hashes answers most; only keys that share an entry are searched for."""
+    table = np.full(1 << 18, -1, dtype=np.int32)
+    bits = _bits(frequent)
+    table[bits] = np.arange(len(frequent), dtype=np.int32)
+    shared = np.flatnonzero(table[bits] != np.arange(len(frequent)))
+    out = table[_bits(keys)]
+    at = np.flatnonzero(out >= 0)
+    wrong = at[frequent[out[at]] != keys[at]]
+    out[wrong] = -1
+    if len(shared) and len(wrong):
+        found = np.minimum(np.searchsorted(frequent, keys[wrong]), len(frequent) - 1)
+        out[wrong] = np.where(frequent[found] == keys[wrong], found, -1)
+    return out
+
+
 def _bits(keys: np.ndarray) -> np.ndarray:
     """18 well-mixed bits of each key."""
     if keys.dtype == np.uint32:
@@ -187,7 +213,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, scratch: Scratch, id_col:
         if ids:
             yield close()
 
-    ordered = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).repartitionByRange(id_col).sortWithinPartitions(id_col, "text")
+    # Rows of one id are dealt on by text and place, so that no task holds all rows of a common id or of none.
+    text = F.col(text_col).cast("string")
+    ordered = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("print"), F.monotonically_increasing_id().alias("row"))
+    ordered = ordered.repartitionByRange("id", "print", "row").sortWithinPartitions("id", "print", "row").select("id", "text")
     return scratch.table(ordered.mapInArrow(batches, schema), "shards")
 
 

@@ -34,6 +34,29 @@ def test_words_give_the_ids_of_whole_texts(texts):
         assert ids[offsets[k] : offsets[k + 1]].tolist() == [*WORDS.library.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+#: Letters that normalising turns into a letter and a mark, in plain words of their languages.
+COMPOSED = "\u0958\u0959\u095a\u095b\u095c\u095d\u095e\u095f\u09dc\u09dd\u09df\u0a33\u0a36\u0a59\u0a5a\u0a5b\u0a5e\u0b5c\u0b5d"
+MARKED = "\u0130\u01f0\u0390\u0301\u0323\u200d"
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=COMPOSED + MARKED + "\u0915\u093e\u0995\u0a15\u0b15\u1100\u1161aB1 .,'\"#<|>_-", max_size=40), max_size=5))
+def test_words_of_scripts_with_composed_letters(texts):
+    ids, offsets = WORDS.encode(pa.array(texts, pa.string()))
+    for k, text in enumerate(texts):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == [*WORDS.library.encode(text, add_special_tokens=False).ids, 1]
+
+
+@pytest.mark.parametrize("tail", [".", ",", "'", '"', "s'##."])
+def test_every_code_point_before_punctuation(tail):
+    chars = [chr(c) for c in range(0x20, 0x11000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(chars), 4096):
+        texts = [f"a{c}{tail} {c}{tail}" for c in chars[at : at + 4096]]
+        ids, offsets = WORDS.encode(pa.array(texts))
+        want = WORDS.library.encode_batch(texts, add_special_tokens=False)
+        assert [t for k, t in enumerate(texts) if ids[offsets[k] : offsets[k + 1]].tolist() != [*want[k].ids, 1]] == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(2, 9), max_size=60), min_size=1, max_size=8), st.sampled_from([10, 70_000]))
 def test_grammar_round_trip_and_random_access(docs, base):
@@ -76,6 +99,21 @@ def test_grammar_goes_on_until_no_pair_is_frequent():
     assert len(rules) == 50 and np.array_equal(grammar.expand(symbols, rules, (1 << 16) - 50), noise)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 6), max_size=200), min_size=1, max_size=6), st.sampled_from([10, (1 << 16) - 3, 70_000]), st.integers(1, 4))
+def test_grammar_leaves_no_frequent_pair(docs, base, per_round):
+    ids = np.concatenate([np.array([*d, 1], dtype=np.uint32) for d in docs])
+    symbols, rules = grammar.compress(ids, base, 1, per_round=per_round)
+    assert np.array_equal(grammar.expand(symbols, rules, base), ids)
+    if base == (1 << 16) - 3 and len(rules) == 3:
+        return  # more rules would have cost more than they save
+    found, last = {}, {}
+    for k, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist())):
+        if 1 not in pair and last.get(pair) != k - 1:  # occurrences that do not overlap
+            found[pair], last[pair] = found.get(pair, 0) + 1, k
+    assert max(found.values(), default=0) < grammar.LEAST
+
+
 def test_shards_of_edge_texts(spark, edge, empty, whole):
     got = grammar.digest(grammar.read_shards(grammar.write_shards(edge, PATH, Scratch(spark, "t"), shard_tokens=500))).collect()
     rows = sorted(edge.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
