@@ -1,9 +1,10 @@
 """Quality rules by repetition coverage.
 
-Rolling hashes of word n-grams of several lengths, in numpy over whole Arrow batches, mark
-the n-grams that occur twice or more in a text; the share of the text's word characters inside
-marked n-grams, and inside lines that repeat an earlier line, is held against a limit for each
-length.  Longer n-grams have lower limits, as chance repeats of them are rarer.
+Rolling hashes of word n-grams of several lengths, in numpy over slices of Arrow batches (1 MB of
+text or one row, so memory does not grow with a batch of long texts), mark the n-grams that occur
+twice or more in a text; the share of the text's word characters inside marked n-grams, and inside
+lines that repeat an earlier line, is held against a limit for each length.  Longer n-grams have
+lower limits, as chance repeats of them are rarer.
 
 Defined results: a null or empty text has zero counts and fails (it has under 50 words); equal
 lines are those with equal code points between newlines; repeated rows give equal results; an
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.text import prefix_hash, utf8, window_hashes, word_hashes, mix
+from bazaarlens.llm.text import mix, prefix_hash, utf8, window_hashes, word_hashes
+from bazaarlens.llm.tokens import slices
 
 #: n-gram length in words: largest share of word characters in repeated n-grams that passes.
 LIMITS = {5: 0.30, 6: 0.28, 8: 0.24, 10: 0.20}
@@ -97,8 +99,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
 
     def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in range(0, batch.num_rows, 2000):
-                piece = batch.slice(part, 2000)
+            for piece in slices(batch, 1):
                 *columns, grams = measure(piece.column(1), lengths)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(grams.ravel()), len(lengths)).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, columns), flat], names=["id", *NAMES])

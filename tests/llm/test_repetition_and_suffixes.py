@@ -5,9 +5,11 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from bazaarlens.llm import repetition, suffix_dedup
+from bazaarlens.llm.tokens import slices
 
 
 def counts(text):
@@ -43,6 +45,52 @@ def test_counts_and_verdicts(spark, edge, empty):
     assert repetition.score(empty).count() == 0
 
 
+def coverage(text, lengths):
+    """Shares of word characters in lines that repeat and in n-word windows that repeat."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    whole, lines, dup = max(1, sum(map(len, words))), set(), 0
+    for line in (text or "").split("\n"):
+        dup += sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", line))) if line in lines else 0
+        lines.add(line)
+    grams = []
+    for n in lengths:
+        windows = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+        seen, inside = collections.Counter(windows), set()
+        for k, w in enumerate(windows):
+            if seen[w] > 1:
+                inside |= set(range(k, k + n))
+        grams.append(sum(len(words[k]) for k in inside) / whole)
+    return dup / whole, grams
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_coverage_and_verdict_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcé#") for _ in range(rng.randint(1, 5)))
+    texts = [None, "", "\n\n", " \n a"]
+    for _ in range(60):
+        lines = [" ".join(word() for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 12))]
+        lines += [rng.choice(lines) + rng.choice(["", "", " "]) for _ in range(rng.randint(0, 6))]
+        rng.shuffle(lines)
+        texts.append(rng.choice(["\n", "\n\n", " ", "\r\n"]).join(lines))
+    *counts_, line, grams = repetition.measure(pa.array(texts))
+    got = {r["doc_id"]: r for r in repetition.digest(repetition.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()} if seed == 0 else {}
+    for k, text in enumerate(texts):
+        assert tuple(int(c[k]) for c in counts_) == counts(text)
+        want_line, want_grams = coverage(text, repetition.LIMITS)
+        assert line[k] == pytest.approx(want_line) and grams[k].tolist() == pytest.approx(want_grams)
+        if got:
+            n_words, *_, repeat = counts(text)
+            failed = n_words < 50 or 100 * repeat > 50 * n_words
+            over = want_line > repetition.LINE_LIMIT or any(g > most for g, most in zip(want_grams, repetition.LIMITS.values()))
+            assert got[k]["kept"] == (not failed and not over)
+
+
+def test_memory_goes_by_bytes_not_rows():
+    texts = pa.array(["word " * 20_000 + str(k) for k in range(40)])
+    assert max(part.column(0).nbytes for part in slices(pa.RecordBatch.from_arrays([texts], names=["t"]), 0)) <= 1 << 20
+
+
 def brute(rows):
     seen, out = set(), []
     for d, text in rows:
