@@ -9,15 +9,21 @@ The windows that share one gram at one place of a text travel as one *anchor* ro
 for each 45 bytes, so no window is ever a row by itself.  A shuffle groups anchors by gram and
 drops grams that occur once.  The anchors left fetch their bytes, meet again by gram, and the
 tasks sort their windows by further digits, each a 64-bit fingerprint of 25 bytes, dropping
-windows that stand alone after each pass.  Anchors with equal contexts are settled at once.  A
-gram with more than ``GROUP`` different contexts is not held in memory: its windows go on as
-rows and Spark groups them, with combining aggregates.
+windows that stand alone after each pass.  Anchors with equal contexts are settled at once.
 
-Order: by id (nulls first), then row of the read, then start.  Results are exact up to the
-collision of 64-bit fingerprints.
+A gram that more than ``COMMON`` anchors hold (the first shuffle tells them, as it counts) is dealt
+over as many tasks as it fills; its windows go on as rows and Spark groups them, with combining
+aggregates.  So do the windows of any gram with more than ``GROUP`` anchors that is not among the
+``MOST`` largest ones, which alone are broadcast.
+
+Texts are written once, in buckets of their row numbers, and never move again: the anchors of a
+text and the runs to remove are shuffled to them.  Both are gathered by text, as the text itself is.
+
+Order: by id (nulls first), then row, then start.  Results are exact up to the collision of 64-bit
+fingerprints.
 
 Defined results: a null text is empty; texts shorter than the window lose nothing; rows that
-share an id are ordered as read; an empty table gives no rows; only the named columns are read.
+share an id are ordered by their row numbers, which are written once; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -35,8 +41,10 @@ from bazaarlens.llm.text import mix, prefix_hash, utf8
 from bazaarlens.llm.tokens import slices
 
 WINDOW, GRAM, DIGIT = 100, 16, 25
-#: Contexts of one gram that a task holds; anchors and windows sorted at once; bytes of spans that may be broadcast.
-GROUP, AT_ONCE, WINDOWS, BROADCAST = 100_000, 4096, 400_000, 32 << 20
+#: Anchors of one gram that a task holds; anchors and windows sorted at once.
+GROUP, AT_ONCE, WINDOWS = 100_000, 4096, 400_000
+#: Anchors of one gram that go to one task, and the grams of more that are dealt out, the largest first.
+COMMON, MOST = 1 << 14, 100_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -84,25 +92,37 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(row), pa.array(at)], names=["gram", "row", "at"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by gram, those whose gram the row before or after has, too."""
-    held: pa.RecordBatch | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        gram = table.column(0).to_numpy()
-        # The last gram's rows may go on; one of them waits, and a second one is enough to know.
-        same = gram[1:] == gram[:-1]
-        keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        if held is not None and table.column("known")[0].as_py():
-            keep[0] = True
-        known = bool(keep[-1])
-        out = table.slice(0, len(gram) - 1).filter(pa.array(keep[:-1]))
-        held = pa.RecordBatch.from_arrays([*table.slice(len(gram) - 1).columns[:3], pa.array([known])], schema=batch.schema)
-        yield out.select(["gram", "row", "at"])
-    if held is not None and held.column("known")[0].as_py():
-        yield held.select(["gram", "row", "at"])
+def _shared(common: int):
+    """Of rows sorted by gram, those whose gram the row before or after has, too.  A gram of more
+    than ``common`` rows is counted: a row with the count for its row and no place follows it."""
+    names = ["gram", "row", "at"]
+
+    def counted(grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        many = counts > common
+        return pa.RecordBatch.from_arrays([pa.array(grams[many]), pa.array(counts[many], pa.int64()), pa.nulls(int(many.sum()), pa.int64())], names=names)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        n = 0  # rows so far of the gram of the row that waits, itself included
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            gram = table.column(0).to_numpy()
+            heads = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+            sizes = np.diff(np.append(heads, len(gram)))
+            counts = sizes.copy()
+            counts[0] += max(0, n - 1)  # rows of the first gram that have gone on before
+            # The last gram's rows may go on: one of them waits.
+            keep = np.repeat(counts > 1, sizes)
+            yield table.slice(0, len(gram) - 1).filter(pa.array(keep[:-1]))
+            yield counted(gram[heads[:-1]], counts[:-1])
+            held, n = table.slice(len(gram) - 1), int(counts[-1])
+        if held is not None and n > 1:
+            yield held
+            yield counted(held.column(0).to_numpy(), np.array([n]))
+
+    return shared
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +262,10 @@ def _sort(group_limit: int):
                 at = bare.column("at").to_numpy()
                 yield _found(bare.column("row").to_numpy(), (at >> 16) - (at >> 8 & 255), (at >> 16) - (at & 255) + WINDOW)
                 batch = batch.filter(pa.compute.is_valid(batch.column("bytes")))
+            dealt = batch.filter(batch.column("common"))  # grams of which other tasks hold more
+            for k in range(0, dealt.num_rows, at_once):
+                yield from as_rows(pa.Table.from_batches([dealt.slice(k, at_once)]))
+            batch = batch.filter(pa.compute.invert(batch.column("common")))
             for k in range(0, batch.num_rows, at_once):
                 piece = batch.slice(k, at_once)
                 gram = piece.column(0).to_numpy()
@@ -273,22 +297,39 @@ def _sort(group_limit: int):
     return sort
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP, common: int = COMMON) -> DataFrame:
     """``row, spans``: for each text with repeats the maximal runs of bytes to remove, as
-    structs of start and stop.  ``row`` is monotonically_increasing_id of the read."""
+    structs of start and stop."""
+    return _spans(*_texts(docs, id_col, text_col), group_limit, common)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Scratch]:
     scratch = Scratch(docs.sparkSession, "suffixes")
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = scratch.bucketed(rows, "row", "texts")
+    scratch.release()
+    return texts, scratch
+
+
+def _spans(texts: DataFrame, scratch: Scratch, group_limit: int, common: int) -> DataFrame:
     found = texts.select("row", "text").mapInArrow(_find, "gram long, row long, at long")
-    shared = found.repartition("gram").sortWithinPartitions("gram").withColumn("known", F.lit(False)).mapInArrow(_shared, "gram long, row long, at long")
-    shared = scratch.table(shared, "shared")
-    lists = shared.groupBy("row").agg(F.collect_list(F.struct("at", "gram")).alias("anchors"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    shared = scratch.table(found.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared(common), "gram long, row long, at long"), "shared")
+    scratch.release()
+    counted = shared.filter("at is null").select("gram", F.col("row").alias("n")).orderBy(F.desc("n"), "gram").limit(MOST)
+    lists = shared.filter("at is not null").groupBy("row").agg(F.collect_list(F.struct("at", "gram")).alias("anchors"))
+    kind = texts.schema["id"].dataType.simpleString()
     around = texts.join(lists.hint("shuffle_hash"), "row").select("row", "id", "text", "anchors")
     around = around.mapInArrow(_contexts, f"gram long, id {kind}, row long, at long, full long, bytes binary")
-    ordered = around.repartition("gram").sortWithinPartitions("gram", F.asc_nulls_first("id"), "row", "at")
+    # A common gram's anchors are dealt by row over n / common tasks, equal contexts one after the other.
+    around = around.join(F.broadcast(counted), "gram", "left").withColumn("common", F.col("n").isNotNull())
+    deal = F.when(F.col("common"), F.xxhash64("gram", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / common)))).otherwise(F.col("gram"))
+    dealt = around.withColumn("deal", deal).drop("n").repartition("deal")
+    ordered = dealt.sortWithinPartitions("gram", F.when(F.col("common"), F.col("full")), F.asc_nulls_first("id"), "row", "at").drop("deal")
     out = scratch.table(ordered.mapInArrow(_sort(group_limit), FOUND), "repeats")
+    scratch.drop("shared")
+    scratch.release()
     # Windows of large groups: all but the earliest of equal ones.
-    rows = out.filter("print1 is not null").join(texts.select("row", "id"), "row")
+    rows = texts.select("row", "id").join(out.filter("print1 is not null").hint("shuffle_hash"), "row")
     order = F.struct(F.col("id").isNotNull(), "id", "row", "start")
     first = rows.groupBy("print1", "print2").agg(F.min(order).alias("least"), F.count("*").alias("n")).filter("n > 1")
     more = rows.join(first, ["print1", "print2"]).filter(order != F.col("least")).select("row", "start", "stop")
@@ -318,12 +359,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), part.column(2), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "spans", "kept"])
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP, common: int = COMMON) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, spans, and the bytes that are left."""
-    spans = repeated_spans(docs, id_col, text_col, group_limit)
-    size = spans.agg(F.coalesce(F.sum(F.size("spans") * 16 + 24), F.lit(0))).first()[0]
-    marked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    joined = marked.join(F.broadcast(spans) if size <= BROADCAST else spans, "row", "left").select("id", "text", "spans")
+    texts, scratch = _texts(docs, id_col, text_col)
+    joined = texts.join(_spans(texts, scratch, group_limit, common).hint("shuffle_hash"), "row", "left").select("id", "text", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(_remove, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
 

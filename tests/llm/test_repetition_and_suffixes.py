@@ -8,7 +8,8 @@ import re
 import pyarrow as pa
 import pytest
 
-from bazaarlens.llm import repetition, suffix_dedup
+from bazaarlens.llm import mixing, near_dedup, repetition, suffix_dedup
+from bazaarlens.llm.scratch import Scratch
 from bazaarlens.llm.tokens import slices
 
 
@@ -107,8 +108,8 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [100_000, 3])
-def test_removed_bytes_equal_brute_force(spark, tmp_path, limit):
+@pytest.mark.parametrize(("limit", "common"), [(100_000, 1 << 14), (3, 1 << 14), (100_000, 4), (3, 9)])
+def test_removed_bytes_equal_brute_force(spark, tmp_path, limit, common):
     rng = random.Random(8)
     text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     passages = [text(n) for n in (99, 100, 101, 160, 400)]
@@ -120,10 +121,40 @@ def test_removed_bytes_equal_brute_force(spark, tmp_path, limit):
         rows.append((i, "".join(parts)))
     rows += [(60, "ab" * 300), (61, "z" * 250), (62, None), (63, ""), (64, rows[3][1]), (65, "b" + "ab" * 90)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
-    got = suffix_dedup.digest(suffix_dedup.removed(spark.read.parquet(str(tmp_path / "d")), group_limit=limit)).collect()
+    got = suffix_dedup.digest(suffix_dedup.removed(spark.read.parquet(str(tmp_path / "d")), group_limit=limit, common=common)).collect()
     assert sorted(map(tuple, got)) == sorted(brute(rows))
 
 
+def test_reads_split_otherwise_give_the_same_rows(spark, tmp_path, monkeypatch):
+    """Between any two reads of a run the files' splits change, as they do when cores come and go."""
+    rng, n = random.Random(3), [0]
+    base = "".join(rng.choice("abcdefg ") for _ in range(300))
+    rows = [(i, base[: 150 + i] if i % 3 == 0 else "".join(rng.choice("abcdefg ") for _ in range(200)), f"s{i % 4}") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6).write.parquet(str(tmp_path / "d"))
+    write = Scratch.table
+
+    def table(self, *args):
+        n[0] += 1
+        spark.conf.set("spark.sql.files.maxPartitionBytes", ["128m", "3k", "9k"][n[0] % 3])
+        spark.conf.set("spark.sql.files.openCostInBytes", ["4m", "1", "1k"][n[0] % 3])
+        return write(self, *args)
+
+    monkeypatch.setattr(Scratch, "table", table)
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    try:
+        assert sorted(map(tuple, suffix_dedup.digest(suffix_dedup.removed(docs)).collect())) == sorted(brute([r[:2] for r in rows]))
+        near = {r["doc_id"]: r["kept"] for r in near_dedup.digest(near_dedup.groups(docs)).collect()}
+        assert {r["doc_id"] for r in near_dedup.deduplicated(docs).collect()} == {d for d, kept in near.items() if kept}
+        taken = {r["id"]: r["taken"] for r in mixing.mix(docs, block=16).collect() if r["taken"]}
+        got = {}
+        for r in mixing.mixed_documents(docs, block=16).collect():
+            got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(r["text"].split())
+        assert got == taken and n[0] > 20
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_edges(edge, empty):
     rows = sorted(((r["doc_id"], r["text"]) for r in edge.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     got = suffix_dedup.digest(suffix_dedup.removed(edge)).collect()
