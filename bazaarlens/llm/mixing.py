@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from bazaarlens.llm.scratch import Scratch
+from bazaarlens.llm.scratch import Scratch, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 PHI = 0.6180339887498949  # fractional part of the golden ratio
@@ -58,14 +58,14 @@ def targets(sizes: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int | None = None,
-        most: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, ``keep`` columns as ``k_<name>``, size, source_size, target,
+        most: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", keep: tuple[str, ...] = (), row_col: str | None = None) -> DataFrame:
+    """One row per document: row (``row_col``, or a number of this run), id, ``keep`` columns as ``k_<name>``, size, source_size, target,
     ``start`` (its place in the source's stream), ``taken`` words and ``takes``, how many rounds
     of the stream reach it in whole or part.  ``block``: words in a slot; by default the 2**18th
     part of all words, 64 at least."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), *[F.col(c).alias(f"k_{c}") for c in keep],
+    sized = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("id"), *[F.col(c).alias(f"k_{c}") for c in keep],
                         F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), digest.alias("digest"))
     sized = scratch.table(sized.withColumn("range", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int")), "sized")
 
@@ -134,16 +134,17 @@ def digest(mixed: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = None, **options: object) -> DataFrame:
     """The mix as documents: each as often as it is taken whole, and once more with its first
     words where a round ends inside it.  A document of no words is not part of a mix."""
-    scratch = Scratch(docs.sparkSession, "mixed")
-    mixed = mix(docs, text_col=text_col, **options).filter("taken > 0")
+    scratch, row = Scratch(docs.sparkSession, "mixed"), fresh(docs, "__row")
+    numbered = scratch.numbered(docs, row)
+    mixed = mix(numbered, text_col=text_col, row_col=row, **options).filter("taken > 0")
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(None).cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    takes = scratch.table(mixed.select(F.col("row").alias("__row"), copies.alias("__takes")), "takes")
+    takes, first = scratch.table(mixed.select(F.col("row").alias(row), copies.alias("__takes")), "takes"), fresh(docs, "__first")
     small = takes.agg(F.coalesce(F.sum(F.size("__takes") * 8 + 24), F.lit(0))).first()[0] <= BROADCAST
-    # Row numbers of the same files are the same again, so texts are joined where they are read.
-    out = docs.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(takes) if small else takes, "__row").withColumn("__first", F.explode("__takes"))
-    text, cut = F.col(text_col), F.col("__first").isNotNull()
-    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("__first")), "")
+    joined = numbered.join(F.broadcast(takes) if small else takes, row)
+    out = joined.select(*[numbered[c] for c in docs.columns], F.explode(takes["__takes"]).alias(first))
+    text, cut = F.col(text_col), F.col(first).isNotNull()
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col(first)), "")
     value = {c: F.col(c) for c in docs.columns} | {text_col: F.when(cut, part).otherwise(text)}
     if length_col:
         value[length_col] = F.when(cut, F.length(part).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from bazaarlens.llm.components import connected_components
-from bazaarlens.llm.scratch import Scratch
+from bazaarlens.llm.scratch import Scratch, fresh
 from bazaarlens.llm.text import mix, shingle_sets
 from bazaarlens.llm.tokens import slices
 
@@ -216,13 +216,16 @@ class _Texts:
         return links
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: row, id, n_shingles, component (the smallest id reachable, itself
     included), first (this row stands for its group)."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
-    # Rows are told apart by a number that a re-read of the same files gives again.
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
+    scratch = Scratch(docs.sparkSession, "near")
+    return _grouped(scratch.numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "row"), scratch)
+
+
+def _grouped(numbered: DataFrame, scratch: Scratch) -> DataFrame:
+    """``groups`` of written rows (row, id, text)."""
+    texts, ids = numbered.select("row", F.col("text").cast("string").alias("text")), numbered.select("row", "id")
     signed = scratch.table(texts.mapInArrow(_sign, SIGNED), "signed")
     # One class per distinct set, named by its smallest row; a set is told by two 64-bit hashes and its size.
     key = ["key1", "key2", "n_shingles"]
@@ -283,8 +286,9 @@ def digest(grouped: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, one of each group; those without words all stay."""
-    gone = groups(docs, id_col, text_col).filter("not first").select(F.col("row").alias("__row"))
-    gone = Scratch(docs.sparkSession, "deduplicated").table(gone, "gone")
+    scratch, row = Scratch(docs.sparkSession, "deduplicated"), fresh(docs, "__row")
+    numbered = scratch.numbered(docs, row)
+    grouped = _grouped(numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), scratch)
+    gone = scratch.table(grouped.filter("not first").select(F.col("row").alias(row)), "gone")
     small = gone.count() * 16 <= BROADCAST
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    return marked.join(F.broadcast(gone) if small else gone, "__row", "left_anti").select(*docs.columns)
+    return numbered.join(F.broadcast(gone) if small else gone, row, "left_anti").select(*docs.columns)
