@@ -35,19 +35,21 @@ WITH d AS (SELECT row_number() OVER () AS "row", doc_id, coalesce(text, '') AS t
         SELECT * FROM span{len(KINDS)} l WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')
           AND NOT EXISTS (SELECT 1 FROM base b WHERE b."row" = l."row" AND b.s < l.e AND l.s < b.e)),
     candidates AS (SELECT * FROM base UNION ALL SELECT * FROM loose),
-    ownership AS (SELECT value, count(DISTINCT coalesce(owner, '')) AS owners FROM candidates GROUP BY value),
+    ownership AS (
+        SELECT value, count(*) AS owners, CAST(sum(repositories) AS BIGINT) AS repositories
+        FROM (SELECT value, owner, count(DISTINCT coalesce(repo, '')) AS repositories FROM candidates GROUP BY value, owner) GROUP BY value),
     judged AS (
-        SELECT c.*, CASE WHEN o.owners >= 3 THEN 'example' WHEN regexp_matches(c.value, '[0-9]') AND regexp_matches(c.value, '[A-Za-z]') AND NOT regexp_matches(c.value, {_quoted(PLACEHOLDER)})
+        SELECT c.*, o.repositories, CASE WHEN o.repositories >= 3 AND o.owners > 1 THEN 'example' WHEN regexp_matches(c.value, '[0-9]') AND regexp_matches(c.value, '[A-Za-z]') AND NOT regexp_matches(c.value, {_quoted(PLACEHOLDER)})
             AND len(list_distinct(string_split(c.value, ''))) >= 8 THEN 'live' ELSE 'plain' END AS verdict
         FROM candidates c JOIN ownership o ON o.value = c.value),
     shown AS (SELECT * FROM judged WHERE rank < {len(KINDS)} OR verdict = 'live'),
     per AS (
         SELECT "row", {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k, *_ in KINDS)},
                string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, rank) FILTER (WHERE rank < {len(KINDS)}) AS base_spans, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, rank) AS spans,
-               count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example
+               count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example, max(repositories) AS most_repositories
         FROM shown GROUP BY "row")
 SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k, *_ in KINDS)}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most_repositories, 0) AS most_repositories
 FROM d LEFT JOIN per ON per."row" = d."row"
 """
 
