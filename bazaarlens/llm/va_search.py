@@ -1,23 +1,32 @@
 """Exact top-k inner products by vector-approximation files.
 
 Vectors become integers floor(256 * x).  The approximation file holds one byte a component: its
-cell among ``cells`` equal ones between the least and largest value of that component.  A scan
-of the cells, block against block of queries, bounds each inner product from both sides; only
-candidates whose upper bound reaches the k-th lower bound go on.  Then exact vectors are read:
-first the ``first`` best upper bounds of each query, and after them exactly those candidates
-whose upper bound still reaches the k-th exact score.  What was not read cannot be among the k.
+cell among ``cells`` equal ones between the least and largest value of that component.  A scan of
+the cells bounds each inner product from both sides; only candidates whose upper bound reaches the
+k-th lower bound go on.  Then exact vectors are read: first the ``first`` best upper bounds of each
+query, and after them exactly those candidates whose upper bound still reaches the k-th exact
+score.  What was not read cannot be among the k.
+
+Every query meets every vector, so parts of the file meet groups of queries, one pair a task.  A
+task holds a part and a group of at most ``HELD`` bytes each and keeps a running k-th lower bound a
+query over all its part, so it gives out little more than k candidates a query.  Groups and parts
+are as few as memory and the number of tasks allow: while the queries fit ``HELD``, the file moves
+a fixed number of times, however large it is.
+
+Bounds are floating-point numbers, widened by what summing could lose where integers are not exact.
 
 Equal vectors are one class with the k + 1 smallest ids, so a vector that a third of the rows
 share is bounded and read once.
 
 Defined results: a null vector and one with null, NaN or infinite components take no part;
 vectors of another length than the query's are not compared with it; rows equal in id and
-vector count once; a query never meets rows of its own id; an empty table gives no rows; only
-the named columns are read.
+vector count once; a query never meets rows of its own id; scores beyond a long rank as
+they are and read as the nearest long; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +37,9 @@ from pyspark.sql.window import Window as W
 
 from bazaarlens.llm.scratch import Scratch
 
-#: Cells of a component; vectors and queries of a block; copies of query blocks that share the candidates.
-CELLS, VECTORS, QUERIES, SPREAD = 64, 2048, 512, 64
+#: Cells of a component; bytes of approximations and of queries that a task holds; vectors and
+#: queries whose bounds are computed at once.
+CELLS, HELD, VECTORS, QUERIES = 64, 32 << 20, 2048, 256
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,19 +55,30 @@ class Grid:
     """Cell bounds of each component, by length of vectors."""
 
     def __init__(self, rows: list, cells: int) -> None:
-        self.low, self.step = {}, {}
+        self.low, self.step, self.most = {}, {}, {}
         for dim in {r["dim"] for r in rows}:
             own = sorted((r["at"], r["low"], r["high"]) for r in rows if r["dim"] == dim)
             self.low[dim] = np.array([r[1] for r in own], dtype=np.int64)
-            self.step[dim] = (np.array([r[2] for r in own], dtype=np.int64) - self.low[dim]) // cells + 1
+            self.step[dim] = np.array([(r[2] - r[1]) // cells + 1 for r in own], dtype=np.uint64)
+            self.most[dim] = np.array([max(abs(r[1]), abs(r[2]) + (r[2] - r[1]) // cells + 1) for r in own], dtype=np.float64)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.low[x.shape[1]]) // self.step[x.shape[1]]).astype(np.uint8)
+        return ((x.astype(np.uint64) - self.low[x.shape[1]].astype(np.uint64)) // self.step[x.shape[1]]).astype(np.uint8)
 
     def bounds(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and largest integer of each cell."""
-        low = self.low[cells.shape[1]] + cells.astype(np.int64) * self.step[cells.shape[1]]
-        return low.astype(np.float64), (low + self.step[cells.shape[1]] - 1).astype(np.float64)
+        step = self.step[cells.shape[1]].astype(np.float64)
+        low = self.low[cells.shape[1]].astype(np.float64) + cells * step
+        return low, low + (step - 1)
+
+    def slack(self, queries: np.ndarray) -> np.ndarray:
+        """What the bounds of each query may be off: nothing while all sums are exact integers."""
+        scale = np.abs(queries) @ self.most[queries.shape[1]]
+        return np.where(scale < 2.0**52, 0.0, scale * (queries.shape[1] + 8) * 2.0**-50)
+
+    def widest(self) -> float:
+        """No inner product of these vectors is larger."""
+        return max((float((m * m).sum()) for m in self.most.values()), default=0.0)
 
 
 def integers(vector: Column) -> Column:
@@ -70,6 +91,28 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(F.forall(vector, fine), F.lit(False))
 
 
+def _bounded(grid: Grid, q: np.ndarray, cells: np.ndarray, n: int) -> list[np.ndarray]:
+    """Query and vector (their places), upper and lower bound of what may be among each query's n
+    best.  The n best lower bounds so far are kept, and what they rule out is dropped as they rise."""
+    best, found = np.full((len(q), n), -np.inf), []
+    plus, minus, slack = np.maximum(q, 0), np.minimum(q, 0), grid.slack(q)[:, None]
+    for at in range(0, len(cells), VECTORS):
+        low, high = grid.bounds(cells[at : at + VECTORS])
+        most, least = plus @ high.T + minus @ low.T + slack, plus @ low.T + minus @ high.T - slack
+        best = np.partition(np.concatenate([best, least], axis=1), -n, axis=1)[:, -n:]
+        i, j = np.nonzero(most >= best.min(axis=1)[:, None])
+        found.append([i, j + at, most[i, j], least[i, j]])
+        if sum(len(f[0]) for f in found) > 1 << 20:
+            found = [_reaching(found, best)]
+    return _reaching(found, best)
+
+
+def _reaching(found: list[list[np.ndarray]], best: np.ndarray) -> list[np.ndarray]:
+    i, j, most, least = (np.concatenate(c) for c in zip(*found))
+    still = most >= best.min(axis=1)[i]
+    return [i[still], j[still], most[still], least[still]]
+
+
 def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, first: int = 32, cells: int = CELLS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of each row whose id is divisible by ``every``."""
     scratch = Scratch(vectors.sparkSession, "va")
@@ -81,43 +124,43 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     classes = least.groupBy("dim", "x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     classes = scratch.table(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
     queries = scratch.table(rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query"), "dim", "x").distinct(), "queries")
-    n = queries.count()
     grid = Grid(rows.filter("dim > 0").select("dim", "x").mapInArrow(_ranges, "dim long, at long, low long, high long").groupBy("dim", "at").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect(), cells)
 
     def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, VECTORS):
-                piece = batch.slice(at, VECTORS)
-                size = np.asarray(piece.column(1))
-                for dim in np.unique(size[size > 0]):
-                    own = piece.filter(pa.array(size == dim))
-                    x = own.column(2).flatten().to_numpy().reshape(-1, dim)
-                    keys = own.column(0).to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)]), pa.array([int(keys[0])]), pa.array([keys.astype(np.int64).tobytes()]), pa.array([grid.cells(x).tobytes()])], names=["dim", "block", "keys", "cells"])
+            size = np.asarray(batch.column(1))
+            for dim in np.unique(size[size > 0]):
+                own = batch.filter(pa.array(size == dim))
+                x = own.column(2).flatten().to_numpy().reshape(-1, dim)
+                keys = own.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array([int(dim)]), pa.array([int(keys[0])]), pa.array([keys.astype(np.int64).tobytes()]), pa.array([grid.cells(x).tobytes()])], names=["dim", "block", "keys", "cells"])
 
     file = scratch.table(classes.select("key", "dim", "x").mapInArrow(approximate, "dim long, block long, keys binary, cells binary"), "approximations")
-    groups = max(1, -(-n // QUERIES))
-    asked = queries.withColumn("group", F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")).groupBy("dim", "group").agg(F.collect_list(F.struct("query", "x")).alias("asked"))
-    asked = asked.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    scan = file.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("spread", F.pmod(F.xxhash64("block"), F.lit(SPREAD)).cast("int"))
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                keys = np.frombuffer(batch.column("keys")[r].as_buffer(), np.int64)
-                low, high = grid.bounds(np.frombuffer(batch.column("cells")[r].as_buffer(), np.uint8).reshape(len(keys), -1))
-                asked = batch.column("asked")[r].values
-                names = asked.field(0).to_numpy()
-                q = asked.field(1).flatten().to_numpy().reshape(len(names), -1).astype(np.float64)
-                plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-                most, least = plus @ high.T + minus @ low.T, plus @ low.T + minus @ high.T
-                # One more than k: the query's own class may be among them.
-                limit = np.partition(least, -(k + 1), axis=1)[:, -(k + 1)] if len(keys) > k else np.full(len(names), -np.inf)
-                i, j = np.nonzero(most >= limit[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(keys[j]), pa.array(most[i, j].astype(np.int64)), pa.array(least[i, j].astype(np.int64))], names=["query", "key", "most", "least"])
-
-    met = scan.join(asked, ["dim", "group", "spread"]).select("keys", "cells", "asked")
-    bounds = scratch.table(met.mapInArrow(bound, "query long, key long, most long, least long"), "bounds")
+    held, asked = (df.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] for df, n in ((file, F.length("cells")), (queries, 8 * F.col("dim"))))
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The file moves once a group and the queries once a part: least for this ratio of the two.
+    groups = max(1, math.ceil(asked / HELD), math.ceil(math.sqrt(tasks * asked / max(1, held))))
+    parts = max(1, math.ceil(held / HELD), math.ceil(tasks / groups))
+    each = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = file.select("dim", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"), each("group", groups), "keys", "cells")
+    right = queries.select("dim", each("part", parts), F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int").alias("group"), "query", "x")
+
+    def bound(file: pa.Table, asked: pa.Table) -> pa.Table:
+        names, found = ["query", "key", "most", "least"], []
+        if file.num_rows and asked.num_rows:
+            dim = file["dim"][0].as_py()
+            keys = np.frombuffer(b"".join(file["keys"].to_pylist()), np.int64)
+            cells = np.frombuffer(b"".join(file["cells"].to_pylist()), np.uint8).reshape(-1, dim)
+            q = asked["x"].combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.float64)
+            ids = asked["query"].to_numpy()
+            for at in range(0, len(q), QUERIES):
+                found.append(_bounded(grid, q[at : at + QUERIES], cells, k + 1))
+                found[-1] = (ids[at : at + QUERIES][found[-1][0]], keys[found[-1][1]], *found[-1][2:])
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
+        return pa.table(dict(zip(names, columns)))
+
+    task = ["dim", "part", "group"]
+    bounds = scratch.table(left.groupBy(*task).cogroup(right.groupBy(*task)).applyInArrow(bound, "query long, key long, most double, least double"), "bounds")
     by = lambda c: W.partitionBy("query").orderBy(F.desc(c), "key")
     kth = lambda df, c: df.withColumn("n", F.row_number().over(by(c))).filter(F.col("n") == k + 1).select("query", F.col(c).alias("limit"))
     reach = lambda df, limits: df.join(limits, "query", "left").filter(F.col("limit").isNull() | (F.col("most") >= F.col("limit"))).drop("limit")
@@ -125,11 +168,14 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
     def exact(pairs: DataFrame) -> DataFrame:
         both = pairs.join(classes.select("key", F.col("x").alias("y"), "ids"), "key").join(queries.select("query", "x"), "query")
-        return both.select("query", "key", "ids", F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, p: s + p).alias("score"))
+        kind = "decimal(38,0)" if grid.widest() >= 2.0**62 else "bigint"  # else 64 bits hold every sum
+        products = F.zip_with("x", "y", lambda a, b: (a.cast(kind) * b.cast(kind)).cast(kind))
+        score = F.aggregate(products, F.lit(0).cast(kind), lambda s, p: (s + p).cast(kind))
+        return both.select("query", "key", "ids", score.alias("score"))
 
     ranked = able.withColumn("n", F.row_number().over(by("most")))
     early = scratch.table(exact(ranked.filter(F.col("n") <= first).drop("n")), "early")
     late = exact(reach(ranked.filter(F.col("n") > first).drop("n"), kth(early, "score")))
     found = early.unionByName(late).select("query", F.explode("ids").alias("vec_id"), "score").filter("query <> vec_id")
     order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", F.greatest(F.least("score", F.lit(2**63 - 1)), F.lit(-(2**63))).cast("long").alias("score"))
