@@ -12,9 +12,10 @@ most to one label, and only these reach the fit.  Scoring reads every whole text
 
 Defined results: a null or empty text has no sentence that offends and gets the score of an
 empty bag; a document labelled more than once counts as toxic if any label says so, null labels
-are ignored; a null id is in the held-out fold; without both kinds of labels every score is the
-share of toxic labels (0 without labels); repeated rows are scored each; an empty table gives
-no rows; only the named columns are read, and of them only the text enters a score.
+are ignored; of rows that share a labelled id one is learnt from; a null id is in the held-out
+fold; without both kinds of labels every score is the share of toxic labels (0 without labels);
+repeated rows are scored each; an empty table gives no rows; only the named columns are read, and
+of them only the text enters a score.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaarlens.llm.scratch import Scratch
 from bazaarlens.llm.text import LOWER_VALUE, mix, prefix_hash, utf8
 from bazaarlens.llm.tokens import slices
 
@@ -107,7 +109,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if count > sample:  # a hash range that holds about ``sample`` of them
         known = known.filter(F.xxhash64("id").bitwiseAND(F.lit((1 << 30) - 1)) < int(sample / count * (1 << 30)))
     known = F.broadcast(known)  # bounded by ``sample``
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(known, "id").select("text", (F.col("toxic") > 0).alias("toxic"))
+    chosen = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(known, "id")
+    chosen = chosen.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), (F.max("toxic") > 0).alias("toxic")).select("text", "toxic")
+    chosen = Scratch(docs.sparkSession, "toxicity").table(chosen, "chosen")  # read three times
     totals = chosen.groupBy().agg(F.count_if(F.col("toxic")).alias("toxic"), F.count("*").alias("all")).first()
     positive, negative = totals["toxic"], totals["all"] - totals["toxic"]
     if not positive or not negative:
