@@ -29,6 +29,17 @@ def store_overview(stores: DataFrame, listings: DataFrame, taps: DataFrame) -> D
     return out.join(taps_by_store(stores, taps).select("store_id", F.col("total").alias("taps")), "store_id").withColumn("listings", F.coalesce("listings", F.lit(0)))
 
 
+def listing_counts(stores: DataFrame, listings: DataFrame) -> DataFrame:
+    """Every shop with the number of its listings."""
+    counts = listings.groupBy(F.col("store_id").alias("id")).agg(F.count("*").alias("n"))
+    return stores.select("id", "name").join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def remaining_admins(users: DataFrame, leaving: DataFrame) -> DataFrame:
+    """One row: how many administrators stay when some accounts (column id) go."""
+    return users.filter("role = 'admin'").join(leaving.select("id"), "id", "left_anti").agg(F.count("*").alias("admins"))
+
+
 def admin_listings(aliases: DataFrame, prices: DataFrame, products: DataFrame) -> DataFrame:
     """All listings with their product, and their price where there is one: an outer join."""
     return aliases.join(prices, "alias_id", "left").join(products.select(F.col("id").alias("product_id"), "canonical_name"), "product_id")

@@ -10,9 +10,9 @@ CATEGORY_ORDER = ("phones", "laptops", "monitors")
 
 
 def ranked(offers: DataFrame, products: DataFrame) -> DataFrame:
-    """Products with new offers in stock: least total and number of shops."""
+    """Categorised products with new offers in stock: least total and number of shops."""
     figures = offers.filter("availability and grp = 'new'").groupBy("product_id").agg(F.min("total").alias("lowest"), F.countDistinct("store_id").alias("store_count"))
-    return products.withColumnRenamed("id", "product_id").join(figures, "product_id")
+    return products.filter(F.col("match_category").isin(*CATEGORY_ORDER)).withColumnRenamed("id", "product_id").join(figures, "product_id")
 
 
 def browse_order() -> list[Column]:
@@ -35,9 +35,9 @@ def family_key(attributes: Column, name: Column) -> Column:
 def families(ranked_products: DataFrame, attributes: str = "attributes", name: str = "canonical_name") -> DataFrame:
     """One row per family and category: its first product in browse order, and its size."""
     keyed = ranked_products.withColumn("family", family_key(F.col(attributes), F.col(name)))
-    by = W.partitionBy("match_category", "family")
-    keyed = keyed.withColumn("rn", F.row_number().over(by.orderBy(*browse_order()))).withColumn("variants", F.count("*").over(by))
-    return keyed.filter("rn = 1").drop("rn")
+    # An aggregate combines before the shuffle; a family's first product is then read by its id.
+    first = keyed.groupBy("match_category", "family").agg(F.min_by("product_id", F.struct(*[k.alias(f"k{n}") for n, k in enumerate(browse_order())])).alias("product_id"), F.count("*").alias("variants"))
+    return ranked_products.join(first.select("product_id", "variants"), "product_id")
 
 
 def category_counts(family_rows: DataFrame) -> DataFrame:
@@ -59,9 +59,9 @@ def interleaved(family_rows: DataFrame, offset: int, limit: int) -> DataFrame:
 def seeded_shuffle(rows: DataFrame, seed: int, id_col: str = "product_id") -> DataFrame:
     """``place`` within each category: with a picture first, otherwise by a hash of seed,
     category and id; the same seed gives the same order."""
-    key = F.xxhash64(F.lit(seed), F.col("match_category"), F.col(id_col))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "match_category", F.col(id_col).cast("string")))
     # Two-level ranks over ranges of the hash, so no task orders a whole category.
-    rows = rows.withColumn("__key", key).withColumn("__part", F.shiftright("__key", 56) + F.when(F.col("image_url").isNull(), 256).otherwise(0))
+    rows = rows.withColumn("__key", key).withColumn("__part", F.conv(F.substring("__key", 1, 2), 16, 10).cast("int") + F.when(F.col("image_url").isNull(), 256).otherwise(0))
     sizes = rows.groupBy(F.col("match_category").alias("__category"), F.col("__part").alias("__range")).agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.sum("__n").over(W.partitionBy("__category").orderBy("__range")) - F.col("__n")).drop("__n")
     placed = rows.join(before, F.col("match_category").eqNullSafe(F.col("__category")) & (F.col("__part") == F.col("__range")))

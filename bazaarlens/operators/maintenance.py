@@ -23,10 +23,9 @@ def duplicate_groups(products: DataFrame) -> DataFrame:
 
 def survivors(products: DataFrame) -> DataFrame:
     """id and survivor of every product that has duplicates."""
-    by = W.partitionBy("match_category", "key")
     keyed = products.filter("match_category is not null").select("id", "match_category", canonical(F.col("attributes")).alias("key"))
-    out = keyed.withColumn("survivor", F.min("id").over(by)).withColumn("n", F.count("*").over(by))
-    return out.filter("n > 1").select("id", "survivor")
+    first = keyed.groupBy("match_category", "key").agg(F.min("id").alias("survivor"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return keyed.join(first, ["match_category", "key"]).select("id", "survivor")
 
 
 def repointed(rows: DataFrame, moved: DataFrame, unique_by: list[str] | None = None) -> DataFrame:
@@ -62,6 +61,24 @@ def orphans(products: DataFrame, listings: DataFrame) -> DataFrame:
     return products.join(listings.select(F.col("product_id").alias("id")), "id", "left_anti")
 
 
+def references(products: DataFrame, *tables: DataFrame) -> DataFrame:
+    """How many rows of the tables refer to each product that any refers to."""
+    used = tables[0].select("product_id")
+    for more in tables[1:]:
+        used = used.unionByName(more.select("product_id"))
+    return used.join(products.select(F.col("id").alias("product_id")), "product_id", "left_semi").groupBy("product_id").agg(F.count("*").alias("n"))
+
+
+def unparsed(reparsed: DataFrame, parsed: str = "c") -> DataFrame:
+    """Products that no longer parse to a category."""
+    return reparsed.filter(F.col(parsed)["category"].isNull())
+
+
+def prune_report(reparsed: DataFrame, parsed: str = "c") -> DataFrame:
+    """Products that no longer parse, by the category stored for them, most first."""
+    return unparsed(reparsed, parsed).groupBy(F.coalesce("match_category", F.lit("-")).alias("stored")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stored")
+
+
 def prune_guard(doomed: DataFrame, *references: DataFrame) -> DataFrame:
     """Doomed products that something still refers to; any row is a reason to refuse."""
     used = references[0].select("product_id")
@@ -70,9 +87,9 @@ def prune_guard(doomed: DataFrame, *references: DataFrame) -> DataFrame:
     return doomed.select(F.col("id").alias("product_id")).intersect(used.distinct())
 
 
-def pruned(products: DataFrame, reparsed: DataFrame, *references: DataFrame) -> DataFrame:
+def pruned(products: DataFrame, reparsed: DataFrame, *references: DataFrame, parsed: str = "c") -> DataFrame:
     """Products without those that no longer parse and that nothing refers to."""
-    doomed = reparsed.filter("parsed.category is null").select("id")
+    doomed = unparsed(reparsed, parsed).select("id")
     kept = prune_guard(doomed, *references).select(F.col("product_id").alias("id"))
     return products.join(doomed.join(kept, "id", "left_anti"), "id", "left_anti")
 

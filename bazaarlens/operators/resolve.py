@@ -71,8 +71,8 @@ def reconcile(aliases: DataFrame, read: DataFrame, runs: DataFrame, fresh_since:
     """Aliases of scraped shops with ``action`` (relist, delist, keep) and the new
     ``delisted_at``.  Per shop, more fresh candidates than the floor and the share of showing
     listings are refused: only stale ones go.  ``read``: alias_id of all rows that were read."""
-    marked = aliases.join(read.select("alias_id", F.lit(True).alias("in_read")), "alias_id", "left").join(runs.select("store_id", "may_delist"), "store_id", "left")
-    here, showing = F.coalesce("in_read", F.lit(False)), F.col("delisted_at").isNull()
+    marked = aliases.join(read.select("alias_id", F.lit(True).alias("__here")), "alias_id", "left").join(runs.select("store_id", "may_delist"), "store_id", "left")
+    here, showing = F.coalesce("__here", F.lit(False)), F.col("delisted_at").isNull()
     gone = ~here & showing & F.coalesce("may_delist", F.lit(False))
     marked = marked.withColumn("gone", gone).withColumn("fresh", F.col("checked_at") >= fresh_since)
     valve = marked.groupBy("store_id").agg(F.count_if(F.col("gone") & F.col("fresh")).alias("fresh_gone"), F.count_if(showing).alias("showing"))

@@ -133,7 +133,7 @@ def pending_stores(e: Entities) -> DataFrame:
 
 
 def admin_listings(e: Entities) -> DataFrame:
-    prices = e.listings.filter("price >= 1000").select("alias_id", F.col("price").cast(M).alias("price"))
+    prices = e.prices.select("alias_id", F.col("price").cast(M).alias("price"))
     return admin.admin_listings(e.listings.select("alias_id", "product_id", "store_id"), prices, e.products).select("alias_id", "store_id", "canonical_name", "price")
 
 
@@ -154,7 +154,7 @@ def platform_stats(e: Entities) -> DataFrame:
 
 
 def remaining_admins(e: Entities) -> DataFrame:
-    return e.users.filter("role = 'admin' and id <> 0").agg(F.count("*").alias("admins"))
+    return admin.remaining_admins(e.users, e.users.filter("not is_verified"))
 
 
 def wishlist(e: Entities) -> DataFrame:
@@ -166,7 +166,7 @@ def alerts_met(e: Entities) -> DataFrame:
 
 
 def alert_latch(e: Entities) -> DataFrame:
-    return alerts.latch(e.price_alerts, current(e), e.users, now(), limit=500).select("id", "action", "notified_at")
+    return alerts.latch(e.price_alerts, current(e), e.users, now()).select("id", "action", "notified_at")
 
 
 def duplicate_groups(e: Entities) -> DataFrame:
@@ -181,7 +181,7 @@ def merged_wishes(e: Entities) -> DataFrame:
 def _delisting(e: Entities) -> DataFrame:
     from bazaarlens.operators import resolve
 
-    read = e.readings.filter("checked_at >= TIMESTAMP '2000-06-01 00:00:00' or store_id % 3 = 0").select("alias_id").distinct()
+    read = e.listings.filter("in_read").select("alias_id")
     runs = e.stores.filter("owner_user_id is null").select(F.col("id").alias("store_id"), (F.col("id") % 7 != 1).alias("may_delist"))
     scraped = e.listings.join(e.stores.filter("owner_user_id is null").select(F.col("id").alias("store_id")), "store_id", "left_semi")
     return resolve.reconcile(scraped, read, runs, F.expr("TIMESTAMP '1999-06-01 00:00:00'"), now())
@@ -198,8 +198,8 @@ def delist_valve(e: Entities) -> DataFrame:
 def _price_update(e: Entities) -> tuple[DataFrame, DataFrame]:
     from bazaarlens.operators import resolve
 
-    before = e.price_history.filter("back = 2").select("alias_id", "price", F.lit(True).alias("availability"), F.lit(0).cast("decimal(10,3)").alias("delivery_cost"), F.col("recorded_at").alias("last_updated"), F.col("recorded_at").alias("checked_at"))
-    read = e.listings.filter("store_id % 3 <> 0").select("alias_id", "price", "availability", "delivery_cost")
+    before = e.prices.select("alias_id", "price", "availability", "delivery_cost", F.col("checked_at").alias("last_updated"), "checked_at")
+    read = e.listings.filter("in_read").select("alias_id", "price", "availability", "delivery_cost")
     return resolve.price_changes(read, before, now())
 
 
@@ -212,25 +212,31 @@ def price_changes(e: Entities) -> DataFrame:
 
 
 def prune_guard(e: Entities) -> DataFrame:
-    return maintenance.prune_guard(e.products.filter("id % 9 = 0"), e.wishlist, e.price_alerts)
+    return maintenance.prune_guard(maintenance.unparsed(parsed_products(e)), e.wishlist, e.price_alerts)
+
+
+def pruned_products(e: Entities) -> DataFrame:
+    return maintenance.pruned(e.products, parsed_products(e), e.wishlist, e.price_alerts).select("id")
+
+
+def prune_report(e: Entities) -> DataFrame:
+    return maintenance.prune_report(parsed_products(e))
 
 
 def orphan_products(e: Entities) -> DataFrame:
-    return maintenance.orphans(e.products, e.listings.filter("store_id % 5 = 0")).select("id")
+    return maintenance.orphans(e.products, e.listings).select("id")
 
 
 def listing_count_per_store(e: Entities) -> DataFrame:
-    counts = e.listings.filter("price > 2000").groupBy(F.col("store_id").alias("id")).agg(F.count("*").alias("n"))
-    return e.stores.select("id", "name").join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return admin.listing_counts(e.stores, e.listings)
 
 
 def referenced_union(e: Entities) -> DataFrame:
-    both = e.wishlist.select("product_id").unionByName(e.price_alerts.select("product_id"))
-    return both.join(e.products.filter("id % 9 = 0").select(F.col("id").alias("product_id")), "product_id", "left_semi").groupBy("product_id").agg(F.count("*").alias("n"))
+    return maintenance.references(e.products, e.wishlist, e.price_alerts)
 
 
 def one_pending_run(e: Entities) -> DataFrame:
-    jobs = e.base("orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("done").alias("status"), F.lit("").alias("store_codes"))
+    jobs = e.base("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("done").alias("status"), F.lit("").alias("store_codes"))
     return admin.one_pending(jobs)
 
 
@@ -290,8 +296,8 @@ def arabic_normalize(e: Entities) -> DataFrame:
 def resolve_listings(e: Entities) -> DataFrame:
     from bazaarlens.operators import resolve
 
-    known = parsed_products(e).filter("id % 4 = 0").select("id", F.col("c").alias("parsed"), F.lit("b").alias("brand"))
-    feed = parsed_products(e).filter("id % 4 <> 0").select(F.col("id").alias("listing"), F.col("c").alias("parsed"), F.lit("b").alias("brand"))
+    known = parsed_products(e).join(e.prices.select(F.col("product_id").alias("id")), "id", "left_semi").select("id", F.col("c").alias("parsed"))
+    feed = parsed_products(e).select(F.col("id").alias("listing"), F.col("c").alias("parsed"))
     return resolve.by_identity(feed, known).select("listing", "resolved_product")
 
 
@@ -300,7 +306,7 @@ for run in (
     current_offers, price_summary, search_cards, best_savings, top_deals, best_deal_store, offered_products, browse_ranked, families, category_counts, interleaved_browse, seeded_shuffle,
     offers_by_product, history_series, history_extents, price_anomalies, contact_totals, contact_by_store, contact_top_products, store_overview, pending_stores, admin_listings,
     sitemap_rows, category_lastmod, catalogue_health, platform_stats, remaining_admins, wishlist, alerts_met, alert_latch, duplicate_groups, merged_wishes, reconcile_delist, delist_valve,
-    price_snapshot, price_changes, prune_guard, orphan_products, listing_count_per_store, referenced_union, one_pending_run, parse_attributes, score_tiers, tier_paging, suggest,
+    price_snapshot, price_changes, prune_guard, pruned_products, prune_report, orphan_products, listing_count_per_store, referenced_union, one_pending_run, parse_attributes, score_tiers, tier_paging, suggest,
     link_prepare, link_audit, rate_window, spell_correct, arabic_normalize, resolve_listings,
 ):
     views, sql = text.SQL.get(run.__name__, ((), None))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bazaarlens.sources.entities import FRESH, NOW
+from bazaarlens.sources.titles import values
 
 M = "DECIMAL(18,3)"
 
@@ -16,11 +17,12 @@ OFFERS = f"""
           AND (s.owner_user_id IS NOT NULL OR l.checked_at >= {FRESH}))"""
 LOWEST = "lowest AS (SELECT product_id, min(total) AS lowest FROM offers WHERE availability AND grp = 'new' GROUP BY product_id)"
 
-# Attributes of the synthetic titles, by the rules for their three kinds.
-PARSED = """
+# Attributes of the titles: of the three plain kinds by rules of their own, of the others as written down with them.
+ATTRIBUTES = ("brand", "model", "variant", "cpu", "storage", "ram", "size", "resolution", "refresh", "panel", "color")
+PARSED = f"""
     t AS (SELECT *, lower(canonical_name) AS n FROM products),
-    parsed AS (
-        SELECT id, canonical_name, match_category, image_url, match_category AS category,
+    plainly AS (
+        SELECT id,
                CASE match_category WHEN 'phones' THEN 'apple' WHEN 'laptops' THEN 'dell' ELSE 'lg' END AS brand,
                CASE match_category WHEN 'phones' THEN concat('iphone ', regexp_extract(n, 'iphone (\\d+)', 1)) WHEN 'laptops' THEN concat('inspiron ', regexp_extract(n, 'inspiron (\\d+)', 1)) END AS model,
                CASE WHEN match_category = 'phones' THEN CASE WHEN n LIKE '% pro max %' THEN 'pro max' WHEN n LIKE '% pro %' THEN 'pro' WHEN n LIKE '% plus %' THEN 'plus' ELSE 'base' END END AS variant,
@@ -33,36 +35,40 @@ PARSED = """
                CASE WHEN match_category = 'monitors' THEN 'ips' END AS panel,
                CASE WHEN match_category = 'monitors' THEN NULL WHEN n LIKE '%midnight green' THEN 'midnight green' WHEN n LIKE '%midnight' OR n LIKE '%black' THEN 'black'
                     WHEN n LIKE '%grey' THEN 'gray' WHEN n LIKE '%blue' THEN 'blue' WHEN n LIKE '%silver' THEN 'silver' END AS color
-        FROM t)"""
+        FROM t WHERE golden IS NULL),
+    parsed AS (
+        SELECT t.id, t.canonical_name, t.match_category, t.image_url, t.golden, t.match_category AS category, {', '.join(f'CASE WHEN t.golden IS NULL THEN plainly.{a} ELSE known.{a} END AS {a}' for a in ATTRIBUTES)}
+        FROM t LEFT JOIN plainly ON plainly.id = t.id LEFT JOIN {values(*ATTRIBUTES)} ON known.golden = t.golden)"""
 RANKED = "ranked AS (SELECT product_id, min(total) AS lowest, count(DISTINCT store_id) AS store_count FROM offers WHERE availability AND grp = 'new' GROUP BY product_id)"
-# Monitors have no model, so the head of the name tells their families apart.
+# The head of the name tells families of products without a model apart.
 FAMILIES = f"""{OFFERS}, {RANKED}, {PARSED},
     keyed AS (
         SELECT p.id AS product_id, p.match_category, p.image_url, r.lowest,
                concat_ws('|', p.match_category, p.brand, coalesce(p.model, '-'), coalesce(p.variant, '-'), coalesce(p.storage, '-'), coalesce(p.ram, '-'),
                          CASE WHEN p.model IS NULL THEN trim(regexp_replace(lower(split_part(p.canonical_name, ',', 1)), '[^a-z0-9]+', ' ', 'g')) ELSE '' END) AS family
-        FROM parsed p JOIN ranked r ON r.product_id = p.id),
+        FROM parsed p JOIN ranked r ON r.product_id = p.id WHERE p.match_category IS NOT NULL),
     fam AS (
         SELECT product_id, match_category, image_url, lowest, variants FROM (
             SELECT *, count(*) OVER (PARTITION BY family) AS variants, row_number() OVER (PARTITION BY family ORDER BY image_url IS NULL, lowest, product_id) AS rn FROM keyed) WHERE rn = 1)"""
 SCORED = f"""{OFFERS}, {LOWEST}, {PARSED},
+    asked(query_id, category, brand, model, variant, cpu, storage, size, refresh, color) AS (VALUES
+        (1, 'phones', 'apple', 'iphone 11', 'pro', NULL, '128gb', NULL, NULL, 'black'), (2, 'monitors', 'lg', NULL, NULL, NULL, NULL, '27', '144', NULL),
+        (3, 'laptops', 'dell', 'inspiron laptop', NULL, 'i5', '512gb', NULL, NULL, NULL)),
+    weights(category, attribute, weight) AS (VALUES ('phones', 'model', 33), ('phones', 'variant', 28), ('phones', 'storage', 24), ('phones', 'color', 10), ('monitors', 'size', 32), ('monitors', 'refresh', 22),
+        ('laptops', 'model', 30), ('laptops', 'cpu', 20), ('laptops', 'storage', 20)),
     match AS (
-        SELECT 1 AS query_id, id AS product_id, CAST(100 - CASE WHEN model <> 'iphone 11' THEN 33 ELSE 0 END - CASE WHEN variant <> 'pro' THEN 28 ELSE 0 END
-                   - CASE WHEN storage <> '128gb' THEN 24 ELSE 0 END - CASE WHEN color <> 'black' THEN 10 ELSE 0 END AS DOUBLE) AS score,
-               CAST(model <> 'iphone 11' AS BIGINT) + CAST(variant <> 'pro' AS BIGINT) + CAST(storage <> '128gb' AS BIGINT) + CAST(color <> 'black' AS BIGINT) AS n_different
-        FROM parsed WHERE category = 'phones'
-        UNION ALL
-        SELECT 2, id, CAST(100 - CASE WHEN size <> '27' THEN 32 ELSE 0 END - CASE WHEN refresh <> '144' THEN 22 ELSE 0 END AS DOUBLE), CAST(size <> '27' AS BIGINT) + CAST(refresh <> '144' AS BIGINT)
-        FROM parsed WHERE category = 'monitors'
-        UNION ALL
-        SELECT 3, id, CAST(100 - 30 - CASE WHEN cpu <> 'i5' THEN 20 ELSE 0 END - CASE WHEN storage <> '512gb' THEN 20 ELSE 0 END AS DOUBLE), 1 + CAST(cpu <> 'i5' AS BIGINT) + CAST(storage <> '512gb' AS BIGINT)
-        FROM parsed WHERE category = 'laptops'),
+        SELECT q.query_id, p.id AS product_id, CAST(100 - coalesce(sum(w.weight), 0) AS DOUBLE) AS score, count(w.weight) AS n_different
+        FROM asked q JOIN parsed p ON p.category = q.category AND p.brand = q.brand
+        LEFT JOIN weights w ON w.category = q.category AND CASE w.attribute WHEN 'model' THEN q.model IS NOT NULL AND p.model IS DISTINCT FROM q.model WHEN 'variant' THEN q.variant IS NOT NULL AND p.variant IS DISTINCT FROM q.variant
+            WHEN 'storage' THEN q.storage IS NOT NULL AND p.storage IS DISTINCT FROM q.storage WHEN 'color' THEN q.color IS NOT NULL AND p.color IS DISTINCT FROM q.color WHEN 'cpu' THEN q.cpu IS NOT NULL AND p.cpu IS DISTINCT FROM q.cpu
+            WHEN 'size' THEN q.size IS NOT NULL AND p.size IS DISTINCT FROM q.size ELSE q.refresh IS NOT NULL AND p.refresh IS DISTINCT FROM q.refresh END
+        GROUP BY q.query_id, p.id),
     scored AS (
         SELECT m.query_id, m.product_id, l.lowest, m.score, m.n_different, CASE WHEN m.score >= 100 THEN 'exact' WHEN m.score >= 85 THEN 'close' ELSE 'similar' END AS tier
         FROM match m LEFT JOIN lowest l ON l.product_id = m.product_id WHERE m.score >= 70)"""
 DELIST = f"""
     scraped AS (SELECT l.* FROM listings l JOIN stores s ON s.id = l.store_id WHERE s.owner_user_id IS NULL),
-    read AS (SELECT DISTINCT alias_id FROM readings WHERE checked_at >= TIMESTAMP '2000-06-01 00:00:00' OR store_id % 3 = 0),
+    read AS (SELECT alias_id FROM listings WHERE in_read),
     marked AS (
         SELECT s.*, r.alias_id IS NOT NULL AS here, s.checked_at >= TIMESTAMP '1999-06-01 00:00:00' AS is_fresh,
                r.alias_id IS NULL AND s.delisted_at IS NULL AND s.store_id % 7 <> 1 AS gone
@@ -73,8 +79,8 @@ DELIST = f"""
                CASE WHEN here THEN NULL WHEN gone AND NOT (refused AND is_fresh) THEN coalesce(delisted_at, {NOW}) ELSE delisted_at END AS delisted_at
         FROM marked m JOIN valve v ON v.store_id = m.store_id)"""
 UPDATE = """
-    old AS (SELECT alias_id, price, recorded_at FROM price_history WHERE back = 2),
-    seen AS (SELECT alias_id, price, availability, delivery_cost FROM listings WHERE store_id % 3 <> 0)"""
+    old AS (SELECT alias_id, price, availability, delivery_cost, checked_at AS recorded_at FROM prices),
+    seen AS (SELECT alias_id, price, availability, delivery_cost FROM listings WHERE in_read)"""
 CHANNELS = ", ".join(f"count(*) FILTER (WHERE channel = '{c}') AS {c}" for c in ("whatsapp", "call", "facebook", "instagram"))
 
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
@@ -102,12 +108,14 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT product_id, grp, alias_id, store_name, total FROM (
             SELECT *, row_number() OVER (PARTITION BY product_id, grp ORDER BY total, alias_id) AS rn FROM offers WHERE availability) WHERE rn = 1"""),
     "offered_products": (("stores", "listings", "products"), f"WITH {OFFERS} SELECT id, match_category FROM products p WHERE EXISTS (SELECT 1 FROM offers o WHERE o.product_id = p.id)"),
-    "browse_ranked": (("stores", "listings", "products"), f"WITH {OFFERS}, {RANKED} SELECT product_id, match_category, lowest, store_count FROM ranked JOIN products ON id = product_id"),
+    "browse_ranked": (("stores", "listings", "products"), f"WITH {OFFERS}, {RANKED} SELECT product_id, match_category, lowest, store_count FROM ranked JOIN products ON id = product_id WHERE match_category IS NOT NULL"),
     "families": (("stores", "listings", "products"), f"WITH {FAMILIES} SELECT product_id, match_category, variants FROM fam"),
     "category_counts": (("stores", "listings", "products"), f"WITH {FAMILIES} SELECT match_category, count(*) AS families FROM fam GROUP BY match_category"),
     "interleaved_browse": (("stores", "listings", "products"), f"""WITH {FAMILIES},
             turns AS (SELECT *, CAST(row_number() OVER (PARTITION BY match_category ORDER BY image_url IS NULL, lowest, product_id) AS INT) AS turn FROM fam)
         SELECT product_id, match_category, turn FROM turns ORDER BY turn, CASE match_category WHEN 'phones' THEN 0 WHEN 'laptops' THEN 1 ELSE 2 END LIMIT 24 OFFSET 6"""),
+    "seeded_shuffle": (("stores", "listings", "products"), f"""WITH {FAMILIES}
+        SELECT product_id, match_category, CAST(row_number() OVER (PARTITION BY match_category ORDER BY image_url IS NULL, md5(concat('7:', match_category, ':', product_id)), product_id) AS INT) AS place FROM fam"""),
     "offers_by_product": (("stores", "listings"), f"WITH {OFFERS} SELECT product_id, CAST(row_number() OVER (PARTITION BY product_id ORDER BY total, alias_id) AS INT) AS place, alias_id, total FROM offers"),
     "history_series": (("stores", "listings", "price_history"), f"""WITH {OFFERS}
         SELECT h.alias_id, o.store_name, CAST(h.price AS {M}) AS price, h.recorded_at, CAST(h.back AS INT) AS back FROM price_history h JOIN offers o ON o.alias_id = h.alias_id"""),
@@ -129,9 +137,9 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
                (SELECT count(*) FROM listings l WHERE l.store_id = s.id) AS listings, (SELECT count(*) FROM contact_events c WHERE c.store_id = s.id) AS taps
         FROM stores s"""),
     "pending_stores": (("stores",), "SELECT id, name FROM stores WHERE owner_user_id IS NOT NULL AND NOT is_verified AND NOT is_rejected"),
-    "admin_listings": (("listings", "products"), f"""
+    "admin_listings": (("listings", "prices", "products"), f"""
         SELECT a.alias_id, a.store_id, p.canonical_name, CAST(c.price AS {M}) AS price FROM listings a
-        LEFT JOIN (SELECT alias_id, price FROM listings WHERE price >= 1000) c ON c.alias_id = a.alias_id JOIN products p ON p.id = a.product_id"""),
+        LEFT JOIN prices c ON c.alias_id = a.alias_id JOIN products p ON p.id = a.product_id"""),
     "sitemap_rows": (("stores", "listings"), f"""WITH {OFFERS}
         SELECT product_id, max(checked_at) AS changed,
                concat('<url><loc>https://shop.example/product/', product_id, '</loc><lastmod>', strftime(max(checked_at), '%Y-%m-%dT%H:%M:%S+00:00'), '</lastmod></url>') AS xml
@@ -141,7 +149,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT newest, round((epoch({NOW}) - epoch(newest)) / 3600.0, 1) AS age_hours, CASE WHEN round((epoch({NOW}) - epoch(newest)) / 3600.0, 1) <= 14 THEN 'ok' ELSE 'stale' END AS status FROM m"""),
     "platform_stats": (("products", "stores", "listings", "users", "price_alerts", "contact_events"), " UNION ALL ".join(
         f"SELECT '{name}' AS entity, count(*) AS n FROM {view}" for name, view in (("products", "products"), ("stores", "stores"), ("listings", "listings"), ("users", "users"), ("alerts", "price_alerts"), ("taps", "contact_events")))),
-    "remaining_admins": (("users",), "SELECT count(*) AS admins FROM users WHERE role = 'admin' AND id <> 0"),
+    "remaining_admins": (("users",), "SELECT count(*) AS admins FROM users WHERE role = 'admin' AND is_verified"),
     "wishlist": (("stores", "listings", "products", "wishlist"), f"""WITH {OFFERS}, {LOWEST}
         SELECT w.user_id, w.product_id, p.canonical_name, l.lowest, CAST(row_number() OVER (PARTITION BY w.user_id ORDER BY w.created_at DESC, w.product_id) AS INT) AS place
         FROM wishlist w JOIN products p ON p.id = w.product_id LEFT JOIN lowest l ON l.product_id = w.product_id"""),
@@ -153,32 +161,34 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
             SELECT a.id, a.notified_at, CASE WHEN l.lowest IS NULL THEN 'keep' WHEN l.lowest > a.target_price AND a.notified_at IS NOT NULL THEN 'reset'
                        WHEN l.lowest <= a.target_price AND a.notified_at IS NULL AND coalesce(u.is_verified, false) THEN 'notify' ELSE 'keep' END AS wanted
             FROM price_alerts a LEFT JOIN lowest l ON l.product_id = a.product_id LEFT JOIN users u ON u.id = a.user_id WHERE a.is_active),
-        r AS (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY id) AS rn FROM s),
-        f AS (SELECT id, notified_at, CASE WHEN wanted = 'notify' AND rn > 500 THEN 'keep' ELSE wanted END AS action FROM r)
+        f AS (SELECT id, notified_at, wanted AS action FROM s)
         SELECT id, action, CASE action WHEN 'notify' THEN {NOW} WHEN 'reset' THEN NULL ELSE notified_at END AS notified_at FROM f"""),
     "duplicate_groups": (("products",), f"""WITH {PARSED}
-        SELECT match_category, min(id) AS survivor, count(*) AS members, arg_max(canonical_name, (length(canonical_name), -id)) AS best_name
-        FROM parsed GROUP BY match_category, brand, model, variant, cpu, storage, ram, size, resolution, refresh, panel, color HAVING count(*) > 1"""),
+        SELECT match_category, min(id) AS survivor, count(*) AS members,
+               coalesce(arg_max(canonical_name, (length(canonical_name), -id)) FILTER (WHERE canonical_name <> lower(canonical_name)), arg_max(canonical_name, (length(canonical_name), -id))) AS best_name
+        FROM parsed WHERE match_category IS NOT NULL GROUP BY match_category, brand, model, variant, cpu, storage, ram, size, resolution, refresh, panel, color HAVING count(*) > 1"""),
     "merged_wishes": (("products", "wishlist"), f"""WITH {PARSED}, s AS (
-            SELECT id, min(id) OVER (PARTITION BY match_category, brand, model, variant, cpu, storage, ram, size, resolution, refresh, panel, color) AS survivor FROM parsed),
+            SELECT id, min(id) OVER (PARTITION BY match_category, brand, model, variant, cpu, storage, ram, size, resolution, refresh, panel, color) AS survivor FROM parsed WHERE match_category IS NOT NULL),
         w AS (SELECT user_id, coalesce(s.survivor, product_id) AS product_id, user_id * 10000000 + wishlist.product_id AS id FROM wishlist LEFT JOIN s ON s.id = wishlist.product_id)
         SELECT user_id, product_id, min(id) AS id FROM w GROUP BY user_id, product_id"""),
-    "reconcile_delist": (("stores", "listings", "readings"), f"WITH {DELIST} SELECT alias_id, action, delisted_at FROM done"),
-    "delist_valve": (("stores", "listings", "readings"), f"WITH {DELIST} SELECT store_id, bool_or(refused) AS refused, count(*) FILTER (WHERE action = 'delist') AS delisted, count(*) FILTER (WHERE action = 'relist') AS relisted FROM done GROUP BY store_id"),
-    "price_snapshot": (("listings", "price_history"), f"""WITH {UPDATE}
-        SELECT coalesce(s.alias_id, o.alias_id) AS alias_id, CAST(coalesce(s.price, o.price) AS {M}) AS price, CASE WHEN s.alias_id IS NOT NULL THEN s.availability ELSE true END AS availability,
-               CAST(CASE WHEN s.alias_id IS NOT NULL THEN s.delivery_cost ELSE 0 END AS {M}) AS delivery_cost,
-               CASE WHEN s.alias_id IS NOT NULL AND (o.alias_id IS NULL OR s.price <> o.price OR NOT s.availability OR s.delivery_cost <> 0) THEN {NOW} ELSE o.recorded_at END AS last_updated,
+    "reconcile_delist": (("stores", "listings"), f"WITH {DELIST} SELECT alias_id, action, delisted_at FROM done"),
+    "delist_valve": (("stores", "listings"), f"WITH {DELIST} SELECT store_id, bool_or(refused) AS refused, count(*) FILTER (WHERE action = 'delist') AS delisted, count(*) FILTER (WHERE action = 'relist') AS relisted FROM done GROUP BY store_id"),
+    "price_snapshot": (("listings", "prices"), f"""WITH {UPDATE}
+        SELECT coalesce(s.alias_id, o.alias_id) AS alias_id, CAST(coalesce(s.price, o.price) AS {M}) AS price, coalesce(s.availability, o.availability) AS availability,
+               CAST(coalesce(s.delivery_cost, o.delivery_cost) AS {M}) AS delivery_cost,
+               CASE WHEN s.alias_id IS NOT NULL AND (o.alias_id IS NULL OR s.price <> o.price OR s.availability <> o.availability OR s.delivery_cost <> o.delivery_cost) THEN {NOW} ELSE o.recorded_at END AS last_updated,
                CASE WHEN s.alias_id IS NOT NULL THEN {NOW} ELSE o.recorded_at END AS checked_at
         FROM old o FULL JOIN seen s ON s.alias_id = o.alias_id"""),
-    "price_changes": (("listings", "price_history"), f"WITH {UPDATE} SELECT o.alias_id, CAST(o.price AS {M}) AS price, {NOW} AS recorded_at FROM old o JOIN seen s ON s.alias_id = o.alias_id WHERE s.price <> o.price"),
-    "prune_guard": (("products", "wishlist", "price_alerts"), "SELECT id AS product_id FROM products WHERE id % 9 = 0 INTERSECT (SELECT product_id FROM wishlist UNION SELECT product_id FROM price_alerts)"),
-    "orphan_products": (("products", "listings"), "SELECT id FROM products p WHERE NOT EXISTS (SELECT 1 FROM listings l WHERE l.product_id = p.id AND l.store_id % 5 = 0)"),
-    "listing_count_per_store": (("stores", "listings"), "SELECT id, name, (SELECT count(*) FROM listings l WHERE l.store_id = s.id AND l.price > 2000) AS n FROM stores s"),
-    "referenced_union": (("products", "wishlist", "price_alerts"), "SELECT product_id, count(*) AS n FROM (SELECT product_id FROM wishlist UNION ALL SELECT product_id FROM price_alerts) WHERE product_id IN (SELECT id FROM products WHERE id % 9 = 0) GROUP BY product_id"),
+    "price_changes": (("listings", "prices"), f"WITH {UPDATE} SELECT o.alias_id, CAST(o.price AS {M}) AS price, {NOW} AS recorded_at FROM old o JOIN seen s ON s.alias_id = o.alias_id WHERE s.price <> o.price"),
+    "prune_guard": (("products", "wishlist", "price_alerts"), f"WITH {PARSED} SELECT id AS product_id FROM parsed WHERE category IS NULL INTERSECT (SELECT product_id FROM wishlist UNION SELECT product_id FROM price_alerts)"),
+    "pruned_products": (("products", "wishlist", "price_alerts"), f"WITH {PARSED} SELECT id FROM parsed WHERE category IS NOT NULL OR id IN (SELECT product_id FROM wishlist UNION SELECT product_id FROM price_alerts)"),
+    "prune_report": (("products",), f"WITH {PARSED} SELECT coalesce(match_category, '-') AS stored, count(*) AS n FROM parsed WHERE category IS NULL GROUP BY 1"),
+    "orphan_products": (("products", "listings"), "SELECT id FROM products p WHERE NOT EXISTS (SELECT 1 FROM listings l WHERE l.product_id = p.id)"),
+    "listing_count_per_store": (("stores", "listings"), "SELECT id, name, (SELECT count(*) FROM listings l WHERE l.store_id = s.id) AS n FROM stores s"),
+    "referenced_union": (("products", "wishlist", "price_alerts"), "SELECT product_id, count(*) AS n FROM (SELECT product_id FROM wishlist UNION ALL SELECT product_id FROM price_alerts) WHERE product_id IN (SELECT id FROM products) GROUP BY product_id"),
     "one_pending_run": ((), """SELECT id, CASE WHEN rn = 1 THEN status ELSE 'failed' END AS status FROM (
             SELECT *, row_number() OVER (ORDER BY status <> 'running', id DESC) AS rn FROM (
-                SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'done' END AS status FROM orders WHERE o_orderkey % 50 = 0) WHERE status <> 'done')"""),
+                SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'done' END AS status FROM orders) WHERE status <> 'done')"""),
     "parse_attributes": (("products",), f"WITH {PARSED} SELECT id, category, brand, model, variant, cpu, storage, ram, size, resolution, refresh, panel, color FROM parsed"),
     "score_tiers": (("stores", "listings", "products"), f"WITH {SCORED} SELECT query_id, product_id, tier, score, n_different FROM scored"),
     "tier_paging": (("stores", "listings", "products"), f"""WITH {SCORED}
@@ -186,7 +196,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
             SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY lowest IS NULL, lowest, product_id) - 1 AS place, count(*) OVER (PARTITION BY query_id, tier) AS tier_count FROM scored)
         WHERE place >= 2 AND place < 8"""),
     "suggest": (("stores", "listings", "products"), f"""WITH {OFFERS}
-        SELECT id, canonical_name FROM products p WHERE (lower(canonical_name) LIKE '%iphone 1%' OR lower(canonical_name) LIKE '%ultra%') AND EXISTS (SELECT 1 FROM offers o WHERE o.product_id = p.id)
+        SELECT id, canonical_name FROM products p WHERE match_category IS NOT NULL AND (lower(canonical_name) LIKE '%iphone 1%' OR lower(canonical_name) LIKE '%ultra%') AND EXISTS (SELECT 1 FROM offers o WHERE o.product_id = p.id)
         ORDER BY length(canonical_name), id LIMIT 8"""),
     "link_prepare": ((), r"""WITH u AS (SELECT page_id % 5 AS store_id, concat(CASE WHEN page_id % 4 = 0 THEN 'http' ELSE 'https' END, '://shop.example', CASE WHEN page_id % 3 = 0 THEN '/pages/p' ELSE '/products/p' END, page_id) AS url FROM pages)
         SELECT DISTINCT store_id, url, nullif(regexp_extract(url, '^https?://[^/]+/products/([^/]+)/?$', 1), '') AS handle, regexp_matches(url, '^https://shop\.example/products/[^/]+/?$') AS well_formed FROM u"""),
@@ -196,10 +206,10 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
                      count(*) FILTER (WHERE v = 'gone') AS gone, count(*) FILTER (WHERE v = 'unknown') AS unknown, count(*) AS checked FROM j GROUP BY store_id)
         SELECT *, gone + variant_gone > greatest(3, floor(checked * 0.2)) AS mass_removal FROM c"""),
     "rate_window": ((), "SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > 3"),
-    "resolve_listings": (("products",), f"""WITH {PARSED}
-        SELECT f.id AS listing, (SELECT min(k.id) FROM parsed k WHERE k.id % 4 = 0 AND k.category = f.category AND k.brand = f.brand AND k.model IS NOT DISTINCT FROM f.model
+    "resolve_listings": (("products", "prices"), f"""WITH {PARSED}
+        SELECT f.id AS listing, (SELECT min(k.id) FROM parsed k WHERE EXISTS (SELECT 1 FROM prices r WHERE r.product_id = k.id) AND k.category = f.category AND k.brand IS NOT DISTINCT FROM f.brand AND k.model IS NOT DISTINCT FROM f.model
             AND k.variant IS NOT DISTINCT FROM f.variant AND k.cpu IS NOT DISTINCT FROM f.cpu AND k.storage IS NOT DISTINCT FROM f.storage AND k.ram IS NOT DISTINCT FROM f.ram
             AND k.size IS NOT DISTINCT FROM f.size AND k.resolution IS NOT DISTINCT FROM f.resolution AND k.refresh IS NOT DISTINCT FROM f.refresh AND k.panel IS NOT DISTINCT FROM f.panel
             AND k.color IS NOT DISTINCT FROM f.color) AS resolved_product
-        FROM parsed f WHERE f.id % 4 <> 0"""),
+        FROM parsed f"""),
 }

@@ -1,18 +1,25 @@
 """The catalogue's entities as views over the star-schema tables.
 
 Each view is one SELECT that Spark and DuckDB both run, so a query and its SQL start from the
-same rows: suppliers are shops, parts products, line items price readings (the newest of a part
-and supplier is the current offer), events contact taps, orders price alerts and wishes.
+same rows: suppliers are shops, parts products (a quarter of them with titles of all kinds,
+``sources/titles.py``; some that no shop lists), line items price readings (the newest of a part
+and supplier is the current offer, the one before it the price as stored until then; a shop's last
+read holds the ``in_read`` ones), events contact taps, orders price alerts and wishes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bazaarlens.sources.titles import TITLES, values
+
 #: Freshness of the synthetic readings: a reading from this time on counts as current.
 FRESH = "TIMESTAMP '2000-01-01 00:00:00'"
 NOW = "TIMESTAMP '2024-01-30 00:00:00'"
 
+#: Products that no shop lists any more have ids from here on.
+UNLISTED = 10_000_000
+
 VIEWS = {
     "stores": """
         SELECT s_suppkey AS id, s_name AS name, CAST(CASE WHEN s_suppkey % 17 = 16 THEN 0 ELSE 1 END AS INT) AS is_active,
@@ -25,25 +32,28 @@ VIEWS = {
                CASE l_returnflag WHEN 'R' THEN 'used' WHEN 'A' THEN 'refurbished' ELSE 'new' END AS condition,
                CASE WHEN l_discount >= 0.09 THEN l_shipdate END AS delisted_at, l_shipdate AS checked_at,
                ROW_NUMBER() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC) AS back,
-               l_orderkey AS order_key, l_linenumber AS line_number
+               l_orderkey AS order_key, l_linenumber AS line_number, l_quantity < 40 AS in_read
         FROM lineitem""",
-    "listings": "SELECT alias_id, product_id, store_id, price, delivery_cost, availability, condition, delisted_at, checked_at FROM readings WHERE back = 1",
+    "listings": "SELECT alias_id, product_id, store_id, price, delivery_cost, availability, condition, delisted_at, checked_at, in_read FROM readings WHERE back = 1",
+    "prices": "SELECT alias_id, product_id, store_id, price, delivery_cost, availability, condition, checked_at FROM readings WHERE back = 2",
     "price_history": "SELECT alias_id, product_id, store_id, price, checked_at AS recorded_at, back, order_key, line_number FROM readings",
-    "products": """
-        SELECT id, title AS canonical_name, CASE k WHEN 0 THEN 'phones' WHEN 1 THEN 'laptops' ELSE 'monitors' END AS match_category,
-               CASE WHEN id % 5 <> 0 THEN concat('https://img.example/', CAST(id AS VARCHAR(12)), '.jpg') END AS image_url
-        FROM (SELECT id, k, CASE k
+    "products": f"""
+        SELECT id, coalesce(known.title, y.title) AS canonical_name, CASE WHEN y.golden IS NOT NULL THEN known.category WHEN k = 0 THEN 'phones' WHEN k = 1 THEN 'laptops' ELSE 'monitors' END AS match_category,
+               CASE WHEN id % 5 <> 0 THEN concat('https://img.example/', CAST(id AS VARCHAR(12)), '.jpg') END AS image_url, y.golden
+        FROM (SELECT id, k, CASE WHEN m % 4 = 3 THEN (m * 5 + k * 13) % {len(TITLES)} END AS golden, CASE k
             WHEN 0 THEN concat(CASE WHEN m % 2 = 0 THEN 'Apple ' ELSE '' END, 'iPhone ', CAST(11 + m % 6 AS VARCHAR(4)),
-                CASE m % 4 WHEN 0 THEN '' WHEN 1 THEN ' Pro' WHEN 2 THEN ' Pro Max' ELSE ' Plus' END, ' ',
+                CASE m % 8 WHEN 0 THEN '' WHEN 1 THEN ' Pro' WHEN 2 THEN ' Pro Max' ELSE ' Plus' END, ' ',
                 CASE m % 3 WHEN 0 THEN '128GB' WHEN 1 THEN '256GB' ELSE '1TB' END, ' ',
                 CASE m % 5 WHEN 0 THEN 'Black' WHEN 1 THEN 'Midnight' WHEN 2 THEN 'Midnight Green' WHEN 3 THEN 'Grey' ELSE 'Blue' END)
             WHEN 1 THEN concat('Dell Inspiron ', CAST(5400 + m % 7 AS VARCHAR(6)), ' Laptop Intel Core i', CASE m % 3 WHEN 0 THEN '3' WHEN 1 THEN '5' ELSE '7' END,
-                ' ', CASE m % 2 WHEN 0 THEN '8GB' ELSE '16GB' END, ' DDR4 & ', CASE m % 4 WHEN 0 THEN '256GB' WHEN 1 THEN '512GB' ELSE '1TB' END, ' SSD ',
+                ' ', CASE m % 2 WHEN 0 THEN '8GB' ELSE '16GB' END, ' DDR4 & ', CASE m % 8 WHEN 0 THEN '256GB' WHEN 1 THEN '512GB' ELSE '1TB' END, ' SSD ',
                 CASE m % 2 WHEN 0 THEN 'Silver' ELSE 'Black' END)
             ELSE concat('LG UltraGear ', CASE m % 3 WHEN 0 THEN '24' WHEN 1 THEN '27' ELSE '32' END, ' inch ',
-                CASE m % 4 WHEN 0 THEN 'FHD' WHEN 1 THEN 'QHD' WHEN 2 THEN '4K' ELSE 'UHD' END, ' ', CASE m % 2 WHEN 0 THEN '75' ELSE '144' END, 'Hz IPS Monitor')
+                CASE m % 8 WHEN 0 THEN 'FHD' WHEN 1 THEN 'QHD' WHEN 2 THEN '4K' ELSE 'UHD' END, ' ', CASE m % 2 WHEN 0 THEN '75' ELSE '144' END, 'Hz IPS Monitor')
             END AS title
-            FROM (SELECT p_partkey AS id, p_partkey % 3 AS k, CAST(floor(p_partkey / 3) AS BIGINT) AS m FROM part) z) y""",
+            FROM (SELECT p_partkey AS id, p_partkey % 3 AS k, CAST(floor(p_partkey / 3) AS BIGINT) AS m FROM part
+                  UNION ALL SELECT {UNLISTED} + p_partkey, p_partkey % 3, CAST(floor(p_partkey / 3) AS BIGINT) FROM part WHERE p_size = 7) z) y
+        LEFT JOIN {values('title', 'category')} ON known.golden = y.golden""",
     "contact_events": """
         SELECT event_id AS id, user_id % (SELECT count(*) FROM supplier) AS store_id,
                CASE WHEN event_id % 7 <> 0 THEN CAST({json}(props, '$.k') AS BIGINT) END AS product_id,
@@ -62,10 +72,10 @@ VIEWS = {
 
 #: Base tables that each view reads, itself and through other views.
 USES = {
-    "stores": ("supplier",), "readings": ("lineitem",), "listings": ("lineitem",), "price_history": ("lineitem",), "products": ("part",),
+    "stores": ("supplier",), "readings": ("lineitem",), "listings": ("lineitem",), "prices": ("lineitem",), "price_history": ("lineitem",), "products": ("part",),
     "contact_events": ("events", "supplier"), "price_alerts": ("orders", "lineitem"), "wishlist": ("orders", "lineitem"), "users": ("customer",),
 }
-PARENTS = {"listings": ("readings",), "price_history": ("readings",), "wishlist": ("price_alerts",)}
+PARENTS = {"listings": ("readings",), "prices": ("readings",), "price_history": ("readings",), "wishlist": ("price_alerts",)}
 JSON_VALUE = {"spark": "get_json_object", "duckdb": "json_extract_string"}
 
 
