@@ -11,10 +11,13 @@ drops grams that occur once.  The anchors left fetch their bytes, meet again by
 tasks sort their windows by further digits, each a 64-bit fingerprint of 25 bytes, dropping
 windows that stand alone after each pass.  Anchors with equal contexts are settled at once.
 
-A gram that more than ``COMMON`` anchors hold (the first shuffle tells them, as it counts) is dealt
-over as many tasks as it fills; its windows go on as rows and Spark groups them, with combining
-aggregates.  So do the windows of any gram with more than ``GROUP`` anchors that is not among the
-``MOST`` largest ones, which alone are broadcast.
+A gram of more anchors than a task's share of all, and of more than ``COMMON``, is dealt over as
+many tasks as it fills, in both shuffles.  For the first one a sample of the texts tells these
+grams: one that the sample holds twice is shared for certain, so its anchors need not meet to be
+kept.  For the second one the first shuffle has counted the others.  The sample changes where
+anchors go and nothing else.  Windows of dealt-out grams go on as rows, and Spark groups them with
+combining aggregates; so do the windows of any gram with more than ``GROUP`` anchors that is not
+among the ``MOST`` largest, which alone are broadcast.
 
 Texts are written once, in buckets of their row numbers, and never move again: the anchors of a
 text and the runs to remove are shuffled to them.  Both are gathered by text, as the text itself is.
@@ -45,6 +48,8 @@ WINDOW, GRAM, DIGIT = 100, 16, 25
 GROUP, AT_ONCE, WINDOWS = 100_000, 4096, 400_000
 #: Anchors of one gram that go to one task, and the grams of more that are dealt out, the largest first.
 COMMON, MOST = 1 << 14, 100_000
+#: One text in so many is read before to find common grams.
+SAMPLE = 64
 _NONE = np.iinfo(np.int64).max
 
 
@@ -93,8 +98,9 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(common: int):
-    """Of rows sorted by gram, those whose gram the row before or after has, too.  A gram of more
-    than ``common`` rows is counted: a row with the count for its row and no place follows it."""
+    """Of rows sorted by gram, those whose gram the row before or after has, too, and all ``hot``
+    ones.  Another gram of more than ``common`` rows is counted: a row with the count for its row
+    number and no place follows it."""
     names = ["gram", "row", "at"]
 
     def counted(grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -105,6 +111,9 @@ def _shared(common: int):
         held: pa.RecordBatch | None = None
         n = 0  # rows so far of the gram of the row that waits, itself included
         for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(batch.column("hot")).select(names)
+                batch = batch.filter(pa.compute.invert(batch.column("hot"))).select(names)
             if not batch.num_rows:
                 continue
             table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
@@ -297,10 +306,10 @@ def _sort(group_limit: int):
     return sort
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP, common: int = COMMON) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP, common: int = COMMON, sample: int = SAMPLE) -> DataFrame:
     """``row, spans``: for each text with repeats the maximal runs of bytes to remove, as
     structs of start and stop."""
-    return _spans(*_texts(docs, id_col, text_col), group_limit, common)
+    return _spans(*_texts(docs, id_col, text_col), group_limit, common, sample)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Scratch]:
@@ -311,19 +320,27 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Scra
     return texts, scratch
 
 
-def _spans(texts: DataFrame, scratch: Scratch, group_limit: int, common: int) -> DataFrame:
-    found = texts.select("row", "text").mapInArrow(_find, "gram long, row long, at long")
-    shared = scratch.table(found.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared(common), "gram long, row long, at long"), "shared")
+def _spans(texts: DataFrame, scratch: Scratch, group_limit: int, common: int, sample: int) -> DataFrame:
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    find = lambda df: df.select("row", "text").mapInArrow(_find, "gram long, row long, at long")
+    seen = find(texts.filter(F.pmod(F.xxhash64("row"), F.lit(sample)) == 0)).groupBy("gram").agg(F.count("*").alias("n"))
+    seen = scratch.table(seen, "seen")
+    most = max(common, (seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * sample) // tasks)
+    largest = lambda df: df.filter(F.col("n") > most).orderBy(F.desc("n"), "gram").limit(MOST)
+    hot = scratch.table(largest(seen.filter("n > 1").select("gram", (F.col("n") * sample).alias("n"))), "hot")
+    # A common gram's anchors are dealt by row over n / most tasks.
+    deal = lambda known: F.when(known, F.xxhash64("gram", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / most)))).otherwise(F.col("gram")).alias("deal")
+    found = find(texts).join(F.broadcast(hot), "gram", "left").select("gram", "row", "at", F.col("n").isNotNull().alias("hot"), deal(F.col("n").isNotNull()))
+    shared = found.repartition("deal").drop("deal").sortWithinPartitions("gram").mapInArrow(_shared(common), "gram long, row long, at long")
+    shared = scratch.table(shared, "shared")
     scratch.release()
-    counted = shared.filter("at is null").select("gram", F.col("row").alias("n")).orderBy(F.desc("n"), "gram").limit(MOST)
-    lists = shared.filter("at is not null").groupBy("row").agg(F.collect_list(F.struct("at", "gram")).alias("anchors"))
+    counted, placed = largest(shared.filter("at is null").select("gram", F.col("row").alias("n"))), shared.filter("at is not null")
+    lists = placed.groupBy("row").agg(F.collect_list(F.struct("at", "gram")).alias("anchors"))
     kind = texts.schema["id"].dataType.simpleString()
     around = texts.join(lists.hint("shuffle_hash"), "row").select("row", "id", "text", "anchors")
     around = around.mapInArrow(_contexts, f"gram long, id {kind}, row long, at long, full long, bytes binary")
-    # A common gram's anchors are dealt by row over n / common tasks, equal contexts one after the other.
-    around = around.join(F.broadcast(counted), "gram", "left").withColumn("common", F.col("n").isNotNull())
-    deal = F.when(F.col("common"), F.xxhash64("gram", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / common)))).otherwise(F.col("gram"))
-    dealt = around.withColumn("deal", deal).drop("n").repartition("deal")
+    around = around.join(F.broadcast(counted.unionByName(hot)), "gram", "left").withColumn("common", F.col("n").isNotNull())
+    dealt = around.withColumn("deal", deal(F.col("common"))).drop("n").repartition("deal")
     ordered = dealt.sortWithinPartitions("gram", F.when(F.col("common"), F.col("full")), F.asc_nulls_first("id"), "row", "at").drop("deal")
     out = scratch.table(ordered.mapInArrow(_sort(group_limit), FOUND), "repeats")
     scratch.drop("shared")
@@ -359,10 +376,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), part.column(2), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "spans", "kept"])
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP, common: int = COMMON) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP, common: int = COMMON, sample: int = SAMPLE) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, spans, and the bytes that are left."""
     texts, scratch = _texts(docs, id_col, text_col)
-    joined = texts.join(_spans(texts, scratch, group_limit, common).hint("shuffle_hash"), "row", "left").select("id", "text", "spans")
+    joined = texts.join(_spans(texts, scratch, group_limit, common, sample).hint("shuffle_hash"), "row", "left").select("id", "text", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(_remove, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
 

@@ -108,8 +108,8 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize(("limit", "common"), [(100_000, 1 << 14), (3, 1 << 14), (100_000, 4), (3, 9)])
-def test_removed_bytes_equal_brute_force(spark, tmp_path, limit, common):
+@pytest.mark.parametrize(("limit", "common", "sample"), [(100_000, 1 << 14, 64), (3, 1 << 14, 64), (100_000, 4, 64), (3, 9, 1), (100_000, 4, 2)])
+def test_removed_bytes_equal_brute_force(spark, tmp_path, limit, common, sample):
     rng = random.Random(8)
     text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     passages = [text(n) for n in (99, 100, 101, 160, 400)]
@@ -121,7 +121,7 @@ def test_removed_bytes_equal_brute_force(spark, tmp_path, limit, common):
         rows.append((i, "".join(parts)))
     rows += [(60, "ab" * 300), (61, "z" * 250), (62, None), (63, ""), (64, rows[3][1]), (65, "b" + "ab" * 90)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
-    got = suffix_dedup.digest(suffix_dedup.removed(spark.read.parquet(str(tmp_path / "d")), group_limit=limit, common=common)).collect()
+    got = suffix_dedup.digest(suffix_dedup.removed(spark.read.parquet(str(tmp_path / "d")), group_limit=limit, common=common, sample=sample)).collect()
     assert sorted(map(tuple, got)) == sorted(brute(rows))
 
 
