@@ -18,6 +18,12 @@ def anomalies(history: DataFrame, since: Column, order: list[str], percent: int
     return out.withColumn("change_percent", F.round(change, 3)).filter(change > percent)
 
 
+def anomaly_report(found: DataFrame, products: DataFrame, stores: DataFrame) -> DataFrame:
+    """Anomalies with the names of their products and shops."""
+    named = found.join(products.select(F.col("id").alias("product_id"), "canonical_name"), "product_id")
+    return named.join(stores.select(F.col("id").alias("store_id"), F.col("name").alias("store_name")), "store_id")
+
+
 def history_series(history: DataFrame, offers: DataFrame) -> DataFrame:
     """History of listings that have a current offer, with the shop."""
     return history.join(offers.select("alias_id", "store_name"), "alias_id")
@@ -28,6 +34,13 @@ def history_extents(history: DataFrame) -> DataFrame:
     return history.groupBy("product_id").agg(F.min("price").alias("low"), F.max("price").alias("high"), F.count("*").alias("points"))
 
 
+def chart(history: DataFrame, offers: DataFrame) -> DataFrame:
+    """``history_extents`` with the least total in stock of each group of offers, where there is one."""
+    stocked = lambda group: F.min(F.when(F.col("availability") & (F.col("grp") == group), F.col("total")))
+    least = offers.groupBy("product_id").agg(stocked("new").alias("new_from"), stocked("second_hand").alias("second_hand_from"))
+    return history_extents(history).join(least, "product_id", "left")
+
+
 def by_channel(taps: DataFrame, *keys: str) -> DataFrame:
     """Taps per channel, zero where there are none, and their total."""
     counts = [F.count_if(F.col("channel") == c).alias(c) for c in CHANNELS]

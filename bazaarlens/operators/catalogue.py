@@ -50,10 +50,13 @@ def category_ordinal(category: Column) -> Column:
 
 
 def interleaved(family_rows: DataFrame, offset: int, limit: int) -> DataFrame:
-    """A page of all categories in turn: first of each, second of each, and so on."""
+    """A page of all categories in turn: first of each, second of each, and so on; with the number
+    of all families and whether there are more beyond the page."""
     turn = F.row_number().over(W.partitionBy("match_category").orderBy(*browse_order()))
     turns = family_rows.withColumn("turn", turn).filter(F.col("turn") <= offset + limit)
-    return turns.orderBy("turn", category_ordinal(F.col("match_category"))).offset(offset).limit(limit)
+    page = turns.orderBy("turn", category_ordinal(F.col("match_category"))).offset(offset).limit(limit)
+    total = family_rows.agg(F.count("*").alias("total"))  # one row
+    return page.join(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
 
 
 def seeded_shuffle(rows: DataFrame, seed: int, id_col: str = "product_id") -> DataFrame:

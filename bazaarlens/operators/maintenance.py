@@ -94,12 +94,28 @@ def pruned(products: DataFrame, reparsed: DataFrame, *references: DataFrame, par
     return products.join(doomed.join(kept, "id", "left_anti"), "id", "left_anti")
 
 
+def safe_handle(handle: Column) -> Column:
+    """Whether a handle may stand in an address: at most 255 characters, no two dots in a row, and
+    none that ends or escapes a part of a path."""
+    plain = (F.length(handle) <= 255) & handle.rlike(r"^[^\s/\\?#%\x00-\x1f\x7f]+$")
+    return F.coalesce(plain & ~F.contains(handle, F.lit("..")), F.lit(False))
+
+
+def select_links(offers: DataFrame, per_store: int | None = None) -> DataFrame:
+    """Links to audit: those of current offers of scraped shops, one row per shop and address, with
+    its listings and their keys; of each shop the first ``per_store`` in order."""
+    out = offers.filter("owner_user_id is null and url is not null").groupBy("store_id", "url").agg(F.count("*").alias("listings"), F.sort_array(F.collect_list(F.struct("alias_id", "store_product_id"))).alias("keys"))
+    if per_store:
+        out = out.withColumn("rn", F.row_number().over(W.partitionBy("store_id").orderBy("url"))).filter(F.col("rn") <= per_store).drop("rn")
+    return out
+
+
 def prepared_links(listings: DataFrame, hosts: tuple[str, ...], per_store: int | None = None) -> DataFrame:
     """Distinct links per shop with their listings; whether each has the shape of a product
     page on an allowed host, and its handle."""
     host, path = F.try_parse_url("url", F.lit("HOST")), F.try_parse_url("url", F.lit("PATH"))
     handle = F.nullif(F.regexp_extract(path, r"^/products/([^/]+)/?$", 1), F.lit(""))
-    fine = (F.try_parse_url("url", F.lit("PROTOCOL")) == "https") & host.isin(*hosts) & handle.isNotNull()
+    fine = (F.try_parse_url("url", F.lit("PROTOCOL")) == "https") & host.isin(*hosts) & safe_handle(handle)
     out = listings.groupBy("store_id", "url").agg(F.count("*").alias("listings")).withColumn("handle", handle).withColumn("well_formed", F.coalesce(fine, F.lit(False)))
     if per_store:
         out = out.withColumn("rn", F.row_number().over(W.partitionBy("store_id").orderBy("url"))).filter(F.col("rn") <= per_store).drop("rn")

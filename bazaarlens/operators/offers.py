@@ -49,6 +49,7 @@ def price_summary(offers: DataFrame) -> DataFrame:
     return offers.filter("availability").groupBy("product_id", "grp").agg(
         F.min("price").alias("lowest_price"), F.max("price").alias("highest_price"), F.min("total").alias("lowest_total"),
         F.min_by("store_name", F.struct("total", "alias_id")).alias("best_store"), F.countDistinct("store_id").alias("store_count"),
+        F.sort_array(F.collect_list("price")).alias("prices"), F.sort_array(F.collect_list("total")).alias("totals"),  # a value a shop
     )
 
 

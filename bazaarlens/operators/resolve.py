@@ -38,11 +38,16 @@ def new_products(unresolved: DataFrame, next_id: int, order: list[str]) -> DataF
     ``order``: numbered by two-level ranks, so no task orders all rows."""
     key = F.coalesce("identity", F.concat_ws("|", F.lit("row"), *[F.col(c).cast("string") for c in order]))
     rows = unresolved.withColumn("new_key", key).withColumn("rn", F.row_number().over(W.partitionBy("new_key").orderBy(*order))).filter("rn = 1").drop("rn")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("new_key"), F.lit(256)))
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(W.partitionBy("part").orderBy("new_key"))
-    return rows.join(before, "part").withColumn("id", next_id + F.col("before") + rank - 1).drop("part", "before")
+    return numbered(rows, ["new_key"], next_id, "id")
+
+
+def numbered(rows: DataFrame, key: list[str], next_id: int, name: str) -> DataFrame:
+    """Rows numbered from ``next_id``, by two-level ranks over hash ranges of their key."""
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(*key), F.lit(256)))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    rank = F.row_number().over(W.partitionBy("__part").orderBy(*key))
+    return rows.join(before, "__part").withColumn(name, next_id + F.col("__before") + rank - 1).drop("__part", "__before")
 
 
 def price_changes(now_rows: DataFrame, current: DataFrame, read_at: Column) -> tuple[DataFrame, DataFrame]:
@@ -67,11 +72,16 @@ def run_counters(feed: DataFrame) -> DataFrame:
     return out.withColumn("may_delist", F.col("complete") & (F.col("seen") > 0) & ~(2 * F.col("failed") > F.col("seen")))
 
 
-def reconcile(aliases: DataFrame, read: DataFrame, runs: DataFrame, fresh_since: Column, now: Column, floor: int = FLOOR, share: float = SHARE) -> DataFrame:
+def reconcile(aliases: DataFrame, read: DataFrame, runs: DataFrame, fresh_since: Column, now: Column, floor: int = FLOOR, share: float = SHARE, skus: DataFrame | None = None) -> DataFrame:
     """Aliases of scraped shops with ``action`` (relist, delist, keep) and the new
     ``delisted_at``.  Per shop, more fresh candidates than the floor and the share of showing
-    listings are refused: only stale ones go.  ``read``: alias_id of all rows that were read."""
+    listings are refused: only stale ones go.  ``read``: alias_id of all rows that were read;
+    ``skus``: store_id and store_product_id of all rows of the feed, also of those that were not
+    taken in: an alias of one of them is there, too."""
     marked = aliases.join(read.select("alias_id", F.lit(True).alias("__here")), "alias_id", "left").join(runs.select("store_id", "may_delist"), "store_id", "left")
+    if skus is not None:
+        named = skus.select("store_id", "store_product_id").distinct().withColumn("__named", F.lit(True))
+        marked = marked.join(named, ["store_id", "store_product_id"], "left").withColumn("__here", F.coalesce("__here", "__named")).drop("__named")
     here, showing = F.coalesce("__here", F.lit(False)), F.col("delisted_at").isNull()
     gone = ~here & showing & F.coalesce("may_delist", F.lit(False))
     marked = marked.withColumn("gone", gone).withColumn("fresh", F.col("checked_at") >= fresh_since)

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from bazaarlens.functions.normalize import contains_folded
-from bazaarlens.functions.score import score_match
+from bazaarlens.functions.parse import with_parsed
+from bazaarlens.functions.score import differences, score_match
+from bazaarlens.functions.spelling import accepted, correct
+from bazaarlens.session import settled
 
 TIERS = ("exact", "close", "similar")
+#: Queries that are broadcast at once.
+BATCH = 1000
 
 
 def candidates(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -24,12 +31,13 @@ def candidates(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def scored(pairs: DataFrame) -> DataFrame:
     """Candidates with their match, the excluded left out.  A query that no candidate answers
-    keeps all of its candidates, unscored, as similar."""
+    keeps all of its candidates, unscored and without differences, as similar."""
     out = pairs.withColumn("match", score_match(F.col("q"), F.col("c")))
     usable = out.groupBy(F.col("query_id").alias("of_query")).agg(F.max((F.col("match.tier") != "excluded").cast("int")).alias("usable"))
     out = out.join(F.broadcast(usable), F.col("query_id").eqNullSafe(F.col("of_query"))).drop("of_query")
     kept = out.filter((F.col("match.tier") != "excluded") | (F.col("usable") == 0))
-    return kept.withColumn("tier", F.when(F.col("usable") == 0, "similar").otherwise(F.col("match.tier"))).withColumn("score", F.col("match.score")).drop("usable")
+    return kept.withColumn("tier", F.when(F.col("usable") == 0, "similar").otherwise(F.col("match.tier"))).withColumn("score", F.when(F.col("usable") == 0, 0.0).otherwise(F.col("match.score"))).withColumn(
+        "differences", F.when(F.col("usable") == 0, F.slice(F.col("match.comparisons"), 1, 0)).otherwise(differences(F.col("match")))).drop("usable")
 
 
 def sort_keys(name: str) -> list[Column]:
@@ -44,11 +52,13 @@ def sort_keys(name: str) -> list[Column]:
 
 
 def tier_page(results: DataFrame, sort: str = "price_asc", start: int = 0, stop: int = 10) -> DataFrame:
-    """Rows [start, stop) of each tier of each query, with the tier's full count."""
+    """Rows [start, stop) of each tier of each query, with the tier's full count, and whether any
+    tier of the query has more."""
     by = W.partitionBy("query_id", "tier")
     out = results.withColumn("place", F.row_number().over(by.orderBy(*sort_keys(sort))) - 1)
     counts = results.groupBy("query_id", "tier").agg(F.count("*").alias("tier_count"))
-    return out.filter((F.col("place") >= start) & (F.col("place") < stop)).join(counts, ["query_id", "tier"])
+    more = counts.groupBy("query_id").agg(F.bool_or(F.col("tier_count") > stop).alias("has_more"))
+    return out.filter((F.col("place") >= start) & (F.col("place") < stop)).join(counts, ["query_id", "tier"]).join(more, "query_id")
 
 
 def by_name(products: DataFrame, terms: list[Column], names: list[str]) -> DataFrame:
@@ -65,3 +75,38 @@ def suggestions(products: DataFrame, offers: DataFrame, terms: list[Column], lim
     found = by_name(products.filter("match_category is not null"), terms, ["canonical_name"])
     found = found.join(offers.select(F.col("product_id").alias("id")), "id", "left_semi")
     return found.orderBy(F.length("canonical_name"), "id").limit(limit)
+
+
+def understood(queries: DataFrame, id_col: str = "query_id", text_col: str = "q_text") -> DataFrame:
+    """What each typed query asks for: ``q`` (parsed without evidence or defaults), ``normalized``,
+    and, where a spelling correction makes it specify more, ``corrected_query`` and ``corrections``."""
+    asked = queries.select(F.col(id_col).alias("query_id"), F.coalesce(F.col(text_col), F.lit("")).alias("q_text"))
+    typed = with_parsed(asked, "q_text", "typed", evidence=False, defaults=False, normalized="typed_text")
+    fixes = correct(asked, "query_id", "q_text").filter(F.size("corrections") > 0).select(F.col("id").alias("query_id"), "corrected", "corrections")
+    fixed = with_parsed(fixes, "corrected", "fixed", evidence=False, defaults=False, normalized="fixed_text")
+    both = typed.join(fixed, "query_id", "left")
+    take = F.coalesce(accepted(F.col("typed"), F.col("fixed")), F.lit(False))
+    return both.select("query_id", "q_text", F.when(take, F.col("fixed")).otherwise(F.col("typed")).alias("q"), F.when(take, F.col("fixed_text")).otherwise(F.col("typed_text")).alias("normalized"),
+                       F.when(take, F.col("corrected")).alias("corrected_query"), F.when(take, F.col("corrections")).alias("corrections"))
+
+
+def named_candidates(asked: DataFrame, catalogue: DataFrame, batch: int = BATCH) -> DataFrame:
+    """Queries with the products whose name or brand holds the query's text or its normalised form.
+    No key joins the two, so the queries, a stated set, meet all products in broadcast batches."""
+    terms = F.filter(F.array_distinct(F.array(F.trim(F.coalesce("corrected_query", "q_text")), F.col("normalized"))), lambda t: t != "")
+    asked = asked.withColumn("terms", terms).filter(F.size("terms") > 0)
+    batches = -(-asked.count() // batch)
+    hit = F.exists("terms", lambda t: contains_folded(F.col("canonical_name"), t) | F.coalesce(contains_folded(F.col("brand"), t), F.lit(False)))
+    out = [catalogue.join(F.broadcast(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == k)), hit).drop("terms") for k in range(batches)]
+    return reduce(DataFrame.unionByName, out) if out else catalogue.join(asked.limit(0), F.lit(False)).drop("terms")
+
+
+def answered(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Results of typed queries: candidates by what a query specifies; where that finds nothing, by
+    name; scored, or as similar where none can be scored.  ``catalogue``: product_id,
+    canonical_name, brand (as stored) and ``c`` (parsed) of the products that have an offer."""
+    asked = settled(understood(queries))
+    structured = candidates(asked.filter(F.size("q.attributes") > 0), catalogue.drop("brand")).drop("category", "brand")
+    rest = asked.join(structured.select("query_id").distinct(), "query_id", "left_anti")
+    named = named_candidates(rest, catalogue).drop("brand")
+    return scored(structured.unionByName(named))

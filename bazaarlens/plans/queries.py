@@ -8,13 +8,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.parse import canonical, with_parsed
-from bazaarlens.functions.score import score_match
-from bazaarlens.operators import activity, admin, alerts, catalogue, maintenance, offers, search
+from bazaarlens import schema
+from bazaarlens.functions.parse import with_parsed
+from bazaarlens.operators import activity, admin, alerts, catalogue, ingest, maintenance, offers, resolve, search
 from bazaarlens.plans import sql as text
+from bazaarlens.session import settled
+from bazaarlens.sources import feeds
 from bazaarlens.sources.entities import FRESH, NOW, Entities, with_views
 
 M = "decimal(18,3)"
+#: Listings from which a shop's read counts as cut short; pages of one product each are all read.
+FEW, ALL = 400, 1 << 30
 
 
 def fresh() -> F.Column:
@@ -47,7 +51,7 @@ def current_offers(e: Entities) -> DataFrame:
 
 
 def price_summary(e: Entities) -> DataFrame:
-    return offers.price_summary(current(e)).select("product_id", "grp", *[F.col(c).cast(M).alias(c) for c in ("lowest_price", "highest_price", "lowest_total")], "best_store", "store_count")
+    return offers.price_summary(current(e)).select("product_id", "grp", *[F.col(c).cast(M).alias(c) for c in ("lowest_price", "highest_price", "lowest_total")], "best_store", "store_count", F.array_join(F.transform("totals", lambda t: t.cast(M).cast("string")), ",").alias("totals"))
 
 
 def search_cards(e: Entities) -> DataFrame:
@@ -87,7 +91,7 @@ def category_counts(e: Entities) -> DataFrame:
 
 
 def interleaved_browse(e: Entities) -> DataFrame:
-    return catalogue.interleaved(_families(e), 6, 24).select("product_id", "match_category", "turn")
+    return catalogue.interleaved(_families(e), 6, 24).select("product_id", "match_category", "turn", "total", "has_more")
 
 
 def seeded_shuffle(e: Entities) -> DataFrame:
@@ -104,12 +108,12 @@ def history_series(e: Entities) -> DataFrame:
 
 
 def history_extents(e: Entities) -> DataFrame:
-    return activity.history_extents(e.price_history).select("product_id", F.col("low").cast(M).alias("low"), F.col("high").cast(M).alias("high"), "points")
+    return activity.chart(e.price_history, current(e)).select("product_id", *[F.col(c).cast(M).alias(c) for c in ("low", "high", "new_from", "second_hand_from")], "points")
 
 
 def price_anomalies(e: Entities) -> DataFrame:
     found = activity.anomalies(e.price_history, fresh(), ["order_key", "line_number", "price"])
-    return found.select("alias_id", "back", F.col("price").cast(M).alias("price"), F.col("previous").cast(M).alias("previous"), F.round("change_percent", 1).alias("change_percent"))
+    return activity.anomaly_report(found, e.products, e.stores).select("alias_id", "canonical_name", "store_name", "back", F.col("price").cast(M).alias("price"), F.col("previous").cast(M).alias("previous"), F.round("change_percent", 1).alias("change_percent"))
 
 
 def contact_totals(e: Entities) -> DataFrame:
@@ -179,8 +183,6 @@ def merged_wishes(e: Entities) -> DataFrame:
 
 
 def _delisting(e: Entities) -> DataFrame:
-    from bazaarlens.operators import resolve
-
     read = e.listings.filter("in_read").select("alias_id")
     runs = e.stores.filter("owner_user_id is null").select(F.col("id").alias("store_id"), (F.col("id") % 7 != 1).alias("may_delist"))
     scraped = e.listings.join(e.stores.filter("owner_user_id is null").select(F.col("id").alias("store_id")), "store_id", "left_semi")
@@ -196,8 +198,6 @@ def delist_valve(e: Entities) -> DataFrame:
 
 
 def _price_update(e: Entities) -> tuple[DataFrame, DataFrame]:
-    from bazaarlens.operators import resolve
-
     before = e.prices.select("alias_id", "price", "availability", "delivery_cost", F.col("checked_at").alias("last_updated"), "checked_at")
     read = e.listings.filter("in_read").select("alias_id", "price", "availability", "delivery_cost")
     return resolve.price_changes(read, before, now())
@@ -240,6 +240,83 @@ def one_pending_run(e: Entities) -> DataFrame:
     return admin.one_pending(jobs)
 
 
+ASKED = (
+    (1, "iPhone 15 Pro 256GB"), (2, "ipone 15 blak"), (3, "smasung galaxy s24 128gb"), (4, "ايفون ١٥ ١٢٨ جيجا اسود"), (5, "playstation"), (6, "سوني"), (7, "iphone a16"),
+    (8, "toaster"), (9, "no such thing"), (10, "   "), (11, None), (12, "galaxy"), (13, "xiomi redmi note 15"), (14, "%"),
+)
+
+
+def _answers(e: Entities) -> DataFrame:
+    asked = e.spark.createDataFrame(ASKED, "query_id int, q_text string")
+    catalogue = offers.with_offer(parsed_products(e), current(e)).select(F.col("id").alias("product_id"), "canonical_name", F.col("attributes")["brand"].alias("brand"), "c")
+    return search.answered(asked, settled(catalogue))
+
+
+def search_answers(e: Entities) -> DataFrame:
+    return _answers(e).select("query_id", "product_id", "tier", "score", F.size("differences").cast("long").alias("n_different"), "corrected_query")
+
+
+def search_page(e: Entities) -> DataFrame:
+    priced = _answers(e).join(alerts.lowest_new(current(e)).withColumnRenamed("lowest", "lowest_total"), "product_id", "left")
+    return search.tier_page(priced, "name", 0, 5).select("query_id", "tier", "place", "product_id", "tier_count", "has_more")
+
+
+def query_meanings(e: Entities) -> DataFrame:
+    asked = search.understood(e.spark.createDataFrame(ASKED, "query_id int, q_text string"))
+    a = F.col("q.attributes")
+    return asked.select("query_id", "normalized", "corrected_query", F.when(F.size(a) > 0, F.col("q.category")).alias("category"), *[a[k].alias(k) for k in ("brand", "model", "variant", "storage", "color")])
+
+
+def feed_listings(e: Entities) -> DataFrame:
+    found = feeds.relevant(feeds.shopify(e.landed, ALL))
+    return found.select("store", "store_product_id", "name", F.col("price").cast(M).alias("price"), "availability", "url", F.nullif("brand", F.lit("")).alias("brand"), F.nullif("image_url", F.lit("")).alias("image_url"), F.col("parsed.category").alias("category"))
+
+
+def feed_slimmed(e: Entities) -> DataFrame:
+    kept = feeds.shopify(feeds.slimmed(e.landed), ALL)
+    return kept.groupBy("store").agg(F.count("*").alias("listings"), F.sum("price").cast(M).alias("prices"))
+
+
+def feed_completeness(e: Entities) -> DataFrame:
+    pages = feeds.stop_reason(e.landed, schema.SHOPIFY, ALL)
+    return feeds.limited(feeds.shopify(e.landed, ALL), feeds.completeness(pages), most=FEW).select("store", "complete", "reason")
+
+
+def _ingest(e: Entities) -> ingest.Run:
+    known = parsed_products(e).join(e.aliases.select(F.col("product_id").alias("id")), "id", "left_semi")
+    products = known.select("id", "canonical_name", F.col("attributes")["brand"].alias("brand"), F.col("match_category").alias("category"), "image_url", F.col("c").alias("parsed"))
+    before = e.prices.select("alias_id", "price", "availability", "delivery_cost", F.col("checked_at").alias("last_updated"), "checked_at")
+    return ingest.ingest(feeds.relevant(e.feed), e.aliases.drop("delisted_at", "checked_at"), settled(products), before, now(), 10**15, 10**12)
+
+
+def ingest_landed(e: Entities) -> DataFrame:
+    found = _ingest(e).landed
+    return found.select("store_id", "store_product_id", "match_method", "ingest_brand", F.when(F.col("alias_id") < 10**15, F.col("alias_id")).alias("alias_id"), F.when(F.col("product_id") < 10**12, F.col("product_id")).alias("product_id"))
+
+
+def ingest_result(e: Entities) -> DataFrame:
+    run = _ingest(e)
+    runs = resolve.run_counters(run.landed.select("store_id", F.col("price").isNull().alias("failed"), F.lit(True).alias("complete")))
+    done = resolve.reconcile(e.aliases, run.landed.select("alias_id").distinct(), runs, F.expr("TIMESTAMP '1998-01-01 00:00:00'"), now(), floor=2, skus=e.feed)
+    return ingest.run_result(run.counters, done)
+
+
+def ingest_catalogue(e: Entities) -> DataFrame:
+    """Rows of each snapshot after the run, and of the history to append."""
+    run = _ingest(e)
+    fed = run.aliases.agg(F.count("*").alias("n"), F.count_if(F.contains("store_product_url", F.lit("/products/p"))).alias("of_note"))
+    pictured = run.products.agg(F.count("*").alias("n"), F.count("image_url").alias("of_note"))
+    prices = run.prices.agg(F.count("*").alias("n"), F.count_if(F.col("checked_at") == now()).alias("of_note"))
+    named = [df.select(F.lit(name).alias("entity"), "n", "of_note") for name, df in (("aliases", fed), ("products", pictured), ("prices", prices))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def link_selection(e: Entities) -> DataFrame:
+    listed = e.listings.withColumn("url", F.concat(F.lit("https://shop.example/products/p"), F.col("product_id"))).withColumn("store_product_id", F.concat(F.lit("SB-"), F.col("alias_id")))
+    chosen = maintenance.select_links(offers.current_offers(listed, e.stores, fresh()), per_store=40)
+    return chosen.select("store_id", "url", "listings")
+
+
 def parse_attributes(e: Entities) -> DataFrame:
     a = F.col("attributes")
     return parsed_products(e).select("id", F.col("c.category").alias("category"), *[a[k].alias(k) for k in ("brand", "model", "variant", "cpu", "storage", "ram", "size", "resolution", "refresh", "panel", "color")])
@@ -257,7 +334,7 @@ def score_tiers(e: Entities) -> DataFrame:
 
 
 def tier_paging(e: Entities) -> DataFrame:
-    return search.tier_page(_scored(e), "price_asc", 2, 8).select("query_id", "tier", "place", "product_id", "tier_count")
+    return search.tier_page(_scored(e), "price_asc", 2, 8).select("query_id", "tier", "place", "product_id", "tier_count", "has_more")
 
 
 def suggest(e: Entities) -> DataFrame:
@@ -294,8 +371,6 @@ def arabic_normalize(e: Entities) -> DataFrame:
 
 
 def resolve_listings(e: Entities) -> DataFrame:
-    from bazaarlens.operators import resolve
-
     known = parsed_products(e).join(e.prices.select(F.col("product_id").alias("id")), "id", "left_semi").select("id", F.col("c").alias("parsed"))
     feed = parsed_products(e).select(F.col("id").alias("listing"), F.col("c").alias("parsed"))
     return resolve.by_identity(feed, known).select("listing", "resolved_product")
@@ -307,7 +382,7 @@ for run in (
     offers_by_product, history_series, history_extents, price_anomalies, contact_totals, contact_by_store, contact_top_products, store_overview, pending_stores, admin_listings,
     sitemap_rows, category_lastmod, catalogue_health, platform_stats, remaining_admins, wishlist, alerts_met, alert_latch, duplicate_groups, merged_wishes, reconcile_delist, delist_valve,
     price_snapshot, price_changes, prune_guard, pruned_products, prune_report, orphan_products, listing_count_per_store, referenced_union, one_pending_run, parse_attributes, score_tiers, tier_paging, suggest,
-    link_prepare, link_audit, rate_window, spell_correct, arabic_normalize, resolve_listings,
+    query_meanings, search_answers, search_page, feed_listings, feed_slimmed, feed_completeness, ingest_landed, ingest_result, ingest_catalogue, link_selection, link_prepare, link_audit, rate_window, spell_correct, arabic_normalize, resolve_listings,
 ):
     views, sql = text.SQL.get(run.__name__, ((), None))
     QUERIES[run.__name__] = Query(run, views, with_views(views, sql) if sql else None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bazaarlens.functions.spelling import vocabulary
 from bazaarlens.sources.entities import FRESH, NOW
 from bazaarlens.sources.titles import values
 
@@ -10,7 +11,7 @@ M = "DECIMAL(18,3)"
 # Offers that count now, with total and group; several queries start from them.
 OFFERS = f"""
     offers AS (
-        SELECT l.*, s.name AS store_name, CAST(l.price + l.delivery_cost AS {M}) AS total,
+        SELECT l.*, s.name AS store_name, s.owner_user_id, CAST(l.price + l.delivery_cost AS {M}) AS total,
                CASE WHEN coalesce(l.condition, 'new') = 'new' THEN 'new' ELSE 'second_hand' END AS grp
         FROM listings l JOIN stores s ON s.id = l.store_id
         WHERE s.is_active = 1 AND (s.owner_user_id IS NULL OR s.is_verified) AND l.delisted_at IS NULL
@@ -81,13 +82,75 @@ DELIST = f"""
 UPDATE = """
     old AS (SELECT alias_id, price, availability, delivery_cost, checked_at AS recorded_at FROM prices),
     seen AS (SELECT alias_id, price, availability, delivery_cost FROM listings WHERE in_read)"""
+SAME = " AND ".join(f"k.{a} IS NOT DISTINCT FROM f.{a}" for a in ("category", *ATTRIBUTES))
+# What each of the queries asked must come to mean: written down from the rules.
+MEANT = """
+    meant(query_id, typed, normalized, corrected_query, category, brand, model, variant, storage, color) AS (VALUES
+        (1, 'iPhone 15 Pro 256GB', 'iphone 15 pro 256gb', NULL, 'phones', 'apple', 'iphone 15', 'pro', '256gb', NULL),
+        (2, 'ipone 15 blak', 'iphone 15 black', 'iphone 15 black', 'phones', 'apple', 'iphone 15', NULL, NULL, 'black'),
+        (3, 'smasung galaxy s24 128gb', 'smasung galaxy s24 128gb', NULL, 'phones', 'samsung', 'galaxy s 24', NULL, '128gb', NULL),
+        (4, 'ايفون ١٥ ١٢٨ جيجا اسود', 'iphone 15 128 gb black', NULL, 'phones', 'apple', 'iphone 15', NULL, '128gb', 'black'),
+        (5, 'playstation', 'playstation', NULL, NULL, NULL, NULL, NULL, NULL, NULL), (6, 'سوني', 'sony', NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+        (7, 'iphone a16', 'iphone a16', NULL, 'phones', 'apple', NULL, NULL, NULL, NULL), (8, 'toaster', 'toaster', NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+        (9, 'no such thing', 'no such thing', NULL, NULL, NULL, NULL, NULL, NULL, NULL), (10, '   ', '', NULL, NULL, NULL, NULL, NULL, NULL, NULL), (11, '', '', NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+        (12, 'galaxy', 'galaxy', NULL, 'phones', 'samsung', NULL, NULL, NULL, NULL), (13, 'xiomi redmi note 15', 'xiomi redmi note 15', NULL, 'phones', 'xiaomi', 'redmi note 15', NULL, NULL, NULL),
+        (14, '%', '', NULL, NULL, NULL, NULL, NULL, NULL, NULL))"""
+ANSWERS = f"""{OFFERS}, {LOWEST}, {PARSED}, {MEANT},
+    offered AS (SELECT * FROM parsed p WHERE EXISTS (SELECT 1 FROM offers o WHERE o.product_id = p.id)),
+    structured AS (SELECT m.query_id, p.id FROM meant m JOIN offered p ON p.category = m.category AND (m.brand IS NULL OR p.brand = m.brand)),
+    named AS (
+        SELECT m.query_id, p.id FROM meant m JOIN offered p ON (
+            (trim(coalesce(corrected_query, typed)) <> '' AND (contains(lower(canonical_name), lower(trim(coalesce(corrected_query, typed)))) OR contains(coalesce(p.brand, ''), lower(trim(coalesce(corrected_query, typed))))))
+            OR (normalized <> '' AND (contains(lower(canonical_name), normalized) OR contains(coalesce(p.brand, ''), normalized))))
+        WHERE m.query_id NOT IN (SELECT query_id FROM structured)),
+    held AS (
+        SELECT m.query_id, p.id AS product_id, p.canonical_name, m.corrected_query,
+               CASE WHEN m.category IS NULL OR m.category IS DISTINCT FROM p.category OR coalesce(m.model, m.variant, m.storage, m.color) IS NULL THEN 0
+                    ELSE 100 - CASE WHEN m.model <> coalesce(p.model, '') THEN 33 ELSE 0 END - CASE WHEN m.variant <> coalesce(p.variant, '') THEN 28 ELSE 0 END
+                         - CASE WHEN m.storage <> coalesce(p.storage, '') THEN 24 ELSE 0 END - CASE WHEN m.color <> coalesce(p.color, '') THEN 10 ELSE 0 END END AS points,
+               CASE WHEN m.model <> coalesce(p.model, '') THEN 1 ELSE 0 END + CASE WHEN m.variant <> coalesce(p.variant, '') THEN 1 ELSE 0 END
+               + CASE WHEN m.storage <> coalesce(p.storage, '') THEN 1 ELSE 0 END + CASE WHEN m.color <> coalesce(p.color, '') THEN 1 ELSE 0 END AS n
+        FROM (SELECT * FROM structured UNION ALL SELECT * FROM named) c JOIN meant m ON m.query_id = c.query_id JOIN parsed p ON p.id = c.id),
+    usable AS (SELECT query_id, max(points) >= 70 AS usable FROM held GROUP BY query_id),
+    answers AS (
+        SELECT h.query_id, h.product_id, h.canonical_name, h.corrected_query, CASE WHEN NOT usable THEN 'similar' WHEN points >= 100 THEN 'exact' WHEN points >= 85 THEN 'close' ELSE 'similar' END AS tier,
+               CAST(CASE WHEN usable THEN points ELSE 0 END AS DOUBLE) AS score, CAST(CASE WHEN usable THEN n ELSE 0 END AS BIGINT) AS n_different
+        FROM held h JOIN usable u ON u.query_id = h.query_id WHERE NOT usable OR points >= 70)"""
+INGEST = f"""{PARSED},
+    known AS (SELECT * FROM parsed WHERE id IN (SELECT product_id FROM aliases)),
+    kept AS (SELECT f.store_id, f.store_product_id, f.name, f.url, f.image_url AS picture, f.condition, f.price, f.brand AS vendor, p.id AS listed, p.category, {', '.join(f'p.{a}' for a in ATTRIBUTES)} FROM feed f JOIN parsed p ON p.id = f.listed_product WHERE p.category IS NOT NULL),
+    by_sku AS (SELECT store_id, store_product_id, min(alias_id) AS alias_id FROM aliases WHERE store_product_id IS NOT NULL GROUP BY ALL),
+    by_name AS (SELECT store_id, store_product_name, condition, min(alias_id) AS alias_id FROM aliases GROUP BY ALL),
+    same AS (SELECT f.id AS listed, (SELECT min(k.id) FROM known k WHERE {SAME}) AS product_id FROM parsed f WHERE f.category IS NOT NULL),
+    landed AS (
+        SELECT f.store_id, f.store_product_id, f.name, f.url, f.picture, f.price, coalesce(lower(f.vendor), f.brand) AS ingest_brand, coalesce(s.alias_id, n.alias_id) AS alias_id, coalesce(a.product_id, i.product_id) AS product_id,
+               CASE WHEN s.alias_id IS NOT NULL THEN 'sku' WHEN n.alias_id IS NOT NULL THEN 'name' WHEN i.product_id IS NOT NULL THEN 'identity' ELSE 'canonical' END AS match_method,
+               concat_ws('|', f.category, {', '.join(f"coalesce(f.{a}, '-')" for a in ATTRIBUTES)}) AS identity
+        FROM kept f LEFT JOIN by_sku s ON s.store_id = f.store_id AND s.store_product_id = f.store_product_id
+        LEFT JOIN by_name n ON n.store_id = f.store_id AND n.store_product_name = f.name AND n.condition = f.condition
+        LEFT JOIN aliases a ON a.alias_id = coalesce(s.alias_id, n.alias_id) LEFT JOIN same i ON i.listed = f.listed)"""
+# One row of letters' runs each, against the words that rules know: the one nearest within the edits allowed.
+LETTERS = "'" + r"\p{L}+" + "'"
+VOCABULARY = ", ".join(f"('{w}')" for w in vocabulary())
+SPELLING = f"""
+    typed AS (SELECT id, regexp_replace(lower(canonical_name), 'iphone|monitor|laptop', 'iphon', 'g') AS q FROM products),
+    runs AS (SELECT id, unnest(regexp_extract_all(q, {LETTERS})) AS w, generate_subscripts(regexp_extract_all(q, {LETTERS}), 1) AS i, string_split_regex(q, {LETTERS}) AS gaps FROM typed),
+    vocabulary(word) AS (VALUES {VOCABULARY}),
+    near AS (
+        SELECT r.w, v.word, levenshtein(r.w, v.word) AS edits FROM (SELECT DISTINCT w FROM runs) r JOIN vocabulary v
+          ON levenshtein(r.w, v.word) <= CASE WHEN length(r.w) <= 3 THEN 0 WHEN length(r.w) <= 5 THEN 1 ELSE 2 END
+        WHERE r.w NOT IN (SELECT word FROM vocabulary) AND regexp_matches(r.w, '^[a-z]+$')),
+    fixes AS (SELECT w, min(word) AS fixed FROM (SELECT *, min(edits) OVER (PARTITION BY w) AS least FROM near) WHERE edits = least GROUP BY w HAVING count(*) = 1),
+    pieces AS (SELECT id, string_agg(gaps[i] || coalesce(fixed, r.w), '' ORDER BY i) || any_value(gaps[len(gaps)]) AS corrected FROM runs r LEFT JOIN fixes f ON f.w = r.w GROUP BY id),
+    firsts AS (SELECT id, r.w, fixed, min(i) AS i FROM runs r JOIN fixes f ON f.w = r.w GROUP BY id, r.w, fixed),
+    told AS (SELECT id, concat(chr(123), string_agg(concat('"', w, '":"', fixed, '"'), ',' ORDER BY i), chr(125)) AS corrections FROM firsts GROUP BY id)"""
 CHANNELS = ", ".join(f"count(*) FILTER (WHERE channel = '{c}') AS {c}" for c in ("whatsapp", "call", "facebook", "instagram"))
 
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "current_offers": (("stores", "listings"), f"WITH {OFFERS} SELECT alias_id, product_id, store_id, store_name, CAST(price AS {M}) AS price, total, availability, grp FROM offers"),
     "price_summary": (("stores", "listings"), f"""WITH {OFFERS}
         SELECT product_id, grp, CAST(min(price) AS {M}) AS lowest_price, CAST(max(price) AS {M}) AS highest_price, min(total) AS lowest_total,
-               arg_min(store_name, (total, alias_id)) AS best_store, count(DISTINCT store_id) AS store_count
+               arg_min(store_name, (total, alias_id)) AS best_store, count(DISTINCT store_id) AS store_count, string_agg(CAST(total AS VARCHAR), ',' ORDER BY total) AS totals
         FROM offers WHERE availability GROUP BY product_id, grp"""),
     "search_cards": (("stores", "listings"), f"""WITH {OFFERS}
         SELECT product_id, CAST(min(price) FILTER (WHERE grp = 'new') AS {M}) AS lowest_price, CAST(max(price) FILTER (WHERE grp = 'new') AS {M}) AS highest_price,
@@ -113,17 +176,21 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "category_counts": (("stores", "listings", "products"), f"WITH {FAMILIES} SELECT match_category, count(*) AS families FROM fam GROUP BY match_category"),
     "interleaved_browse": (("stores", "listings", "products"), f"""WITH {FAMILIES},
             turns AS (SELECT *, CAST(row_number() OVER (PARTITION BY match_category ORDER BY image_url IS NULL, lowest, product_id) AS INT) AS turn FROM fam)
-        SELECT product_id, match_category, turn FROM turns ORDER BY turn, CASE match_category WHEN 'phones' THEN 0 WHEN 'laptops' THEN 1 ELSE 2 END LIMIT 24 OFFSET 6"""),
+        SELECT product_id, match_category, turn, (SELECT count(*) FROM fam) AS total, (SELECT count(*) FROM fam) > 30 AS has_more FROM turns ORDER BY turn, CASE match_category WHEN 'phones' THEN 0 WHEN 'laptops' THEN 1 ELSE 2 END LIMIT 24 OFFSET 6"""),
     "seeded_shuffle": (("stores", "listings", "products"), f"""WITH {FAMILIES}
         SELECT product_id, match_category, CAST(row_number() OVER (PARTITION BY match_category ORDER BY image_url IS NULL, md5(concat('7:', match_category, ':', product_id)), product_id) AS INT) AS place FROM fam"""),
     "offers_by_product": (("stores", "listings"), f"WITH {OFFERS} SELECT product_id, CAST(row_number() OVER (PARTITION BY product_id ORDER BY total, alias_id) AS INT) AS place, alias_id, total FROM offers"),
     "history_series": (("stores", "listings", "price_history"), f"""WITH {OFFERS}
         SELECT h.alias_id, o.store_name, CAST(h.price AS {M}) AS price, h.recorded_at, CAST(h.back AS INT) AS back FROM price_history h JOIN offers o ON o.alias_id = h.alias_id"""),
-    "history_extents": (("price_history",), f"SELECT product_id, CAST(min(price) AS {M}) AS low, CAST(max(price) AS {M}) AS high, count(*) AS points FROM price_history GROUP BY product_id"),
-    "price_anomalies": (("price_history",), f"""WITH w AS (
+    "history_extents": (("stores", "listings", "price_history"), f"""WITH {OFFERS},
+            x AS (SELECT product_id, CAST(min(price) AS {M}) AS low, CAST(max(price) AS {M}) AS high, count(*) AS points FROM price_history GROUP BY product_id),
+            o AS (SELECT product_id, min(total) FILTER (WHERE availability AND grp = 'new') AS new_from, min(total) FILTER (WHERE availability AND grp = 'second_hand') AS second_hand_from FROM offers GROUP BY product_id)
+        SELECT x.*, o.new_from, o.second_hand_from FROM x LEFT JOIN o ON o.product_id = x.product_id"""),
+    "price_anomalies": (("price_history", "products", "stores"), f"""WITH w AS (
             SELECT *, lag(price) OVER (PARTITION BY alias_id ORDER BY recorded_at, order_key, line_number, price) AS previous FROM price_history),
         c AS (SELECT *, round(CAST(abs(price - previous) AS DOUBLE) / CAST(previous AS DOUBLE) * 100, 3) AS change FROM w WHERE recorded_at > {FRESH} AND previous > 0)
-        SELECT alias_id, CAST(back AS INT) AS back, CAST(price AS {M}) AS price, CAST(previous AS {M}) AS previous, round(change, 1) AS change_percent FROM c
+        SELECT alias_id, p.canonical_name, s.name AS store_name, CAST(back AS INT) AS back, CAST(price AS {M}) AS price, CAST(previous AS {M}) AS previous, round(change, 1) AS change_percent
+        FROM c JOIN products p ON p.id = c.product_id JOIN stores s ON s.id = c.store_id
         WHERE CAST(abs(price - previous) AS DOUBLE) / CAST(previous AS DOUBLE) * 100 > 50"""),
     "contact_totals": (("contact_events",), f"SELECT {CHANNELS}, count(*) AS total FROM contact_events WHERE created_at >= {NOW} - INTERVAL 7 DAY"),
     "contact_by_store": (("stores", "contact_events"), f"""WITH c AS (SELECT store_id, {CHANNELS}, count(*) AS total FROM contact_events WHERE created_at >= {NOW} - INTERVAL 30 DAY GROUP BY store_id)
@@ -192,12 +259,55 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "parse_attributes": (("products",), f"WITH {PARSED} SELECT id, category, brand, model, variant, cpu, storage, ram, size, resolution, refresh, panel, color FROM parsed"),
     "score_tiers": (("stores", "listings", "products"), f"WITH {SCORED} SELECT query_id, product_id, tier, score, n_different FROM scored"),
     "tier_paging": (("stores", "listings", "products"), f"""WITH {SCORED}
-        SELECT query_id, tier, CAST(place AS INT) AS place, product_id, tier_count FROM (
-            SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY lowest IS NULL, lowest, product_id) - 1 AS place, count(*) OVER (PARTITION BY query_id, tier) AS tier_count FROM scored)
+        SELECT query_id, tier, CAST(place AS INT) AS place, product_id, tier_count, has_more FROM (
+            SELECT *, max(tier_count) OVER (PARTITION BY query_id) > 8 AS has_more FROM (
+                SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY lowest IS NULL, lowest, product_id) - 1 AS place, count(*) OVER (PARTITION BY query_id, tier) AS tier_count FROM scored))
         WHERE place >= 2 AND place < 8"""),
     "suggest": (("stores", "listings", "products"), f"""WITH {OFFERS}
         SELECT id, canonical_name FROM products p WHERE match_category IS NOT NULL AND (lower(canonical_name) LIKE '%iphone 1%' OR lower(canonical_name) LIKE '%ultra%') AND EXISTS (SELECT 1 FROM offers o WHERE o.product_id = p.id)
         ORDER BY length(canonical_name), id LIMIT 8"""),
+    "query_meanings": ((), f"WITH {MEANT.strip()} SELECT query_id, normalized, corrected_query, category, brand, model, variant, storage, color FROM meant"),
+    "search_answers": (("stores", "listings", "products"), f"WITH {ANSWERS} SELECT query_id, product_id, tier, score, n_different, corrected_query FROM answers"),
+    "search_page": (("stores", "listings", "products"), f"""WITH {ANSWERS}
+        SELECT query_id, tier, CAST(place AS INT) AS place, product_id, tier_count, has_more FROM (
+            SELECT *, max(tier_count) OVER (PARTITION BY query_id) > 5 AS has_more FROM (
+                SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY lower(canonical_name), product_id) - 1 AS place, count(*) OVER (PARTITION BY query_id, tier) AS tier_count FROM answers))
+        WHERE place < 5"""),
+    "feed_listings": (("feed",), f"""WITH {PARSED}
+        SELECT concat('store', f.store_id) AS store, store_product_id, name, CAST(price AS {M}) AS price, availability, url, brand, image_url, p.category
+        FROM (SELECT store_id, store_product_id, name, price, availability, url, brand, image_url, listed_product FROM feed) f JOIN (SELECT id, category FROM parsed) p ON p.id = f.listed_product WHERE p.category IS NOT NULL"""),
+    "feed_slimmed": (("feed",), f"SELECT concat('store', store_id) AS store, count(*) AS listings, CAST(sum(price) AS {M}) AS prices FROM feed GROUP BY store_id"),
+    "feed_completeness": (("feed",), """WITH n AS (SELECT store_id, count(*) AS n FROM feed GROUP BY store_id),
+            r AS (SELECT *, CASE WHEN store_id % 7 = 5 THEN 'all: no empty page' WHEN store_id % 5 = 1 THEN 'all: HTTP 503' WHEN store_id % 5 = 2 THEN 'all: not valid JSON' WHEN store_id % 5 = 3 THEN 'all: no product list' END AS why FROM n)
+        SELECT concat('store', store_id) AS store, why IS NULL AND n <= 400 AS complete, nullif(concat_ws('; ', why, CASE WHEN n > 400 THEN 'more than 400 kept listings' END), '') AS reason FROM r"""),
+    "ingest_landed": (("feed", "aliases"), f"WITH {INGEST} SELECT store_id, store_product_id, match_method, ingest_brand, alias_id, product_id FROM landed"),
+    "ingest_result": (("feed", "aliases"), f"""WITH {INGEST},
+        counted AS (
+            SELECT store_id, count(*) AS seen, CAST(0 AS BIGINT) AS failed, {', '.join(f"count(*) FILTER (WHERE match_method = '{m}') AS by_{m}" for m in ('sku', 'name', 'identity', 'canonical'))}, count(DISTINCT coalesce(CAST(alias_id AS VARCHAR), name)) AS aliases
+            FROM landed GROUP BY store_id),
+        told AS (SELECT alias_id, store_id, arg_max(price, store_product_id) AS price FROM landed WHERE alias_id IS NOT NULL GROUP BY alias_id, store_id),
+        moved AS (SELECT t.store_id, count(*) AS price_changes FROM told t JOIN prices p ON p.alias_id = t.alias_id WHERE p.price <> t.price GROUP BY t.store_id),
+        marked AS (
+            SELECT a.*, a.alias_id IN (SELECT alias_id FROM told) OR EXISTS (SELECT 1 FROM feed f WHERE f.store_id = a.store_id AND f.store_product_id = a.store_product_id) AS here, a.store_id IN (SELECT store_id FROM counted) AS may FROM aliases a),
+        gone AS (SELECT *, NOT here AND delisted_at IS NULL AND may AS gone, checked_at >= TIMESTAMP '1998-01-01 00:00:00' AS recent FROM marked),
+        valve AS (SELECT store_id, count(*) FILTER (WHERE gone AND recent) > greatest(2, floor(count(*) FILTER (WHERE delisted_at IS NULL) * 0.25)) AS refused FROM gone GROUP BY store_id),
+        done AS (SELECT g.store_id, any_value(v.refused) AS refused, count(*) FILTER (WHERE gone AND NOT (v.refused AND recent)) AS delisted, count(*) FILTER (WHERE here AND delisted_at IS NOT NULL) AS relisted FROM gone g JOIN valve v ON v.store_id = g.store_id GROUP BY g.store_id)
+        SELECT c.*, coalesce(m.price_changes, 0) AS price_changes, coalesce(d.delisted, 0) AS delisted, coalesce(d.relisted, 0) AS relisted, coalesce(d.refused, false) AS refused
+        FROM counted c LEFT JOIN moved m ON m.store_id = c.store_id LEFT JOIN done d ON d.store_id = c.store_id"""),
+    "ingest_catalogue": (("feed", "aliases"), f"""WITH {INGEST},
+        new AS (SELECT DISTINCT store_id, name FROM landed WHERE alias_id IS NULL), told AS (SELECT DISTINCT alias_id FROM landed WHERE alias_id IS NOT NULL),
+        pictured AS (SELECT product_id, bool_or(picture IS NOT NULL) AS has FROM landed WHERE product_id IS NOT NULL GROUP BY product_id),
+        made AS (SELECT identity, bool_or(picture IS NOT NULL) AS has FROM landed WHERE match_method = 'canonical' GROUP BY identity)
+        SELECT 'aliases' AS entity, (SELECT count(*) FROM aliases) + (SELECT count(*) FROM new) AS n, (SELECT count(*) FROM told) + (SELECT count(*) FROM new) AS of_note
+        UNION ALL SELECT 'products', (SELECT count(*) FROM known) + (SELECT count(*) FROM made),
+            (SELECT count(*) FROM known k LEFT JOIN pictured p ON p.product_id = k.id WHERE k.image_url IS NOT NULL OR p.has) + (SELECT count(*) FROM made WHERE has)
+        UNION ALL SELECT 'prices', (SELECT count(*) FROM prices) + (SELECT count(*) FROM new), (SELECT count(*) FROM told) + (SELECT count(*) FROM new)"""),
+    "link_selection": (("stores", "listings"), f"""WITH {OFFERS}, u AS (SELECT store_id, concat('https://shop.example/products/p', product_id) AS url, count(*) AS listings FROM offers WHERE owner_user_id IS NULL GROUP BY ALL)
+        SELECT store_id, url, listings FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY url) AS rn FROM u) WHERE rn <= 40"""),
+    "spell_correct": (("products",), f"""WITH {SPELLING}
+        SELECT t.id, coalesce(p.corrected, t.q) AS corrected, coalesce(told.corrections, concat(chr(123), chr(125))) AS corrections FROM typed t LEFT JOIN pieces p ON p.id = t.id LEFT JOIN told ON told.id = t.id"""),
+    "arabic_normalize": (("products",), f"""WITH n AS (SELECT p.id, coalesce(k.plain, regexp_replace(replace(lower(canonical_name), '+', ' plus '), '[^a-z0-9_]', ' ', 'g')) AS n FROM products p LEFT JOIN {values('plain').replace('known(', 'k(')} ON k.golden = p.golden)
+        SELECT id, regexp_replace(concat('iphone 15 ', n, ' black'), ' +', ' ', 'g') AS normalized FROM n"""),
     "link_prepare": ((), r"""WITH u AS (SELECT page_id % 5 AS store_id, concat(CASE WHEN page_id % 4 = 0 THEN 'http' ELSE 'https' END, '://shop.example', CASE WHEN page_id % 3 = 0 THEN '/pages/p' ELSE '/products/p' END, page_id) AS url FROM pages)
         SELECT DISTINCT store_id, url, nullif(regexp_extract(url, '^https?://[^/]+/products/([^/]+)/?$', 1), '') AS handle, regexp_matches(url, '^https://shop\.example/products/[^/]+/?$') AS well_formed FROM u"""),
     "link_audit": (("listings",), """WITH j AS (

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,3 +22,16 @@ def build(app: str = "bazaarlens", **more: str) -> SparkSession:
     for key, value in (SETTINGS | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read from its checkpoint after that: what several results start
+    from.  The folder is the session's ``spark.checkpoint.dir``; only on one machine, where that
+    is unset, one of this process."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="bazaarlens-"))
+    return df.checkpoint()

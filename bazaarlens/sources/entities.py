@@ -54,6 +54,26 @@ VIEWS = {
             FROM (SELECT p_partkey AS id, p_partkey % 3 AS k, CAST(floor(p_partkey / 3) AS BIGINT) AS m FROM part
                   UNION ALL SELECT {UNLISTED} + p_partkey, p_partkey % 3, CAST(floor(p_partkey / 3) AS BIGINT) FROM part WHERE p_size = 7) z) y
         LEFT JOIN {values('title', 'category')} ON known.golden = y.golden""",
+    "aliases": """
+        SELECT r.alias_id, r.product_id, r.store_id, CASE WHEN r.alias_id % 3 <> 0 THEN concat('SB-', CAST(r.alias_id AS VARCHAR(20))) END AS store_product_id, p.canonical_name AS store_product_name,
+               concat('https://shop.example/products/old-', CAST(r.alias_id AS VARCHAR(20))) AS store_product_url, 'new' AS condition, CASE WHEN r.delivery_cost > 7 THEN r.checked_at END AS delisted_at, r.checked_at
+        FROM prices r JOIN products p ON p.id = r.product_id""",
+    "feed": """
+        SELECT l.store_id, concat('SB-', CAST(l.alias_id AS VARCHAR(20))) AS store_product_id, p.canonical_name AS name, concat('https://shop.example/products/p', CAST(l.product_id AS VARCHAR(20))) AS url,
+               CASE WHEN l.alias_id % 5 = 0 THEN 'Vendor' END AS brand, CASE WHEN l.alias_id % 10 = 0 THEN 'Uncategorized' END AS category, p.image_url, 'new' AS condition,
+               l.price, l.availability, l.delivery_cost, l.product_id AS listed_product, l.alias_id AS listed_alias
+        FROM listings l JOIN products p ON p.id = l.product_id JOIN stores s ON s.id = l.store_id
+        WHERE l.in_read AND s.owner_user_id IS NULL""",
+    "landed": """
+        SELECT concat('store', CAST(store_id AS VARCHAR(12))) AS store, 'all' AS target, page, 'https://shop.example/products.json' AS url, status_code, text, 'application/json' AS content_type
+        FROM (SELECT store_id, CAST(ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY listed_alias) AS INT) AS page, CAST(200 AS INT) AS status_code,
+                     concat(chr(123), '"products":[', chr(123), '"id":', CAST(listed_product AS VARCHAR(20)), ',"title":"', replace(name, chr(34), concat(chr(92), chr(34))), '","handle":"p', CAST(listed_product AS VARCHAR(20)),
+                            '","vendor":"', coalesce(brand, ''), '","product_type":"","body_html":"long","images":[', chr(123), '"src":"', coalesce(image_url, ''), '","width":900', chr(125), '],"variants":[', chr(123), '"id":', CAST(listed_alias AS VARCHAR(20)),
+                            ',"sku":" ', store_product_id, '","price":"', CAST(price AS VARCHAR(20)), '","available":', CASE WHEN availability THEN 'true' ELSE 'false' END, ',"title":"Default Title"', chr(125), ']', chr(125), ']', chr(125)) AS text
+              FROM feed
+              UNION ALL SELECT store_id, CAST(count(*) + 1 AS INT), CAST(CASE WHEN store_id % 5 = 1 THEN 503 ELSE 200 END AS INT),
+                     CASE WHEN store_id % 5 = 2 THEN 'busy' WHEN store_id % 5 = 3 THEN '[]' ELSE concat(chr(123), '"products":[]', chr(125)) END
+              FROM feed WHERE store_id % 7 <> 5 GROUP BY store_id) x""",
     "contact_events": """
         SELECT event_id AS id, user_id % (SELECT count(*) FROM supplier) AS store_id,
                CASE WHEN event_id % 7 <> 0 THEN CAST({json}(props, '$.k') AS BIGINT) END AS product_id,
@@ -70,12 +90,15 @@ VIEWS = {
     "users": "SELECT c_custkey AS id, concat('user', CAST(c_custkey AS VARCHAR(12)), '@example.org') AS email, CASE WHEN c_custkey % 100 = 0 THEN 'admin' ELSE 'user' END AS role, c_custkey % 5 <> 0 AS is_verified FROM customer",
 }
 
-#: Base tables that each view reads, itself and through other views.
+#: Base tables that a view reads.
 USES = {
-    "stores": ("supplier",), "readings": ("lineitem",), "listings": ("lineitem",), "prices": ("lineitem",), "price_history": ("lineitem",), "products": ("part",),
-    "contact_events": ("events", "supplier"), "price_alerts": ("orders", "lineitem"), "wishlist": ("orders", "lineitem"), "users": ("customer",),
+    "stores": ("supplier",), "readings": ("lineitem",), "products": ("part",), "contact_events": ("events", "supplier"), "price_alerts": ("orders", "lineitem"), "users": ("customer",),
+}
+#: Views that a view reads.
+PARENTS = {
+    "listings": ("readings",), "prices": ("readings",), "price_history": ("readings",), "wishlist": ("price_alerts",),
+    "aliases": ("prices", "products"), "feed": ("listings", "products", "stores"), "landed": ("feed",),
 }
-PARENTS = {"listings": ("readings",), "prices": ("readings",), "price_history": ("readings",), "wishlist": ("price_alerts",)}
 JSON_VALUE = {"spark": "get_json_object", "duckdb": "json_extract_string"}
 
 
@@ -107,9 +130,15 @@ def _placed(sql: str, table: str) -> str:
 def with_views(names: tuple[str, ...], sql: str) -> str:
     """DuckDB SQL with the named views, and those they need, in a WITH clause before it."""
     order: list[str] = []
+
+    def add(name: str) -> None:
+        for parent in PARENTS.get(name, ()):
+            add(parent)
+        if name not in order:
+            order.append(name)
+
     for n in names:
-        order += [p for p in PARENTS.get(n, ()) if p not in order]
-        order += [n] if n not in order else []
+        add(n)
     views = ",\n".join(f"{n} AS ({VIEWS[n].replace('{json}', JSON_VALUE['duckdb'])})" for n in order)
     sql = sql.strip()
     if not order:

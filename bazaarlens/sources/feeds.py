@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 from bazaarlens import schema
 from bazaarlens.functions.parse import with_parsed
 
-MAX_PAGES = 200
+MAX_PAGES, MAX_BYTES, MAX_PRODUCTS = 200, 8 << 20, 20_000
 
 
 def landed(spark: SparkSession, path: str) -> DataFrame:
@@ -23,18 +23,47 @@ def landed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.LANDED).json(path)
 
 
-def stop_reason(pages: DataFrame, layout: str) -> DataFrame:
-    """Pages with ``items`` and, where the read cannot go on, ``problem``: the answer's status,
+def stop_reason(pages: DataFrame, layout: str, max_pages: int = MAX_PAGES) -> DataFrame:
+    """Pages with ``items`` and, where the read cannot go on, ``problem``: a target that robots
+    rules refuse (a false ``allowed``, if there is such a column), the answer's status or size,
     unreadable JSON, or the wrong shape."""
+    allowed = F.coalesce("allowed", F.lit(True)) if "allowed" in pages.columns else F.lit(True)
     wrong = F.lit("not a list of products") if layout.startswith("array") else F.lit("no product list")
     items = F.from_json("text", layout) if layout.startswith("array") else F.from_json("text", layout)["products"]
     readable = F.coalesce(F.try_parse_json("text").isNotNull(), F.lit(False))
     shape = F.startswith(F.ltrim("text"), F.lit("[" if layout.startswith("array") else "{"))
-    problem = (F.when(F.col("status_code") == 599, "not recorded").when(F.col("status_code") != 200, F.concat(F.lit("HTTP "), F.col("status_code")))
-               .when(~readable, "not valid JSON").when(~shape | items.isNull(), wrong).when(F.col("page") > MAX_PAGES, f"exceeded {MAX_PAGES} pages"))
+    problem = (F.when(~allowed, "robots.txt disallows it").when(F.length("text") > MAX_BYTES, f"exceeded {MAX_BYTES} bytes").when(F.col("status_code") == 599, "not recorded").when(F.col("status_code") != 200, F.concat(F.lit("HTTP "), F.col("status_code")))
+               .when(~readable, "not valid JSON").when(~shape | items.isNull(), wrong).when(F.col("page") > max_pages, f"exceeded {max_pages} pages"))
     return pages.withColumn("items", F.when(problem.isNull(), items)).withColumn("problem", problem)
 
 
+def limited(kept: DataFrame, reads: DataFrame, most: int = MAX_PRODUCTS) -> DataFrame:
+    """``completeness`` rows, incomplete also where a shop's kept listings are more than ``most``."""
+    many = kept.groupBy("store").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("store", F.lit(f"more than {most} kept listings").alias("over"))
+    out = reads.join(many, "store", "left").withColumn("complete", F.col("complete") & F.col("over").isNull())
+    return out.withColumn("reason", F.when(F.col("over").isNotNull() | F.col("reason").isNotNull(), F.concat_ws("; ", "reason", "over"))).drop("over")
+
+
+def slimmed(landed_pages: DataFrame) -> DataFrame:
+    """Landed pages with only what the feed readers read: every product, its first image, and the
+    fields of ``schema.SHOPIFY``; an answer that is no list of products stays as it is."""
+    body = F.from_json("text", schema.SHOPIFY)
+    first = F.transform(body["products"], lambda p: F.struct(p["id"], p["title"], p["handle"], p["vendor"], p["product_type"], F.slice(F.coalesce(p["images"], F.array().cast("array<struct<src:string>>")), 1, 1).alias("images"), p["variants"]))
+    slim = F.to_json(F.struct(first.alias("products")))
+    return landed_pages.withColumn("text", F.when(body["products"].isNotNull(), slim).otherwise(F.col("text")))
+
+
+def registry(spark: SparkSession, stores: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """Shops that are read: code, host and kind of feed; by default the readers' kinds alone."""
+    return spark.createDataFrame(stores or [], "store string, host string, feed string")
+
+
+def allowed_hosts(shops: DataFrame) -> DataFrame:
+    """Hosts that requests may go to: those of the shops, with and without www."""
+    bare = F.regexp_replace(F.lower("host"), r"^www\.", "")
+    return shops.select(F.explode(F.array(bare, F.concat(F.lit("www."), bare))).alias("host")).distinct()
+
+
 def completeness(pages: DataFrame) -> DataFrame:
     """Per shop: complete only if every target ended on an empty page without a problem; else why."""
     target = pages.groupBy("store", "target").agg(F.bool_or(F.coalesce(F.size("items") == 0, F.lit(False))).alias("ended"), F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("page"))).alias("problem"))
@@ -49,10 +78,10 @@ def once(listings: DataFrame) -> DataFrame:
     return listings.withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
 
 
-def shopify(pages: DataFrame) -> DataFrame:
+def shopify(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """One listing per variant: key is the trimmed sku, else the variant's id; rows without a
     key or a positive price are dropped."""
-    p = stop_reason(pages, schema.SHOPIFY).select("store", "page", F.posexplode("items").alias("position", "p"), F.try_parse_url("url", F.lit("HOST")).alias("host"))
+    p = stop_reason(pages, schema.SHOPIFY, max_pages).select("store", "page", F.posexplode("items").alias("position", "p"), F.try_parse_url("url", F.lit("HOST")).alias("host"))
     v = p.select("*", F.posexplode("p.variants").alias("variant", "v"))
     key = F.coalesce(F.nullif(F.trim("v.sku"), F.lit("")), F.concat(F.lit("shopify-"), F.col("v.id").cast("string")))
     title, extra = F.trim("p.title"), F.trim("v.title")
@@ -74,9 +103,9 @@ def unescaped(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), _unescape(text)).otherwise(text)
 
 
-def woocommerce(pages: DataFrame) -> DataFrame:
+def woocommerce(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """Simple products priced in JOD, from minor units; key is the sku, else the product's id."""
-    p = stop_reason(pages, schema.WOOCOMMERCE).select("store", "page", F.posexplode("items").alias("position", "p"))
+    p = stop_reason(pages, schema.WOOCOMMERCE, max_pages).select("store", "page", F.posexplode("items").alias("position", "p"))
     p = p.filter("p.type = 'simple' and p.prices.currency_code = 'JOD'")
     minor = F.element_at(F.array(*[F.lit(10**k) for k in range(7)]), F.least(F.greatest(F.col("p.prices.currency_minor_unit"), F.lit(0)), F.lit(6)) + 1)
     price = (F.col("p.prices.price").try_cast("decimal(18,0)") / minor).cast("decimal(10,3)")
