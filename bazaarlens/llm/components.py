@@ -31,9 +31,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     facts = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     before = facts(now)
     while before[0]:
-        large = scratch.table(_star(now, True), f"{name}-{at}-large")
+        large = scratch.table(_star(now, True), f"{name}-{at}-large", most=2 * before[0])
         at += 1
-        now = scratch.table(_star(large, False), f"{name}-{at}")
+        now = scratch.table(_star(large, False), f"{name}-{at}", most=2 * before[0])
         after = facts(now)
         scratch.drop(f"{name}-{at - 1}-large")
         scratch.drop(f"{name}-{at - 1}")

@@ -61,7 +61,8 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, n_shingles, two hashes of the whole set, band hashes, 32 bits of each of them, one byte of each minimum."""
+    """Of rows (row, text, ...), columns beyond the text included: row, n_shingles, two hashes of the
+    whole set, band hashes, 32 bits of each of them, one byte of each minimum, and what came along."""
     band = np.arange(BANDS, dtype=np.uint64)
     for batch in batches:
         for part in slices(batch, 1):
@@ -76,8 +77,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(meet.tolist() if len(own) else [])
                 meets.append((meet >> np.int64(32)).astype(np.uint32).tobytes() if len(own) else b"")
                 bytes_.append((low >> np.uint32(7)).astype(np.uint8).tobytes() if len(own) else b"")
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(again, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(meets, pa.binary()), pa.array(bytes_, pa.binary())],
-                                             names=["row", "n_shingles", "key1", "key2", "bands", "meets", "signature"])
+            made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(again, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(meets, pa.binary()), pa.array(bytes_, pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *made, *part.columns[2:]], names=["row", "n_shingles", "key1", "key2", "bands", "meets", "signature", *part.schema.names[2:]])
 
 
 SIGNED = "row long, n_shingles long, key1 long, key2 long, bands array<long>, meets binary, signature binary"
@@ -197,18 +198,18 @@ class _Texts:
     def __init__(self, texts: DataFrame, scratch: Scratch) -> None:
         self.texts, self.scratch = texts, scratch
 
-    def sets(self, nodes: DataFrame, name: str) -> DataFrame:
-        """node, set of the given nodes (column node), each made once, from its text."""
-        nodes = self.scratch.table(nodes.distinct(), f"{name}-nodes")
+    def sets(self, nodes: DataFrame, name: str, most: int | None = None) -> DataFrame:
+        """node, set of the given nodes (column node; ``most`` at most), each made once, from its text."""
+        nodes = self.scratch.table(nodes.distinct(), f"{name}-nodes", most)
         few = nodes.count() * 16 <= BROADCAST
         chosen = self.texts.join(F.broadcast(nodes) if few else nodes, self.texts["row"] == nodes["node"]).select("node", "text")
         sets = self.scratch.table(chosen.mapInArrow(_sets, "node long, set binary"), f"{name}-sets")
         self.scratch.drop(f"{name}-nodes")
         return sets
 
-    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that are links."""
-        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), name)
+    def confirmed(self, pairs: DataFrame, name: str, n: int) -> DataFrame:
+        """Those of n pairs (a, b) that are links."""
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), name, 2 * n)
         one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         two = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         links = self.scratch.table(two.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long"), f"{name}-links")
@@ -220,23 +221,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row per document: row, id, n_shingles, component (the smallest id reachable, itself
     included), first (this row stands for its group)."""
     scratch = Scratch(docs.sparkSession, "near")
-    return _grouped(scratch.numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "row"), scratch)
+    # Each row gets its number, its signature and its text in one table, so the number stays with the text.
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    signed = scratch.table(own.withColumn("whole", F.col("text")).select("row", "text", "id", "whole").mapInArrow(_sign, f"{SIGNED}, id {kind}, whole string"), "signed")
+    return _grouped(signed, signed.select("row", F.col("whole").alias("text")), signed.select("row", "id"), scratch)
 
 
-def _grouped(numbered: DataFrame, scratch: Scratch) -> DataFrame:
-    """``groups`` of written rows (row, id, text)."""
-    texts, ids = numbered.select("row", F.col("text").cast("string").alias("text")), numbered.select("row", "id")
-    signed = scratch.table(texts.mapInArrow(_sign, SIGNED), "signed")
+def _grouped(signed: DataFrame, texts: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """``groups`` of signed rows, all of written tables."""
     # One class per distinct set, named by its smallest row; a set is told by two 64-bit hashes and its size.
     key = ["key1", "key2", "n_shingles"]
-    keys = scratch.table(signed.select("row", *key), "keys")
+    keys = signed.select("row", *key)
     classes = scratch.table(keys.filter("n_shingles > 0").groupBy(*key).agg(F.min("row").alias("node")), "classes")
     heads = signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
     entries = heads.select(F.explode("bands").alias("bucket"), F.col("row").alias("node")).repartition("bucket").sortWithinPartitions("bucket", "node")
     members = scratch.table(entries.mapInArrow(_met, "bucket long, node long, least long"), "members")
     signs = signed.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "meets", "signature")
     signs = scratch.table(signs, "signs")
-    scratch.drop("signed")
     scratch.release()
 
     named = lambda c: signs.select(F.col("node").alias(c), F.col("signature").alias(f"sign_{c}"))
@@ -245,7 +247,7 @@ def _grouped(numbered: DataFrame, scratch: Scratch) -> DataFrame:
     best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("agree"), "a"))
     chosen = scratch.table(agreeing.withColumn("n", best).filter(F.col("n") <= CENTRES).select("a", "b"), "chosen")
     source = _Texts(texts, scratch)
-    first = source.confirmed(chosen, "first")
+    first = source.confirmed(chosen, "first", chosen.count())
     found = connected_components(first, scratch, "first-groups")
     scratch.release()
 
@@ -265,8 +267,8 @@ def _grouped(numbered: DataFrame, scratch: Scratch) -> DataFrame:
     rest = scratch.table(rest, "rest")
     scratch.drop("large-sets")
     scratch.release()
-    second = source.confirmed(rest.filter("not sure").select("a", "b"), "second").unionByName(rest.filter("sure").select("a", "b"))
-    found = scratch.table(connected_components(first.unionByName(second), scratch, "groups"), "found")
+    second = source.confirmed(rest.filter("not sure").select("a", "b"), "second", rest.count()).unionByName(rest.filter("sure").select("a", "b"))
+    found = connected_components(first.unionByName(second), scratch, "groups")
     for name in ("members", "signs", "labelled", "chosen", "rest"):
         scratch.drop(name)
     scratch.release()
@@ -288,7 +290,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The documents, one of each group; those without words all stay."""
     scratch, row = Scratch(docs.sparkSession, "deduplicated"), fresh(docs, "__row")
     numbered = scratch.numbered(docs, row)
-    grouped = _grouped(numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), scratch)
+    texts = numbered.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
+    signed = scratch.table(texts.mapInArrow(_sign, SIGNED), "signed")
+    grouped = _grouped(signed, texts, numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id")), scratch)
     gone = scratch.table(grouped.filter("not first").select(F.col("row").alias(row)), "gone")
     small = gone.count() * 16 <= BROADCAST
     return numbered.join(F.broadcast(gone) if small else gone, row, "left_anti").select(*docs.columns)

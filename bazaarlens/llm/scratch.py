@@ -18,6 +18,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a file of a table whose size is known.
+FILE_ROWS = 500_000
 _local: list[str] = []
 
 
@@ -47,8 +49,11 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{owner}-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back."""
+    def table(self, df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+        """Write ``df`` as Parquet and read it back; in files of about ``FILE_ROWS`` rows where it is
+        known to have ``most`` rows at most, as a small table in many files is slow to write."""
+        if most is not None:
+            df = df.coalesce(most // FILE_ROWS + 1)
         df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
