@@ -48,8 +48,8 @@ WINDOW, GRAM, DIGIT = 100, 16, 25
 GROUP, AT_ONCE, WINDOWS = 100_000, 4096, 400_000
 #: Anchors of one gram that go to one task, and the grams of more that are dealt out, the largest first.
 COMMON, MOST = 1 << 14, 100_000
-#: One text in so many is read before to find common grams.
-SAMPLE = 64
+#: One text in so many is read before to find common grams; the mark of their anchors.
+SAMPLE, HOT = 64, 1 << 62
 _NONE = np.iinfo(np.int64).max
 
 
@@ -98,8 +98,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(common: int):
-    """Of rows sorted by gram, those whose gram the row before or after has, too, and all ``hot``
-    ones.  Another gram of more than ``common`` rows is counted: a row with the count for its row
+    """Of rows sorted by gram, those whose gram the row before or after has, too, and all that
+    are marked by ``HOT`` in their place.  Another gram of more than ``common`` rows is counted: a row with the count for its row
     number and no place follows it."""
     names = ["gram", "row", "at"]
 
@@ -111,9 +111,11 @@ def _shared(common: int):
         held: pa.RecordBatch | None = None
         n = 0  # rows so far of the gram of the row that waits, itself included
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(batch.column("hot")).select(names)
-                batch = batch.filter(pa.compute.invert(batch.column("hot"))).select(names)
+            hot = batch.column(2).to_numpy() >= HOT
+            if hot.any():
+                known = batch.filter(pa.array(hot))
+                yield pa.RecordBatch.from_arrays([known.column(0), known.column(1), pa.array(known.column(2).to_numpy() - HOT)], names=names)
+                batch = batch.filter(pa.array(~hot))
             if not batch.num_rows:
                 continue
             table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
@@ -330,7 +332,7 @@ def _spans(texts: DataFrame, scratch: Scratch, group_limit: int, common: int, sa
     hot = scratch.table(largest(seen.filter("n > 1").select("gram", (F.col("n") * sample).alias("n"))), "hot")
     # A common gram's anchors are dealt by row over n / most tasks.
     deal = lambda known: F.when(known, F.xxhash64("gram", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / most)))).otherwise(F.col("gram")).alias("deal")
-    found = find(texts).join(F.broadcast(hot), "gram", "left").select("gram", "row", "at", F.col("n").isNotNull().alias("hot"), deal(F.col("n").isNotNull()))
+    found = find(texts).join(F.broadcast(hot), "gram", "left").select("gram", "row", F.when(F.col("n").isNotNull(), F.col("at") + HOT).otherwise(F.col("at")).alias("at"), deal(F.col("n").isNotNull()))
     shared = found.repartition("deal").drop("deal").sortWithinPartitions("gram").mapInArrow(_shared(common), "gram long, row long, at long")
     shared = scratch.table(shared, "shared")
     scratch.release()
