@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +35,31 @@ def fingerprint(text: Column) -> Column:
 def path_quoted(text: Column) -> Column:
     """Percent-encoded for a path: a space is %20."""
     return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def path_unquoted(text: Column) -> Column:
+    """Percent-decoded; a plus sign in a path is itself."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def pseudonym(text: Column, key: bytes) -> Column:
+    """HMAC-SHA-256 of the text as hex: the same for the same text, and not to be undone without the key."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "utf-8")), 256))), 256)
+
+
+def html_escaped(text: Column) -> Column:
+    for plain, coded in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(plain), F.lit(coded))
+    return text
+
+
+def compact_stamp(at: Column) -> Column:
+    """A time for file names, in UTC sessions."""
+    return F.date_format(at, "yyyyMMdd'T'HHmmss'Z'")
+
+
+def stored_attributes(text: Column) -> Column:
+    """The attributes column as stored: JSON text to a map; null if it is no object of texts."""
+    return F.from_json(text, "map<string,string>")
