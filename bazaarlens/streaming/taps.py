@@ -30,10 +30,13 @@ def over_rate(requests: DataFrame, key: str, ts: str, window: str, most: int, la
 
 def alert_events(prices: DataFrame) -> DataFrame:
     """notify and reset events of alerts, from a stream of (alert_id, target, total, at): one
-    notification per fall to the target, and a reset when the price is above it again."""
+    notification per fall to the target, and a reset when the price is above it again.  Prices count
+    in the order of their times; one that comes after a later price of its alert has been seen tells
+    of a state that is past, and is ignored."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        told = bool(state.get[0]) if state.exists else False
+        told, seen = (bool(state.get[0]), state.get[1]) if state.exists else (False, None)
         rows = pd.concat(list(batches)).sort_values("at")
+        rows = rows if seen is None else rows[rows["at"] > pd.Timestamp(seen)]
         events = []
         for target, total, at in zip(rows["target"], rows["total"], rows["at"]):
             if total <= target and not told:
@@ -42,10 +45,10 @@ def alert_events(prices: DataFrame) -> DataFrame:
             elif total > target and told:
                 told = False
                 events.append((key[0], "reset", at))
-        state.update((told,))
+        state.update((told, rows["at"].iloc[-1].to_pydatetime() if len(rows) else seen))
         yield pd.DataFrame(events, columns=["alert_id", "event", "at"])
 
-    return prices.groupBy("alert_id").applyInPandasWithState(step, "alert_id bigint, event string, at timestamp", "told boolean", "append", GroupStateTimeout.NoTimeout)
+    return prices.groupBy("alert_id").applyInPandasWithState(step, "alert_id bigint, event string, at timestamp", "told boolean, seen timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
 def each_read(pages: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -95,6 +95,12 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["event"] for r in spark.table("alert_events").orderBy("at").collect()] == ["notify", "reset", "notify"]
+    late = [(7, 10.0, 99.0, dt.datetime(2024, 1, 1, 3)), (7, 10.0, 12.0, dt.datetime(2024, 1, 1, 9))]  # the first is older than what was seen
+    spark.createDataFrame(late, schema).write.mode("append").parquet(str(tmp_path / "p"))
+    events = []
+    q = taps.alert_events(spark.readStream.schema(schema).parquet(str(tmp_path / "p"))).writeStream.outputMode("append").foreachBatch(lambda df, _: events.extend(df.collect())).option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [(r["event"], r["at"].hour) for r in events] == [("reset", 9)]
     seen = []
     taps.each_read(stream, lambda df, k: seen.append(df.count()), str(tmp_path / "e")).awaitTermination(60)
     assert sum(seen) == 3
