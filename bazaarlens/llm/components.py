@@ -23,11 +23,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u > v").distinct()
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, name: str, most: int | None = None) -> DataFrame:
     """``node, component`` for every node of ``edges`` (a, b) that is not the smallest of its
-    component; the component is the smallest node.  Empty for no edges."""
+    component; the component is the smallest node.  Empty for no edges.  ``most``: edges at most."""
     at = 0
-    now = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), f"{name}-{at}")
+    now = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), f"{name}-{at}", most)
     facts = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     before = facts(now)
     while before[0]:

@@ -212,7 +212,7 @@ class _Texts:
         sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), name, 2 * n)
         one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         two = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        links = self.scratch.table(two.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long"), f"{name}-links")
+        links = self.scratch.table(two.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long"), f"{name}-links", 4 * n)
         self.scratch.drop(f"{name}-sets")
         return links
 
@@ -233,33 +233,36 @@ def _grouped(signed: DataFrame, texts: DataFrame, ids: DataFrame, scratch: Scrat
     # One class per distinct set, named by its smallest row; a set is told by two 64-bit hashes and its size.
     key = ["key1", "key2", "n_shingles"]
     keys = signed.select("row", *key)
-    classes = scratch.table(keys.filter("n_shingles > 0").groupBy(*key).agg(F.min("row").alias("node")), "classes")
+    rows = signed.count()
+    classes = scratch.table(keys.filter("n_shingles > 0").groupBy(*key).agg(F.min("row").alias("node")), "classes", rows)
+    n = classes.count()
     heads = signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
     entries = heads.select(F.explode("bands").alias("bucket"), F.col("row").alias("node")).repartition("bucket").sortWithinPartitions("bucket", "node")
-    members = scratch.table(entries.mapInArrow(_met, "bucket long, node long, least long"), "members")
+    members = scratch.table(entries.mapInArrow(_met, "bucket long, node long, least long"), "members", n * BANDS)
     signs = signed.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "meets", "signature")
-    signs = scratch.table(signs, "signs")
+    signs = scratch.table(signs, "signs", 4 * n)  # wide rows
     scratch.release()
 
     named = lambda c: signs.select(F.col("node").alias(c), F.col("signature").alias(f"sign_{c}"))
     centred = members.filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     agreeing = centred.join(named("a"), "a").join(named("b"), "b").mapInArrow(_agreeing, "a long, b long, agree double").filter(F.col("agree") >= POSSIBLE)
     best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("agree"), "a"))
-    chosen = scratch.table(agreeing.withColumn("n", best).filter(F.col("n") <= CENTRES).select("a", "b"), "chosen")
+    chosen = scratch.table(agreeing.withColumn("n", best).filter(F.col("n") <= CENTRES).select("a", "b"), "chosen", CENTRES * n)
     source = _Texts(texts, scratch)
-    first = source.confirmed(chosen, "first", chosen.count())
-    found = connected_components(first, scratch, "first-groups")
+    pairs = chosen.count()
+    first = source.confirmed(chosen, "first", pairs)
+    found = connected_components(first, scratch, "first-groups", pairs)
     scratch.release()
 
     labelled = members.join(found, "node", "left").select("bucket", F.col("bucket").bitwiseAND(F.lit(BANDS - 1)).cast("int").alias("band"), "node", F.coalesce("component", "node").alias("component"))
-    labelled = scratch.table(labelled, "labelled")
+    labelled = scratch.table(labelled, "labelled", n * BANDS)
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low < high").select("bucket", "members")
     open_ = labelled.join(open_, "bucket")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     open_ = open_.withColumn("block", F.when(blocks > 1, F.pmod(F.xxhash64("node"), blocks)).otherwise(0).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     # Members of large buckets bring their sets along; pairs of the others go on as rows.
-    large = source.sets(open_.filter(F.col("members") > LARGE).select("node"), "large")
+    large = source.sets(open_.filter(F.col("members") > LARGE).select("node"), "large", n)
     brought = F.when(F.col("members") > LARGE, F.col("set")).alias("set")
     meeting = open_.join(signs.join(large, "node", "left"), "node").select("bucket", "band", "i", "j", "block", "node", "component", "n_shingles", "meets", "signature", brought)
     meeting = meeting.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
@@ -267,8 +270,9 @@ def _grouped(signed: DataFrame, texts: DataFrame, ids: DataFrame, scratch: Scrat
     rest = scratch.table(rest, "rest")
     scratch.drop("large-sets")
     scratch.release()
-    second = source.confirmed(rest.filter("not sure").select("a", "b"), "second", rest.count()).unionByName(rest.filter("sure").select("a", "b"))
-    found = connected_components(first.unionByName(second), scratch, "groups")
+    more = rest.count()
+    second = source.confirmed(rest.filter("not sure").select("a", "b"), "second", more).unionByName(rest.filter("sure").select("a", "b"))
+    found = connected_components(first.unionByName(second), scratch, "groups", pairs + more)
     for name in ("members", "signs", "labelled", "chosen", "rest"):
         scratch.drop(name)
     scratch.release()
@@ -277,7 +281,7 @@ def _grouped(signed: DataFrame, texts: DataFrame, ids: DataFrame, scratch: Scrat
     by_class = classes.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
     placed = keys.join(by_class, key, "left").join(ids, "row")
     alone = F.col("component").isNull()
-    placed = scratch.table(placed.select("row", "id", "n_shingles", F.when(alone, -1 - F.col("row")).otherwise(F.col("component")).alias("group")), "placed")
+    placed = scratch.table(placed.select("row", "id", "n_shingles", F.when(alone, -1 - F.col("row")).otherwise(F.col("component")).alias("group")), "placed", rows)
     least = placed.groupBy("group").agg(F.min_by("id", F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("component"), F.min_by("row", F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("head"))
     return placed.join(least, "group").select("row", "id", "n_shingles", "component", (F.col("row") == F.col("head")).alias("first"))
 
