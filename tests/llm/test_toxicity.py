@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +42,30 @@ def test_held_out_accuracy_and_sentences(corpus):
             assert any(w in worst for w in ("vermin", "dimwit", "scumling"))
 
 
+def test_scores_equal_brute_force(spark, corpus):
+    docs, labels, texts, _ = corpus
+    model = toxicity.learn(docs, labels)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+
+    def sentences(text):
+        at = 0
+        for piece in re.split(r"(?<=[.!?\n])", text):
+            words = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", piece)
+            if words:
+                own = [b for w in words for b in toxicity.features(pa.array([w]))[0][0].tolist()]
+                yield at, at + len(piece), model.bias + sum(weight.get(b, 0.0) for b in own)
+            at += len(piece)
+
+    odd = [None, "", "...", "no end", "One. Two! Three?\nFour", "é vermin. ß VERMIN! scumling"]
+    some = {i: texts[i] for i in range(0, 60)} | {1000 + k: t for k, t in enumerate(odd)}
+    scored = toxicity.score(spark.createDataFrame(list(some.items()), "doc_id long, text string"), model).collect()
+    for r in scored:
+        each = list(sentences(some[r["id"]] or ""))
+        clean = math.prod(1 - 1 / (1 + math.exp(-z)) for *_, z in each)
+        assert r["score"] == pytest.approx(1 - clean, abs=1e-9)
+        assert sorted((s["start"], s["end"]) for s in r["offending"]) == [(a, b) for a, b, z in each if z >= 0]
+
+
 def test_sample_bound(corpus):
     docs, labels, _, truth = corpus
     got = toxicity.digest(toxicity.score(docs, toxicity.learn(docs, labels, sample=250))).collect()
