@@ -11,8 +11,8 @@ drops grams that occur once.  The anchors left fetch their bytes, meet again by
 tasks sort their windows by further digits, each a 64-bit fingerprint of 25 bytes, dropping
 windows that stand alone after each pass.  Anchors with equal contexts are settled at once.
 
-A gram of more anchors than a task's share of all, and of more than ``COMMON``, is dealt over as
-many tasks as it fills, in both shuffles.  For the first one a sample of the texts tells these
+A gram of more anchors than a task's share of all, and of more than ``COMMON``, is dealt over
+all tasks, in both shuffles.  For the first one a sample of the texts tells these
 grams: one that the sample holds twice is shared for certain, so its anchors need not meet to be
 kept.  For the second one the first shuffle has counted the others.  The sample changes where
 anchors go and nothing else.  Windows of dealt-out grams go on as rows, and Spark groups them with
@@ -330,10 +330,10 @@ def _spans(texts: DataFrame, scratch: Scratch, group_limit: int, common: int, sa
     most = max(common, (seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * sample) // tasks)
     largest = lambda df: df.filter(F.col("n") > most).orderBy(F.desc("n"), "gram").limit(MOST)
     hot = scratch.table(largest(seen.filter("n > 1").select("gram", (F.col("n") * sample).alias("n"))), "hot")
-    # A common gram's anchors are dealt by row over n / most tasks.
-    deal = lambda known: F.when(known, F.xxhash64("gram", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / most)))).otherwise(F.col("gram")).alias("deal")
-    found = find(texts).join(F.broadcast(hot), "gram", "left").select("gram", "row", F.when(F.col("n").isNotNull(), F.col("at") + HOT).otherwise(F.col("at")).alias("at"), deal(F.col("n").isNotNull()))
-    shared = found.repartition("deal").drop("deal").sortWithinPartitions("gram").mapInArrow(_shared(common), "gram long, row long, at long")
+    # A common gram's anchors are dealt by row over all tasks; no column is shuffled for that.
+    deal = lambda known: F.when(known, F.xxhash64("gram", F.pmod(F.xxhash64("row"), F.lit(tasks)))).otherwise(F.col("gram"))
+    found = find(texts).join(F.broadcast(hot), "gram", "left").select("gram", "row", F.when(F.col("n").isNotNull(), F.col("at") + HOT).otherwise(F.col("at")).alias("at"))
+    shared = found.repartition(deal(F.col("at") >= HOT)).sortWithinPartitions("gram").mapInArrow(_shared(common), "gram long, row long, at long")
     shared = scratch.table(shared, "shared")
     scratch.release()
     counted, placed = largest(shared.filter("at is null").select("gram", F.col("row").alias("n"))), shared.filter("at is not null")
@@ -341,9 +341,9 @@ def _spans(texts: DataFrame, scratch: Scratch, group_limit: int, common: int, sa
     kind = texts.schema["id"].dataType.simpleString()
     around = texts.join(lists.hint("shuffle_hash"), "row").select("row", "id", "text", "anchors")
     around = around.mapInArrow(_contexts, f"gram long, id {kind}, row long, at long, full long, bytes binary")
-    around = around.join(F.broadcast(counted.unionByName(hot)), "gram", "left").withColumn("common", F.col("n").isNotNull())
-    dealt = around.withColumn("deal", deal(F.col("common"))).drop("n").repartition("deal")
-    ordered = dealt.sortWithinPartitions("gram", F.when(F.col("common"), F.col("full")), F.asc_nulls_first("id"), "row", "at").drop("deal")
+    around = around.join(F.broadcast(counted.unionByName(hot)), "gram", "left").withColumn("common", F.col("n").isNotNull()).drop("n")
+    dealt = around.repartition(deal(F.col("common")))
+    ordered = dealt.sortWithinPartitions("gram", F.when(F.col("common"), F.col("full")), F.asc_nulls_first("id"), "row", "at")
     out = scratch.table(ordered.mapInArrow(_sort(group_limit), FOUND), "repeats")
     scratch.drop("shared")
     scratch.release()
