@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import grammar, mixing, near_dedup, packing, repetition, secrets, shards, suffix_dedup, toxicity, va_search
+from bazaarlens.llm import alignment, fingerprints, grammar, hard_negatives, mixing, near_dedup, packing, repetition, secrets, shards, suffix_dedup, toxicity, va_search
 from bazaarlens.llm.scratch import Scratch
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +74,20 @@ def op10_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.removed(table(spark, sf_dir, "documents")))
 
 
+def op11_one_permutation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(fingerprints.edited_pairs(table(spark, sf_dir, "documents")))
+
+
+def op12_vantage_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(alignment.align(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES).documents)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op2_noisy_or_toxicity, op3_source_schedule, op4_tiered_compaction, op5_grammar_shards, op6_minimum_bin_slack, op7_minhash_groups, op8_approximation_search, op9_repetition_coverage, op10_radix_suffix_dedup)
+    f.__name__: f for f in (op1_secret_ownership, op2_noisy_or_toxicity, op3_source_schedule, op4_tiered_compaction, op5_grammar_shards, op6_minimum_bin_slack, op7_minhash_groups, op8_approximation_search, op9_repetition_coverage, op10_radix_suffix_dedup,
+                                op11_one_permutation_fingerprints, op12_vantage_hard_negatives, op13_tokenizer_alignment)
 }
