@@ -56,11 +56,25 @@ RESULT = "id long, n_a long, n_b long, n_groups long, n_links long, n_best long,
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where chunks start: at each text, and at a space or line feed after a visible character."""
-    at = np.flatnonzero((data == 32) | (data == 10))
-    at = np.setdiff1d(at, offsets, assume_unique=False)
+    start = (data == 32) | (data == 10)
+    start[offsets[:-1][np.diff(offsets) > 0]] = False
+    at = np.flatnonzero(start)
     before, two = data[at - 1], data[at - 2].astype(np.int32) << 8 | data[at - 1]
-    inner = at[~BLANK[before] & ~np.isin(two, BLANKS)]
-    return np.union1d(inner, offsets[:-1][np.diff(offsets) > 0])
+    wide = before >= 0x80
+    start[at[BLANK[before]]] = False
+    start[at[wide][np.isin(two[wide], BLANKS)]] = False
+    start[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(start)
+
+
+def packed(places: np.ndarray) -> bytes:
+    """Small numbers in few bytes: their low bytes, the next ones and so on, compressed."""
+    return pa.compress(np.ascontiguousarray(places.astype("<i4").view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
 
 
 class Tokenizers:
@@ -103,7 +117,7 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
 
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, size: int) -> DataFrame:
     """``block, ids, counts, places, chunks, times``: documents, how many chunks each has, the places of
-    these one after the other (four bytes each), the distinct chunks, and how often each occurs."""
+    these one after the other (``packed``), the distinct chunks, and how often each occurs."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, 1, size):
@@ -112,10 +126,14 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, siz
             starts = chunk_starts(data, offsets)
             bounds = np.append(starts, len(data)).astype(np.int64)
             found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-            places = found.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-            lists = [(batch.column(0), pa.int64()), (np.diff(np.searchsorted(starts, offsets)), pa.int32()), (found.dictionary.cast(pa.string()), pa.string()), (np.bincount(places, minlength=len(found.dictionary)), pa.int64())]
+            times = np.bincount(found.indices.to_numpy(zero_copy_only=False), minlength=len(found.dictionary))
+            common = np.argsort(-times, kind="stable")  # common chunks get small numbers
+            rank = np.empty(len(common), dtype=np.int32)
+            rank[common] = np.arange(len(common))
+            places = rank[found.indices.to_numpy(zero_copy_only=False)]
+            lists = [(batch.column(0), pa.int64()), (np.diff(np.searchsorted(starts, offsets)), pa.int32()), (found.dictionary.take(pa.array(common)).cast(pa.string()), pa.string()), (times[common], pa.int64())]
             whole = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v, t)) for v, t in lists]
-            yield pa.RecordBatch.from_arrays([whole[0], whole[1], pa.array([places.tobytes()], pa.binary()), whole[2], whole[3]], names=["ids", "counts", "places", "chunks", "times"])
+            yield pa.RecordBatch.from_arrays([whole[0], whole[1], pa.array([packed(places)], pa.binary()), whole[2], whole[3]], names=["ids", "counts", "places", "chunks", "times"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return scratch.numbered(rows.mapInArrow(cut, "ids array<long>, counts array<int>, places binary, chunks array<string>, times array<long>"), "block", "blocks")
@@ -143,36 +161,37 @@ def tokenized(chunks: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 
 @contextmanager
-def _joined_in_place(spark: SparkSession) -> Iterator[None]:
-    """Rows that are dealt by a part of a join's keys are joined where they are."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
+def _in_place(spark: SparkSession) -> Iterator[None]:
+    """Rows that are dealt by a part of a join's keys are joined where they are, and rows in order of
+    their group are collected in that order."""
+    settings = ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.execution.useObjectHashAggregateExec")
+    before = [spark.conf.get(name, "true") for name in settings]
+    for name in settings:
+        spark.conf.set(name, "false")
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in zip(settings, before):
+            spark.conf.set(name, value)
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """``number, n_a, n_b, n_groups, links, groups`` from each text's tokens (``number, a, b``) of equal
     bytes: the linked ids in order, and the groups as ``a1,a2|b1;a3|b2,b3``."""
-    dealt = tokens.repartition("number")  # all that follows stays in these partitions
-    sides = [dealt.select("number", F.lit(side).alias("side"), F.posexplode(name).alias("pos", "token")) for side, name in enumerate("ab")]
+    sides = [tokens.select("number", F.posexplode(name).alias("pos", "token")) for name in "ab"]
     end = F.sum("token.size").over(W.partitionBy("number").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    a, b = (s.select("number", "side", F.col("token.id").alias("id"), end.alias("end")) for s in sides)
+    a, b = (s.select("number", F.col("token.id").alias("id"), end.alias("end")) for s in sides)
     # A cut is where an A token and a B token end together: each side learns what it is linked to there.
-    a = a.join(b.select("number", "end", F.col("id").alias("linked")), ["number", "end"], "left")
-    other = sides[0].select("number", end.alias("end"), F.lit(-1).alias("linked"))
-    b = b.join(other, ["number", "end"], "left")
-    before = W.partitionBy("number").orderBy("end").rowsBetween(W.unboundedPreceding, -1)
-    group = F.coalesce(F.count("linked").over(before), F.lit(0)).alias("group")
-    ids = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("end", "id"))), lambda t: t["id"].cast("string")), ",")
-    a = a.select("number", "end", "id", "linked", group).groupBy("number", "group").agg(F.count("*").alias("n_a"), ids(a).alias("a_ids"), F.max_by("id", "end").alias("a"), F.max("linked").alias("b"))
-    b = b.select("number", "end", "id", group).groupBy("number", "group").agg(F.count("*").alias("n_b"), ids(b).alias("b_ids"))
-    groups = a.join(b, ["number", "group"])
-    whole = groups.groupBy("number").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.array_sort(F.collect_list(F.struct("group", "a", "b", F.concat_ws("|", "a_ids", "b_ids").alias("ids")))).alias("found"))
-    return whole.select("number", "n_a", "n_b", "n_groups", F.transform("found", lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"))).alias("links"), F.array_join("found.ids", ";").alias("groups"))
+    linked = [one.join(two.select("number", "end", F.col("id").alias("linked")), ["number", "end"], "left") for one, two in ((a, b), (b, a))]
+    group = F.count("linked").over(W.partitionBy("number").orderBy("end").rowsBetween(W.unboundedPreceding, -1)).alias("group")
+    listed = [F.array_sort(F.collect_list(F.struct("end", "group", "id", "linked"))).alias(name) for name in "ab"]
+    a, b = (one.select("number", "end", "id", "linked", group).groupBy("number").agg(rows) for one, rows in zip(linked, listed))
+    last = lambda name: lambda t, k: F.coalesce(F.get(name, k + 1)["group"] == t["group"], F.lit(False))
+    ids = lambda name: F.split(F.array_join(F.transform(name, lambda t, k: F.concat(t["id"].cast("string"), F.when(last(name)(t, k), ",").otherwise(";"))), ""), ";")
+    groups = F.array_join(F.filter(F.zip_with(ids("a"), ids("b"), lambda x, y: F.concat(x, F.lit("|"), y)), lambda g: g != "|"), ";")
+    links = F.transform(F.filter("a", lambda t: t["linked"].isNotNull()), lambda t: F.struct(t["id"].alias("a"), t["linked"].alias("b")))
+    size = lambda c: F.size(c).cast("long")
+    return a.join(b, "number").select("number", size("a").alias("n_a"), size("b").alias("n_b"), size(links).alias("n_groups"), links.alias("links"), groups.alias("groups"))
 
 
 def _spoiled(blocks: DataFrame, bad: DataFrame) -> DataFrame:
@@ -184,7 +203,8 @@ def _spoiled(blocks: DataFrame, bad: DataFrame) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 counts, chunks, bad = (batch.column(k)[row].values for k in (0, 2, 3))
-                places, counts = np.frombuffer(batch.column(1)[row].as_py(), np.int32), counts.to_numpy(zero_copy_only=False)
+                counts = counts.to_numpy(zero_copy_only=False)
+                places = unpacked(batch.column(1)[row].as_py(), int(counts.sum()))
                 owner = np.repeat(np.arange(len(counts)), counts)
                 ill = np.zeros(len(counts), dtype=bool)
                 ill[owner[np.isin(places, bad.to_numpy(zero_copy_only=False))]] = True
@@ -212,8 +232,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     blocks = in_blocks(docs, id_col, text_col, scratch, block)
     listed = blocks.select("block", F.posexplode(F.arrays_zip("chunks", "times")).alias("place", "c")).select("block", "place", F.col("c.chunks").alias("chunk"), F.col("c.times").alias("times"))
     chunks = scratch.numbered(listed.groupBy("chunk").agg(F.sum("times").alias("times")), "number", "chunks")
-    tokens = scratch.table(tokenized(chunks, a_path, b_path), "tokens")
-    with _joined_in_place(spark):
+    tokens = scratch.bucketed(tokenized(chunks, a_path, b_path), "number", "tokens")  # the alignment moves none of them
+    with _in_place(spark):
         facts = scratch.table(aligned(tokens.filter("whole").drop("whole")), "facts")
     times = chunks.select("number", "times")
     if not tokens.filter("not whole").isEmpty():
@@ -236,7 +256,7 @@ def _assembled(block: pa.Table, facts: pa.Table) -> pa.Table:
     """The documents of one block from the results of its chunks; one with a chunk that has none has no tokens."""
     row = block.select(["ids", "counts", "n"]).slice(0, 1)
     ids, counts = row["ids"].combine_chunks().flatten(), row["counts"].combine_chunks().flatten().to_numpy().astype(np.int64)
-    places = np.frombuffer(block["places"][0].as_buffer(), np.int32)
+    places = unpacked(block["places"][0].as_py(), int(counts.sum()))
     n, at = row["n"][0].as_py(), facts["place"].to_numpy()
     have = np.zeros(n, dtype=bool)
     have[at] = True
