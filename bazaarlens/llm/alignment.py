@@ -16,10 +16,11 @@ chunks, not documents, are what is tokenized and joined; a chunk's links count a
 3. Links are counted corpus-wide.  The two tokens of a link end in the same bytes, so one is the end
    of the other and there are at most as many pairs as bytes in both vocabularies: these counts are
    broadcast.
-4. The results of chunks go back to their blocks by a join on the chunk, once a block and chunk, and a
-   task puts a block's documents together.
+4. The results of chunks go back to the blocks that hold them, and a task puts a block's documents
+   together.
 
-No key is hot: however common a chunk is, a block has it once.
+No key is hot: however common a chunk is, a block has it once, and about ``HOMES`` blocks make a row
+of their own of it.
 
 Defined results: texts that are null or empty, or whose tokens' bytes do not give space and text
 again, have no tokens and count nowhere; equal rows give equal rows; a row without an id gives a row
@@ -37,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -45,8 +46,8 @@ from bazaarlens.llm.scratch import Scratch
 from bazaarlens.llm.text import utf8
 from bazaarlens.llm.tokens import gathered, slices
 
-#: Bytes of text of a block.
-BLOCK = 24 << 20
+#: Bytes of text of a block; blocks whose places of a chunk stand in one row.
+BLOCK, HOMES = 24 << 20, 4096
 #: White space of one byte, and the last two bytes of longer ones (fixed by Unicode); what is wrongly
 #: taken for white space only makes a chunk longer.
 BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
@@ -140,7 +141,7 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, siz
 
 
 def tokenized(chunks: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """``number, whole, a, b``: each chunk's tokens, and whether their bytes are the chunk's."""
+    """``number, times, homes, whole, a, b``: each chunk's tokens, and whether their bytes are the chunk's."""
     token = pa.struct([("id", pa.int32()), ("size", pa.int32())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +155,11 @@ def tokenized(chunks: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     whole &= np.fromiter((b"".join(p) == r for p, r in zip(pieces, raw)), bool, len(raw))
                     flat = pa.StructArray.from_arrays([pa.array([k for own in ids for k in own], pa.int32()), pa.array([len(p) for own in pieces for p in own], pa.int32())], fields=list(token))
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(own) for own in ids]))), pa.int32()), flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole), *columns], names=["number", "whole", "a", "b"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(whole), *columns], names=["number", "times", "homes", "whole", "a", "b"])
 
     kind = "array<struct<id:int,size:int>>"
-    return chunks.select("number", "chunk").mapInArrow(encode, f"number long, whole boolean, a {kind}, b {kind}")
+    homes = chunks.schema["homes"].dataType.simpleString()
+    return chunks.select("number", "chunk", "times", "homes").mapInArrow(encode, f"number long, times long, homes {homes}, whole boolean, a {kind}, b {kind}")
 
 
 @contextmanager
@@ -194,8 +196,8 @@ def aligned(tokens: DataFrame) -> DataFrame:
     return a.join(b, "number").select("number", size("a").alias("n_a"), size("b").alias("n_b"), size(links).alias("n_groups"), links.alias("links"), groups.alias("groups"))
 
 
-def _spoiled(blocks: DataFrame, bad: DataFrame) -> DataFrame:
-    """``chunk, times``: how often chunks occur in documents that hold a ``bad`` one (by its text)."""
+def _spoiled(blocks: DataFrame, bad: DataFrame, shares: int) -> DataFrame:
+    """``chunk, share, times``: how often chunks occur in documents that hold a ``bad`` one (by its text)."""
     listed = blocks.select("block", F.posexplode("chunks").alias("place", "chunk"))
     hit = listed.join(bad, "chunk", "left_semi").groupBy("block").agg(F.collect_list("place").alias("bad"))
 
@@ -210,9 +212,14 @@ def _spoiled(blocks: DataFrame, bad: DataFrame) -> DataFrame:
                 ill[owner[np.isin(places, bad.to_numpy(zero_copy_only=False))]] = True
                 times = np.bincount(places[ill[owner]], minlength=len(chunks))
                 used = np.flatnonzero(times)
-                yield pa.RecordBatch.from_arrays([chunks.take(pa.array(used)), pa.array(times[used], pa.int64())], names=["chunk", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(4)[row].as_py()] * len(used), pa.int32()), chunks.take(pa.array(used)), pa.array(times[used], pa.int64())], names=["share", "chunk", "times"])
 
-    return blocks.join(hit, "block").select("counts", "places", "chunks", "bad").mapInArrow(count, "chunk string, times long").groupBy("chunk").agg(F.sum("times").alias("times"))
+    ill = blocks.join(hit, "block").select("counts", "places", "chunks", "bad", _share(shares)).mapInArrow(count, "share int, chunk string, times long")
+    return ill.groupBy("chunk", "share").agg(F.sum("times").alias("times"))
+
+
+def _share(shares: int) -> Column:
+    return F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int").alias("share")
 
 
 @dataclass(frozen=True)
@@ -230,26 +237,32 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     """Both tokenizers' tokens of each text, grouped at common ends and linked."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "alignment")
     blocks = in_blocks(docs, id_col, text_col, scratch, block)
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("chunks", "times")).alias("place", "c")).select("block", "place", F.col("c.chunks").alias("chunk"), F.col("c.times").alias("times"))
-    chunks = scratch.numbered(listed.groupBy("chunk").agg(F.sum("times").alias("times")), "number", "chunks")
+    shares = -(-blocks.count() // HOMES) or 1
+    listed = blocks.select("block", _share(shares), F.posexplode(F.arrays_zip("chunks", "times")).alias("place", "c"))
+    homes = F.collect_list(F.struct(F.col("block").alias("home"), "place")).alias("homes")
+    chunks = scratch.numbered(listed.groupBy(F.col("c.chunks").alias("chunk"), "share").agg(F.sum("c.times").alias("times"), homes), "number", "chunks")
+    scratch.release()
     tokens = scratch.bucketed(tokenized(chunks, a_path, b_path), "number", "tokens")  # the alignment moves none of them
+    whole = tokens.filter("whole")
     with _in_place(spark):
-        facts = scratch.table(aligned(tokens.filter("whole").drop("whole")), "facts")
-    times = chunks.select("number", "times")
+        facts = scratch.bucketed(aligned(whole.select("number", "a", "b")).join(whole.select("number", "times", "homes"), "number"), "number", "facts", dealt=True)
+    links = facts.select("number", "times", F.explode("links").alias("link")).select("number", "times", "link.a", "link.b")
+    counted = links
     if not tokens.filter("not whole").isEmpty():
-        bad = tokens.filter("not whole").join(chunks, "number").select("chunk")
-        minus = _spoiled(blocks, bad).withColumnRenamed("times", "minus")
-        times = chunks.join(minus, "chunk", "left").select("number", (F.col("times") - F.coalesce("minus", F.lit(0))).alias("times"))
-    links = facts.select("number", F.explode("links").alias("link")).select("number", "link.a", "link.b")
-    counted = links.join(times.filter("times > 0"), "number").groupBy("a", "b").agg(F.sum("times").alias("count"))
+        bad = tokens.filter("not whole").join(chunks, "number").select("chunk").distinct()
+        minus = chunks.join(_spoiled(blocks, bad, shares).withColumnRenamed("times", "minus"), ["chunk", "share"]).select("number", "minus")
+        counted = links.join(minus, "number", "left").withColumn("times", F.col("times") - F.coalesce("minus", F.lit(0))).filter("times > 0")
+    counted = counted.groupBy("a", "b").agg(F.sum("times").alias("count"))
     pairs = scratch.table(counted.withColumn("best", F.col("count") == F.max("count").over(W.partitionBy("b"))), "pairs")
+    scratch.drop("tokens")
+    scratch.release()
     # One of a pair's tokens is the end of the other: there are at most as many pairs as bytes in both vocabularies.
     judged = links.join(F.broadcast(pairs), ["a", "b"], "left").groupBy("number").agg(F.count_if("best").alias("n_best"), F.coalesce(F.sum("count"), F.lit(0)).alias("count_sum"))
-    known = scratch.table(facts.join(judged, "number").join(chunks, "number").select("chunk", "n_a", "n_b", "n_groups", "n_best", "count_sum", "links", "groups"), "known")
-    returned = listed.select(F.col("block").alias("home"), "place", "chunk").join(known.drop("links"), "chunk").drop("chunk")
-    whole = blocks.select("block", "ids", "counts", "places", F.size("chunks").alias("n"))
-    documents = whole.groupBy("block").cogroup(returned.groupBy("home")).applyInArrow(_assembled, RESULT)
-    return Alignment(documents, pairs, known, blocks)
+    known = facts.join(judged, "number")
+    returned = known.select(F.explode("homes").alias("at"), "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups").select("at.home", "at.place", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups")
+    listed = blocks.select("block", "ids", "counts", "places", F.size("chunks").alias("n"))
+    documents = listed.groupBy("block").cogroup(returned.groupBy("home")).applyInArrow(_assembled, RESULT)
+    return Alignment(documents, pairs, chunks.select("number", "chunk").join(known, "number"), blocks)
 
 
 def _assembled(block: pa.Table, facts: pa.Table) -> pa.Table:

@@ -61,12 +61,12 @@ class Scratch:
         """``df`` written with a number for each row in the column ``row``."""
         return self.table(df.withColumn(row, F.monotonically_increasing_id()), name)
 
-    def bucketed(self, df: DataFrame, key: str, name: str) -> DataFrame:
+    def bucketed(self, df: DataFrame, key: str, name: str, dealt: bool = False) -> DataFrame:
         """Write ``df`` in buckets of ``key``, as many as the session has shuffle partitions:
-        joins by ``key`` with shuffled rows leave it where it is."""
+        joins by ``key`` with shuffled rows leave it where it is.  ``dealt``: it comes from buckets already."""
         buckets, entry = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"scratch_{uuid.uuid4().hex}"
-        dealt = df.repartition(buckets, key).write.option("compression", "zstd").option("path", f"{self.path}/{name}")
-        dealt.bucketBy(buckets, key).format("parquet").saveAsTable(entry)
+        writer = (df if dealt else df.repartition(buckets, key)).write.option("compression", "zstd").option("path", f"{self.path}/{name}")
+        writer.bucketBy(buckets, key).format("parquet").saveAsTable(entry)
         out = self.spark.table(entry)
         self.spark.sql(f"DROP TABLE {entry}")  # only the name: the files are in the shared folder
         return out
