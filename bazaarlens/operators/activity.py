@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from bazaarlens.session import settled
+
 CHANNELS = ("whatsapp", "call", "facebook", "instagram")
 
 
@@ -58,6 +60,19 @@ def taps_by_store(stores: DataFrame, taps: DataFrame) -> DataFrame:
     return out.select("store_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 
 
+def rolling(taps: DataFrame, days: tuple[int, ...] = (1, 7, 30, 365), most: int = 365) -> DataFrame:
+    """Taps of each shop that has any in the ``days`` days up to and with each day, from the first day of
+    all taps to the last, days without taps too.  A day's taps are counted first, so a window costs
+    days and not taps.  A number of days is taken as 1 at least and ``most`` at most."""
+    daily = settled(taps.filter("created_at is not null").groupBy("store_id", F.to_date("created_at").alias("day")).agg(F.count("*").alias("taps")))
+    span = daily.agg(F.min("day").alias("first"), F.max("day").alias("last"))  # one row
+    spine = daily.select("store_id").distinct().join(F.broadcast(span)).select("store_id", F.explode(F.sequence("first", "last")).alias("day"))
+    every = spine.join(daily, ["store_id", "day"], "left").withColumn("taps", F.coalesce("taps", F.lit(0)))
+    upto = W.partitionBy("store_id").orderBy(F.unix_date("day"))
+    within = lambda n: F.sum("taps").over(upto.rangeBetween(1 - max(1, min(n, most)), 0)).alias(f"last_{n}")
+    return every.select("store_id", "day", *[within(n) for n in days])
+
+
 def top_products(taps: DataFrame, products: DataFrame, limit: int = 10) -> DataFrame:
     """A shop's products by taps.  Taps without a product do not count here."""
     counts = taps.groupBy("store_id", "product_id").agg(F.count("*").alias("taps")).join(products.select(F.col("id").alias("product_id"), "canonical_name"), "product_id")

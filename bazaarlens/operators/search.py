@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from bazaarlens.functions.normalize import contains_folded
+from bazaarlens.functions.normalize import contains_folded, expand_prefix, normalize
 from bazaarlens.functions.parse import with_parsed
 from bazaarlens.functions.score import differences, score_match
 from bazaarlens.functions.spelling import accepted, correct
+from bazaarlens.operators import tiers
+from bazaarlens.operators.names import containing
 from bazaarlens.session import settled
 
 TIERS = ("exact", "close", "similar")
-#: Queries that are broadcast at once.
-BATCH = 1000
 
 
 def candidates(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -29,15 +27,27 @@ def candidates(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     return named.unionByName(open_)
 
 
+def _told(pairs: DataFrame, usable: bool) -> DataFrame:
+    """Pairs with a ``match`` as results: those that answer, or (of a query that nothing answers) all,
+    unscored and without differences, as similar."""
+    tier, score, gaps = (F.col("match.tier"), F.col("match.score"), differences(F.col("match"))) if usable else (F.lit("similar"), F.lit(0.0), F.slice(F.col("match.comparisons"), 1, 0))
+    return pairs.withColumn("tier", tier).withColumn("score", score).withColumn("differences", gaps)
+
+
 def scored(pairs: DataFrame) -> DataFrame:
     """Candidates with their match, the excluded left out.  A query that no candidate answers
     keeps all of its candidates, unscored and without differences, as similar."""
-    out = pairs.withColumn("match", score_match(F.col("q"), F.col("c")))
-    usable = out.groupBy(F.col("query_id").alias("of_query")).agg(F.max((F.col("match.tier") != "excluded").cast("int")).alias("usable"))
-    out = out.join(F.broadcast(usable), F.col("query_id").eqNullSafe(F.col("of_query"))).drop("of_query")
-    kept = out.filter((F.col("match.tier") != "excluded") | (F.col("usable") == 0))
-    return kept.withColumn("tier", F.when(F.col("usable") == 0, "similar").otherwise(F.col("match.tier"))).withColumn("score", F.when(F.col("usable") == 0, 0.0).otherwise(F.col("match.score"))).withColumn(
-        "differences", F.when(F.col("usable") == 0, F.slice(F.col("match.comparisons"), 1, 0)).otherwise(differences(F.col("match")))).drop("usable")
+    out = settled(pairs.withColumn("match", score_match(F.col("q"), F.col("c"))))  # scored once, read twice
+    good = out.filter("match.tier <> 'excluded'")
+    return _told(good, True).unionByName(_told(out.join(good.select("query_id").distinct(), "query_id", "left_anti"), False))
+
+
+def tiered(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``scored(candidates(queries, catalogue))`` without meeting what no tier can take: only where
+    nothing reaches one, all products of the query's category and brand are paired."""
+    good = settled(tiers.near(queries, catalogue))
+    wide = candidates(queries.join(good.select("query_id").distinct(), "query_id", "left_anti"), catalogue).drop("brand")
+    return _told(good, True).unionByName(_told(wide.withColumn("match", score_match(F.col("q"), F.col("c"))), False), allowMissingColumns=True)
 
 
 def sort_keys(name: str) -> list[Column]:
@@ -55,10 +65,41 @@ def tier_page(results: DataFrame, sort: str = "price_asc", start: int = 0, stop:
     """Rows [start, stop) of each tier of each query, with the tier's full count, and whether any
     tier of the query has more."""
     by = W.partitionBy("query_id", "tier")
-    out = results.withColumn("place", F.row_number().over(by.orderBy(*sort_keys(sort))) - 1)
+    # Rank, then first rows, then the page: in this form Spark drops what is beyond it before the shuffle.
+    out = results.withColumn("nth", F.row_number().over(by.orderBy(*sort_keys(sort)))).filter(F.col("nth") <= stop)
+    out = out.filter(F.col("nth") > start).withColumn("place", F.col("nth") - 1).drop("nth")
     counts = results.groupBy("query_id", "tier").agg(F.count("*").alias("tier_count"))
     more = counts.groupBy("query_id").agg(F.bool_or(F.col("tier_count") > stop).alias("has_more"))
-    return out.filter((F.col("place") >= start) & (F.col("place") < stop)).join(counts, ["query_id", "tier"]).join(more, "query_id")
+    return out.join(counts, ["query_id", "tier"]).join(more, "query_id")
+
+
+def after(results: DataFrame, cursors: DataFrame | None, sort: str = "price_asc", size: int = 10) -> DataFrame:
+    """The next ``size`` rows of each tier of each query behind its cursor (``query_id, tier`` and the
+    ``cursor`` of the last row seen, as ``cursors_of`` gives them); from the first row where a tier has none.  Rows carry their own
+    ``cursor``.  What lies before is filtered before any ranking, so a deep page costs what a first does."""
+    keys = [k.alias(f"k{n}") for n, k in enumerate(cursor_keys(sort))]
+    rest = results.withColumn("cursor", F.struct(*keys))
+    if cursors is not None:
+        rest = rest.join(cursors.select("query_id", "tier", F.col("cursor").alias("seen")), ["query_id", "tier"], "left").filter(F.col("seen").isNull() | (F.col("cursor") > F.col("seen"))).drop("seen")
+    nth = F.row_number().over(W.partitionBy("query_id", "tier").orderBy("cursor"))
+    return rest.withColumn("nth", nth).filter(F.col("nth") <= size).drop("nth")
+
+
+def cursors_of(page: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Where each tier has been read to with this page; a tier that has ended keeps its last cursor."""
+    rows = page.select("query_id", "tier", "cursor")
+    return (rows.unionByName(before) if before is not None else rows).groupBy("query_id", "tier").agg(F.max("cursor").alias("cursor"))
+
+
+def cursor_keys(name: str) -> list[Column]:
+    """``sort_keys`` as values that all ascend: equal orders, and a struct of them compares as a whole."""
+    price = F.col("lowest_total")
+    return {
+        "price_asc": [price.isNull(), price, F.col("product_id")],
+        "price_desc": [price.isNull(), -price, F.col("product_id")],
+        "name": [F.lower("canonical_name"), F.col("product_id")],
+        "relevance": [-F.col("score"), price.isNull(), price, F.col("product_id")],
+    }[name]
 
 
 def by_name(products: DataFrame, terms: list[Column], names: list[str]) -> DataFrame:
@@ -70,6 +111,26 @@ def by_name(products: DataFrame, terms: list[Column], names: list[str]) -> DataF
     return products.filter(hit)
 
 
+def typed_terms(typed: DataFrame) -> DataFrame:
+    """``query_id, term``: what each half-typed text (``query_id, q_text``) is looked up by: itself, corrected
+    and normalised, and with its last Arabic word completed; in small letters, each once, none empty."""
+    asked = typed.select("query_id", F.trim("q_text").alias("q_text")).filter("q_text <> ''")
+    fixed = correct(asked, "query_id", "q_text")
+    terms = F.array(normalize(F.col("corrected")), normalize(expand_prefix(F.col("corrected"))), F.lower("text"))
+    return fixed.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(terms)).alias("term")).filter("term <> ''")
+
+
+def type_ahead(typed: DataFrame, products: DataFrame, offers: DataFrame, limit: int = 8) -> DataFrame:
+    """The first ``limit`` suggestions for each half-typed text: categorised products with an offer whose
+    name contains one of its terms, the shortest name first."""
+    terms = settled(typed_terms(typed))
+    shown = products.filter("match_category is not null").join(offers.select(F.col("product_id").alias("id")), "id", "left_semi").select("id", "canonical_name", F.lower("canonical_name").alias("folded"))
+    hits = terms.join(containing(terms.select("term"), shown.select(F.col("canonical_name").alias("name"))), "term")
+    found = hits.select("query_id", "folded").distinct().join(shown, "folded")
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.length("canonical_name"), "id"))
+    return found.withColumn("place", nth).filter(F.col("place") <= limit).drop("folded")
+
+
 def suggestions(products: DataFrame, offers: DataFrame, terms: list[Column], limit: int = 8) -> DataFrame:
     """Type-ahead: offered products whose name contains a term, shortest name first."""
     found = by_name(products.filter("match_category is not null"), terms, ["canonical_name"])
@@ -90,15 +151,15 @@ def understood(queries: DataFrame, id_col: str = "query_id", text_col: str = "q_
                        F.when(take, F.col("corrected")).alias("corrected_query"), F.when(take, F.col("corrections")).alias("corrections"))
 
 
-def named_candidates(asked: DataFrame, catalogue: DataFrame, batch: int = BATCH) -> DataFrame:
-    """Queries with the products whose name or brand holds the query's text or its normalised form.
-    No key joins the two, so the queries, a stated set, meet all products in broadcast batches."""
+def named_candidates(asked: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Queries with the products whose name or brand holds the query's text or its normalised form:
+    terms meet distinct names through an index of letter runs, and names their products by key."""
     terms = F.filter(F.array_distinct(F.array(F.trim(F.coalesce("corrected_query", "q_text")), F.col("normalized"))), lambda t: t != "")
-    asked = asked.withColumn("terms", terms).filter(F.size("terms") > 0)
-    batches = -(-asked.count() // batch)
-    hit = F.exists("terms", lambda t: contains_folded(F.col("canonical_name"), t) | F.coalesce(contains_folded(F.col("brand"), t), F.lit(False)))
-    out = [catalogue.join(F.broadcast(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == k)), hit).drop("terms") for k in range(batches)]
-    return reduce(DataFrame.unionByName, out) if out else catalogue.join(asked.limit(0), F.lit(False)).drop("terms")
+    typed = settled(asked.select("query_id", F.explode(terms).alias("term")))
+    named = catalogue.select("product_id", F.explode(F.array_distinct(F.array(F.lower("canonical_name"), F.lower("brand")))).alias("folded")).filter("folded is not null")
+    hits = containing(typed.select("term"), named.select(F.col("folded").alias("name")))
+    pairs = typed.join(hits, "term").join(named, "folded").select("query_id", "product_id").distinct()
+    return asked.join(pairs, "query_id").join(catalogue, "product_id")
 
 
 def answered(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -106,7 +167,7 @@ def answered(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     name; scored, or as similar where none can be scored.  ``catalogue``: product_id,
     canonical_name, brand (as stored) and ``c`` (parsed) of the products that have an offer."""
     asked = settled(understood(queries))
-    structured = candidates(asked.filter(F.size("q.attributes") > 0), catalogue.drop("brand")).drop("category", "brand")
+    told = asked.filter(F.size("q.attributes") > 0)
+    structured = settled(tiered(told, catalogue.drop("brand")).drop("category"))
     rest = asked.join(structured.select("query_id").distinct(), "query_id", "left_anti")
-    named = named_candidates(rest, catalogue).drop("brand")
-    return scored(structured.unionByName(named))
+    return structured.unionByName(scored(named_candidates(rest, catalogue).drop("brand")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,8 +13,8 @@ from bazaarlens import schema
 from bazaarlens.functions.parse import with_parsed
 from bazaarlens.operators import activity, admin, alerts, catalogue, ingest, maintenance, offers, resolve, search
 from bazaarlens.plans import sql as text
-from bazaarlens.session import settled
-from bazaarlens.sources import feeds
+from bazaarlens.session import settled, shared_dir
+from bazaarlens.sources import committed, feeds
 from bazaarlens.sources.entities import FRESH, NOW, Entities, with_views
 
 M = "decimal(18,3)"
@@ -282,11 +283,17 @@ def feed_completeness(e: Entities) -> DataFrame:
     return feeds.limited(feeds.shopify(e.landed, ALL), feeds.completeness(pages), most=FEW).select("store", "complete", "reason")
 
 
-def _ingest(e: Entities) -> ingest.Run:
+def _before(e: Entities) -> dict[str, DataFrame]:
+    """The catalogue's tables before the feed is read."""
     known = parsed_products(e).join(e.aliases.select(F.col("product_id").alias("id")), "id", "left_semi")
     products = known.select("id", "canonical_name", F.col("attributes")["brand"].alias("brand"), F.col("match_category").alias("category"), "image_url", F.col("c").alias("parsed"))
     before = e.prices.select("alias_id", "price", "availability", "delivery_cost", F.col("checked_at").alias("last_updated"), "checked_at")
-    return ingest.ingest(feeds.relevant(e.feed), e.aliases.drop("delisted_at", "checked_at"), settled(products), before, now(), 10**15, 10**12)
+    return {"products": products, "aliases": e.aliases.drop("delisted_at", "checked_at"), "prices": before}
+
+
+def _ingest(e: Entities) -> ingest.Run:
+    before = _before(e)
+    return ingest.ingest(feeds.relevant(e.feed), before["aliases"], settled(before["products"]), before["prices"], now(), 10**15, 10**12)
 
 
 def ingest_landed(e: Entities) -> DataFrame:
@@ -325,7 +332,7 @@ def parse_attributes(e: Entities) -> DataFrame:
 def _scored(e: Entities) -> DataFrame:
     asked = e.spark.createDataFrame([(1, "iPhone 11 Pro Black 128GB"), (2, "LG monitor 27 inch 144hz"), (3, "Dell Inspiron laptop i5 512GB")], "query_id long, q_text string")
     asked = with_parsed(asked, "q_text", "q", evidence=False, defaults=False)
-    found = search.scored(search.candidates(asked, parsed_products(e).withColumnRenamed("id", "product_id")))
+    found = search.tiered(asked, settled(parsed_products(e).withColumnRenamed("id", "product_id")))
     return found.join(current(e).filter("availability and grp = 'new'").groupBy("product_id").agg(F.min("total").alias("lowest_total")), "product_id", "left")
 
 
@@ -341,6 +348,42 @@ def suggest(e: Entities) -> DataFrame:
     return search.suggestions(e.products, current(e), [F.lit("iphone 1"), F.lit("Ultra")]).select("id", "canonical_name")
 
 
+TYPED = ((1, "iphone 1"), (2, "Ultra"), (3, "smasung ga"), (4, "ايفو"), (5, "no such"), (6, "  "), (7, None), (8, "XPS-1"), (9, "lg"), (10, "%"))
+
+
+def type_ahead(e: Entities) -> DataFrame:
+    typed = e.spark.createDataFrame(TYPED, "query_id int, q_text string")
+    return search.type_ahead(typed, e.products, current(e)).select("query_id", F.col("place").cast("int").alias("place"), "id", "canonical_name")
+
+
+def deep_page(e: Entities) -> DataFrame:
+    """The third page of five of each tier, each page found behind the cursor of the one before."""
+    found, seen = settled(_scored(e)), None
+    for _ in range(3):
+        page = search.after(found, seen, "price_asc", 5)
+        seen = settled(search.cursors_of(page, seen))
+    nth = F.row_number().over(offers.W.partitionBy("query_id", "tier").orderBy("cursor"))
+    return page.withColumn("place", nth).select("query_id", "tier", "place", "product_id")
+
+
+def rolling_taps(e: Entities) -> DataFrame:
+    return activity.rolling(e.contact_events)
+
+
+def committed_ingest(e: Entities) -> DataFrame:
+    """Prices and history read back from the committed tables after a run that was sent twice."""
+    store = committed.CommittedCatalogue(e.spark, f"{shared_dir(e.spark)}/catalogue-{uuid.uuid4().hex}", parts=8)
+    before = _before(e)
+    aliases = before["aliases"].withColumn("match_confidence", F.lit(None).cast("double")).withColumn("match_method", F.lit(None).cast("string"))
+    store.start(products=before["products"], aliases=aliases, prices=before["prices"])
+    run = lambda: ingest.ingest(feeds.relevant(e.feed), store.read("aliases"), store.read("products"), store.read("prices"), now(), 10**15, 10**12)
+    store.commit("first", run)
+    store.commit("first", run)
+    old = F.col("alias_id") < 10**15
+    prices = store.read("prices").select(F.lit("price").alias("kind"), F.when(old, F.col("alias_id")).alias("alias_id"), F.col("price").cast(M).alias("price"), F.col("checked_at").alias("at"))
+    return prices.unionByName(store.history().select(F.lit("history").alias("kind"), "alias_id", F.col("price").cast(M).alias("price"), F.col("recorded_at").alias("at")))
+
+
 def link_prepare(e: Entities) -> DataFrame:
     links = e.base("pages").select((F.col("page_id") % 5).alias("store_id"), F.concat(F.when(F.col("page_id") % 4 == 0, "http://shop.example").otherwise("https://shop.example"), F.when(F.col("page_id") % 3 == 0, "/pages/p").otherwise("/products/p"), F.col("page_id").cast("string")).alias("url"))
     return maintenance.prepared_links(links, ("shop.example",)).select("store_id", "url", "handle", "well_formed")
@@ -382,6 +425,7 @@ for run in (
     offers_by_product, history_series, history_extents, price_anomalies, contact_totals, contact_by_store, contact_top_products, store_overview, pending_stores, admin_listings,
     sitemap_rows, category_lastmod, catalogue_health, platform_stats, remaining_admins, wishlist, alerts_met, alert_latch, duplicate_groups, merged_wishes, reconcile_delist, delist_valve,
     price_snapshot, price_changes, prune_guard, pruned_products, prune_report, orphan_products, listing_count_per_store, referenced_union, one_pending_run, parse_attributes, score_tiers, tier_paging, suggest,
+    type_ahead, deep_page, rolling_taps, committed_ingest,
     query_meanings, search_answers, search_page, feed_listings, feed_slimmed, feed_completeness, ingest_landed, ingest_result, ingest_catalogue, link_selection, link_prepare, link_audit, rate_window, spell_correct, arabic_normalize, resolve_listings,
 ):
     views, sql = text.SQL.get(run.__name__, ((), None))

@@ -266,6 +266,23 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "suggest": (("stores", "listings", "products"), f"""WITH {OFFERS}
         SELECT id, canonical_name FROM products p WHERE match_category IS NOT NULL AND (lower(canonical_name) LIKE '%iphone 1%' OR lower(canonical_name) LIKE '%ultra%') AND EXISTS (SELECT 1 FROM offers o WHERE o.product_id = p.id)
         ORDER BY length(canonical_name), id LIMIT 8"""),
+    "type_ahead": (("stores", "listings", "products"), f"""WITH {OFFERS},
+        terms(query_id, term) AS (VALUES (1, 'iphone 1'), (2, 'ultra'), (3, 'samsung ga'), (3, 'smasung ga'), (4, 'iphone'), (4, 'ايفو'), (5, 'no such'), (8, 'xps 1'), (8, 'xps-1'), (9, 'lg'), (10, '%')),
+        found AS (SELECT DISTINCT t.query_id, p.id, p.canonical_name FROM terms t JOIN products p ON contains(lower(p.canonical_name), t.term) WHERE p.match_category IS NOT NULL AND p.id IN (SELECT product_id FROM offers))
+        SELECT query_id, CAST(place AS INT) AS place, id, canonical_name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(canonical_name), id) AS place FROM found) WHERE place <= 8"""),
+    "deep_page": (("stores", "listings", "products"), f"""WITH {SCORED}
+        SELECT query_id, tier, CAST(place - 10 AS INT) AS place, product_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY lowest IS NULL, lowest, product_id) AS place FROM scored) WHERE place > 10 AND place <= 15"""),
+    "rolling_taps": (("contact_events",), f"""WITH daily AS (SELECT store_id, CAST(created_at AS DATE) AS day, count(*) AS n FROM contact_events GROUP BY ALL),
+        days AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM daily),
+        taps AS (SELECT s.store_id, d.day, coalesce(n, 0) AS taps FROM (SELECT DISTINCT store_id FROM daily) s CROSS JOIN days d LEFT JOIN daily x ON x.store_id = s.store_id AND x.day = d.day)
+        SELECT store_id, day, {', '.join(f"CAST(sum(taps) OVER (PARTITION BY store_id ORDER BY day RANGE BETWEEN INTERVAL {n - 1} DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS last_{n}" for n in (1, 7, 30, 365))} FROM taps"""),
+    "committed_ingest": (("feed", "aliases"), f"""WITH {INGEST},
+        told AS (SELECT alias_id, arg_max(price, store_product_id) AS price FROM landed WHERE alias_id IS NOT NULL GROUP BY alias_id),
+        new AS (SELECT arg_max(price, store_product_id) AS price FROM landed WHERE alias_id IS NULL GROUP BY store_id, name)
+        SELECT 'price' AS kind, p.alias_id, CAST(coalesce(t.price, p.price) AS {M}) AS price, CASE WHEN t.alias_id IS NULL THEN p.checked_at ELSE {NOW} END AS at FROM prices p LEFT JOIN told t ON t.alias_id = p.alias_id
+        UNION ALL SELECT 'price', alias_id, CAST(price AS {M}), {NOW} FROM told WHERE alias_id NOT IN (SELECT alias_id FROM prices)
+        UNION ALL SELECT 'price', NULL, CAST(price AS {M}), {NOW} FROM new
+        UNION ALL SELECT 'history', p.alias_id, CAST(p.price AS {M}), {NOW} FROM prices p JOIN told t ON t.alias_id = p.alias_id WHERE t.price <> p.price"""),
     "query_meanings": ((), f"WITH {MEANT.strip()} SELECT query_id, normalized, corrected_query, category, brand, model, variant, storage, color FROM meant"),
     "search_answers": (("stores", "listings", "products"), f"WITH {ANSWERS} SELECT query_id, product_id, tier, score, n_different, corrected_query FROM answers"),
     "search_page": (("stores", "listings", "products"), f"""WITH {ANSWERS}

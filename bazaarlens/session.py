@@ -24,14 +24,25 @@ def build(app: str = "bazaarlens", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_local: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share: the session's ``spark.checkpoint.dir``; only on one machine,
+    where that is unset, one of this process."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="bazaarlens-"))
+    return _local[0]
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and read from its checkpoint after that: what several results start
-    from.  The folder is the session's ``spark.checkpoint.dir``; only on one machine, where that
-    is unset, one of this process."""
+    from.  The folder is ``shared_dir``."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="bazaarlens-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

@@ -22,6 +22,13 @@ def tap_counts(taps: DataFrame, window: str = "1 day", late: str = "2 days") ->
     return out.select("store_id", "channel", F.col("w.start").alias("window_start"), "taps")
 
 
+def rolling(taps: DataFrame, days: int, late: str = "2 days") -> DataFrame:
+    """Taps of each shop in the ``days`` days up to and with each day that has one, given out once the watermark has passed."""
+    window = F.window("created_at", f"{max(1, min(days, 365))} days", "1 day")
+    out = taps.withWatermark("created_at", late).groupBy("store_id", window.alias("w")).agg(F.count("*").alias("taps"))
+    return out.select("store_id", F.date_sub(F.to_date("w.end"), 1).alias("day"), "taps")
+
+
 def over_rate(requests: DataFrame, key: str, ts: str, window: str, most: int, late: str = "1 minute") -> DataFrame:
     """Fixed windows in which a key made more requests than allowed."""
     out = requests.withWatermark(ts, late).groupBy(key, F.window(ts, window).alias("w")).agg(F.count("*").alias("requests"))
