@@ -133,11 +133,11 @@ def test_reads_split_otherwise_give_the_same_rows(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6).write.parquet(str(tmp_path / "d"))
     write = Scratch.table
 
-    def table(self, *args):
+    def table(self, *args, **options):
         n[0] += 1
         spark.conf.set("spark.sql.files.maxPartitionBytes", ["128m", "3k", "9k"][n[0] % 3])
         spark.conf.set("spark.sql.files.openCostInBytes", ["4m", "1", "1k"][n[0] % 3])
-        return write(self, *args)
+        return write(self, *args, **options)
 
     monkeypatch.setattr(Scratch, "table", table)
     docs = spark.read.parquet(str(tmp_path / "d"))
