@@ -331,7 +331,7 @@ def parse_attributes(e: Entities) -> DataFrame:
 
 def _scored(e: Entities) -> DataFrame:
     asked = e.spark.createDataFrame([(1, "iPhone 11 Pro Black 128GB"), (2, "LG monitor 27 inch 144hz"), (3, "Dell Inspiron laptop i5 512GB")], "query_id long, q_text string")
-    asked = with_parsed(asked, "q_text", "q", evidence=False, defaults=False)
+    asked = settled(with_parsed(asked, "q_text", "q", evidence=False, defaults=False))
     found = search.tiered(asked, settled(parsed_products(e).withColumnRenamed("id", "product_id")))
     return found.join(current(e).filter("availability and grp = 'new'").groupBy("product_id").agg(F.min("total").alias("lowest_total")), "product_id", "left")
 
