@@ -20,7 +20,7 @@ share is bounded and read once.
 
 Defined results: a null vector and one with null, NaN or infinite components take no part;
 vectors of another length than the query's are not compared with it; rows equal in id and
-vector count once; a query never meets rows of its own id; scores beyond a long rank as
+vector count once; several vectors of one id are queries each, and none meets rows of its own id; scores beyond a long rank as
 they are and read as the nearest long; an empty table gives no rows; only the named columns are read.
 """
 
@@ -91,16 +91,20 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(F.forall(vector, fine), F.lit(False))
 
 
-def _bounded(grid: Grid, q: np.ndarray, cells: np.ndarray, n: int) -> list[np.ndarray]:
+def _bounded(grid: Grid, q: np.ndarray, cells: np.ndarray, n: int, own: np.ndarray | None = None, only: np.ndarray | None = None, single: np.ndarray | None = None) -> list[np.ndarray]:
     """Query and vector (their places), upper and lower bound of what may be among each query's n
-    best.  The n best lower bounds so far are kept, and what they rule out is dropped as they rise."""
+    best.  The n best lower bounds so far are kept, and what they rule out is dropped as they rise.
+    A vector that a ``single`` id has (``only``) is no candidate of that id's queries (``own``)."""
     best, found = np.full((len(q), n), -np.inf), []
     plus, minus, slack = np.maximum(q, 0), np.minimum(q, 0), grid.slack(q)[:, None]
     for at in range(0, len(cells), VECTORS):
         low, high = grid.bounds(cells[at : at + VECTORS])
         most, least = plus @ high.T + minus @ low.T + slack, plus @ low.T + minus @ high.T - slack
+        if own is not None:
+            mine = (own[:, None] == only[None, at : at + VECTORS]) & single[None, at : at + VECTORS]
+            most[mine], least[mine] = -np.inf, -np.inf
         best = np.partition(np.concatenate([best, least], axis=1), -n, axis=1)[:, -n:]
-        i, j = np.nonzero(most >= best.min(axis=1)[:, None])
+        i, j = np.nonzero((most >= best.min(axis=1)[:, None]) & (most > -np.inf))
         found.append([i, j + at, most[i, j], least[i, j]])
         if sum(len(f[0]) for f in found) > 1 << 20:
             found = [_reaching(found, best)]
@@ -118,12 +122,13 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     scratch = Scratch(vectors.sparkSession, "va")
     usable_rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     rows = scratch.table(usable_rows.select("id", F.size("v").cast("long").alias("dim"), integers(F.col("v")).alias("x")), "rows")
-    # A class for each distinct vector, with the k + 1 smallest ids: the limit applies before the shuffle, too.
+    # A class for each distinct vector, with the k + 1 smallest ids, of which one may be the query's own: the limit applies before the shuffle, too.
     rank = F.row_number().over(W.partitionBy("dim", "x").orderBy("id"))
     least = rows.groupBy("dim", "x", "id").agg(F.lit(1)).withColumn("rank", rank).filter(F.col("rank") <= k + 1)
     classes = least.groupBy("dim", "x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     classes = scratch.table(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
-    queries = scratch.table(rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query"), "dim", "x").distinct(), "queries")
+    # Several vectors of one id are queries each.
+    queries = scratch.numbered(rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query"), "dim", "x").distinct(), "ask", "queries")
     grid = Grid(rows.filter("dim > 0").select("dim", "x").mapInArrow(_ranges, "dim long, at long, low long, high long").groupBy("dim", "at").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect(), cells)
 
     def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,50 +137,52 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             for dim in np.unique(size[size > 0]):
                 own = batch.filter(pa.array(size == dim))
                 x = own.column(2).flatten().to_numpy().reshape(-1, dim)
-                keys = own.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array([int(dim)]), pa.array([int(keys[0])]), pa.array([keys.astype(np.int64).tobytes()]), pa.array([grid.cells(x).tobytes()])], names=["dim", "block", "keys", "cells"])
+                keys, only, single = (own.column(c).to_numpy(zero_copy_only=False) for c in (0, 3, 4))
+                yield pa.RecordBatch.from_arrays([pa.array([int(dim)]), pa.array([int(keys[0])]), *[pa.array([b.tobytes()]) for b in (keys.astype(np.int64), grid.cells(x), only.astype(np.int64), single.astype(bool))]], names=["dim", "block", "keys", "cells", "only", "single"])
 
-    file = scratch.table(classes.select("key", "dim", "x").mapInArrow(approximate, "dim long, block long, keys binary, cells binary"), "approximations")
+    coded = classes.select("key", "dim", "x", F.get("ids", F.lit(0)).alias("only"), (F.size("ids") == 1).alias("single"))
+    file = scratch.table(coded.mapInArrow(approximate, "dim long, block long, keys binary, cells binary, only binary, single binary"), "approximations")
     held, asked = (df.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] for df, n in ((file, F.length("cells")), (queries, 8 * F.col("dim"))))
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The file moves once a group and the queries once a part: least for this ratio of the two.
     groups = max(1, math.ceil(asked / HELD), math.ceil(math.sqrt(tasks * asked / max(1, held))))
     parts = max(1, math.ceil(held / HELD), math.ceil(tasks / groups))
     each = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = file.select("dim", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"), each("group", groups), "keys", "cells")
-    right = queries.select("dim", each("part", parts), F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int").alias("group"), "query", "x")
+    left = file.select("dim", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"), each("group", groups), "keys", "cells", "only", "single")
+    right = queries.select("dim", each("part", parts), F.pmod(F.xxhash64("ask"), F.lit(groups)).cast("int").alias("group"), "ask", "query", "x")
 
     def bound(file: pa.Table, asked: pa.Table) -> pa.Table:
-        names, found = ["query", "key", "most", "least"], []
+        names, found = ["ask", "key", "most", "least"], []
         if file.num_rows and asked.num_rows:
             dim = file["dim"][0].as_py()
             keys = np.frombuffer(b"".join(file["keys"].to_pylist()), np.int64)
             cells = np.frombuffer(b"".join(file["cells"].to_pylist()), np.uint8).reshape(-1, dim)
             q = asked["x"].combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.float64)
-            ids = asked["query"].to_numpy()
+            only, single = np.frombuffer(b"".join(file["only"].to_pylist()), np.int64), np.frombuffer(b"".join(file["single"].to_pylist()), bool)
+            ids, own = asked["ask"].to_numpy(), asked["query"].to_numpy()
             for at in range(0, len(q), QUERIES):
-                found.append(_bounded(grid, q[at : at + QUERIES], cells, k + 1))
+                found.append(_bounded(grid, q[at : at + QUERIES], cells, k, own[at : at + QUERIES], only, single))
                 found[-1] = (ids[at : at + QUERIES][found[-1][0]], keys[found[-1][1]], *found[-1][2:])
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
         return pa.table(dict(zip(names, columns)))
 
     task = ["dim", "part", "group"]
-    bounds = scratch.table(left.groupBy(*task).cogroup(right.groupBy(*task)).applyInArrow(bound, "query long, key long, most double, least double"), "bounds")
-    by = lambda c: W.partitionBy("query").orderBy(F.desc(c), "key")
-    kth = lambda df, c: df.withColumn("n", F.row_number().over(by(c))).filter(F.col("n") == k + 1).select("query", F.col(c).alias("limit"))
-    reach = lambda df, limits: df.join(limits, "query", "left").filter(F.col("limit").isNull() | (F.col("most") >= F.col("limit"))).drop("limit")
+    bounds = scratch.table(left.groupBy(*task).cogroup(right.groupBy(*task)).applyInArrow(bound, "ask long, key long, most double, least double"), "bounds")
+    by = lambda c: W.partitionBy("ask").orderBy(F.desc(c), "key")
+    kth = lambda df, c: df.withColumn("n", F.row_number().over(by(c))).filter(F.col("n") == k).select("ask", F.col(c).alias("limit"))
+    reach = lambda df, limits: df.join(limits, "ask", "left").filter(F.col("limit").isNull() | (F.col("most") >= F.col("limit"))).drop("limit")
     able = scratch.table(reach(bounds, kth(bounds, "least")), "able")
 
     def exact(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(classes.select("key", F.col("x").alias("y"), "ids"), "key").join(queries.select("query", "x"), "query")
+        both = pairs.join(classes.select("key", F.col("x").alias("y"), "ids"), "key").join(queries.select("ask", "query", "x"), "ask")
         kind = "decimal(38,0)" if grid.widest() >= 2.0**62 else "bigint"  # else 64 bits hold every sum
         products = F.zip_with("x", "y", lambda a, b: (a.cast(kind) * b.cast(kind)).cast(kind))
         score = F.aggregate(products, F.lit(0).cast(kind), lambda s, p: (s + p).cast(kind))
-        return both.select("query", "key", "ids", score.alias("score"))
+        return both.select("ask", "query", "key", "ids", score.alias("score"))
 
     ranked = able.withColumn("n", F.row_number().over(by("most")))
     early = scratch.table(exact(ranked.filter(F.col("n") <= first).drop("n")), "early")
     late = exact(reach(ranked.filter(F.col("n") > first).drop("n"), kth(early, "score")))
-    found = early.unionByName(late).select("query", F.explode("ids").alias("vec_id"), "score").filter("query <> vec_id")
-    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    found = early.unionByName(late).select("ask", "query", F.explode("ids").alias("vec_id"), "score").filter("query <> vec_id")
+    order = W.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", F.greatest(F.least("score", F.lit(2**63 - 1)), F.lit(-(2**63))).cast("long").alias("score"))

@@ -28,6 +28,14 @@ def test_search_equals_brute_force(spark, cells):
     assert va_search.search(df.limit(0)).count() == 0
 
 
+def test_an_id_with_several_vectors_loses_no_result(spark):
+    rows = [(50, [float(v), 0.0]) for v in (100, 90, 80, 70, 60, 55, 52)] + [(i, [float(i), 0.0]) for i in range(1, 12)] + [(50, [3.0, 0.0])]
+    got = {}
+    for r in va_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), first=2).collect():
+        got.setdefault(r["score"] // r["vec_id"], []).append((r["query_id"], r["rank"], r["vec_id"]))
+    assert len(got) == 8 and all(sorted(v) == [(50, n + 1, 11 - n) for n in range(5)] for v in got.values())
+
+
 @pytest.mark.parametrize("scale", [1.0, 3e4, 5e12])
 def test_large_components_lose_no_neighbour(spark, monkeypatch, scale):
     rng = np.random.default_rng(4)
