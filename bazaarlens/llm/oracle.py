@@ -6,7 +6,7 @@ their tests hold them against brute force.
 
 from __future__ import annotations
 
-from bazaarlens.llm.mixing import WORD
+from bazaarlens.llm.mixing import PHI, WORD
 from bazaarlens.llm.secrets import KINDS, LOOSE, PLACEHOLDER
 
 
@@ -63,12 +63,22 @@ WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text,
         FROM caps WINDOW before AS (ORDER BY ratio, nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     goals AS (SELECT *, CASE WHEN ratio <= level THEN CAST(cap AS DOUBLE) ELSE weight * max(level) FILTER (WHERE ratio > level) OVER () END AS target FROM levels),
     placed AS (
-        SELECT s.doc_id, s.size, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS goal,
+        SELECT s.doc_id, s.size, g.source_size, g.target, g.nr, CAST(floor(g.target) AS BIGINT) AS goal,
                CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.digest, s.size, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - s.size AS start
-        FROM sized s JOIN goals g ON g.source IS NOT DISTINCT FROM s.source)
+        FROM sized s JOIN goals g ON g.source IS NOT DISTINCT FROM s.source),
+    numbered AS (SELECT *, row_number() OVER () AS "row" FROM placed),
+    plan AS (SELECT *, CAST(floor(shared * 1.001) AS BIGINT) // block + 64 * sources AS slots FROM (SELECT greatest(64, CAST(sum(source_size) AS BIGINT) // 262144) AS block, sum(target) AS shared, count(*) AS sources FROM goals)),
+    upto AS (SELECT nr, CAST(floor(target) AS BIGINT) AS goal, sum(target) OVER (ORDER BY nr) / shared AS upto FROM goals, plan),
+    share AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY nr), 0.0) AS since FROM upto),
+    points AS (SELECT j AS slot, ((((j // 1048576) * CAST('{PHI * (1 << 20) % 1.0!r}' AS DOUBLE)) % 1.0) + (((j % 1048576) * CAST('{PHI!r}' AS DOUBLE)) % 1.0) + CAST('{PHI / 2!r}' AS DOUBLE)) % 1.0 AS point FROM (SELECT unnest(range(slots)) AS j FROM plan)),
+    drawn AS (SELECT s.nr, p.slot, row_number() OVER (PARTITION BY s.nr ORDER BY p.slot) - 1 AS rank FROM points p JOIN share s ON p.point >= s.since AND p.point < s.upto),
+    got AS (SELECT s.nr, (s.goal + block - 1) // block AS due, (SELECT count(*) FROM drawn d WHERE d.nr = s.nr) AS got FROM share s, plan),
+    ranked AS (SELECT * FROM drawn UNION ALL SELECT nr, slots + r * sources + nr, r FROM (SELECT nr, unnest(range(got, due)) AS r FROM got), plan),
+    rounds AS (SELECT "row", nr, goal, size, k * source_size + start AS a FROM (SELECT *, unnest(range((goal + source_size - 1) // greatest(source_size, 1))) AS k FROM numbered WHERE size > 0) WHERE k * source_size + start < goal),
+    reads AS (SELECT u."row", min(k.slot) AS first_slot, count(DISTINCT u.a) AS n_takes FROM rounds u, plan JOIN ranked k ON k.nr = u.nr AND k.rank BETWEEN u.a // plan.block AND (least(u.a + u.size, u.goal) - 1) // plan.block GROUP BY u."row")
 SELECT doc_id, size, source_size, target,
-       CASE WHEN source_size = 0 THEN 0 ELSE goal // source_size * size + greatest(least(start + size, goal % source_size) - start, 0) END AS taken
-FROM placed
+       CASE WHEN source_size = 0 THEN 0 ELSE goal // source_size * size + greatest(least(start + size, goal % source_size) - start, 0) END AS taken, first_slot, CAST(coalesce(n_takes, 0) AS INT) AS n_takes
+FROM numbered n LEFT JOIN reads r ON r."row" = n."row"
 """
 
 COMPACTION = "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents"

@@ -56,6 +56,41 @@ def test_a_source_far_under_one_block_gets_its_target(spark, tmp_path, place):
     assert all(r["taken"] == int(r["target"]) for r in got.values())
 
 
+def sources_file(spark, path, sizes):
+    rows = [(n, " ".join(["w"] * (20 + n * 13 % 50)), s) for n, s in enumerate(s for s, k in sizes.items() for _ in range(k))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def test_every_prefix_of_the_mix_holds_the_weights(spark, tmp_path):
+    docs = sources_file(spark, tmp_path / "d", {"a": 300, "b": 200, "c": 400})
+    rows = mixing.mix(docs, block=64).collect()
+    share = {r["source"]: r["target"] for r in rows}
+    total = sum(share.values())
+    slots = sorted({t["slot"]: r["source"] for r in rows for t in r["takes"]}.items())
+    # Slots in which a document is first read: nearly all of them, as documents are about as long as a block.
+    seen = dict.fromkeys(share, 0)
+    for n, (_, source) in enumerate(slots, 1):
+        seen[source] += 1
+        assert all(abs(seen[s] - n * share[s] / total) < 6 + 0.06 * n for s in share)
+    out = [r["source"] for r in mixing.mixed_documents(docs, block=64).collect()]
+    for at in range(0, len(out) - 150, 50):
+        part = out[at : at + 150]
+        assert all(abs(part.count(s) / 150 - share[s] / total) < 0.12 for s in share)
+
+
+def test_constant_points_are_another_mix(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = sources_file(spark, tmp_path / "d", {"a": 60, "b": 50, "c": 70})
+    columns = lambda df: sorted(map(tuple, df.collect()))
+    want = columns(mixing.digest(mixing.mix(docs, block=64)))
+    for point in (0.999, 0.0, 7.0):
+        monkeypatch.setattr(mixing, "_point", lambda j, point=point: F.lit(point) + 0 * j)
+        got = columns(mixing.digest(mixing.mix(docs, block=64)))
+        assert got != want and [r[:5] for r in got] == [r[:5] for r in want]  # the amounts hold, the order is gone
+
+
 def test_edges(edge, empty):
     got = mixing.digest(mixing.mix(edge)).collect()
     assert len(got) == edge.count()
