@@ -81,7 +81,7 @@ SELECT doc_id, size, source_size, target,
 FROM numbered n LEFT JOIN reads r ON r."row" = n."row"
 """
 
-COMPACTION = "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents"
+COMPACTION = "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, CAST(CASE WHEN doc_id % 2 = 0 THEN 0 WHEN doc_id % 4 = 1 THEN 1 WHEN doc_id % 8 = 3 THEN 2 ELSE 3 END AS INT) AS arrival, true AS settled FROM documents"
 
 SEARCH = """
 WITH v AS (SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings),

@@ -8,8 +8,8 @@ file rows.
 A commit reads the newest manifest, writes its successor beside it and renames that to the very
 next version number, which fails if another writer has taken it; then all is read anew and tried
 again.  So no commit is lost, and none undone.  A compaction whose inputs another one has taken
-meanwhile gives up its output and plans again.  Readers of an older version are not disturbed, as
-files are never changed.  ``vacuum`` deletes files that only dropped versions name, and what failed
+meanwhile gives up its output and plans again.  Readers of an older version are not disturbed until
+``vacuum`` drops it, as files are never changed.  ``vacuum`` deletes files that only dropped versions name, and what failed
 commits have left, once that is older than a period of grace (a running commit's files are young).
 
 The driver holds names of live files, as any scan of them does, and at most ``ROUND`` files of a
@@ -98,6 +98,10 @@ class ShardStore:
                 self._fs().delete(self._path(folder), True)
         return 0
 
+    def pending(self, target: int = TARGET, factor: int = FACTOR) -> DataFrame:
+        """path and run of the live shards that a compaction would merge now."""
+        return self._plan(self.files(), target, factor)
+
     def vacuum(self, keep: int = 1, grace: float = GRACE) -> None:
         """Keep the newest ``keep`` versions and the files they name.  Files of older versions go
         at once; files and drafts of no version go after ``grace`` seconds."""

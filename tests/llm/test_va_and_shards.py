@@ -126,3 +126,22 @@ def test_merged_files_are_runs_of_the_target(spark, tmp_path):
     sizes = [r["bytes"] for r in store.files().collect()]
     assert store.read().select("id").distinct().count() == store.read().count() == 60_000
     assert len(sizes) < 20 and max(sizes) < 700_000
+
+
+def test_the_query_compacts(spark, sf, monkeypatch):
+    from bazaarlens.llm.queries import QUERIES
+
+    files = []
+    compact = shards.ShardStore.compact
+
+    def counted(self):
+        before, version = self.files().count(), compact(self)
+        files.append((before, self.files().count()))
+        return version
+
+    monkeypatch.setattr(shards.ShardStore, "compact", counted)
+    rows = QUERIES["op4_tiered_compaction"](spark, sf).collect()
+    assert all(r["settled"] for r in rows) and {r["arrival"] for r in rows} == {0, 1, 2, 3}
+    assert all(after < before for before, after in files[1:])
+    monkeypatch.setattr(shards.ShardStore, "compact", lambda self: self.newest())
+    assert not all(r["settled"] for r in QUERIES["op4_tiered_compaction"](spark, sf).collect())
