@@ -1,12 +1,13 @@
 """Streaming extensions: the catalogue's batch rules on unbounded input.
 
 The tap counter and the rate windows are event-time aggregates with a watermark; the alert latch
-keeps each alert's state across batches of prices; the feed loop applies a batch function to
-each micro-batch of a shop's read.
+keeps each alert's state across batches of prices; reads that arrive page by page are held until they
+are whole or overdue; the feed loop applies a batch function to each micro-batch of a shop's read.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -58,6 +59,52 @@ def alert_events(prices: DataFrame) -> DataFrame:
     return prices.groupBy("alert_id").applyInPandasWithState(step, "alert_id bigint, event string, at timestamp", "told boolean, seen timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
+READ = "store string, target string, read_id string, page int, status_code int, text string, complete boolean"
+
+
+def whole_reads(pages: DataFrame, patience: str = "1 hour") -> DataFrame:
+    """Reads that arrive page by page (``store, target, read_id, page, status_code, text, at``), in any
+    order and over any batches, given out whole: as complete once the pages from 1 to the one without
+    products are all there with status 200, or as incomplete (``complete`` false: it must not delist)
+    when nothing has come for ``patience``.  Of a page that comes twice the first counts; what comes
+    after a read was given out is dropped until its patience is over.  State holds one read's pages."""
+    names = [c.split()[0] for c in READ.split(", ")]
+
+    def ends(code: int | None, text: str | None) -> bool:
+        try:
+            found = json.loads(text or "")
+        except ValueError:
+            return False
+        return code == 200 and isinstance(found, dict) and found.get("products") == []
+
+    def given(key: tuple, held: dict, complete: bool) -> pd.DataFrame:
+        return pd.DataFrame([(*key, p, *held[p], complete) for p in sorted(held)], columns=names)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        numbers, codes, texts, last, done = state.get if state.exists else ([], [], [], None, False)
+        held = {p: (c, t) for p, c, t in zip(numbers, codes, texts)}
+        if state.hasTimedOut:
+            state.remove()
+            yield given(key, held, False)
+            return
+        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        last = max([int(rows["at"].max().timestamp() * 1000), *([last] if last is not None else [])])
+        for p, c, t in zip(rows["page"], rows["status_code"], rows["text"]):
+            held.setdefault(int(p), (None if pd.isna(c) else int(c), None if pd.isna(t) else str(t)))
+        end = min((p for p, (c, t) in held.items() if ends(c, t)), default=0)
+        whole = not done and end > 0 and all(p in held and held[p][0] == 200 for p in range(1, end + 1))
+        if whole:
+            yield given(key, held, True)
+        done = done or whole
+        kept = {} if done else held
+        state.update((sorted(kept), [kept[p][0] for p in sorted(kept)], [kept[p][1] for p in sorted(kept)], last, done))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
+
+    kind = "pages array<int>, codes array<int>, texts array<string>, last long, done boolean"
+    # The watermark is behind by the patience: it passes a read's last page when nothing has come for that long.
+    return pages.withWatermark("at", patience).groupBy("store", "target", "read_id").applyInPandasWithState(step, READ, kind, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def each_read(pages: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Run ``apply`` on each micro-batch of landed pages; what is available now, then stop."""
     return pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
