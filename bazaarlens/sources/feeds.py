@@ -32,7 +32,7 @@ def stop_reason(pages: DataFrame, layout: str, max_pages: int = MAX_PAGES) -> Da
     items = F.from_json("text", layout) if layout.startswith("array") else F.from_json("text", layout)["products"]
     readable = F.coalesce(F.try_parse_json("text").isNotNull(), F.lit(False))
     shape = F.startswith(F.ltrim("text"), F.lit("[" if layout.startswith("array") else "{"))
-    problem = (F.when(~allowed, "robots.txt disallows it").when(F.length("text") > MAX_BYTES, f"exceeded {MAX_BYTES} bytes").when(F.col("status_code") == 599, "not recorded").when(F.col("status_code") != 200, F.concat(F.lit("HTTP "), F.col("status_code")))
+    problem = (F.when(~allowed, "robots.txt disallows it").when(F.octet_length("text") > MAX_BYTES, f"exceeded {MAX_BYTES} bytes").when(F.col("status_code") == 599, "not recorded").when(F.col("status_code") != 200, F.concat(F.lit("HTTP "), F.col("status_code")))
                .when(~readable, "not valid JSON").when(~shape | items.isNull(), wrong).when(F.col("page") > max_pages, f"exceeded {max_pages} pages"))
     return pages.withColumn("items", F.when(problem.isNull(), items)).withColumn("problem", problem)
 
