@@ -1,7 +1,7 @@
 """Spelling correction of queries against the words that rules know.
 
-Corrections are a join of distinct query words with a small fixed vocabulary; the text is put
-together again from the corrected words.
+Distinct query words meet the vocabulary on what is left of both without one or two letters, and
+only what meets is measured; the text is put together again from the corrected words.
 """
 
 from __future__ import annotations
@@ -36,6 +36,29 @@ def budget(length: Column) -> Column:
     return F.when(length <= 3, 0).when(length <= 5, 1).otherwise(2)
 
 
+def _shorter(word: Column) -> Column:
+    """The word with one letter left out, for each of its letters."""
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
+
+
+def shortened(word: Column, most: Column) -> Column:
+    """The word (of three letters or more) and what is left of it without up to ``most`` letters, two at most.
+    Words within so many edits of one another have a common one, as each edit is a letter less on one side
+    or on both."""
+    one = _shorter(word)
+    two = F.when(most >= 2, F.flatten(F.transform(one, _shorter))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(word), one, two))
+
+
+def nearby(own: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of a row of ``own`` (``word, stem, arabic, allowed``) and of ``known`` (``known, meaning, arabic``)
+    whose words may be within ``allowed`` edits: an equi-join on shortened words."""
+    index = known.select("*", F.explode(shortened(F.col("known"), F.lit(2))).alias("key"))
+    looked = own.select("*", F.explode(shortened(F.col("stem"), F.col("allowed"))).alias("key"))
+    hits = looked.join(F.broadcast(index), ["arabic", "key"])  # the vocabulary is fixed and small, and so are its shortened words
+    return hits.drop("key").dropDuplicates(["word", "known"])
+
+
 def corrections(words: DataFrame) -> DataFrame:
     """``word, fixed`` for each word (column ``word``, small letters) that has a correction: the
     one nearest vocabulary word within the budget.  Several nearest Arabic words are no tie if
@@ -49,7 +72,8 @@ def corrections(words: DataFrame) -> DataFrame:
     own = own.withColumn("stem", F.when(article, bare).otherwise(F.col("folded"))).withColumn("prefix", F.when(article, t.ARTICLE).otherwise(""))
     right = F.when(F.col("arabic"), F.col("folded").isin(*arabic_vocabulary()) | (F.startswith("folded", F.lit(t.ARTICLE)) & bare.isin(*arabic_vocabulary()))).otherwise(F.col("folded").isin(*vocabulary()))
     own = own.filter(~right & ~F.col("word").rlike(r"(?U)\d")).withColumn("allowed", budget(F.length("stem"))).filter("allowed > 0")
-    near = own.join(F.broadcast(known), "arabic").filter(F.abs(F.length("stem") - F.length("known")) <= F.col("allowed"))  # the vocabulary is fixed and small
+    longest = max(map(len, [*vocabulary(), *arabic_vocabulary()]))
+    near = nearby(own.filter(F.length("stem") <= longest + F.col("allowed")), known)  # longer ones are near to none
     near = near.withColumn("edits", F.levenshtein("stem", "known")).filter(F.col("edits") <= F.col("allowed"))
     near = near.withColumn("least", F.min("edits").over(W.partitionBy("word"))).filter("edits = least")
     best = near.groupBy("word", "arabic", "prefix").agg(F.count("*").alias("n"), F.countDistinct("meaning").alias("meanings"), F.count_if(F.col("meaning").isNull()).alias("unclear"), F.min("known").alias("known"))

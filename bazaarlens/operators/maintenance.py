@@ -135,6 +135,22 @@ def variant_present(key: Column, variants: Column) -> Column:
     return F.when(key.isNotNull(), F.coalesce(hit, F.lit(False)))
 
 
+ANSWER = "struct<handle:string,variants:array<struct<id:bigint,sku:string>>>"
+
+
+def audited(listings: DataFrame, answers: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
+    """Listings (``alias_id, store_id, url, store_product_id``) with what the recorded answers (``store_id, url,
+    status_code, text``) say of them: a verdict each.  A link that has not the shape of a product's page was not
+    asked for, and one without an answer or with one that cannot be read is unknown."""
+    links = prepared_links(listings, hosts).drop("listings")
+    told = answers.select("store_id", "url", "status_code", F.from_json("text", ANSWER).alias("answer"))
+    asked = links.join(told, ["store_id", "url"], "left")
+    status = F.when(F.col("well_formed"), F.coalesce("status_code", F.lit(599))).otherwise(599)
+    found = asked.select("store_id", "url", "handle", status.alias("status"), "answer")
+    verdict = link_verdict(F.col("status"), F.col("handle"), F.col("answer.handle"), variant_present(F.col("store_product_id"), F.col("answer.variants")))
+    return listings.join(found, ["store_id", "url"]).select("alias_id", "store_id", "url", verdict.alias("verdict"))
+
+
 def audit_summary(judged: DataFrame) -> DataFrame:
     """Per shop the links of each verdict, and whether delisting the gone ones would be a mass
     removal: more than 3 and more than a fifth."""

@@ -43,6 +43,19 @@ def with_offer(products: DataFrame, offers: DataFrame) -> DataFrame:
     return products.join(offers.select(F.col("product_id").alias("id")), "id", "left_semi")
 
 
+def expiries(readings: DataFrame, now: Column, keep: str = "INTERVAL 48 HOURS") -> DataFrame:
+    """``alias_id, event, at``: when each listing first had an offer (new), when the offer ran out because
+    ``keep`` had passed since a reading without another (gone; the offer still counts at that instant), and
+    the reading that brought it back (back).  Readings after ``now`` do not count yet."""
+    order, at = W.partitionBy("alias_id").orderBy("checked_at"), F.col("checked_at")
+    near = readings.filter(at <= now).select("alias_id", "checked_at", F.lag(at).over(order).alias("before"), F.lead(at).over(order).alias("next"))
+    ends = at + F.expr(keep)
+    out = F.when((F.col("next").isNull() & (ends < now)) | (F.col("next") > ends), F.struct(F.lit("gone").alias("event"), ends.alias("at")))
+    up = F.when(F.col("before").isNull(), "new").when(at > F.col("before") + F.expr(keep), "back")
+    into = F.when(up.isNotNull(), F.struct(up.alias("event"), at.alias("at")))
+    return near.select("alias_id", F.inline(F.array_compact(F.array(into, out))))
+
+
 def price_summary(offers: DataFrame) -> DataFrame:
     """Per product and group, over offers in stock: price range, least total and where, shops.
     Of shops with the same least total the lowest alias wins."""

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens import schema
+from bazaarlens.functions.normalize import normalize
 from bazaarlens.functions.parse import with_parsed
+from bazaarlens.functions.spelling import correct
 from bazaarlens.operators import activity, admin, alerts, catalogue, ingest, maintenance, offers, resolve, search
 from bazaarlens.plans import sql as text
 from bazaarlens.session import settled, shared_dir
-from bazaarlens.sources import committed, feeds
+from bazaarlens.sources import committed, feeds, sinks
 from bazaarlens.sources.entities import FRESH, NOW, Entities, with_views
 
 M = "decimal(18,3)"
@@ -400,16 +402,12 @@ def rate_window(e: Entities) -> DataFrame:
 
 
 def spell_correct(e: Entities) -> DataFrame:
-    from bazaarlens.functions.spelling import correct
-
     typed = e.products.select("id", F.regexp_replace(F.lower("canonical_name"), "iphone|monitor|laptop", "iphon").alias("q"))
     out = correct(typed, "id", "q")
     return out.select("id", "corrected", F.to_json("corrections").alias("corrections"))
 
 
 def arabic_normalize(e: Entities) -> DataFrame:
-    from bazaarlens.functions.normalize import normalize
-
     return e.products.select("id", normalize(F.concat(F.lit("الايفون ١٥ "), F.col("canonical_name"), F.lit(" أسْود"))).alias("normalized"))
 
 
@@ -419,6 +417,116 @@ def resolve_listings(e: Entities) -> DataFrame:
     return resolve.by_identity(feed, known).select("listing", "resolved_product")
 
 
+def offer_expiries(e: Entities) -> DataFrame:
+    return offers.expiries(e.price_history.select("alias_id", F.col("recorded_at").alias("checked_at")), now())
+
+
+def feed_replay(e: Entities) -> DataFrame:
+    return feeds.replayed(e.landed, schema.SHOPIFY, ALL).select("store", "page", "status_code")
+
+
+def woocommerce_listings(e: Entities) -> DataFrame:
+    found = feeds.woocommerce(e.landed_woo, ALL)
+    return found.select("store", "store_product_id", "name", F.col("price").cast(M).alias("price"), "availability", "url", "image_url")
+
+
+def robots_allowed(e: Entities) -> DataFrame:
+    path = F.concat(F.lit("/products/p"), F.col("product_id"), F.when(F.col("condition") == "used", "?ref=1").otherwise(""))
+    asked = e.listings.select(F.concat(F.lit("store"), F.col("store_id"), F.lit(".example")).alias("host"), path.alias("path"))
+    return feeds.robots_allows(feeds.robots_rules(e.robots), asked)
+
+
+def sitemap_files(e: Entities) -> DataFrame:
+    """Addresses read back from the committed site maps, and whether the index names their file."""
+    path = f"{shared_dir(e.spark)}/sitemaps-{uuid.uuid4().hex}"
+    sinks.write_sitemaps(admin.sitemap_rows(current(e), "https://shop.example"), "product_id", path, "https://shop.example/maps")
+    named = e.spark.read.text(f"{path}/index").select(F.regexp_extract("value", "/maps/(.*)</loc>", 1).alias("file")).filter("file <> ''")
+    return sinks.read_sitemaps(e.spark, path).join(named.withColumn("named", F.lit(True)), "file", "left").select("loc", "lastmod", F.coalesce("named", F.lit(False)).alias("named"))
+
+
+def _audited(e: Entities) -> DataFrame:
+    listed = e.listings.select("alias_id", "store_id", F.concat(F.lit("https://shop.example/products/p"), F.col("product_id")).alias("url"), F.concat(F.lit("SB-"), F.col("alias_id")).alias("store_product_id"))
+    return maintenance.audited(listed, e.answers, ("shop.example",))
+
+
+def answer_audit(e: Entities) -> DataFrame:
+    return _audited(e).select("alias_id", "store_id", "verdict")
+
+
+def answer_audit_summary(e: Entities) -> DataFrame:
+    return maintenance.audit_summary(_audited(e))
+
+
+def spell_arabic(e: Entities) -> DataFrame:
+    """Arabic words with a letter too many, too few or of another, with and without the article, in every title."""
+    typed = e.products.select("id", F.concat(F.element_at(F.array(*[F.lit(w) for w in text.MISTYPED]), (F.col("id") % len(text.MISTYPED) + 1).cast("int")), F.lit(" "), F.regexp_replace(F.lower("canonical_name"), "[^0-9]+", " ")).alias("q"))
+    return correct(typed, "id", "q").select("id", "corrected")
+
+
+def merged_listings(e: Entities) -> DataFrame:
+    return maintenance.repointed(e.listings.select("alias_id", "product_id"), maintenance.survivors(parsed_products(e)))
+
+
+def merged_alerts(e: Entities) -> DataFrame:
+    return maintenance.repointed(e.price_alerts.select("id", "user_id", "product_id"), maintenance.survivors(parsed_products(e)), ["user_id", "product_id"])
+
+
+def backfilled(e: Entities) -> DataFrame:
+    """Products without a picture were taken in under names in small letters: their listings name them better."""
+    stored = parsed_products(e).withColumn("canonical_name", F.when(F.col("image_url").isNull(), F.lower("canonical_name")).otherwise(F.col("canonical_name"))).withColumn("parsed", F.col("c"))
+    found = maintenance.backfilled(stored, e.aliases.select("product_id", "alias_id", F.col("store_product_name").alias("name")))
+    return found.select("id", "canonical_name", "match_category", F.col("match_attributes")["brand"].alias("brand"), F.col("match_attributes")["model"].alias("model"))
+
+
+def removed_products(e: Entities) -> DataFrame:
+    """Rows of each table, and how many name a product, once products whose offers are all delisted are gone."""
+    doomed = e.products.join(e.listings.filter("delisted_at is null").select(F.col("product_id").alias("id")), "id", "left_anti").select("id")
+    left = maintenance.product_removed(doomed, products=e.products.withColumn("product_id", F.col("id")), wishlist=e.wishlist, price_alerts=e.price_alerts, contact_events=e.contact_events)
+    counted = [df.agg(F.count("*").alias("n"), F.count("product_id").alias("named")).select(F.lit(name).alias("entity"), "n", "named") for name, df in left.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
+
+
+def removed_account(e: Entities) -> DataFrame:
+    """Shops, wishes, alerts and users that are left, and shops that show, once the owner of shop 4 is gone."""
+    left = maintenance.account_removed(4, users=e.users, wishlist_items=e.wishlist, price_alerts=e.price_alerts, stores=e.stores)
+    counted = [df.agg(F.count("*").alias("n"), (F.count_if(F.col("is_active") == 1) if name == "stores" else F.count("*")).alias("showing"), (F.count("owner_user_id") if name == "stores" else F.lit(0).cast("long")).alias("owned")).withColumn("entity", F.lit(name)) for name, df in left.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
+
+
+def cleanup(e: Entities) -> DataFrame:
+    """What goes with the accounts that were never verified."""
+    out = maintenance.cleanup(e.users, e.stores, e.listings, e.wishlist, e.price_alerts, e.users.filter("not is_verified"))
+    rows = out["stores"].select(F.lit("store").alias("kind"), "id").unionByName(out["products"].select(F.lit("product").alias("kind"), F.col("product_id").alias("id")))
+    return rows.unionByName(out["referring"].select(F.lit("referring").alias("kind"), F.col("n").alias("id"))).unionByName(out["refuse"].select(F.lit("refuse").alias("kind"), F.col("refuse").cast("long").alias("id")))
+
+
+def token_states(e: Entities) -> DataFrame:
+    tokens = e.base("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("purpose"), F.col("o_orderdate").alias("created_at"),
+                                     F.when(F.startswith("o_orderpriority", F.lit("1")), F.col("o_orderdate")).alias("consumed_at"), (F.col("o_orderdate") + F.expr("INTERVAL 400 DAYS")).alias("expires_at"))
+    return maintenance.token_state(tokens, fresh()).select("id", "usable", "may_resend", "purge")
+
+
+def owner_edits(e: Entities) -> DataFrame:
+    """History that owners' edits of their own prices leave."""
+    before = e.prices.select("alias_id", "price", "availability", "delivery_cost", F.col("checked_at").alias("last_updated"), "checked_at")
+    owned = e.listings.join(e.stores.filter("owner_user_id is not null").select(F.col("id").alias("store_id")), "store_id", "left_semi")
+    return ingest.price_edit(owned.select("alias_id", "price", "availability", "delivery_cost"), before, now())[1].select("alias_id", F.col("price").cast(M).alias("price"), "recorded_at")
+
+
+def owner_listing_keys(e: Entities) -> DataFrame:
+    keyed = e.listings.join(e.products.select(F.col("id").alias("product_id"), "canonical_name"), "product_id")
+    return keyed.select("alias_id", resolve.listing_key(F.col("condition"), normalize(F.col("canonical_name"))).alias("key"))
+
+
+def _jobs(e: Entities) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("done")
+    return e.base("orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderpriority").alias("store_codes"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("started_at"))
+
+
+def next_job(e: Entities) -> DataFrame:
+    return admin.claimable(_jobs(e), now()).select("id", "status")
+
+
 QUERIES: dict[str, Query] = {}
 for run in (
     current_offers, price_summary, search_cards, best_savings, top_deals, best_deal_store, offered_products, browse_ranked, families, category_counts, interleaved_browse, seeded_shuffle,
@@ -426,6 +534,8 @@ for run in (
     sitemap_rows, category_lastmod, catalogue_health, platform_stats, remaining_admins, wishlist, alerts_met, alert_latch, duplicate_groups, merged_wishes, reconcile_delist, delist_valve,
     price_snapshot, price_changes, prune_guard, pruned_products, prune_report, orphan_products, listing_count_per_store, referenced_union, one_pending_run, parse_attributes, score_tiers, tier_paging, suggest,
     type_ahead, deep_page, rolling_taps, committed_ingest,
+    offer_expiries, feed_replay, woocommerce_listings, robots_allowed, sitemap_files, answer_audit, answer_audit_summary, spell_arabic, merged_listings, merged_alerts, backfilled, removed_products, removed_account,
+    cleanup, token_states, owner_edits, owner_listing_keys, next_job,
     query_meanings, search_answers, search_page, feed_listings, feed_slimmed, feed_completeness, ingest_landed, ingest_result, ingest_catalogue, link_selection, link_prepare, link_audit, rate_window, spell_correct, arabic_normalize, resolve_listings,
 ):
     views, sql = text.SQL.get(run.__name__, ((), None))

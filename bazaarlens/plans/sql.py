@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bazaarlens.functions.spelling import vocabulary
+from bazaarlens.functions import terms
+from bazaarlens.functions.spelling import arabic_vocabulary, vocabulary
 from bazaarlens.sources.entities import FRESH, NOW
 from bazaarlens.sources.titles import values
 
@@ -144,6 +145,23 @@ SPELLING = f"""
     pieces AS (SELECT id, string_agg(gaps[i] || coalesce(fixed, r.w), '' ORDER BY i) || any_value(gaps[len(gaps)]) AS corrected FROM runs r LEFT JOIN fixes f ON f.w = r.w GROUP BY id),
     firsts AS (SELECT id, r.w, fixed, min(i) AS i FROM runs r JOIN fixes f ON f.w = r.w GROUP BY id, r.w, fixed),
     told AS (SELECT id, concat(chr(123), string_agg(concat('"', w, '":"', fixed, '"'), ',' ORDER BY i), chr(125)) AS corrections FROM firsts GROUP BY id)"""
+SURVIVORS = "s AS (SELECT id, min(id) OVER (PARTITION BY match_category, brand, model, variant, cpu, storage, ram, size, resolution, refresh, panel, color) AS survivor FROM parsed WHERE match_category IS NOT NULL)"
+VERDICT = "CASE WHEN delisted_at IS NOT NULL THEN 'GONE' WHEN store_id % 5 = 1 AND NOT availability THEN 'UNKNOWN' WHEN NOT in_read THEN 'VARIANT_GONE' WHEN condition = 'used' THEN 'RENAMED' ELSE 'OK' END"
+# Arabic words as somebody types them: with an edit, two edits, an article, no word nearby, several of one meaning nearby, and right ones.
+MISTYPED = ("ايفوون", "سامسنوج", "الايفونن", "شاشهه", "لابتوبب", "جالكسي", "قطار", "اسود", "موبيلات", "هواوى", "تلفيزيون", "الشاشةة")
+# DuckDB measures edits in bytes: letters stand for one byte each.
+ARABIC = "".join(sorted({c for w in (*arabic_vocabulary(), *MISTYPED, terms.ARABIC_TO) for c in w}))
+ONE_BYTE = "".join(chr(65 + k) if k < 26 else chr(71 + k) for k in range(len(ARABIC)))
+ARABIC_SPELLING = f"""
+    vocabulary(word, meaning) AS (VALUES {", ".join(f"('{w}', {repr(m) if m else 'NULL'})" for w, m in arabic_vocabulary().items())}),
+    typed(n, w) AS (VALUES {", ".join(f"({k}, '{w}')" for k, w in enumerate(MISTYPED))}),
+    folded AS (SELECT *, translate(w, '{terms.ARABIC_FROM}', '{terms.ARABIC_TO}') AS f FROM typed),
+    stems AS (SELECT *, CASE WHEN starts_with(f, '{terms.ARTICLE}') AND length(f) > 4 THEN substr(f, 3) ELSE f END AS stem FROM folded),
+    near AS (SELECT s.*, v.word, v.meaning, levenshtein(translate(stem, '{ARABIC}', '{ONE_BYTE}'), translate(word, '{ARABIC}', '{ONE_BYTE}')) AS edits FROM stems s CROSS JOIN vocabulary v
+        WHERE f NOT IN (SELECT word FROM vocabulary) AND stem NOT IN (SELECT word FROM vocabulary)),
+    least AS (SELECT *, min(edits) OVER (PARTITION BY n) AS least FROM near WHERE edits <= CASE WHEN length(stem) <= 3 THEN 0 WHEN length(stem) <= 5 THEN 1 ELSE 2 END),
+    fixes AS (SELECT n, any_value(left(f, length(f) - length(stem))) || min(word) AS fixed FROM least WHERE edits = least GROUP BY n
+        HAVING count(*) = 1 OR (count(DISTINCT meaning) = 1 AND count(meaning) = count(*)))"""
 CHANNELS = ", ".join(f"count(*) FILTER (WHERE channel = '{c}') AS {c}" for c in ("whatsapp", "call", "facebook", "instagram"))
 
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
@@ -332,6 +350,52 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         c AS (SELECT store_id, count(*) FILTER (WHERE v = 'ok') AS ok, count(*) FILTER (WHERE v = 'renamed') AS renamed, count(*) FILTER (WHERE v = 'variant_gone') AS variant_gone,
                      count(*) FILTER (WHERE v = 'gone') AS gone, count(*) FILTER (WHERE v = 'unknown') AS unknown, count(*) AS checked FROM j GROUP BY store_id)
         SELECT *, gone + variant_gone > greatest(3, floor(checked * 0.2)) AS mass_removal FROM c"""),
+    "offer_expiries": (("price_history",), f"""WITH w AS (
+            SELECT alias_id, recorded_at AS t, lag(recorded_at) OVER (PARTITION BY alias_id ORDER BY recorded_at) AS p, lead(recorded_at) OVER (PARTITION BY alias_id ORDER BY recorded_at) AS n FROM price_history WHERE recorded_at <= {NOW})
+        SELECT alias_id, 'new' AS event, t AS at FROM w WHERE p IS NULL UNION ALL SELECT alias_id, 'back', t FROM w WHERE t > p + INTERVAL 48 HOUR
+        UNION ALL SELECT alias_id, 'gone', t + INTERVAL 48 HOUR FROM w WHERE (n IS NULL AND t + INTERVAL 48 HOUR < {NOW}) OR n > t + INTERVAL 48 HOUR"""),
+    "feed_replay": (("landed",), """WITH r AS (SELECT store, CAST(max(page) + 1 AS INT) AS page, count(*) FILTER (WHERE status_code <> 200 OR NOT contains(text, '"id":')) AS ended FROM landed GROUP BY store)
+        SELECT store, page, status_code FROM landed UNION ALL SELECT store, page, CAST(599 AS INT) FROM r WHERE ended = 0"""),
+    "woocommerce_listings": (("feed",), f"""
+        SELECT concat('store', store_id) AS store, CASE WHEN brand IS NULL THEN store_product_id ELSE concat('woo-', listed_alias) END AS store_product_id, concat(name, ' – new') AS name, CAST(price AS {M}) AS price, availability, url, image_url
+        FROM feed WHERE image_url IS NOT NULL AND category IS NULL"""),
+    "robots_allowed": (("stores", "listings"), """
+        SELECT DISTINCT concat('store', store_id, '.example') AS host, concat('/products/p', product_id, CASE WHEN condition = 'used' THEN '?ref=1' ELSE '' END) AS path,
+               (condition <> 'used' AND CAST(product_id AS VARCHAR) = concat(store_id, '7')) OR NOT (condition = 'used' OR starts_with(CAST(product_id AS VARCHAR), CAST(store_id AS VARCHAR))) AS allowed
+        FROM listings"""),
+    "sitemap_files": (("stores", "listings"), f"""WITH {OFFERS}
+        SELECT concat('https://shop.example/product/', product_id) AS loc, strftime(max(checked_at), '%Y-%m-%dT%H:%M:%S+00:00') AS lastmod, true AS named FROM offers GROUP BY product_id HAVING bool_or(availability)"""),
+    "answer_audit": (("listings",), f"SELECT alias_id, store_id, {VERDICT} AS verdict FROM listings"),
+    "answer_audit_summary": (("listings",), f"""WITH v AS (SELECT store_id, lower({VERDICT}) AS v FROM listings),
+        c AS (SELECT store_id, {', '.join(f"count(*) FILTER (WHERE v = '{v}') AS {v}" for v in ('ok', 'renamed', 'variant_gone', 'gone', 'unknown'))}, count(*) AS checked FROM v GROUP BY store_id)
+        SELECT *, gone + variant_gone > greatest(3, floor(checked * 0.2)) AS mass_removal FROM c"""),
+    "spell_arabic": (("products",), f"""WITH {ARABIC_SPELLING}
+        SELECT p.id, concat(coalesce(fixed, w), ' ', regexp_replace(lower(canonical_name), '[^0-9]+', ' ', 'g')) AS corrected FROM products p JOIN typed t ON t.n = p.id % {len(MISTYPED)} LEFT JOIN fixes x ON x.n = t.n"""),
+    "merged_listings": (("products", "listings"), f"WITH {PARSED}, {SURVIVORS} SELECT alias_id, coalesce(s.survivor, product_id) AS product_id FROM listings LEFT JOIN s ON s.id = product_id"),
+    "merged_alerts": (("products", "price_alerts"), f"WITH {PARSED}, {SURVIVORS} SELECT min(a.id) AS id, user_id, coalesce(s.survivor, product_id) AS product_id FROM price_alerts a LEFT JOIN s ON s.id = product_id GROUP BY 2, 3"),
+    "backfilled": (("products", "aliases"), f"""WITH {PARSED}, m AS (SELECT product_id, arg_max(store_product_name, (length(store_product_name), -alias_id)) AS better FROM aliases WHERE store_product_name <> lower(store_product_name) GROUP BY product_id)
+        SELECT id, CASE WHEN image_url IS NULL OR canonical_name = lower(canonical_name) THEN coalesce(better, lower(canonical_name)) ELSE canonical_name END AS canonical_name, category AS match_category, brand, model
+        FROM parsed LEFT JOIN m ON m.product_id = id WHERE category IS NOT NULL"""),
+    "removed_products": (("products", "listings", "wishlist", "price_alerts", "contact_events"), """WITH kept AS (SELECT id FROM products WHERE id IN (SELECT product_id FROM listings WHERE delisted_at IS NULL)), doomed AS (SELECT id FROM products WHERE id NOT IN (SELECT id FROM kept))
+        SELECT 'products' AS entity, count(*) AS n, count(*) AS named FROM kept
+        UNION ALL SELECT 'wishlist', count(*), count(*) FROM wishlist WHERE product_id NOT IN (SELECT id FROM doomed) UNION ALL SELECT 'price_alerts', count(*), count(*) FROM price_alerts WHERE product_id NOT IN (SELECT id FROM doomed)
+        UNION ALL SELECT 'contact_events', count(*), count(product_id) FILTER (WHERE product_id NOT IN (SELECT id FROM doomed)) FROM contact_events"""),
+    "removed_account": (("users", "wishlist", "price_alerts", "stores"), """
+        SELECT 'users' AS entity, count(*) AS n, count(*) AS showing, CAST(0 AS BIGINT) AS owned FROM users WHERE id <> 4 UNION ALL SELECT 'wishlist_items', count(*), count(*), 0 FROM wishlist WHERE user_id <> 4
+        UNION ALL SELECT 'price_alerts', count(*), count(*), 0 FROM price_alerts WHERE user_id <> 4
+        UNION ALL SELECT 'stores', count(*), count(*) FILTER (WHERE is_active = 1 AND owner_user_id IS DISTINCT FROM 4), count(owner_user_id) FILTER (WHERE owner_user_id <> 4) FROM stores"""),
+    "cleanup": (("users", "stores", "listings", "wishlist", "price_alerts"), """WITH d AS (SELECT id FROM users WHERE NOT is_verified), gs AS (SELECT id FROM stores WHERE owner_user_id IN (SELECT id FROM d)),
+        gp AS (SELECT product_id FROM listings GROUP BY product_id HAVING bool_and(store_id IN (SELECT id FROM gs)))
+        SELECT 'store' AS kind, id FROM gs UNION ALL SELECT 'product', product_id FROM gp
+        UNION ALL SELECT 'referring', count(*) FROM (SELECT user_id, product_id FROM wishlist UNION ALL SELECT user_id, product_id FROM price_alerts) WHERE user_id NOT IN (SELECT id FROM d) AND product_id IN (SELECT product_id FROM gp)
+        UNION ALL SELECT 'refuse', CAST(count(*) = 0 AS BIGINT) FROM users WHERE role = 'admin' AND is_verified"""),
+    "token_states": ((), f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 AS newest FROM orders)
+        SELECT o_orderkey AS id, newest AND o_orderpriority NOT LIKE '1%' AND o_orderdate + INTERVAL 400 DAY > {FRESH} AS usable, newest AND o_orderdate <= {FRESH} - INTERVAL 2 MINUTE AS may_resend, o_orderdate + INTERVAL 400 DAY < {FRESH} - INTERVAL 30 DAY AS purge FROM t"""),
+    "owner_edits": (("stores", "listings", "prices"), f"""
+        SELECT p.alias_id, CAST(p.price AS {M}) AS price, {NOW} AS recorded_at FROM prices p JOIN listings l ON l.alias_id = p.alias_id JOIN stores s ON s.id = l.store_id WHERE s.owner_user_id IS NOT NULL AND l.price <> p.price"""),
+    "owner_listing_keys": (("products", "listings"), f"""WITH n AS (SELECT p.id, coalesce(k.plain, regexp_replace(replace(lower(canonical_name), '+', ' plus '), '[^a-z0-9_]', ' ', 'g')) AS n FROM products p LEFT JOIN {values('plain').replace('known(', 'k(')} ON k.golden = p.golden)
+        SELECT alias_id, concat('merchant:', condition, ':', substr(sha1(trim(regexp_replace(n, ' +', ' ', 'g'))), 1, 16)) AS key FROM listings JOIN n ON n.id = product_id"""),
+    "next_job": ((), f"SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'queued' ELSE 'running' END AS status FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_orderdate <= {NOW} - INTERVAL 60 MINUTE) ORDER BY o_orderdate, o_orderkey LIMIT 1"),
     "rate_window": ((), "SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > 3"),
     "resolve_listings": (("products", "prices"), f"""WITH {PARSED}
         SELECT f.id AS listing, (SELECT min(k.id) FROM parsed k WHERE EXISTS (SELECT 1 FROM prices r WHERE r.product_id = k.id) AND k.category = f.category AND k.brand IS NOT DISTINCT FROM f.brand AND k.model IS NOT DISTINCT FROM f.model

@@ -74,6 +74,24 @@ VIEWS = {
               UNION ALL SELECT store_id, CAST(count(*) + 1 AS INT), CAST(CASE WHEN store_id % 5 = 1 THEN 503 ELSE 200 END AS INT),
                      CASE WHEN store_id % 5 = 2 THEN 'busy' WHEN store_id % 5 = 3 THEN '[]' ELSE concat(chr(123), '"products":[]', chr(125)) END
               FROM feed WHERE store_id % 7 <> 5 GROUP BY store_id) x""",
+    "answers": """
+        SELECT store_id, concat('https://shop.example/products/p', CAST(product_id AS VARCHAR(20))) AS url,
+               CAST(CASE WHEN delisted_at IS NOT NULL THEN 404 WHEN store_id % 5 = 1 AND NOT availability THEN 503 ELSE 200 END AS INT) AS status_code,
+               concat(chr(123), '"handle":"p', CAST(product_id AS VARCHAR(20)), CASE WHEN condition = 'used' THEN '-used' ELSE '' END, '","variants":[', chr(123), '"id":', CAST(alias_id AS VARCHAR(20)),
+                      ',"sku":"', CASE WHEN in_read THEN concat(' SB-', CAST(alias_id AS VARCHAR(20))) ELSE 'another' END, '"', chr(125), ']', chr(125)) AS text
+        FROM listings""",
+    "landed_woo": """
+        SELECT concat('store', CAST(store_id AS VARCHAR(12))) AS store, 'all' AS target, CAST(ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY listed_alias) AS INT) AS page,
+               'https://shop.example/wp-json/wc/store/v1/products' AS url, CAST(200 AS INT) AS status_code,
+               concat('[', chr(123), '"id":', CAST(listed_alias AS VARCHAR(20)), ',"name":"', replace(replace(name, '&', '&amp;'), chr(34), concat(chr(92), chr(34))), ' &#8211; new","type":"', CASE WHEN image_url IS NULL THEN 'variable' ELSE 'simple' END,
+                      '","sku":" ', CASE WHEN brand IS NULL THEN store_product_id ELSE '' END, '","is_in_stock":', CASE WHEN availability THEN 'true' ELSE 'false' END, ',"permalink":"', url, '","images":[', chr(123), '"src":"', coalesce(image_url, ''), '"', chr(125),
+                      '],"prices":', chr(123), '"price":"', CAST(CAST(price * 1000 AS BIGINT) AS VARCHAR(20)), '","currency_code":"', CASE WHEN category IS NULL THEN 'JOD' ELSE 'USD' END, '","currency_minor_unit":3', chr(125), chr(125), ']') AS text,
+               'application/json' AS content_type
+        FROM feed""",
+    "robots": """
+        SELECT concat('store', CAST(id AS VARCHAR(12)), '.example') AS host,
+               concat('User-agent: *', chr(10), 'Disallow: /products/p', CAST(id AS VARCHAR(12)), ' # these', chr(10), 'Allow: /products/p', CAST(id AS VARCHAR(12)), '7$', chr(10), 'Disallow: /*?', chr(10), chr(10), 'User-agent: other', chr(10), 'Disallow: /') AS text
+        FROM stores""",
     "contact_events": """
         SELECT event_id AS id, user_id % (SELECT count(*) FROM supplier) AS store_id,
                CASE WHEN event_id % 7 <> 0 THEN CAST({json}(props, '$.k') AS BIGINT) END AS product_id,
@@ -97,7 +115,7 @@ USES = {
 #: Views that a view reads.
 PARENTS = {
     "listings": ("readings",), "prices": ("readings",), "price_history": ("readings",), "wishlist": ("price_alerts",),
-    "aliases": ("prices", "products"), "feed": ("listings", "products", "stores"), "landed": ("feed",),
+    "aliases": ("prices", "products"), "feed": ("listings", "products", "stores"), "landed": ("feed",), "landed_woo": ("feed",), "answers": ("listings",), "robots": ("stores",),
 }
 JSON_VALUE = {"spark": "get_json_object", "duckdb": "json_extract_string"}
 

@@ -37,6 +37,21 @@ def stop_reason(pages: DataFrame, layout: str, max_pages: int = MAX_PAGES) -> Da
     return pages.withColumn("items", F.when(problem.isNull(), items)).withColumn("problem", problem)
 
 
+def replayed(recorded: DataFrame, layout: str, max_pages: int = MAX_PAGES) -> DataFrame:
+    """Recorded answers as a reader gets them that asks page by page: of each shop and target the pages from 1 to
+    the first without products, with a problem (``stop_reason``) or not recorded; that one is answered with 599, so
+    that its read is incomplete.  Of a page recorded twice the least row counts."""
+    rest = [c for c in recorded.columns if c not in ("store", "target", "page")]
+    known = recorded.filter(F.col("page").between(1, max_pages)).groupBy("store", "target", "page").agg(F.min(F.struct(*rest)).alias("r")).select("store", "target", "page", "r.*")
+    before = F.coalesce(F.lag("page").over(W.partitionBy("store", "target").orderBy("page")), F.lit(0))
+    pages = stop_reason(known, layout, max_pages).select("store", "target", "page", (F.col("problem").isNotNull() | (F.size("items") == 0)).alias("stops")).withColumn("before", before)
+    first = F.least(F.min(F.when(F.col("stops"), F.col("page"))), F.min(F.when(F.col("page") > F.col("before") + 1, F.col("before") + 1)), F.max("page") + 1, F.lit(max_pages))
+    ends = pages.groupBy("store", "target").agg(first.alias("end"))
+    asked = ends.select("store", "target", F.explode(F.sequence(F.lit(1), F.col("end"))).alias("page"))
+    out = asked.join(known, ["store", "target", "page"], "left")
+    return out.withColumn("status_code", F.coalesce("status_code", F.lit(599))).select(*recorded.columns)
+
+
 def limited(kept: DataFrame, reads: DataFrame, most: int = MAX_PRODUCTS) -> DataFrame:
     """``completeness`` rows, incomplete also where a shop's kept listings are more than ``most``."""
     many = kept.groupBy("store").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("store", F.lit(f"more than {most} kept listings").alias("over"))

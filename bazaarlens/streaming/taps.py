@@ -1,12 +1,13 @@
 """Streaming extensions: the catalogue's batch rules on unbounded input.
 
 The tap counter and the rate windows are event-time aggregates with a watermark; the alert latch
-keeps each alert's state across batches of prices; reads that arrive page by page are held until they
+keeps each alert's state across batches of prices; offers run out by timers; reads that arrive page by page are held until they
 are whole or overdue; the feed loop applies a batch function to each micro-batch of a shop's read.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Callable, Iterator
 
@@ -59,6 +60,38 @@ def alert_events(prices: DataFrame) -> DataFrame:
     return prices.groupBy("alert_id").applyInPandasWithState(step, "alert_id bigint, event string, at timestamp", "told boolean, seen timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
+def offer_events(readings: DataFrame, keep: dt.timedelta = dt.timedelta(hours=48), late: str = "1 hour") -> DataFrame:
+    """``offers.expiries`` on a stream of readings (``alias_id, checked_at``), in any order within ``late``.
+    A reading counts once the watermark has passed it, and an offer is gone once the watermark has passed its
+    end: a timer of its own wakes each listing then, so nothing is scanned.  State is one listing's last
+    counted reading, whether it ran out, and the readings that the watermark has not passed."""
+    span = int(keep.total_seconds() * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, gone, waiting = state.get if state.exists else (None, False, [])
+        passed = state.getCurrentWatermarkMs()
+        new = [] if state.hasTimedOut else [int(t.timestamp() * 1000) for rows in batches for t in rows["checked_at"] if not pd.isna(t)]
+        waiting, events = sorted({*waiting, *new}), []
+        while waiting and waiting[0] <= passed:
+            at = waiting.pop(0)
+            if last is None or at > last + span:
+                if last is not None and not gone:
+                    events.append((key[0], "gone", last + span))
+                events.append((key[0], "new" if last is None else "back", at))
+            last, gone = at if last is None else max(last, at), False
+        if last is not None and not gone and last + span < passed:
+            events.append((key[0], "gone", last + span))
+            gone = True
+        state.update((last, gone, waiting))
+        due = ([waiting[0]] if waiting else []) + ([last + span] if last is not None and not gone else [])
+        if due:
+            state.setTimeoutTimestamp(max(min(due), passed) + 1)
+        yield pd.DataFrame([(a, e, pd.Timestamp(at, unit="ms")) for a, e, at in events], columns=["alias_id", "event", "at"])
+
+    known = readings.withWatermark("checked_at", late).groupBy("alias_id")
+    return known.applyInPandasWithState(step, "alias_id bigint, event string, at timestamp", "last long, gone boolean, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 READ = "store string, target string, read_id string, page int, status_code int, text string, complete boolean"
 
 
