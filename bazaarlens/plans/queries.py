@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens import schema
+from bazaarlens.functions import contact
 from bazaarlens.functions.normalize import normalize
-from bazaarlens.functions.parse import with_parsed
+from bazaarlens.functions.parse import canonical, summary, with_parsed
+from bazaarlens.functions.score import describe, differences
 from bazaarlens.functions.spelling import correct
-from bazaarlens.operators import activity, admin, alerts, catalogue, ingest, maintenance, offers, resolve, search
+from bazaarlens.operators import activity, admin, alerts, catalogue, ingest, lookups, maintenance, offers, resolve, search
 from bazaarlens.plans import sql as text
 from bazaarlens.session import settled, shared_dir
 from bazaarlens.sources import committed, feeds, sinks
@@ -527,6 +529,107 @@ def next_job(e: Entities) -> DataFrame:
     return admin.claimable(_jobs(e), now()).select("id", "status")
 
 
+def sign_ins(e: Entities) -> DataFrame:
+    return lookups.signed_in(e.sign_ins, e.identities, e.users)
+
+
+def name_clashes(e: Entities) -> DataFrame:
+    return lookups.name_clashes(e.applied, e.stores).select("id", "name")
+
+
+def support_inbox(e: Entities) -> DataFrame:
+    """The newest open messages, and how many are open."""
+    newest = lookups.messages(e.support, e.users, handled=False, limit=50)
+    return newest.crossJoin(F.broadcast(lookups.unhandled(e.support))).select("id", "user_id", "role", "created_at", "unhandled")  # one row, of an aggregate
+
+
+def product_photos(e: Entities) -> DataFrame:
+    """The first photo of each product that a visible shop's listing pictures."""
+    shown = e.stores.filter("is_active = 1 and (owner_user_id is null or is_verified)").select(F.col("id").alias("store_id"))
+    pictured = lookups.with_photos(e.photos, e.listings, shown)
+    return lookups.first_photo(e.photos, e.listings).join(pictured, "product_id", "left_semi").select("product_id", "id", "alias_id", "uploaded_at")
+
+
+def photos_left(e: Entities) -> DataFrame:
+    """Photos of each shop's listings that are left when those of shop 4 go."""
+    left = lookups.without_store_photos(e.photos, e.listings, 4).join(e.listings.select("alias_id", "store_id"), "alias_id")
+    return left.groupBy("store_id").agg(F.count("*").alias("photos"), F.max("uploaded_at").alias("newest"))
+
+
+def registered_feeds(e: Entities) -> DataFrame:
+    """Listings of both kinds of feed; a shop has one kind, and every third one another host than its pages come from."""
+    host = F.when(F.col("id") % 3 == 2, "elsewhere.example").when(F.col("id") % 3 == 1, "WWW.shop.example").otherwise("shop.example")
+    shops = e.stores.select(F.concat(F.lit("store"), F.col("id")).alias("store"), host.alias("host"), F.when(F.col("id") % 2 == 0, "shopify").otherwise("woocommerce").alias("feed"))
+    found = feeds.read_registered(e.landed.unionByName(e.landed_woo), shops, ALL)
+    return found.select("store", "feed", "store_product_id", F.col("price").cast(M).alias("price"), "availability")
+
+
+def hinted_categories(e: Entities) -> DataFrame:
+    """Categories of titles whose shop labels some: rightly, as something else, or saying nothing."""
+    right = F.when(F.col("match_category") == "phones", "Smart Phones 2024").when(F.col("match_category") == "laptops", "Gaming Laptops").when(F.col("match_category") == "monitors", "Monitor 27")
+    label = F.when(F.col("id") % 5 == 0, right).when(F.col("id") % 5 == 1, "Laptop Sleeves").when(F.col("id") % 5 == 2, "Uncategorized").when(F.col("id") % 5 == 3, "  ")
+    titles = e.products.select("canonical_name", label.alias("label")).distinct()
+    parsed = with_parsed(titles, "canonical_name", "p", hint=F.col("label"))
+    both = e.products.withColumn("label", label).alias("a").join(parsed.alias("b"), (F.col("a.canonical_name") == F.col("b.canonical_name")) & F.col("a.label").eqNullSafe(F.col("b.label")))
+    return both.select("id", "a.label", F.col("p.category").alias("category"), F.col("p.attributes")["brand"].alias("brand"))
+
+
+def described_matches(e: Entities) -> DataFrame:
+    """Each answer's attributes in a line, and what tells it from the query."""
+    told = F.array_join(F.transform(differences(F.col("match")), describe), "; ")
+    return _scored(e).select("query_id", "product_id", told.alias("told"), summary(F.col("c.attributes")).alias("attributes"))
+
+
+def contact_details(e: Entities) -> DataFrame:
+    digits, i = F.lpad(F.col("id").cast("string"), 8, "0"), F.col("id")
+    phone = F.when(i % 6 == 0, F.concat(F.lit("+962 7"), digits)).when(i % 6 == 1, F.concat(F.lit("00962-7"), digits)).when(i % 6 == 2, F.concat(F.lit("(07) "), digits)).when(i % 6 == 3, F.concat(F.lit("9627"), digits)).when(i % 6 == 4, F.concat(F.lit("08"), digits))
+    page = F.concat(F.when(i % 4 == 1, "http://facebook.com/").when(i % 4 == 3, "https://facebook.com.example/").otherwise("https://www.facebook.com/"), F.when(i % 4 == 2, "").otherwise(F.concat(F.lit("shop"), i)))
+    return e.stores.select("id", contact.local_phone(phone).alias("phone"), contact.social_url(page, "facebook.com").alias("page"))
+
+
+def price_labels(e: Entities) -> DataFrame:
+    return e.listings.select("alias_id", contact.money(F.col("price")).alias("label"), contact.age_days(F.col("checked_at"), now()).alias("age_days"), contact.compact_stamp(F.col("checked_at")).alias("stamp"))
+
+
+def text_digests(e: Entities) -> DataFrame:
+    """Names as they stand in addresses, pages and logs, and attributes read back as they are stored."""
+    name = F.col("canonical_name")
+    quoted = contact.path_quoted(name)
+    return parsed_products(e).select("id", contact.fingerprint(name).alias("fingerprint"), quoted.alias("quoted"), contact.path_unquoted(quoted).alias("unquoted"), contact.html_escaped(name).alias("escaped"),
+                                     contact.pseudonym(name, text.PSEUDONYM_KEY.encode()).alias("pseudonym"), contact.stored_attributes(canonical(F.col("attributes")))["storage"].alias("storage"))
+
+
+def guarded_changes(e: Entities) -> DataFrame:
+    """What an audit found gone or renamed, applied where the listing is still as audited; every seventh has moved since."""
+    found = _audited(e).filter(F.col("verdict").isin("GONE", "VARIANT_GONE", "RENAMED")).select("alias_id", "url", "verdict")
+    moved = F.when(F.col("alias_id") % 7 == 0, "new-").otherwise("")
+    present = e.listings.select("alias_id", F.concat(F.lit("https://shop.example/products/"), moved, F.lit("p"), F.col("product_id")).alias("url"), "delisted_at")
+    return maintenance.guarded(found, present).select("alias_id", "verdict", "applied")
+
+
+def _verdicts(e: Entities) -> DataFrame:
+    """A feed's row out of stock stands for one that could not be taken in."""
+    read = resolve.run_counters(e.feed.select("store_id", (~F.col("availability")).alias("failed"), F.lit(True).alias("complete"))).drop("complete", "may_delist")
+    pages = feeds.completeness(feeds.stop_reason(e.landed, schema.SHOPIFY, ALL)).select(F.regexp_extract("store", "[0-9]+", 0).cast("long").alias("store_id"), "complete")
+    refused = _delisting(e).groupBy("store_id").agg(F.bool_or("refused").alias("refused"))
+    return resolve.outcome(read.join(pages, "store_id").join(refused, "store_id"))
+
+
+def run_verdicts(e: Entities) -> DataFrame:
+    return _verdicts(e).select("store_id", "seen", "failed", "verdict")
+
+
+def job_result(e: Entities) -> DataFrame:
+    return resolve.job_result(_verdicts(e), full=True)
+
+
+def run_due(e: Entities) -> DataFrame:
+    """Whether each of the last runs of all shops leaves another one due, by how many hours there are to be between them."""
+    jobs = e.base("orders").select(F.when(F.startswith("o_orderpriority", F.lit("1")), "").otherwise("some").alias("store_codes"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("failed").alias("status"), F.col("o_orderdate").alias("finished_at"))
+    asked = [admin.due(jobs, F.expr("TIMESTAMP '2000-01-01 00:00:00'"), hours).select(F.lit(hours).alias("hours"), "due") for hours in (6, 24 * 365, 24 * 36500)]
+    return asked[0].unionByName(asked[1]).unionByName(asked[2])
+
+
 QUERIES: dict[str, Query] = {}
 for run in (
     current_offers, price_summary, search_cards, best_savings, top_deals, best_deal_store, offered_products, browse_ranked, families, category_counts, interleaved_browse, seeded_shuffle,
@@ -536,6 +639,8 @@ for run in (
     type_ahead, deep_page, rolling_taps, committed_ingest,
     offer_expiries, feed_replay, woocommerce_listings, robots_allowed, sitemap_files, answer_audit, answer_audit_summary, spell_arabic, merged_listings, merged_alerts, backfilled, removed_products, removed_account,
     cleanup, token_states, owner_edits, owner_listing_keys, next_job,
+    sign_ins, name_clashes, support_inbox, product_photos, photos_left, registered_feeds, hinted_categories, described_matches, contact_details, price_labels, text_digests, guarded_changes,
+    run_verdicts, job_result, run_due,
     query_meanings, search_answers, search_page, feed_listings, feed_slimmed, feed_completeness, ingest_landed, ingest_result, ingest_catalogue, link_selection, link_prepare, link_audit, rate_window, spell_correct, arabic_normalize, resolve_listings,
 ):
     views, sql = text.SQL.get(run.__name__, ((), None))

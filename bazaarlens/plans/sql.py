@@ -162,6 +162,14 @@ ARABIC_SPELLING = f"""
     least AS (SELECT *, min(edits) OVER (PARTITION BY n) AS least FROM near WHERE edits <= CASE WHEN length(stem) <= 3 THEN 0 WHEN length(stem) <= 5 THEN 1 ELSE 2 END),
     fixes AS (SELECT n, any_value(left(f, length(f) - length(stem))) || min(word) AS fixed FROM least WHERE edits = least GROUP BY n
         HAVING count(*) = 1 OR (count(DISTINCT meaning) = 1 AND count(meaning) = count(*)))"""
+PSEUDONYM_KEY = "0123456789abcdef"
+PADDED = PSEUDONYM_KEY.encode().ljust(64, b"\0")
+INNER, OUTER = ("'" + "".join(f"\\x{b ^ pad:02X}" for b in PADDED) + "'::BLOB" for pad in (0x36, 0x5C))
+DIFFERS = ", ".join(f"CASE WHEN q.{a} IS NOT NULL AND p.{a} IS DISTINCT FROM q.{a} THEN CASE WHEN p.{a} IS NULL THEN '{label} not stated' ELSE concat('{label} ', p.{a}, ' instead of ', q.{a}) END END" for a, label in (
+    ("model", "model"), ("variant", "variant"), ("cpu", "processor"), ("storage", "storage"), ("size", "screen size"), ("refresh", "refresh rate"), ("color", "colour")))
+VERDICTS = f"""{DELIST},
+    n AS (SELECT store_id, count(*) AS seen, count(*) FILTER (WHERE NOT availability) AS failed FROM feed GROUP BY store_id),
+    verdicts AS (SELECT n.store_id, seen, failed, CASE WHEN n.store_id % 7 = 5 OR n.store_id % 5 IN (1, 2, 3) THEN 'incomplete' WHEN 2 * failed > seen THEN 'mostly_failed' WHEN refused THEN 'delist_refused' ELSE 'ok' END AS verdict FROM n JOIN valve v ON v.store_id = n.store_id)"""
 CHANNELS = ", ".join(f"count(*) FILTER (WHERE channel = '{c}') AS {c}" for c in ("whatsapp", "call", "facebook", "instagram"))
 
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
@@ -403,4 +411,36 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
             AND k.size IS NOT DISTINCT FROM f.size AND k.resolution IS NOT DISTINCT FROM f.resolution AND k.refresh IS NOT DISTINCT FROM f.refresh AND k.panel IS NOT DISTINCT FROM f.panel
             AND k.color IS NOT DISTINCT FROM f.color) AS resolved_product
         FROM parsed f"""),
+    "sign_ins": (("sign_ins", "identities", "users"), """WITH r AS (SELECT *, CASE WHEN email_verified THEN nullif(lower(trim(email)), '') END AS address FROM sign_ins),
+        l AS (SELECT r.*, i.user_id AS known, first_value(r.address IGNORE NULLS) OVER w AS account, count(r.address) OVER w AS vouched FROM r LEFT JOIN identities i ON i.provider = r.provider AND i.provider_subject = r.provider_subject
+              WINDOW w AS (PARTITION BY r.provider, r.provider_subject ORDER BY r."at", r.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        f AS (SELECT id, row_number() OVER (PARTITION BY account ORDER BY l."at", id) AS nth FROM l WHERE known IS NULL AND vouched = 1 AND address IS NOT NULL),
+        u AS (SELECT lower(email) AS account, min(id) AS user_id FROM users GROUP BY 1),
+        o AS (SELECT l.id, CASE WHEN known IS NOT NULL THEN 'known' WHEN vouched = 0 THEN 'refused' WHEN f.id IS NULL THEN 'known' WHEN u.user_id IS NULL AND nth = 1 THEN 'created' ELSE 'linked' END AS action, coalesce(known, u.user_id) AS user_id, l.account
+              FROM l LEFT JOIN f ON f.id = l.id LEFT JOIN u ON u.account = l.account)
+        SELECT id, action, CASE WHEN action <> 'refused' THEN user_id END AS user_id, CASE WHEN action <> 'refused' AND user_id IS NULL THEN account END AS account FROM o"""),
+    "name_clashes": (("applied", "stores"), "SELECT id, name FROM applied WHERE lower(name) IN (SELECT lower(name) FROM stores)"),
+    "support_inbox": (("support", "users"), "SELECT s.id, s.user_id, u.role, s.created_at, (SELECT count(*) FROM support WHERE NOT handled) AS unhandled FROM support s LEFT JOIN users u ON u.id = s.user_id WHERE NOT handled ORDER BY s.created_at DESC, s.id DESC LIMIT 50"),
+    "product_photos": (("photos", "listings", "stores"), """WITH p AS (SELECT l.product_id, l.store_id, f.* FROM photos f JOIN listings l ON l.alias_id = f.alias_id)
+        SELECT product_id, arg_min(id, (uploaded_at, id)) AS id, arg_min(alias_id, (uploaded_at, id)) AS alias_id, min(uploaded_at) AS uploaded_at FROM p
+        WHERE product_id IN (SELECT product_id FROM p JOIN stores s ON s.id = p.store_id WHERE s.is_active = 1 AND (s.owner_user_id IS NULL OR s.is_verified)) GROUP BY product_id"""),
+    "photos_left": (("photos", "listings"), "SELECT store_id, count(*) AS photos, max(uploaded_at) AS newest FROM photos f JOIN listings l ON l.alias_id = f.alias_id WHERE store_id <> 4 GROUP BY store_id"),
+    "registered_feeds": (("feed",), f"""
+        SELECT concat('store', store_id) AS store, CASE WHEN store_id % 2 = 0 THEN 'shopify' ELSE 'woocommerce' END AS feed, CASE WHEN store_id % 2 = 0 OR brand IS NULL THEN store_product_id ELSE concat('woo-', listed_alias) END AS store_product_id, CAST(price AS {M}) AS price, availability
+        FROM feed WHERE store_id % 3 <> 2 AND (store_id % 2 = 0 OR (image_url IS NOT NULL AND category IS NULL))"""),
+    "hinted_categories": (("products",), f"""WITH {PARSED}
+        SELECT id, CASE id % 5 WHEN 0 THEN CASE match_category WHEN 'phones' THEN 'Smart Phones 2024' WHEN 'laptops' THEN 'Gaming Laptops' WHEN 'monitors' THEN 'Monitor 27' END WHEN 1 THEN 'Laptop Sleeves' WHEN 2 THEN 'Uncategorized' WHEN 3 THEN '  ' END AS label,
+               CASE WHEN id % 5 <> 1 THEN category END AS category, CASE WHEN id % 5 <> 1 THEN brand END AS brand FROM parsed"""),
+    "described_matches": (("stores", "listings", "products"), f"""WITH {SCORED}
+        SELECT s.query_id, s.product_id, concat_ws('; ', {DIFFERS}) AS told, concat_ws(' · ', p.model, nullif(p.variant, 'base'), {', '.join(f'p.{a}' for a in ATTRIBUTES[3:])}) AS attributes
+        FROM scored s JOIN asked q ON q.query_id = s.query_id JOIN parsed p ON p.id = s.product_id"""),
+    "contact_details": (("stores",), "SELECT id, CASE WHEN id % 6 < 4 THEN concat('07', lpad(CAST(id AS VARCHAR), 8, '0')) END AS phone, CASE WHEN id % 4 = 0 THEN concat('https://www.facebook.com/shop', id) END AS page FROM stores"),
+    "price_labels": (("listings",), f"SELECT alias_id, printf('%.2f JOD', CAST(price AS DOUBLE)) AS label, CAST(floor((epoch({NOW}) - epoch(checked_at)) / 86400) AS BIGINT) AS age_days, strftime(checked_at, '%Y%m%dT%H%M%SZ') AS stamp FROM listings"),
+    "text_digests": (("products",), f"""WITH {PARSED}
+        SELECT id, sha256(canonical_name) AS fingerprint, url_encode(canonical_name) AS quoted, canonical_name AS unquoted, replace(replace(replace(replace(replace(canonical_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped,
+               sha256({OUTER} || unhex(sha256({INNER} || encode(canonical_name)))) AS pseudonym, storage FROM parsed"""),
+    "guarded_changes": (("listings",), f"SELECT alias_id, {VERDICT} AS verdict, alias_id % 7 <> 0 AND delisted_at IS NULL AS applied FROM listings WHERE {VERDICT} IN ('GONE', 'VARIANT_GONE', 'RENAMED')"),
+    "run_verdicts": (("feed", "listings", "stores"), f"WITH {VERDICTS} SELECT store_id, seen, failed, verdict FROM verdicts"),
+    "job_result": (("feed", "listings", "stores"), f"WITH {VERDICTS} SELECT bool_and(verdict <> 'ok') AS failed, count(*) FILTER (WHERE verdict <> 'ok') AS failures, count(*) AS stores, count(*) FILTER (WHERE verdict <> 'ok') = 0 AS send_alerts FROM verdicts"),
+    "run_due": ((), "SELECT CAST(h AS INT) AS hours, max(o_orderdate) <= TIMESTAMP '2000-01-01 00:00:00' - to_hours(h) AS due FROM orders, (VALUES (6), (8760), (876000)) v(h) WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%' GROUP BY h"),
 }

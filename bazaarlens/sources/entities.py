@@ -106,16 +106,25 @@ VIEWS = {
         WHERE rn = 1""",
     "wishlist": "SELECT user_id, product_id, min(created_at) AS created_at FROM price_alerts GROUP BY user_id, product_id",
     "users": "SELECT c_custkey AS id, concat('user', CAST(c_custkey AS VARCHAR(12)), '@example.org') AS email, CASE WHEN c_custkey % 100 = 0 THEN 'admin' ELSE 'user' END AS role, c_custkey % 5 <> 0 AS is_verified FROM customer",
+    "identities": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'first' ELSE 'second' END AS provider, concat('s', CAST(c_custkey AS VARCHAR(12))) AS provider_subject, c_custkey AS user_id FROM customer WHERE c_custkey % 3 = 0",
+    "sign_ins": """
+        SELECT event_id AS id, ts AS at, CASE WHEN event_id % 2 = 0 THEN 'first' ELSE 'second' END AS provider, concat('s', CAST(user_id AS VARCHAR(12))) AS provider_subject,
+               CASE WHEN event_id % 13 <> 0 THEN concat(' ', CASE WHEN user_id % 5 = 1 THEN concat('New', CAST(user_id % 50 AS VARCHAR(12))) ELSE concat('User', CAST(user_id AS VARCHAR(12))) END, '@Example.org') END AS email, event_id % 4 <> 0 AS email_verified
+        FROM events""",
+    "support": "SELECT event_id AS id, CASE WHEN event_id % 4 <> 0 THEN user_id END AS user_id, event_id % 3 = 0 AS handled, ts AS created_at FROM events WHERE event_type IN ('signup', 'error')",
+    "photos": "SELECT alias_id * 100 + back AS id, alias_id, date_trunc('year', checked_at) AS uploaded_at FROM readings WHERE product_id % 3 <> 0 AND NOT in_read",
+    "applied": "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'SUPPLIER' ELSE 'supplier' END || CASE WHEN c_custkey % 2 = 0 THEN '#' ELSE '_' END || lpad(CAST(c_custkey AS VARCHAR(12)), 9, '0') AS name FROM customer",
 }
 
 #: Base tables that a view reads.
 USES = {
     "stores": ("supplier",), "readings": ("lineitem",), "products": ("part",), "contact_events": ("events", "supplier"), "price_alerts": ("orders", "lineitem"), "users": ("customer",),
+    "identities": ("customer",), "sign_ins": ("events",), "support": ("events",), "applied": ("customer",),
 }
 #: Views that a view reads.
 PARENTS = {
     "listings": ("readings",), "prices": ("readings",), "price_history": ("readings",), "wishlist": ("price_alerts",),
-    "aliases": ("prices", "products"), "feed": ("listings", "products", "stores"), "landed": ("feed",), "landed_woo": ("feed",), "answers": ("listings",), "robots": ("stores",),
+    "aliases": ("prices", "products"), "feed": ("listings", "products", "stores"), "landed": ("feed",), "landed_woo": ("feed",), "answers": ("listings",), "robots": ("stores",), "photos": ("readings",),
 }
 JSON_VALUE = {"spark": "get_json_object", "duckdb": "json_extract_string"}
 

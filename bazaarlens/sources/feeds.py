@@ -5,6 +5,7 @@ of ``schema.LANDED``, for example from gzip JSON lines."""
 from __future__ import annotations
 
 import html
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,6 +132,20 @@ def woocommerce(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     return once(out.filter("store_product_id is not null and price > 0"))
 
 
+#: Readers by the kind of feed that a shop has.
+READERS = {"shopify": shopify, "woocommerce": woocommerce}
+
+
+def read_registered(pages: DataFrame, shops: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+    """Listings of the shops' pages with ``feed``, each by the reader of its shop's kind (``registry``).  Pages of
+    shops that are not listed, of kinds without a reader, or from a host that is not their shop's are not read."""
+    bare = lambda host: F.regexp_replace(F.lower(host), r"^www\.", "")
+    known = shops.select("store", bare(F.col("host")).alias("__host"), F.col("feed").alias("__feed")).distinct()
+    theirs = pages.join(known, "store").filter(bare(F.try_parse_url("url", F.lit("HOST"))) == F.col("__host"))
+    found = [reader(theirs.filter(F.col("__feed") == kind), max_pages).withColumn("feed", F.lit(kind)) for kind, reader in READERS.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 def relevant(listings: DataFrame) -> DataFrame:
     """Listings with a category, by the shop's own label where it says something."""
     return with_parsed(listings, "name", "parsed", hint=F.col("category")).filter("parsed.category is not null")

@@ -7,6 +7,7 @@ import datetime as dt
 
 from bazaarlens.functions.parse import with_parsed
 from bazaarlens.operators import lookups, maintenance
+from bazaarlens.sources import feeds
 
 DAY = lambda k: dt.datetime(2026, 9, k)
 
@@ -23,6 +24,39 @@ def test_messages_and_names(spark):
     assert lookups.by_identity(ids, "p", "t").first()["user_id"] == 2
 
 
+def test_sign_ins(spark):
+    """Subjects are linked by their first vouched-for address; two of one new address share the account that is made."""
+    known = spark.createDataFrame([("p", "s", 1)], "provider string, provider_subject string, user_id long")
+    users = spark.createDataFrame([(1, "a@x.org"), (2, "B@x.org"), (3, "b@X.org")], "id long, email string")
+    rows = [
+        (1, DAY(1), "p", "s", None, False),  # linked before: nothing else is asked
+        (2, DAY(1), "p", "t", "b@x.org", False), (3, DAY(2), "p", "t", " B@X.ORG ", True), (4, DAY(3), "p", "t", "other@x.org", False),
+        (5, DAY(2), "q", "s", "New@x.org", True), (6, DAY(1), "q", "u", "new@X.org ", True), (7, DAY(1), "q", "u", "else@x.org", True),
+        (8, DAY(1), "q", "v", "  ", True), (9, DAY(1), None, "s", "a@x.org", True), (10, DAY(1), "q", None, "a@x.org", True),
+    ]
+    signs = spark.createDataFrame(rows, "id long, at timestamp, provider string, provider_subject string, email string, email_verified boolean")
+    got = {r["id"]: tuple(r)[1:] for r in lookups.signed_in(signs, known, users).collect()}
+    assert got == {
+        1: ("known", 1, None), 2: ("refused", None, None), 3: ("linked", 2, None), 4: ("known", 2, None), 5: ("linked", None, "new@x.org"), 6: ("created", None, "new@x.org"),
+        7: ("known", None, "new@x.org"), 8: ("refused", None, None), 9: ("refused", None, None), 10: ("refused", None, None),
+    }
+    assert lookups.signed_in(signs.limit(0), known, users).count() == 0
+    shops = spark.createDataFrame([(1, "My_Shop"), (2, "my_shop"), (3, None)], "id long, name string")
+    applied = spark.createDataFrame([(1, "MY_SHOP"), (2, "myXshop"), (3, "%"), (4, None)], "id long, name string")
+    assert [r["id"] for r in lookups.name_clashes(applied, shops).collect()] == [1]
+
+
+def test_registered_feeds(spark):
+    page = '{"products":[{"id":1,"title":"A","handle":"a","vendor":"","product_type":"","images":[],"variants":[{"id":5,"sku":"","price":"3.5","available":true,"title":"x"}]}]}'
+    simple = '[{"id":7,"name":"B","type":"simple","sku":"k","is_in_stock":true,"permalink":"u","images":[],"prices":{"price":"1500","currency_code":"JOD","currency_minor_unit":3}}]'
+    rows = [("a", "https://www.one.example/p.json", page), ("b", "https://one.example/p.json", page), ("c", "https://three.example/w", simple), ("d", "https://three.example/w", simple), ("e", "https://three.example/w", simple)]
+    pages = spark.createDataFrame([(s, "all", 1, url, 200, t, "application/json") for s, url, t in rows], "store string, target string, page int, url string, status_code int, text string, content_type string")
+    shops = feeds.registry(spark, [("a", "One.example", "shopify"), ("b", "two.example", "shopify"), ("c", "www.three.example", "woocommerce"), ("d", "three.example", "other")])
+    got = feeds.read_registered(pages, shops).collect()
+    assert sorted((r["store"], r["feed"], r["store_product_id"], str(r["price"])) for r in got) == [("a", "shopify", "shopify-5", "3.500"), ("c", "woocommerce", "k", "1.500")]
+    assert feeds.read_registered(pages, feeds.registry(spark)).count() == 0
+
+
 def test_photos(spark):
     photos = spark.createDataFrame([(1, 10, DAY(2)), (2, 11, DAY(1)), (3, 20, DAY(1))], "id long, alias_id long, uploaded_at timestamp")
     listings = spark.createDataFrame([(10, 1, 1), (11, 1, 2), (20, 2, 3)], "alias_id long, product_id long, store_id long")
