@@ -58,7 +58,8 @@ def cleanup(users: DataFrame, stores: DataFrame, listings: DataFrame, wishes: Da
 
 
 def orphans(products: DataFrame, listings: DataFrame) -> DataFrame:
-    return products.join(listings.select(F.col("product_id").alias("id")), "id", "left_anti")
+    """Products that no listing is of.  Each listed product meets them once, however many listings it has."""
+    return products.join(listings.select(F.col("product_id").alias("id")).distinct(), "id", "left_anti")
 
 
 def references(products: DataFrame, *tables: DataFrame) -> DataFrame:
