@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from bazaarlens import schema
 from bazaarlens.functions.parse import with_parsed
+from bazaarlens.session import dealt
 
 MAX_PAGES, MAX_BYTES, MAX_PRODUCTS = 200, 8 << 20, 20_000
 
@@ -157,10 +158,13 @@ def robots_allows(rules: DataFrame, requests: DataFrame) -> DataFrame:
     end = F.endswith("pattern", F.lit("$"))
     body = F.when(end, F.expr("left(pattern, length(pattern) - 1)")).otherwise(F.col("pattern"))
     regex = F.concat(F.lit("^"), F.replace(F.concat(F.lit("\\Q"), F.replace(body, F.lit("*"), F.lit("\\E.*\\Q"))), F.lit("\\Q\\E"), F.lit("")), F.lit("\\E"), F.when(end, "$").otherwise(""))
-    known = rules.filter("pattern <> ''").withColumn("regex", regex).withColumn("size", F.length("pattern"))
-    hit = requests.join(known, "host", "left").withColumn("hit", F.coalesce(F.rlike("path", F.col("regex")), F.lit(False)))
-    best = hit.groupBy("host", "path").agg(F.max(F.when(F.col("hit") & F.col("allow"), F.col("size"))).alias("yes"), F.max(F.when(F.col("hit") & ~F.col("allow"), F.col("size"))).alias("no"))
-    return best.select("host", "path", (F.col("no").isNull() | F.coalesce(F.col("yes") >= F.col("no"), F.lit(False))).alias("allowed"))
+    rule = F.struct(regex.alias("regex"), F.length("pattern").alias("size"), "allow")
+    known = rules.filter("pattern <> ''").groupBy("host").agg(F.collect_list(rule).alias("rules"))
+    asked = dealt(requests.select("host", "path"), "host").distinct().join(known, "host", "left")  # a row a request, not one a rule
+    hits = F.filter("rules", lambda r: F.rlike(F.col("path"), r["regex"]))
+    best = asked.select("host", "path", hits.alias("hits"))
+    size = lambda allow: F.array_max(F.transform(F.filter("hits", lambda r: r["allow"] == allow), lambda r: r["size"]))
+    return best.select("host", "path", (size(False).isNull() | F.coalesce(size(True) >= size(False), F.lit(False))).alias("allowed"))
 
 
 def robots_rules(files: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bazaarlens.operators import maintenance
 from bazaarlens.plans.queries import QUERIES
+from bazaarlens.sources import feeds
 from bazaarlens.sources.entities import Entities
 
 
@@ -21,3 +22,13 @@ def test_listings_of_a_product_meet_it_once(spark):
 
 def test_orphans_need_no_window(spark, sf):
     assert "Window" not in plan(QUERIES["orphan_products"].run(Entities(spark, sf)))
+
+
+def test_a_request_is_one_row_however_many_rules(spark):
+    rules = spark.createDataFrame([("a", False, "/x"), ("a", True, "/x/y$"), ("a", False, "/*?"), ("a", True, "")], "host string, allow boolean, pattern string")
+    asked = spark.createDataFrame([("a", "/x"), ("a", "/x"), ("a", "/x/y"), ("a", "/z?q"), ("a", None), ("b", "/x"), (None, "/x")], "host string, path string")
+    found = feeds.robots_allows(rules, asked)
+    assert sorted(map(str, found.collect())) == sorted(f"Row(host={h!r}, path={p!r}, allowed={a})" for h, p, a in [("a", "/x", False), ("a", "/x/y", True), ("a", "/z?q", False), ("a", None, True), ("b", "/x", True), (None, "/x", True)])
+    # Joined after the requests are told apart, and dealt to a fixed number of tasks.
+    lines = plan(found).splitlines()
+    assert next(i for i, x in enumerate(lines) if "Join LeftOuter" in x) < next(i for i, x in enumerate(lines) if "Aggregate [host" in x) < next(i for i, x in enumerate(lines) if "RepartitionByExpression [host" in x)
