@@ -34,9 +34,19 @@ def stop_reason(pages: DataFrame, layout: str, max_pages: int = MAX_PAGES) -> Da
     items = F.from_json("text", layout) if layout.startswith("array") else F.from_json("text", layout)["products"]
     readable = F.coalesce(F.try_parse_json("text").isNotNull(), F.lit(False))
     shape = F.startswith(F.ltrim("text"), F.lit("[" if layout.startswith("array") else "{"))
-    problem = (F.when(~allowed, "robots.txt disallows it").when(F.octet_length("text") > MAX_BYTES, f"exceeded {MAX_BYTES} bytes").when(F.col("status_code") == 599, "not recorded").when(F.col("status_code") != 200, F.concat(F.lit("HTTP "), F.col("status_code")))
-               .when(~readable, "not valid JSON").when(~shape | items.isNull(), wrong).when(F.col("page") > max_pages, f"exceeded {max_pages} pages"))
-    return pages.withColumn("items", F.when(problem.isNull(), items)).withColumn("problem", problem)
+    unread = (F.when(~allowed, "robots.txt disallows it").when(F.octet_length("text") > MAX_BYTES, f"exceeded {MAX_BYTES} bytes").when(F.col("status_code") == 599, "not recorded").when(F.col("status_code") != 200, F.concat(F.lit("HTTP "), F.col("status_code")))
+              .when(~readable, "not valid JSON").when(~shape, wrong))
+    found, why = F.col("__read.items"), F.col("__read.unread")
+    problem = F.coalesce(why, F.when(found.isNull(), wrong).when(F.col("page") > max_pages, f"exceeded {max_pages} pages"))
+    out = _once_read(pages, "__unread", unread)
+    out = _once_read(out, "__read", F.struct(F.col("__unread").alias("unread"), F.when(F.col("__unread").isNull(), items).alias("items"))).drop("__unread")
+    return out.withColumn("problem", problem).withColumn("items", F.when(F.col("problem").isNull(), found)).drop("__read")
+
+
+def _once_read(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``value`` as a column that is computed once a row: an array of one, exploded, into which no condition on it is
+    pushed and which is not repeated where it is referred to."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def replayed(recorded: DataFrame, layout: str, max_pages: int = MAX_PAGES) -> DataFrame:
@@ -64,10 +74,11 @@ def limited(kept: DataFrame, reads: DataFrame, most: int = MAX_PRODUCTS) -> Data
 def slimmed(landed_pages: DataFrame) -> DataFrame:
     """Landed pages with only what the feed readers read: every product, its first image, and the
     fields of ``schema.SHOPIFY``; an answer that is no list of products stays as it is."""
-    body = F.from_json("text", schema.SHOPIFY)
+    body = F.col("__body")
+    landed_pages = _once_read(landed_pages, "__body", F.from_json("text", schema.SHOPIFY))
     first = F.transform(body["products"], lambda p: F.struct(p["id"], p["title"], p["handle"], p["vendor"], p["product_type"], F.slice(F.coalesce(p["images"], F.array().cast("array<struct<src:string>>")), 1, 1).alias("images"), p["variants"]))
     slim = F.to_json(F.struct(first.alias("products")))
-    return landed_pages.withColumn("text", F.when(body["products"].isNotNull(), slim).otherwise(F.col("text")))
+    return landed_pages.withColumn("text", F.when(body["products"].isNotNull(), slim).otherwise(F.col("text"))).drop("__body")
 
 
 def registry(spark: SparkSession, stores: list[tuple[str, str, str]] | None = None) -> DataFrame:

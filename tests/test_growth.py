@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bazaarlens import schema
 from bazaarlens.operators import maintenance
 from bazaarlens.plans.queries import QUERIES
 from bazaarlens.sources import feeds
@@ -32,3 +33,11 @@ def test_a_request_is_one_row_however_many_rules(spark):
     # Joined after the requests are told apart, and dealt to a fixed number of tasks.
     lines = plan(found).splitlines()
     assert next(i for i, x in enumerate(lines) if "Join LeftOuter" in x) < next(i for i, x in enumerate(lines) if "Aggregate [host" in x) < next(i for i, x in enumerate(lines) if "RepartitionByExpression [host" in x)
+
+
+def test_an_answer_is_read_once(spark):
+    pages = spark.createDataFrame([("s", "all", 1, "https://a.example/p", 200, '{"products":[]}'), ("s", "all", 2, "https://a.example/p", 200, "busy"), ("s", "all", 3, "https://a.example/p", 503, None)], schema.LANDED.rsplit(",", 1)[0])
+    told = feeds.stop_reason(pages, schema.SHOPIFY)
+    assert [r["problem"] for r in told.orderBy("page").collect()] == [None, "not valid JSON", "HTTP 503"]
+    assert plan(feeds.shopify(pages)).count("from_json") == 1
+    assert plan(feeds.shopify(feeds.slimmed(pages))).count("from_json") == 2
