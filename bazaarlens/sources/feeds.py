@@ -54,14 +54,19 @@ def replayed(recorded: DataFrame, layout: str, max_pages: int = MAX_PAGES) -> Da
     the first without products, with a problem (``stop_reason``) or not recorded; that one is answered with 599, so
     that its read is incomplete.  Of a page recorded twice the least row counts."""
     rest = [c for c in recorded.columns if c not in ("store", "target", "page")]
-    known = recorded.filter(F.col("page").between(1, max_pages)).groupBy("store", "target", "page").agg(F.min(F.struct(*rest)).alias("r")).select("store", "target", "page", "r.*")
-    before = F.coalesce(F.lag("page").over(W.partitionBy("store", "target").orderBy("page")), F.lit(0))
-    pages = stop_reason(known, layout, max_pages).select("store", "target", "page", (F.col("problem").isNotNull() | (F.size("items") == 0)).alias("stops")).withColumn("before", before)
-    first = F.least(F.min(F.when(F.col("stops"), F.col("page"))), F.min(F.when(F.col("page") > F.col("before") + 1, F.col("before") + 1)), F.max("page") + 1, F.lit(max_pages))
-    ends = pages.groupBy("store", "target").agg(first.alias("end"))
-    asked = ends.select("store", "target", F.explode(F.sequence(F.lit(1), F.col("end"))).alias("page"))
-    out = asked.join(known, ["store", "target", "page"], "left")
-    return out.withColumn("status_code", F.coalesce("status_code", F.lit(599))).select(*recorded.columns)
+    whole, here = W.partitionBy("store", "target"), ["store", "target", "page"]
+    # Dealt by shop and target once: all that follows stays where it is.
+    known = recorded.filter(F.col("page").between(1, max_pages)).repartition("store", "target").groupBy(*here).agg(F.min(F.struct(*rest)).alias("r")).select(*here, "r.*")
+    before = F.coalesce(F.lag("page").over(whole.orderBy("page")), F.lit(0))
+    pages = stop_reason(known, layout, max_pages).select(*here, *rest, (F.col("problem").isNotNull() | (F.size("items") == 0)).alias("stops")).withColumn("before", before)
+    least = lambda c: F.min(c).over(whole)
+    end = F.least(least(F.when(F.col("stops"), F.col("page"))), least(F.when(F.col("page") > F.col("before") + 1, F.col("before") + 1)), F.max("page").over(whole) + 1, F.lit(max_pages))
+    ended = pages.withColumn("end", end).withColumn("has_end", F.max(F.col("page") == F.col("end")).over(whole))
+    # Pages before the end are all there; if the end is not, the first page that is there brings it along.
+    none = F.struct(F.col("end").alias("page"), *[(F.lit(599) if c == "status_code" else F.lit(None)).cast(recorded.schema[c].dataType).alias(c) for c in rest])
+    own = F.when(F.col("page") <= F.col("end"), F.array(F.struct("page", *[F.coalesce("status_code", F.lit(599)).alias(c) if c == "status_code" else F.col(c) for c in rest]))).otherwise(F.array())
+    out = ended.select("store", "target", F.explode(F.when((F.col("before") == 0) & ~F.col("has_end"), F.concat(own, F.array(none))).otherwise(own)).alias("r"))
+    return out.select("store", "target", "r.*").select(*recorded.columns)
 
 
 def limited(kept: DataFrame, reads: DataFrame, most: int = MAX_PRODUCTS) -> DataFrame:

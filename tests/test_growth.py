@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from bazaarlens import schema
 from bazaarlens.operators import maintenance
 from bazaarlens.plans.queries import QUERIES
@@ -41,3 +43,13 @@ def test_an_answer_is_read_once(spark):
     assert [r["problem"] for r in told.orderBy("page").collect()] == [None, "not valid JSON", "HTTP 503"]
     assert plan(feeds.shopify(pages)).count("from_json") == 1
     assert plan(feeds.shopify(feeds.slimmed(pages))).count("from_json") == 2
+
+
+def test_a_replay_reads_and_moves_answers_once(spark):
+    one, none = '{"products":[{"id":1}]}', '{"products":[]}'
+    pages = spark.createDataFrame([("end", 1, 200, one), ("end", 2, 200, none), ("end", 3, 200, one), ("gap", 1, 200, one), ("gap", 3, 200, one), ("late", 2, 200, one), ("open", 1, 200, one), ("bad", 1, 503, "x"), ("bad", 1, 504, "x"), ("bad", 2, 200, one)],
+                                  "store string, page int, status_code int, text string").withColumns({"target": F.lit("all"), "url": F.lit("u")})
+    found = feeds.replayed(pages, schema.SHOPIFY)
+    assert sorted((r["store"], r["page"], r["status_code"], r["url"]) for r in found.collect()) == [
+        ("bad", 1, 503, "u"), ("end", 1, 200, "u"), ("end", 2, 200, "u"), ("gap", 1, 200, "u"), ("gap", 2, 599, None), ("late", 1, 599, None), ("open", 1, 200, "u"), ("open", 2, 599, None)]
+    assert {r["page"] for r in feeds.replayed(pages, schema.SHOPIFY, 1).collect()} == {1} and "Join" not in plan(found)
