@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from bazaarlens import schema
 from bazaarlens.functions.parse import with_parsed
-from bazaarlens.session import dealt
+from bazaarlens.session import dealt, settled
 
 MAX_PAGES, MAX_BYTES, MAX_PRODUCTS = 200, 8 << 20, 20_000
 
@@ -164,8 +164,12 @@ def read_registered(pages: DataFrame, shops: DataFrame, max_pages: int = MAX_PAG
 
 
 def relevant(listings: DataFrame) -> DataFrame:
-    """Listings with a category, by the shop's own label where it says something."""
-    return with_parsed(listings, "name", "parsed", hint=F.col("category")).filter("parsed.category is not null")
+    """Listings with a category, by the shop's own label where it says something.  Distinct titles and labels are
+    parsed once, then joined back: many shops list one title."""
+    held = settled(listings)
+    titles = held.select(F.col("name").alias("__name"), F.col("category").alias("__label")).distinct()
+    known = with_parsed(titles, "__name", "parsed", hint=F.col("__label")).filter("parsed.category is not null")
+    return held.join(known, (F.col("name") == F.col("__name")) & F.col("category").eqNullSafe(F.col("__label"))).drop("__name", "__label")
 
 
 def robots_allows(rules: DataFrame, requests: DataFrame) -> DataFrame:

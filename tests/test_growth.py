@@ -53,3 +53,11 @@ def test_a_replay_reads_and_moves_answers_once(spark):
     assert sorted((r["store"], r["page"], r["status_code"], r["url"]) for r in found.collect()) == [
         ("bad", 1, 503, "u"), ("end", 1, 200, "u"), ("end", 2, 200, "u"), ("gap", 1, 200, "u"), ("gap", 2, 599, None), ("late", 1, 599, None), ("open", 1, 200, "u"), ("open", 2, 599, None)]
     assert {r["page"] for r in feeds.replayed(pages, schema.SHOPIFY, 1).collect()} == {1} and "Join" not in plan(found)
+
+
+def test_titles_are_parsed_once_however_many_list_them(spark):
+    rows = [(k, "iPhone 15 128GB", None) for k in range(30)] + [(30, "iPhone 15 128GB", "Laptop Sleeves"), (31, "toaster", None), (32, None, "Smart Phones"), (33, "iPhone 15 128GB", "Smart Phones")]
+    found = feeds.relevant(spark.createDataFrame(rows, "id int, name string, category string"))
+    assert sorted(r["id"] for r in found.collect()) == [*range(30), 33] and {r["parsed"]["category"] for r in found.collect()} == {"phones"}
+    above = plan(found).split("Aggregate [")
+    assert "regexp" in above[0] and "regexp" not in above[-1].split("\n", 1)[1]
