@@ -116,8 +116,9 @@ def prepared_links(listings: DataFrame, hosts: tuple[str, ...], per_store: int |
     page on an allowed host, and its handle."""
     host, path = F.try_parse_url("url", F.lit("HOST")), F.try_parse_url("url", F.lit("PATH"))
     handle = F.nullif(F.regexp_extract(path, r"^/products/([^/]+)/?$", 1), F.lit(""))
-    fine = (F.try_parse_url("url", F.lit("PROTOCOL")) == "https") & host.isin(*hosts) & safe_handle(handle)
-    out = listings.groupBy("store_id", "url").agg(F.count("*").alias("listings")).withColumn("handle", handle).withColumn("well_formed", F.coalesce(fine, F.lit(False)))
+    fine = (F.try_parse_url("url", F.lit("PROTOCOL")) == "https") & host.isin(*hosts) & safe_handle(F.col("handle"))
+    # An array of one, exploded: the handle is found once and not wherever it is referred to.
+    out = listings.groupBy("store_id", "url").agg(F.count("*").alias("listings")).withColumn("handle", F.explode(F.array(handle))).withColumn("well_formed", F.coalesce(fine, F.lit(False)))
     if per_store:
         out = out.withColumn("rn", F.row_number().over(W.partitionBy("store_id").orderBy("url"))).filter(F.col("rn") <= per_store).drop("rn")
     return out
@@ -144,7 +145,7 @@ def audited(listings: DataFrame, answers: DataFrame, hosts: tuple[str, ...]) ->
     status_code, text``) say of them: a verdict each.  A link that has not the shape of a product's page was not
     asked for, and one without an answer or with one that cannot be read is unknown."""
     links = prepared_links(listings, hosts).drop("listings")
-    told = answers.select("store_id", "url", "status_code", F.from_json("text", ANSWER).alias("answer"))
+    told = answers.select("store_id", "url", "status_code", F.explode(F.array(F.from_json("text", ANSWER))).alias("answer"))
     asked = links.join(told, ["store_id", "url"], "left")
     status = F.when(F.col("well_formed"), F.coalesce("status_code", F.lit(599))).otherwise(599)
     found = asked.select("store_id", "url", "handle", status.alias("status"), "answer")

@@ -61,3 +61,11 @@ def test_titles_are_parsed_once_however_many_list_them(spark):
     assert sorted(r["id"] for r in found.collect()) == [*range(30), 33] and {r["parsed"]["category"] for r in found.collect()} == {"phones"}
     above = plan(found).split("Aggregate [")
     assert "regexp" in above[0] and "regexp" not in above[-1].split("\n", 1)[1]
+
+
+def test_an_audit_reads_links_and_answers_once(spark):
+    listed = spark.createDataFrame([(1, 1, "https://a.example/products/x", "k"), (2, 1, "https://a.example/products/y", None), (3, 1, "ftp://a.example/products/x", None)], "alias_id long, store_id long, url string, store_product_id string")
+    answers = spark.createDataFrame([(1, "https://a.example/products/x", 200, '{"handle":"x","variants":[{"id":1,"sku":"k"}]}'), (1, "https://a.example/products/y", 200, '{"handle":"z","variants":[]}')], "store_id long, url string, status_code int, text string")
+    found = maintenance.audited(listed, answers, ("a.example",))
+    assert {r["alias_id"]: r["verdict"] for r in found.collect()} == {1: "OK", 2: "RENAMED", 3: "UNKNOWN"}
+    assert plan(found).count("from_json") == 1 and plan(found).count("regexp_extract(") == 1
