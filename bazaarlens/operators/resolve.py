@@ -27,10 +27,14 @@ def by_identity(feed: DataFrame, products: DataFrame, brand_block: bool = False)
     """Feed rows (``parsed``) without an alias, with the smallest product of equal identity.
     Two titles answer each other fully exactly if their identities are equal, so the match of
     all against all is an equi-join.  ``brand_block`` also asks for equal stated brands."""
-    keyed = products.withColumn("identity", identity(F.col("parsed"))).filter("identity is not null")
     keys = ["identity", "brand"] if brand_block else ["identity"]
-    first = keyed.groupBy(*keys).agg(F.min("id").alias("resolved_product"))
-    return feed.withColumn("identity", identity(F.col("parsed"))).join(first, keys, "left")
+    return feed.withColumn("identity", identity(F.col("parsed"))).join(identities(products, keys), keys, "left")
+
+
+def identities(products: DataFrame, keys: list[str]) -> DataFrame:
+    """The smallest product of each identity."""
+    keyed = products.withColumn("identity", identity(F.col("parsed"))).filter("identity is not null")
+    return keyed.groupBy(*keys).agg(F.min("id").alias("resolved_product"))
 
 
 def new_products(unresolved: DataFrame, next_id: int, order: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as ``settled``, but in columns: less to write where rows are many, later steps read only
+    the columns that they need, and joins know its size."""
+    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt by its keys to all shuffle partitions.  Adaptive execution joins partitions by their compressed
     bytes, which puts millions of short rows that are alike into one task; these are left as they are."""

@@ -71,18 +71,19 @@ class CommittedCatalogue:
         return True
 
     def _write(self, run_id: str, run: Run) -> None:
-        """The outcome of a run: what it changed in each table, and its history."""
+        """The outcome of a run: what it changed in each table and what it added, and its history."""
         for name, key in KEYS.items():
-            after, before = getattr(run, name), self.read(name)
+            before, kept, added = self.read(name), run.kept[name], run.added[name]
             columns = before.columns
             for c in columns:  # a run tells of what it knows; the rest of a row stays
-                after = after if c in after.columns else after.join(before.select(key, c), key, "left")
+                kept = kept if c in kept.columns else kept.join(before.select(key, c), key, "left")
+                added = added if c in added.columns else added.withColumn(c, F.lit(None).cast(before.schema[c].dataType))
             same = [F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")) if not _mapped(before, c) else F.to_json(F.struct(f"b.{c}")).eqNullSafe(F.to_json(F.struct(f"a.{c}"))) for c in columns if c != key]
             unchanged = F.col(f"a.{key}") == F.col(f"b.{key}")
             for s in same:
                 unchanged = unchanged & s
-            changed = after.select(*columns).alias("a").join(before.alias("b"), unchanged, "left_anti")
-            self._dealt(changed, name).write.mode("overwrite").parquet(self._of(run_id, name))
+            changed = kept.select(*columns).alias("a").join(before.alias("b"), unchanged, "left_anti")
+            self._dealt(changed.unionByName(added.select(*columns)), name).write.mode("overwrite").parquet(self._of(run_id, name))  # what is new meets nothing
         run.history.write.mode("overwrite").parquet(self._of(run_id, "history"))
 
     def _apply(self, run_id: str) -> None:
@@ -91,7 +92,7 @@ class CommittedCatalogue:
             table = self.spark.read.parquet(f"{self.root}/{name}")
             touched = [r[0] for r in changed.select("part").distinct().collect()]  # ``parts`` numbers at most
             kept = table.filter(F.col("part").isin(touched)).join(changed.select(key), key, "left_anti")
-            whole = kept.unionByName(changed).repartition("part")
+            whole = kept.repartition("part").unionByName(changed)  # changed rows are written by whoever reads them, however many go to a partition
             if touched:
                 whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.root}/{name}")
         self._mark(run_id, APPLIED)

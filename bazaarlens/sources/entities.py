@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bazaarlens.session import written
 from bazaarlens.sources.titles import TITLES, values
 
 #: Freshness of the synthetic readings: a reading from this time on counts as current.
@@ -126,22 +127,39 @@ PARENTS = {
     "listings": ("readings",), "prices": ("readings",), "price_history": ("readings",), "wishlist": ("price_alerts",),
     "aliases": ("prices", "products"), "feed": ("listings", "products", "stores"), "landed": ("feed",), "landed_woo": ("feed",), "answers": ("listings",), "robots": ("stores",), "photos": ("readings",),
 }
+#: Views whose readings come by product: readings of a shop and product are ranked, and met with products, where they are.
+BY_PRODUCT = ("feed", "aliases")
 JSON_VALUE = {"spark": "get_json_object", "duckdb": "json_extract_string"}
 
 
 class Entities:
     """The views of one input folder, as DataFrames."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, held: dict[str, DataFrame] | None = None) -> None:
+        self.spark, self.sf_dir, self.held = spark, sf_dir, held or {}
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def holding(self, *names: str) -> Entities:
+        """The same views, of which the named ones are computed here and read by all that start from them."""
+        out = self
+        for name in names:
+            out = Entities(self.spark, self.sf_dir, out.held | {name: written(out._view(name, True))})
+        return out
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
-        inner = {p: getattr(self, p) for p in PARENTS.get(name, ())} or {b: self.base(b) for b in USES[name]}
+        return self._view(name, False)
+
+    def _view(self, name: str, by_product: bool) -> DataFrame:
+        if name in self.held:
+            return self.held[name]
+        by_product = by_product or name in BY_PRODUCT
+        inner = {p: self._view(p, by_product) for p in PARENTS.get(name, ())} or {b: self.base(b) for b in USES[name]}
+        if name == "readings" and by_product:
+            inner["lineitem"] = inner["lineitem"].repartition("l_partkey")
         sql = VIEWS[name].replace("{json}", JSON_VALUE["spark"])
         for k in sorted(inner, key=len, reverse=True):  # frames are passed by name, without views in the session
             sql = _placed(sql, k)

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from bazaarlens import schema
 from bazaarlens.functions.parse import with_parsed
-from bazaarlens.session import dealt, settled
+from bazaarlens.session import dealt, settled, written
 
 MAX_PAGES, MAX_BYTES, MAX_PRODUCTS = 200, 8 << 20, 20_000
 
@@ -163,13 +163,15 @@ def read_registered(pages: DataFrame, shops: DataFrame, max_pages: int = MAX_PAG
     return reduce(DataFrame.unionByName, found)
 
 
-def relevant(listings: DataFrame) -> DataFrame:
+def relevant(listings: DataFrame, held: bool = False) -> DataFrame:
     """Listings with a category, by the shop's own label where it says something.  Distinct titles and labels are
-    parsed once, then joined back: many shops list one title."""
-    held = settled(listings)
-    titles = held.select(F.col("name").alias("__name"), F.col("category").alias("__label")).distinct()
+    parsed once, then joined back: many shops list one title.  ``held``: the listings are read, not computed, and the
+    parsed titles are written, so that they go to the listings where their size allows it."""
+    rows = listings if held else settled(listings)
+    titles = rows.select(F.col("name").alias("__name"), F.col("category").alias("__label")).distinct()
     known = with_parsed(titles, "__name", "parsed", hint=F.col("__label")).filter("parsed.category is not null")
-    return held.join(known, (F.col("name") == F.col("__name")) & F.col("category").eqNullSafe(F.col("__label"))).drop("__name", "__label")
+    known = written(known) if held else known
+    return rows.join(known, (F.col("name") == F.col("__name")) & F.col("category").eqNullSafe(F.col("__label"))).drop("__name", "__label")
 
 
 def robots_allows(rules: DataFrame, requests: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from bazaarlens import schema
-from bazaarlens.operators import maintenance
+from bazaarlens.functions.parse import with_parsed
+from bazaarlens.operators import ingest, maintenance
 from bazaarlens.plans.queries import QUERIES
 from bazaarlens.sources import feeds
 from bazaarlens.sources.entities import Entities
@@ -69,3 +72,18 @@ def test_an_audit_reads_links_and_answers_once(spark):
     found = maintenance.audited(listed, answers, ("a.example",))
     assert {r["alias_id"]: r["verdict"] for r in found.collect()} == {1: "OK", 2: "RENAMED", 3: "UNKNOWN"}
     assert plan(found).count("from_json") == 1 and plan(found).count("regexp_extract(") == 1
+
+
+def test_rows_of_a_run_move_once(spark):
+    columns = "store_id long, store_product_id string, name string, url string, brand string, category string, image_url string, condition string, price decimal(10,3), availability boolean, delivery_cost decimal(10,3)"
+    row = lambda sku, name, price: (1, sku, name, f"u-{sku}", None, None, None, None, Decimal(price), True, Decimal(0))
+    feed = spark.createDataFrame([row("k", "iPhone 15 128GB", 5), row("a", "iPhone 15 128GB", 6), row("b", "iPhone 15 128GB", 7), row("c", "old name", 8)], columns)
+    aliases = spark.createDataFrame([(7, 70, 1, "k", "another", "u", "new"), (8, 80, 1, None, "old name", "u", None)], "alias_id long, product_id long, store_id long, store_product_id string, store_product_name string, store_product_url string, condition string")
+    products = with_parsed(spark.createDataFrame([(70, "iPhone 15 128GB", None, "phones", None)], "id long, canonical_name string, brand string, category string, image_url string"), "canonical_name")
+    told = plan(ingest.landed_on(feed, aliases, products)).split("RepartitionByExpression")
+    assert len(told) == 2 and "Join" not in told[0]  # dealt once, and nothing is joined to wide rows after that
+    prices = spark.createDataFrame([(7, Decimal(4), True, Decimal(0), None, None)], "alias_id long, price decimal(10,3), availability boolean, delivery_cost decimal(10,3), last_updated timestamp, checked_at timestamp")
+    run = ingest.ingest(feed, aliases, products, prices, F.lit("2024-01-01").cast("timestamp"), 100, 1000)
+    assert sorted((r["store_product_id"], r["alias_id"], r["product_id"], r["match_method"]) for r in run.landed.collect()) == [("a", 100, 70, "identity"), ("b", 100, 70, "identity"), ("c", 8, 80, "name"), ("k", 7, 70, "sku")]
+    assert sorted((r["alias_id"], int(r["price"])) for r in run.prices.collect()) == [(7, 5), (8, 8), (100, 7)]
+    assert [(r["alias_id"], r["store_product_id"]) for r in run.aliases.orderBy("alias_id").collect()] == [(7, "k"), (8, None), (100, "a")]
