@@ -158,7 +158,7 @@ def read_registered(pages: DataFrame, shops: DataFrame, max_pages: int = MAX_PAG
     shops that are not listed, of kinds without a reader, or from a host that is not their shop's are not read."""
     bare = lambda host: F.regexp_replace(F.lower(host), r"^www\.", "")
     known = shops.select("store", bare(F.col("host")).alias("__host"), F.col("feed").alias("__feed")).distinct()
-    theirs = pages.join(known, "store").filter(bare(F.try_parse_url("url", F.lit("HOST"))) == F.col("__host"))
+    theirs = written(pages.join(known.filter(F.col("__feed").isin(*READERS)), "store").filter(bare(F.try_parse_url("url", F.lit("HOST"))) == F.col("__host")))  # for each reader to read
     found = [reader(theirs.filter(F.col("__feed") == kind), max_pages).withColumn("feed", F.lit(kind)) for kind, reader in READERS.items()]
     return reduce(DataFrame.unionByName, found)
 
