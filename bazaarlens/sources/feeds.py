@@ -113,8 +113,8 @@ def once(listings: DataFrame) -> DataFrame:
 
 def shopify(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """One listing per variant: key is the trimmed sku, else the variant's id; rows without a
-    key or a positive price are dropped."""
-    p = stop_reason(pages, schema.SHOPIFY, max_pages).select("store", "page", F.posexplode("items").alias("position", "p"), F.try_parse_url("url", F.lit("HOST")).alias("host"))
+    key or a positive price are dropped.  ``pages``: landed ones, or these with their ``stop_reason``."""
+    p = (pages if "problem" in pages.columns else stop_reason(pages, schema.SHOPIFY, max_pages)).select("store", "page", F.posexplode("items").alias("position", "p"), F.try_parse_url("url", F.lit("HOST")).alias("host"))
     v = p.select("*", F.posexplode("p.variants").alias("variant", "v"))
     key = F.coalesce(F.nullif(F.trim("v.sku"), F.lit("")), F.concat(F.lit("shopify-"), F.col("v.id").cast("string")))
     title, extra = F.trim("p.title"), F.trim("v.title")
